@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, packing, quality_rules, similarity
 from .common import table
 
 
@@ -16,12 +16,15 @@ def _documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": _documents(mixing.query),
+    "op3_packing": _documents(packing.query),
+    "op6_ngram_jaccard_join": _documents(similarity.query),
     "op7_quality_rules": _documents(quality_rules.query),
     "op8_line_dedup": _documents(line_dedup.query),
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op6_ngram_jaccard_join": similarity.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
