@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, similarity
+from . import embedding_dedup, line_dedup, mixing, packing, quality_rules, similarity
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard_join": _documents(similarity.query),
     "op7_quality_rules": _documents(quality_rules.query),
     "op8_line_dedup": _documents(line_dedup.query),
+    "op9_embedding_dedup": lambda spark, sf_dir: embedding_dedup.query(table(spark, sf_dir, "embeddings")),
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": similarity.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
 }
