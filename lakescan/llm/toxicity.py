@@ -5,7 +5,7 @@ begin as words of toxic documents do and words of ordinary ones hardly ever do;
 taken from the ordinary dictionary, so that ordinary passages compress alike under both and only toxic wording tells them
 apart. A document is cut into windows of whole words; each window is compressed under both dictionaries, and the
 differences of the lengths over the whole text (mean, largest, share of windows that gain) go into a calibrated logistic
-threshold. Half of the sample trains the dictionaries, the other half the threshold.
+threshold. Two thirds of the sample train the dictionaries, the rest the threshold.
 
 The training sample is bounded by ``toxic_most`` and ``ordinary_most`` documents in hash order and ``chars_most``
 characters in all, and is the only thing that reaches the driver. All documents are scored, over their whole texts.
@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import shingles
+
 WINDOW_BYTES = 128
 ORDINARY_BYTES = 30_000
 STARTS = range(4, 11)
@@ -84,12 +86,22 @@ def _starts(text: str) -> set[bytes]:
     return found
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str], ratio: float = 30.0, share: float = 0.015, words_each: int = 3) -> tuple[bytes, bytes]:
+def _distinct(texts: list[str]) -> list[str]:
+    """The texts without copies and most near copies, whose own words would pass for the wording of many documents."""
+    seen: dict[int, str] = {}
+    for text in texts:
+        s = shingles(text)
+        seen.setdefault(int(s[0]) if len(s) else 0, text)
+    return list(seen.values())
+
+
+def _dictionaries(toxic: list[str], ordinary: list[str], ratio: float = 30.0, share: float = 0.025, words_each: int = 3) -> tuple[bytes, bytes]:
+    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for text in texts:
             counts.update(_starts(text))
-    least = max(3, share * len(toxic))
+    least = max(4, share * len(toxic))
     good = {s for s, n in in_toxic.items() if n >= least and n / len(toxic) >= ratio * (in_ordinary[s] + 0.5) / len(ordinary)}
     good = {s for s in good if not any(s[:k] in good for k in STARTS if k < len(s))}
     words: dict[bytes, Counter] = {s: Counter() for s in good}
@@ -133,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic_most: int = 1200, ordinary_m
     both = sample[0].unionByName(sample[1])
     upto = F.sum(F.length("text")).over(Window.orderBy("order", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded sample
     got = both.withColumn("upto", upto).where(F.col("upto") <= chars_most).select("text", "toxic", "order").collect()
-    half = {(k, s): [r.text for r in got if r.toxic == k and (int(r.order[-1], 16) % 2 == 0) == s] for k in (0, 1) for s in (False, True)}
-    if not all(half.values()):
+    part = {(k, s): [r.text for r in got if r.toxic == k and (int(r.order[-1], 16) % 3 == 0) == s] for k in (0, 1) for s in (False, True)}
+    if not all(part.values()):
         return None
-    model = Model(*_dictionaries(half[1, False], half[0, False]), [])
+    model = Model(*_dictionaries(part[1, False], part[0, False]), [])
     by = compressors(model)
-    x = np.array([features(t, *by) for k in (0, 1) for t in half[k, True]])
-    y = np.repeat([0.0, 1.0], [len(half[0, True]), len(half[1, True])])
+    x = np.array([features(t, *by) for k in (0, 1) for t in part[k, True]])
+    y = np.repeat([0.0, 1.0], [len(part[0, True]), len(part[1, True])])
     return model._replace(weights=_fit(x, y).tolist())
 
 
