@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, packing, quality_rules, similarity, toxicity
+from . import embedding_dedup, line_dedup, mixing, packing, quality_rules, similarity, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,7 @@ def _documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op10_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op2_mixing": _documents(mixing.query),
     "op3_packing": _documents(packing.query),
