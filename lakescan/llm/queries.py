@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, line_dedup, mixing, packing, quality_rules, similarity, toxicity, warc
+from . import embedding_dedup, html_text, language_id, line_dedup, mixing, packing, quality_rules, similarity, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": _documents(mixing.query),
     "op3_packing": _documents(packing.query),
     "op4_html_extraction": lambda spark, sf_dir: html_text.query(table(spark, sf_dir, "pages")),
+    "op5_language_id": lambda spark, sf_dir: language_id.query(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")),
     "op6_ngram_jaccard_join": _documents(similarity.query),
     "op7_quality_rules": _documents(quality_rules.query),
     "op8_line_dedup": _documents(line_dedup.query),
