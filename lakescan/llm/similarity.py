@@ -7,8 +7,9 @@ sets' Jaccard similarity is at least 80 %.
    shingle of every document in a table of fixed size. Documents of equal signature are one class.
 2. *Cells.* Sharing 80 % takes sharing one of the first 20 % of the shingles in any order common to all. The order is by
    count in that table, rarest first, so common passages do not bring documents together; its errors change the cost but
-   not the result. Classes that share such a shingle are chained, and components of the chains are cells: no link leaves
-   a cell. What is emitted grows with the shingles, not with pairs.
+   not the result. For the smaller of two sets even the first 11 % will do. Classes that share such a shingle and whose
+   sizes allow a link are chained, and components of the chains are cells: no link leaves a cell. What is emitted grows
+   with the shingles, not with pairs.
 3. *Search.* Inside a cell every class is a query against an inverted index of the others: short lists are merged and
    counted, and the candidates with enough hits are probed in the few long lists by binary search; those that reach the
    overlap that their two sizes ask for are links. Cells above a size are cut into blocks, and each pair of blocks is a
@@ -39,7 +40,7 @@ PERCENT = 80
 COUNTERS = 1 << 22
 SLICES = 64
 BLOCK_SHINGLES = 1_000_000
-MU = 0.1  # DivideSkip's weight: how many lists are long enough to be probed
+LONG = 64  # lists of more documents are probed rather than merged
 _MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -71,6 +72,11 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-size * percent // 100) + 1
 
 
+def index_length(size: int, percent: int = PERCENT) -> int:
+    """As ``prefix_length``, for partners that are not smaller."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
 def _texts(column: pa.Array) -> Iterator[bytes | None]:
     return iter(column.cast(pa.binary()).to_pylist())
 
@@ -128,7 +134,7 @@ def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            keys, nodes, n = [], [], []
+            keys, sizes, nodes, n = [], [], [], []
             for text in _texts(batch.column("text")):
                 s = shingles(text)
                 if not len(s):
@@ -139,46 +145,53 @@ def _prefixes(shared):
                 seen.add(node)
                 p = prefix_length(len(s))
                 c = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                if p < len(s):
-                    # rarest first, ties by hash: all below the p-th count, and the first ones of that count
-                    edge = np.partition(c, p - 1)[p - 1]
-                    low, same = s[c < edge], s[c == edge]
-                    s = np.concatenate([low, same[: p - len(low)]])
-                keys.append(s)
+                keys.append(s[np.argsort(c, kind="stable")[:p]])  # rarest first, ties by hash
+                flags = np.full(p, 2 * len(s), np.int64)
+                flags[: index_length(len(s))] += 1
+                sizes.append(flags)
                 nodes.append(node)
-                n.append(len(s))
+                n.append(p)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n))], names=["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.repeat(np.array(nodes, np.int64), n))], names=["shingle", "size", "node"])
 
     return run
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (node, first node) of each shingle; the partition's rows are sorted by shingle and node."""
-    last_key, last_node = None, None
+    """Edges (node, earlier node) of each shingle; the partition's rows are sorted by shingle, size and node.
+
+    A row links to the last row before it that has the shingle in its index prefix, if the sizes allow a link. Any two
+    rows that may link are connected by such steps, because the sizes between theirs allow them too.
+    """
+    key = node = size = None  # of the last row in an index prefix
     for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
+        keys, sizes, nodes = (batch.column(k).to_numpy() for k in ("shingle", "size", "node"))
+        if key is not None:
+            keys, sizes, nodes = np.append(key, keys), np.append(size, sizes), np.append(node, nodes)
+        indexed = np.flatnonzero(sizes & 1)
+        if not len(indexed):
             continue
-        begins = np.concatenate([[True], key[1:] != key[:-1]])
-        begins[0] = last_key is None or key[0] != last_key
-        root = np.empty(len(key), np.int64)
-        at = np.flatnonzero(begins)
-        which = begins.cumsum() - 1
-        root = np.where(which < 0, last_node if last_node is not None else 0, node[at[np.maximum(which, 0)]] if len(at) else 0)
-        edge = node != root
-        pairs = np.unique(np.stack([node[edge], root[edge]], 1), axis=0) if edge.any() else np.empty((0, 2), np.int64)
-        last_key, last_node = key[-1], root[-1]
+        before = np.searchsorted(indexed, np.arange(len(keys)), "left") - 1
+        y = indexed[np.maximum(before, 0)]
+        edge = (before >= 0) & (keys[y] == keys) & (100 * (sizes[y] >> 1) >= PERCENT * (sizes >> 1)) & (nodes[y] != nodes)
+        pairs = np.unique(np.stack([nodes[edge], nodes[y[edge]]], 1), axis=0)
+        key, size, node = keys[indexed[-1]], sizes[indexed[-1]], nodes[indexed[-1]]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _merged(owner: np.ndarray, begin: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """How often each of ``n`` owners stands in the lists ``owner[begin : begin + length]``."""
+    at = np.repeat(begin - (length.cumsum() - length), length) + np.arange(length.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
 def divide_skip(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
     """For each query in ``left`` the indexed sets in ``right`` that link with it.
 
     ``sets`` are sorted distinct hashes. Overlap needed by sizes x and y is ceil(p (x + y) / (100 + p)); partners have a
     size from p % of x to x / p %. At least ceil(p x / 100) hits are needed of any partner: that is T of the T-occurrence
-    problem. The longest lists are set aside (at most T - 1 of them), the others are merged, and partners with T less
-    their number of hits go on to be probed in the long lists.
+    problem. Long lists are set aside, T - 1 at most, and the others are merged; partners with T less that number of hits
+    are probed for in the long lists by binary search, or counted there too where that takes fewer steps.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     right = right[np.argsort(sizes[right], kind="stable")]
@@ -187,10 +200,7 @@ def divide_skip(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     own_sizes = sizes[right]
-    longest = 0
-    if len(keys):
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        longest = int(np.diff(np.append(edge, len(keys))).max())
+    pairs = np.searchsorted(keys, keys, "left") * len(right) + owner
     for i in left.tolist():
         s = sets[i]
         x = len(s)
@@ -201,29 +211,21 @@ def divide_skip(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
             continue
         begin, end = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
         length = end - begin
-        n_long = min(need_least - 1, int(need_least / (MU * np.log2(max(longest, 2)) + 1)))
-        by_length = np.argsort(length, kind="stable")
+        n_long = min(need_least - 1, int((length > LONG).sum()))
+        by_length = np.argsort(length, kind="stable") if n_long else np.arange(x)
         short, long = by_length[: x - n_long], by_length[x - n_long :]
-        n = length[short]
-        at = np.repeat(begin[short] - (n.cumsum() - n), n) + np.arange(n.sum())
-        hits = np.bincount(owner[at], minlength=len(right))
-        found = np.flatnonzero(hits >= need_least - n_long)
-        found = found[(found >= lo) & (found < hi)]
-        if not len(found):
-            yield i, np.empty(0, np.int64)
-            continue
+        hits = _merged(owner, begin[short], length[short], len(right))
+        found = np.flatnonzero(hits[lo:hi] >= need_least - n_long) + lo
         total = hits[found]
         need = -(-percent * (x + own_sizes[found]) // (100 + percent))
-        for k, left_over in zip(long[::-1].tolist(), range(n_long - 1, -1, -1), strict=True):
-            if end[k] > begin[k]:
-                lst = owner[begin[k] : end[k]]  # sorted: the sort by key kept the owners' order
-                p = np.searchsorted(lst, found)
-                total = total + ((p < len(lst)) & (lst[np.minimum(p, len(lst) - 1)] == found))
-            alive = total + left_over >= need
-            if not alive.all():
-                found, total, need = found[alive], total[alive], need[alive]
-                if not len(found):
-                    break
+        if n_long and len(found):
+            if len(found) * n_long < length[long].sum():
+                # owners are sorted within a list, so (list, owner) pairs are sorted as a whole
+                probe = (begin[long][:, None] * len(right) + found[None, :]).ravel()
+                p = np.searchsorted(pairs, probe)
+                total = total + (pairs[np.minimum(p, len(pairs) - 1)] == probe).reshape(n_long, -1).sum(axis=0)
+            else:
+                total = total + _merged(owner, begin[long], length[long], len(right))[found]
         yield i, right[found[total >= need]]
 
 
@@ -286,14 +288,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         counts[(-1 - r.n) * width : -r.n * width] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     shared = spark.sparkContext.broadcast(counts)
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    prefixes = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(shared), "shingle long, node long")
-    edges = prefixes.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_chained, "a long, b long")
+    prefixes = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(shared), "shingle long, size long, node long")
+    edges = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(_chained, "a long, b long")
     cells = checkpoint(connected_components(edges))
     # A node is half a signature; classes that share it merely come into one cell together.
     member = classes.join(cells, F.col("a") == F.col("node")).select("node", F.col("component").alias("cell"), "rep", "copies", "n")
     sizes = member.groupBy("cell").agg(F.sum("n").alias("total")).select(F.col("cell").alias("_cell"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     member = member.join(sizes, F.col("cell") == F.col("_cell")).drop("_cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    sets = docs.join(member, F.col("doc_id") == F.col("rep")).select("text", "cell", "blocks", "block", "node", "copies").mapInArrow(_sets, "cell long, blocks int, block int, node long, copies long, shingles binary")
+    sets = docs.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "cell", "blocks", "block", "node", "copies").mapInArrow(_sets, "cell long, blocks int, block int, node long, copies long, shingles binary")
     # Block k meets every block: as i of the pairs (k, j) with j >= k, as j of the pairs (i, k) with i < k.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("o", other).select("cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "copies", "shingles")
@@ -311,8 +313,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are their component's smallest id; rows without doc_id stay."""
     found = jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    return joined.where("doc_id IS NULL OR _id IS NOT NULL").drop("_id")
+    kept = docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def query(docs: DataFrame) -> DataFrame:
