@@ -89,15 +89,22 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: Se
     return d.select("doc_id", "source", "tie", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    m = mix(docs, **options)
-    # Rows equal in doc_id, source and text are interchangeable: their copies are added up, and only one of them is kept.
-    m = m.groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("times")).where("times > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "tie": "_tie"})
-    names, tie = docs.columns, F.coalesce(F.xxhash64(options.get("text", "text")), F.lit(0))
-    d = docs.withColumn("_key", tie).dropDuplicates(["doc_id", options.get("source", "source"), "_key"])
-    d = d.join(m, d.doc_id.eqNullSafe(m._id) & d[options.get("source", "source")].eqNullSafe(m._source) & (d._key == m._tie))
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*names)
+    key = ["_id", "_source", "_tie"]
+    m = mix(docs, text, source, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    names, tie = docs.columns, F.coalesce(F.xxhash64(text), F.lit(0))
+
+    def with_copies(copies) -> DataFrame:
+        own = m.withColumn("copies", copies).where("copies > 0").select(*key, F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")
+        d = docs.withColumn("_key", tie)
+        return d.join(own, d.doc_id.eqNullSafe(own._id) & d[source].eqNullSafe(own._source) & (d._key == own._tie))
+
+    # Rows equal in doc_id, source and text are interchangeable: each gives as many copies as all can give alike, and one
+    # of them gives the rest.
+    alike = with_copies(F.floor(F.col("times") / F.col("rows")))
+    rest = with_copies(F.when(F.col("rows") > 1, F.col("times") % F.col("rows"))).dropDuplicates(["doc_id", source, "_key"])
+    return alike.unionByName(rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -105,7 +112,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> ''))::BIGINT AS size,
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> ''))::BIGINT AS size,
                   ('0x' || md5('mix|' || doc_id)[1:12])::BIGINT AS turn FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 r AS (SELECT source, ss, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, row_number() OVER (ORDER BY source NULLS LAST) AS place, (2 * ss)::DOUBLE AS most FROM s),

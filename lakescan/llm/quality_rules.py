@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from .common import BLANKS, WORD_GAP, text_keys, words
 
 SYMBOLS = "#*$%&|<>"
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
 
 
 def _repeated(d: DataFrame) -> DataFrame:
@@ -50,23 +51,25 @@ def _normal(line: Column) -> Column:
 
 
 def line_removals(docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = 10, per_mille: int = 10) -> DataFrame:
-    """(host, text_a, text_b, words_removed, lines_removed) for the texts that lose a line.
+    """(host, text_a, text_b, words_removed, lines_removed, removed) for the texts that lose a line; removed has the lines' places.
 
     A line goes when more than ``min_documents`` and more than ``per_mille`` thousandths of the host's distinct texts
     hold it.
     """
-    hashed = F.transform(F.transform(_lines(F.col("t")), _normal), lambda m: F.struct(F.xxhash64(m).alias("line"), (F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    placed = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: x["x"].rlike(HAS_WORD))
+    normal = F.transform(placed, lambda x: F.struct(x["i"].alias("i"), _normal(x["x"]).alias("x")))
+    hashed = F.transform(normal, lambda m: F.struct(m["i"].alias("i"), F.xxhash64(m["x"]).alias("line"), (F.length(m["x"]) - F.length(F.replace(m["x"], F.lit(" "), F.lit(""))) + 1).alias("n")))
     d = docs.select(F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = d.select("host", *text_keys(F.col("t")), hashed.alias("l")).groupBy("host", "text_a", "text_b").agg(F.first("l").alias("l"))
-    lines = texts.select("host", "text_a", "text_b", F.explode("l").alias("l")).groupBy("host", "text_a", "text_b", "l.line").agg(F.sum("l.n").alias("n"), F.count("*").alias("times"))
+    lines = texts.select("host", "text_a", "text_b", F.explode("l").alias("l")).groupBy("host", "text_a", "text_b", "l.line").agg(F.sum("l.n").alias("n"), F.count("*").alias("times"), F.collect_list("l.i").alias("at"))
     limits = texts.groupBy("host").agg(F.greatest(F.lit(1000 * min_documents), F.count("*") * per_mille).alias("most"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("texts"))
     often = often.join(limits, often.host.eqNullSafe(limits.host)).where("1000 * texts > most").select(often.host.alias("h"), F.col("line").alias("often"))
-    return lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).groupBy("host", "text_a", "text_b").agg(F.sum("n").alias("words_removed"), F.sum("times").alias("lines_removed"))
+    return lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).groupBy("host", "text_a", "text_b").agg(F.sum("n").alias("words_removed"), F.sum("times").alias("lines_removed"), F.flatten(F.collect_list("at")).alias("removed"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_documents: int = 10, per_mille: int = 10, max_removed_percent: int = 50) -> DataFrame:
-    """``docs`` with the base measures, lines_removed, words_left and kept."""
+    """``docs`` with the base measures, lines_removed, removed (their places), words_left and kept."""
     base = base_measures(docs, text, min_words, max_repeat_percent).withColumns({"_a": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_b": F.xxhash64(F.lit(7), F.coalesce(F.col(text), F.lit("")))})
     gone = line_removals(docs, text, host, min_documents, per_mille).withColumnsRenamed({"host": "_host"})
     d = base.join(gone, (F.col(host).eqNullSafe(F.col("_host"))) & (F.col("_a") == F.col("text_a")) & (F.col("_b") == F.col("text_b")), "left")
@@ -76,6 +79,16 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min
     return d.drop("_a", "_b", "_host", "text_a", "text_b", "words_removed")
 
 
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits: int) -> DataFrame:
+    """The rows of ``docs`` that pass, without the lines above their host's limit."""
+    # The verdict goes through an explode: a filter on it directly would be pushed below the measures and make each
+    # window of a text measure the whole text anew.
+    d = quality_rules(docs, text, host, **limits).withColumn("kept", F.explode_outer(F.array("kept"))).where("kept")
+    d = d.withColumn("_split", F.when(F.size("removed") > 0, F.split(text, "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "removed"), lambda i: F.get("_split", i))
+    return d.withColumn(text, F.when(F.col("_split").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     d = quality_rules(docs.select("doc_id", "text", "source"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed", "words_left")
