@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, text_keys
+from .common import WORD_GAP, checkpoint, text_keys
 
 
 def _has_word(x: Column) -> Column:
@@ -28,17 +28,17 @@ def windows(docs: DataFrame, size: int = 3) -> DataFrame:
     placed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     held = F.transform(F.filter(placed, lambda x: _has_word(x["x"])), lambda x: F.struct(x["i"].alias("i"), normal(x["x"]).alias("x")))
     d = docs.where("text IS NOT NULL").select("doc_id", *text_keys(F.col("text")), held.alias("l"))
-    d = d.where(F.size("l") >= size)
     part = lambda i: F.slice("l", i, size)
     starts = F.sequence(F.lit(1), F.greatest(F.size("l") - size + 1, F.lit(1)))
-    d = d.withColumn("w", F.transform(starts, lambda i: F.struct(part(i)["i"].alias("at"), F.concat_ws("\n", part(i)["x"]).alias("win"))))
-    d = d.select("doc_id", "text_a", "text_b", F.explode("w").alias("w"))
+    d = d.withColumn("w", F.when(F.size("l") >= size, F.transform(starts, lambda i: F.struct(part(i)["i"].alias("at"), F.concat_ws("\n", part(i)["x"]).alias("win")))))
+    # An outer explode, since a plain one would add a filter below that makes the lines anew for every window.
+    d = d.select("doc_id", "text_a", "text_b", F.explode_outer("w").alias("w")).where("w IS NOT NULL")
     return d.select("doc_id", "text_a", "text_b", "w.at", F.xxhash64("w.win").alias("win_a"), F.xxhash64(F.lit(11), "w.win").alias("win_b"))
 
 
 def repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, text_a, text_b, covered): for each document that repeats earlier windows, the places of the lines they cover."""
-    win = windows(docs, size)
+    win = checkpoint(windows(docs, size))  # a few hashes a line, read twice
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.get("at", F.lit(0)).alias("at"))
     first = win.groupBy("win_a", "win_b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("win_a").alias("a"), F.col("win_b").alias("b"), "first")
     late = win.join(first, (F.col("win_a") == F.col("a")) & (F.col("win_b") == F.col("b"))).where(place != F.col("first"))
