@@ -126,7 +126,7 @@ def extended(df: DataFrame) -> DataFrame:
     counts = _texts(df, list(ks), lambda c: _name(c).cast("string")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
     # entropy = log2(N) - sum(n log2 n) / N, so that counts need not be joined with their total
     entropy = counts.groupBy("column").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
-    whole = df.groupBy(*[_name(c) for c in df.columns if ks.get(c)]).agg(F.count("*").alias("n")).agg((1 - F.count("*") / F.sum("n")).alias("duplicate_ratio"))
+    whole = df.groupBy(*[_name(c) for c in df.columns if ks.get(c)]).agg(F.count("*").alias("_rows")).select("_rows").agg((1 - F.count("*") / F.sum("_rows")).alias("duplicate_ratio"))
     out = stats.join(F.broadcast(entropy), "column", "left").join(F.broadcast(whole), F.lit(True))  # a row a column; one row
     return out.select("column", "variance", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "entropy", "duplicate_ratio")
 

@@ -34,9 +34,8 @@ def stream_changes(spark: SparkSession, landing: str, state: str, checkpoint: st
 
 def current_state(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
     """The newest row of each object."""
-    schema = spark.createDataFrame([], SCHEMA).schema.simpleString()[len("struct<") : -1]
     try:
-        d = spark.read.schema(f"{schema},hash:string,change:string,batch:bigint").parquet(state)
+        d = spark.read.schema(f"{SCHEMA}, hash string, change string, batch long").parquet(state)
     except Exception as e:  # the folder is made by the first batch
         if "PATH_NOT_FOUND" not in str(e):
             raise
