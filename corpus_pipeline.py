@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of windows seen before; a document that loses all its lines goes."""
-    return _measured(lines.line_dedup(docs).where("n_removed = 0 OR n_removed < n_lines"), docs.columns)
+    return _measured(lines.kept_documents(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,21 +47,26 @@ def repeats(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` with the reduced text and n_lines, n_removed (lines with a word, before and taken)."""
-    names = [c for c in docs.columns if c != "text"]
+    """(row, text, n_lines, n_removed): each row of ``docs`` as a struct, its reduced text, and its lines with a word before and taken."""
     gone = repeats(docs, size).withColumnsRenamed({"doc_id": "_id", "text_a": "_a", "text_b": "_b"})
     a, b = text_keys(F.col("text"))
-    d = docs.withColumns({"_ta": a, "_tb": b})
-    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_ta") == F.col("_a")) & (F.col("_tb") == F.col("_b")), "left").drop("_id", "_a", "_b", "_ta", "_tb")
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", a.alias("_ta"), b.alias("_tb"))
+    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_ta") == F.col("_a")) & (F.col("_tb") == F.col("_b")), "left")
     full = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _has_word)
-    d = d.withColumns({"n_lines": F.size(full).cast("long"), "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long"), "split": F.when(F.size("covered") > 0, F.split("text", "\n"))})
+    d = d.select("row", "text", "covered", F.size(full).cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.size("covered") > 0, F.split("text", "\n")).alias("split"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "covered"), lambda i: F.get("split", i))
     text = F.when(F.col("split").isNull(), F.col("text")).when(F.col("n_removed") >= F.col("n_lines"), "").otherwise(F.array_join(kept, "\n"))
-    return d.withColumn("text", text).select(*names, "text", "n_lines", "n_removed")
+    return d.select("row", text.alias("text"), "n_lines", "n_removed")
+
+
+def kept_documents(docs: DataFrame, size: int = 3) -> DataFrame:
+    """The rows of ``docs`` with their reduced texts; those that lose all their lines go."""
+    d = line_dedup(docs, size).where("n_removed = 0 OR n_removed < n_lines")
+    return d.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return line_dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", "text")
 
 
 SQL = r"""

@@ -91,20 +91,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: Se
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    key = ["_id", "_source", "_tie"]
-    m = mix(docs, text, source, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    names, tie = docs.columns, F.coalesce(F.xxhash64(text), F.lit(0))
+    m = mix(docs, text, source, **options).groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col(source).alias("_source"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_tie"))
 
     def with_copies(copies) -> DataFrame:
-        own = m.withColumn("copies", copies).where("copies > 0").select(*key, F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")
-        d = docs.withColumn("_key", tie)
-        return d.join(own, d.doc_id.eqNullSafe(own._id) & d[source].eqNullSafe(own._source) & (d._key == own._tie))
+        own = m.select("doc_id", "source", "tie", copies.cast("int").alias("copies")).where("copies > 0").hint("shuffle_hash")
+        return d.join(own, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_tie") == F.col("tie")))
 
     # Rows equal in doc_id, source and text are interchangeable: each gives as many copies as all can give alike, and one
     # of them gives the rest.
     alike = with_copies(F.floor(F.col("times") / F.col("rows")))
-    rest = with_copies(F.when(F.col("rows") > 1, F.col("times") % F.col("rows"))).dropDuplicates(["doc_id", source, "_key"])
-    return alike.unionByName(rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names)
+    rest = with_copies(F.when(F.col("rows") > 1, F.col("times") % F.col("rows"))).dropDuplicates(["_id", "_source", "_tie"])
+    return alike.unionByName(rest).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -26,23 +26,22 @@ def _lines(text: Column) -> Column:
 
 
 def _repeated(d: DataFrame) -> DataFrame:
-    """n_repeat_words from ``w``: positions covered by a three-word window that occurs twice or more."""
-    d = d.withColumn("g", F.when(F.size("w") >= 4, F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.size("w") - 2)))
-    d = d.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), F.array_sort(F.transform("g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    same = lambda x, j: F.coalesce(x["g"] == F.get("s", j - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get("s", j + 1)["g"], F.lit(False))
-    at = F.transform(F.filter("s", same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-    return d.withColumn("n_repeat_words", F.coalesce(F.size(F.array_distinct(F.flatten(at))), F.lit(0)).cast("long")).drop("g", "s")
+    """n_repeat_words from ``_w``: positions covered by a three-word window that occurs twice or more."""
+    d = d.withColumn("_g", F.when(F.size("_w") >= 4, F.slice(F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2))), F.lit(1), F.size("_w") - 2)))
+    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    same = lambda x, j: F.coalesce(x["g"] == F.get("_s", j - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get("_s", j + 1)["g"], F.lit(False))
+    at = F.transform(F.filter("_s", same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+    return d.withColumn("n_repeat_words", F.coalesce(F.size(F.array_distinct(F.flatten(at))), F.lit(0)).cast("long")).drop("_g", "_s")
 
 
 def base_measures(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("t", t).withColumn("w", words(F.col("t"))).withColumn("n_words", F.size("w").cast("long"))
-    d = _repeated(d).drop("w").withColumn("lines", _lines(F.col("t")))
-    dups = F.size("lines") - F.size(F.array_distinct("lines"))
-    symbols = F.length("t") - F.length(F.translate("t", SYMBOLS, ""))
-    chars = F.length(F.regexp_replace("t", WORD_GAP, ""))
-    d = d.select(*[c for c in d.columns if c not in ("t", "lines")], chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dups.cast("long").alias("n_dup_lines"))
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, in place of columns of these names."""
+    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
+    d = _repeated(d).drop("_w").withColumn("_lines", _lines(F.col("_t")))
+    dups = F.size("_lines") - F.size(F.array_distinct("_lines"))
+    symbols = F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))
+    chars = F.length(F.regexp_replace("_t", WORD_GAP, ""))
+    d = d.withColumns({"word_chars": chars.cast("long"), "n_symbols": symbols.cast("long"), "n_dup_lines": dups.cast("long")}).drop("_t", "_lines")
     return d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
@@ -69,24 +68,27 @@ def line_removals(docs: DataFrame, text: str = "text", host: str = "source", min
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_documents: int = 10, per_mille: int = 10, max_removed_percent: int = 50) -> DataFrame:
-    """``docs`` with the base measures, lines_removed, removed (their places), words_left and kept."""
-    base = base_measures(docs, text, min_words, max_repeat_percent).withColumns({"_a": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_b": F.xxhash64(F.lit(7), F.coalesce(F.col(text), F.lit("")))})
-    gone = line_removals(docs, text, host, min_documents, per_mille).withColumnsRenamed({"host": "_host"})
-    d = base.join(gone, (F.col(host).eqNullSafe(F.col("_host"))) & (F.col("_a") == F.col("text_a")) & (F.col("_b") == F.col("text_b")), "left")
-    removed = F.coalesce("words_removed", F.lit(0))
+    """``docs`` with the base measures, lines_removed, removed (their places), words_left and kept, in place of columns of these names."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    base = base_measures(docs.drop("lines_removed", "removed"), text, min_words, max_repeat_percent).withColumns({"_a": F.xxhash64(t), "_b": F.xxhash64(F.lit(7), t)})
+    gone = line_removals(docs, text, host, min_documents, per_mille).withColumnsRenamed({"host": "_host", "text_a": "_ta", "text_b": "_tb", "words_removed": "_words"})
+    d = base.join(gone, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_a") == F.col("_ta")) & (F.col("_b") == F.col("_tb")), "left")
+    removed = F.coalesce("_words", F.lit(0))
     depleted = (removed > 0) & ((100 * removed > max_removed_percent * F.col("n_words")) | (F.col("n_words") - removed < min_words))
     d = d.withColumns({"words_left": F.col("n_words") - removed, "lines_removed": F.coalesce("lines_removed", F.lit(0)), "kept": ~F.col("base_failed") & ~depleted})
-    return d.drop("_a", "_b", "_host", "text_a", "text_b", "words_removed")
+    return d.drop("_a", "_b", "_host", "_ta", "_tb", "_words")
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits: int) -> DataFrame:
     """The rows of ``docs`` that pass, without the lines above their host's limit."""
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"), F.col(host).alias("source"))
     # The verdict goes through an explode: a filter on it directly would be pushed below the measures and make each
     # window of a text measure the whole text anew.
-    d = quality_rules(docs, text, host, **limits).withColumn("kept", F.explode_outer(F.array("kept"))).where("kept")
-    d = d.withColumn("_split", F.when(F.size("removed") > 0, F.split(text, "\n")))
+    d = quality_rules(d, **limits).withColumn("kept", F.explode_outer(F.array("kept"))).where("kept")
+    d = d.withColumn("_split", F.when(F.size("removed") > 0, F.split("text", "\n")))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "removed"), lambda i: F.get("_split", i))
-    return d.withColumn(text, F.when(F.col("_split").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    new = F.when(F.col("_split").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return d.select(F.col("_row").withField(text, new).alias("_row")).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are their component's smallest id; rows without doc_id stay."""
     found = jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_id"], "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
