@@ -1,9 +1,10 @@
 """Operator 1, WARC archives behind a two-level capture index.
 
-*Writing.* Captures are range-sorted by their reversed-host URL key, so each task writes one archive, a sorted run of
-records, each a gzip member of its own. Of captures with equal payloads the first id is a response record, the others are
-revisit records that name it and carry no payload. Along with its archive a task writes the index of its captures:
-sorted index lines in compressed blocks, and a sparse directory with the first key of each block.
+*Writing.* Each task writes its captures as one archive, every record a gzip member of its own. Of captures with equal
+payloads the first id is a response record, the others are revisit records that name it and carry no payload. Payloads
+are shuffled once, to meet their equals. What is sorted is the index: its lines (reversed-host URL key, id, archive,
+offset, length) are range-partitioned by key, and each task writes one shard of it: sorted lines in compressed blocks,
+and a sparse directory with the first key of each block.
 
 *Reading.* A lookup goes from its key to the shard (a list with one entry a shard), by binary search in the shard's
 directory to the block, by a range read to the block's lines, by binary search to the line, and by a range read of the
@@ -26,6 +27,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,7 +41,9 @@ from .common import shared_dir
 BLOCK_LINES = 512
 SHARDS_MOST = 4096
 LEVEL = 4
-SHARD = "shard int, archive string, index string, directory string, first_key string, first_id long, records long"
+OPEN_MOST = 64
+LINE = "url_key string, page_id long, archive string, offset long, length long"
+SHARD = "index string, directory string, first_key string, first_id long, records long"
 FOUND = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -103,21 +107,42 @@ def _gzip(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def _line(key: str, page_id: int, offset: int, length: int) -> bytes:
-    return json.dumps([key, page_id, offset, length]).encode()
+def _archived(folder: str):
+    """Captures to one archive a task; the index lines of its records."""
 
-
-def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        store, root = fs.FileSystem.from_uri(folder)
+        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
+        archive = None
+        try:
+            for batch in batches:
+                if archive is None and batch.num_rows:
+                    archive = store.open_output_stream(name, compression=None)
+                offsets, lengths = [], []
+                for row in range(batch.num_rows):
+                    one = {c: batch.column(c)[row].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to")}
+                    data = _gzip(make_record(**one))
+                    offsets.append(archive.tell())
+                    lengths.append(len(data))
+                    archive.write(data)
+                yield pa.RecordBatch.from_arrays([batch.column("url_key"), batch.column("page_id"), pa.array([name] * batch.num_rows, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["url_key", "page_id", "archive", "offset", "length"])
+        finally:
+            if archive is not None:
+                archive.close()
 
-        shard = TaskContext.get().partitionId()
+    return run
+
+
+def _indexed(folder: str):
+    """Sorted index lines to one shard a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/{shard:05d}-{uuid.uuid4().hex}"
-        archive = index = first = None
+        name = f"{root}/{uuid.uuid4().hex}"
+        index = None
         lines: list[bytes] = []
         directory: list[list] = []
-        block_first: list | None = None
+        block_first: list = []
         records = 0
 
         def close_block() -> None:
@@ -127,29 +152,25 @@ def _written(folder: str):
             lines.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if archive is None:
-                    archive, index = store.open_output_stream(f"{name}.warc.gz", compression=None), store.open_output_stream(f"{name}.idx", compression=None)
-                    first = (row["url_key"], row["page_id"])
-                data = _gzip(make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("url_key", "page_id", "archive", "offset", "length")), strict=True):
+                if index is None:
+                    index = store.open_output_stream(f"{name}.idx", compression=None)
                 if not lines:
-                    block_first = [row["url_key"], row["page_id"]]
-                lines.append(_line(row["url_key"], row["page_id"], archive.tell(), len(data)))
-                archive.write(data)
+                    block_first = [row[0], row[1]]
+                lines.append(json.dumps(row).encode())
                 records += 1
                 if len(lines) >= BLOCK_LINES:
                     close_block()
-        if archive is None:
+        if index is None:
             return
         if lines:
             close_block()
-        archive.close()
         index.close()
         with store.open_output_stream(f"{name}.dir", compression=None) as out:
             out.write(_gzip(json.dumps(directory).encode()))
-        one = [[shard], [f"{name}.warc.gz"], [f"{name}.idx"], [f"{name}.dir"], [first[0]], [first[1]], [records]]
-        types = [pa.int32(), *[pa.string()] * 4, pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, types, strict=True)], names=["shard", "archive", "index", "directory", "first_key", "first_id", "records"])
+        one = [[f"{name}.idx"], [f"{name}.dir"], [directory[0][0]], [directory[0][1]], [records]]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, types, strict=True)], names=["index", "directory", "first_key", "first_id", "records"])
 
     return run
 
@@ -159,9 +180,11 @@ def write(found: DataFrame, folder: str, shards: int | None = None) -> Archive:
     spark = found.sparkSession
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    # Spark commits the lines of tasks that succeeded; archives of others are named nowhere.
+    found.select("page_id", "url", "url_key", "payload", "digest", "refers_to").mapInArrow(_archived(folder), LINE).write.parquet(f"{folder}/lines")
     n = min(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), SHARDS_MOST)
-    d = found.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    d.select("page_id", "url", "url_key", "payload", "digest", "refers_to").mapInArrow(_written(folder), SHARD).write.mode("overwrite").parquet(f"{folder}/shards")
+    lines = spark.read.parquet(f"{folder}/lines").repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    lines.mapInArrow(_indexed(folder), SHARD).write.parquet(f"{folder}/shards")
     return Archive(folder, f"{folder}/shards")
 
 
@@ -171,8 +194,8 @@ def _looked_up(folder: str, shards: list[dict]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        now = block_at = None
-        archive = index = None
+        now = block_at = index = None
+        archives: OrderedDict = OrderedDict()
         firsts: list = []
         directory: list = []
         lines: list = []
@@ -186,11 +209,10 @@ def _looked_up(folder: str, shards: list[dict]):
                     if shard < 0:
                         continue
                     if shard != now:
-                        for f in (archive, index):
-                            if f is not None:
-                                f.close()
+                        if index is not None:
+                            index.close()
                         now, block_at = shard, None
-                        archive, index = store.open_input_file(shards[shard]["archive"]), store.open_input_file(shards[shard]["index"])
+                        index = store.open_input_file(shards[shard]["index"])
                         with store.open_input_file(shards[shard]["directory"]) as f:
                             directory = json.loads(zlib.decompress(f.read(), 31))
                         firsts = [(d[0], d[1]) for d in directory]
@@ -205,7 +227,13 @@ def _looked_up(folder: str, shards: list[dict]):
                     at = bisect.bisect_left(keys, (key, page_id))
                     if at == len(keys) or keys[at] != (key, page_id):
                         continue
-                    header, payload = parse_record(zlib.decompress(archive.read_at(lines[at][3], lines[at][2]), 31))
+                    _, _, name, offset, length = lines[at]
+                    if name not in archives:
+                        archives[name] = store.open_input_file(name)
+                        if len(archives) > OPEN_MOST:
+                            archives.popitem(last=False)[1].close()
+                    archives.move_to_end(name)
+                    header, payload = parse_record(zlib.decompress(archives[name].read_at(length, offset), 31))
                     if int(header["x-capture-id"]) != page_id:
                         raise ValueError(f"the index leads to another record at {lines[at]}")
                     refers = header.get("x-refers-to-capture-id")
@@ -219,7 +247,7 @@ def _looked_up(folder: str, shards: list[dict]):
                         out, size = [], 0
                 yield _found(out)
         finally:
-            for f in (archive, index):
+            for f in (index, *archives.values()):
                 if f is not None:
                     f.close()
 
