@@ -89,11 +89,11 @@ def directories(key: Column) -> Column:
     return F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x != "")
 
 
-def _is_pair(x: Column) -> Column:
+def is_pair(x: Column) -> Column:
     return x.rlike(r"(?s)^[^=]+=.+$")
 
 
-def _pair(x: Column) -> Column:
+def pair(x: Column) -> Column:
     at = F.instr(x, "=")
     return F.struct(F.substring(x, F.lit(1), at - 1).alias("name"), F.substring(x, at + 1, F.length(x)).alias("value"))
 
@@ -105,9 +105,9 @@ def _classified(root: Column, strategy: str, partitions: Column) -> Column:
 def classify_hive(key: Column) -> Column:
     """Root before the first ``name=value`` directory, and every pair from there on."""
     dirs = directories(key)
-    seen = F.transform(dirs, lambda x, i: F.when(_is_pair(x), i))
+    seen = F.transform(dirs, lambda x, i: F.when(is_pair(x), i))
     first = F.coalesce(F.array_min(F.filter(seen, lambda i: i.isNotNull())), F.size(dirs))
-    pairs = F.transform(F.filter(dirs, _is_pair), _pair)
+    pairs = F.transform(F.filter(dirs, is_pair), pair)
     return _classified(F.array_join(F.slice(dirs, F.lit(1), first), "/"), "hive", pairs)
 
 
@@ -127,7 +127,7 @@ def classify_legacy(key: Column) -> Column:
 def classify(key: Column, mode: str = "auto", crawl_root: str = "", prefix: str = "pt", separator: str = "") -> Column:
     """Hive where a directory is a pair; else legacy in mode ``hive`` and positional in any other."""
     fallback = classify_legacy(key) if mode == "hive" else classify_positional(key, crawl_root, prefix, separator)
-    return F.when(F.exists(directories(key), _is_pair), classify_hive(key)).otherwise(fallback)
+    return F.when(F.exists(directories(key), is_pair), classify_hive(key)).otherwise(fallback)
 
 
 def partition_path(partitions: Column) -> Column:

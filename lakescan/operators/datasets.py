@@ -9,11 +9,24 @@ from ..functions import keys as K
 
 
 def classified(inventory: DataFrame, mode: str = "auto", crawl_root: str = "") -> DataFrame:
-    """The data objects of an inventory with format, compression, root, strategy, partitions and partition_path; one narrow projection."""
+    """The data objects of an inventory with format, compression, root, strategy, partitions and partition_path; one narrow projection.
+
+    The same results as ``keys.classify``, but each step is a column of its own, so that none is evaluated twice.
+    """
     key = F.col("key")
-    d = inventory.where(K.table_marker(key).isNull() & ~K.ignored(key)).withColumn("_c", K.classify(key, mode, crawl_root))
-    d = d.withColumns({"format": K.format_of(key), "compression": K.compression_of(key), "root": F.col("_c.root"), "strategy": F.col("_c.strategy"), "partitions": F.col("_c.partitions")}).drop("_c")
-    return d.withColumn("partition_path", K.partition_path(F.col("partitions")))
+    d = inventory.where(K.table_marker(key).isNull() & ~K.ignored(key))
+    root = crawl_root.strip("/")
+    below = F.when(key.startswith(root + "/"), F.substring(key, F.lit(len(root) + 2), F.length(key))).otherwise(key) if root else key
+    d = d.withColumn("_dirs", K.directories(key)).withColumn("_pairs", F.filter("_dirs", K.is_pair)).withColumn("_first", F.array_position(F.transform("_dirs", K.is_pair), F.lit(True)).cast("int"))
+    hive = F.col("_first") > 0
+    if mode == "hive":
+        other_root, other, none = F.array_join("_dirs", "/"), "legacy", F.array().cast(K.PARTITIONS)
+    else:
+        dirs = K.directories(below) if root else F.col("_dirs")
+        other_root, other, none = F.lit(root), "positional", F.transform(dirs, lambda x, i: F.struct(F.concat(F.lit("pt"), i.cast("string")).alias("name"), x.alias("value"))).cast(K.PARTITIONS)
+    parts = F.when(hive, F.transform("_pairs", K.pair).cast(K.PARTITIONS)).otherwise(none)
+    d = d.withColumns({"root": F.when(hive, F.array_join(F.slice("_dirs", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0))), "/")).otherwise(other_root), "strategy": F.when(hive, "hive").otherwise(other), "partitions": parts, "format": K.format_of(key), "compression": K.compression_of(key)})
+    return d.withColumn("partition_path", K.partition_path(F.col("partitions"))).drop("_dirs", "_pairs", "_first")
 
 
 def table_roots(inventory: DataFrame) -> DataFrame:
@@ -53,20 +66,23 @@ def dataset_name(bucket: Column, root: Column) -> Column:
     return F.when(root == "", bucket).otherwise(F.substring_index(root, "/", -1))
 
 
-def partition_keys(objects: DataFrame) -> DataFrame:
-    """(bucket, root, partition_keys): distinct names in the order of their first key and place."""
-    p = objects.select("bucket", "root", "key", F.posexplode("partitions").alias("pos", "p"))
-    g = p.groupBy("bucket", "root", F.col("p.name").alias("name")).agg(F.min(F.struct("pos", "key")).alias("at"))
-    return g.groupBy("bucket", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("partition_keys"))
-
-
 def roll_up(objects: DataFrame) -> DataFrame:
-    """Datasets with file_count, total_size, strategy, format, name, partition_keys and partition_depth."""
-    table_format = F.max("table_format") if "table_format" in objects.columns else F.lit(None).cast("string")
-    g = objects.groupBy("bucket", "root").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"), F.min_by("strategy", "key").alias("strategy"), table_format.alias("_tf"))
-    d = g.join(dominant_formats(objects).withColumnRenamed("format", "_format"), ["bucket", "root"]).join(partition_keys(objects), ["bucket", "root"], "left")
-    names = F.coalesce("partition_keys", F.array().cast("array<string>"))
-    return d.select("bucket", "root", dataset_name(F.col("bucket"), F.col("root")).alias("name"), F.coalesce("_tf", "_format").alias("format"), "strategy", "file_count", "total_size", names.alias("partition_keys"), F.size(names).alias("partition_depth"))
+    """Datasets with file_count, total_size, strategy, format, name, partition_keys and partition_depth.
+
+    One scan and one shuffle of partial sums to a row for each root, format and list of partition names; the rest works on
+    those few rows.
+    """
+    table_format = F.col("table_format") if "table_format" in objects.columns else F.lit(None).cast("string")
+    names = F.transform("partitions", lambda p: p["name"])
+    s = objects.groupBy("bucket", "root", "strategy", "format", table_format.alias("_tf"), names.alias("names")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("key").alias("key"))
+    order = F.array_position(F.array(*[F.lit(f) for f in K.FORMAT_ORDER]), F.col("format"))
+    votes = s.groupBy("bucket", "root", "format").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("_tf").alias("_tf"), F.min(F.struct("key", "strategy")).alias("first"))
+    g = votes.groupBy("bucket", "root").agg(F.sum("n").alias("file_count"), F.sum("size").alias("total_size"), F.max("_tf").alias("_tf"), F.max_by("format", F.struct("n", -order)).alias("_format"), F.min("first").alias("first"))
+    place = s.select("bucket", "root", "key", F.posexplode("names").alias("pos", "name")).groupBy("bucket", "root", "name").agg(F.min(F.struct("pos", "key")).alias("at"))
+    keys = place.groupBy("bucket", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("partition_keys"))
+    d = g.join(keys, ["bucket", "root"], "left")
+    found = F.coalesce("partition_keys", F.array().cast("array<string>"))
+    return d.select("bucket", "root", dataset_name(F.col("bucket"), F.col("root")).alias("name"), F.coalesce("_tf", "_format").alias("format"), "first.strategy", "file_count", "total_size", found.alias("partition_keys"), F.size(found).alias("partition_depth"))
 
 
 def partition_summary(objects: DataFrame) -> DataFrame:

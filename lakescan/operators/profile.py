@@ -49,7 +49,7 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
     for c, k in ks.items():
         x = _name(c)
         ordered = k not in ("other",)
-        d = (F.count_distinct(x) if exact else F.approx_count_distinct(x)) if ordered else (F.count_distinct(F.to_json(F.struct(x))) if exact else F.approx_count_distinct(F.xxhash64(F.to_json(F.struct(x)))))
+        d = null if exact else F.approx_count_distinct(x if ordered else F.xxhash64(F.to_json(F.struct(x))))
         v = x.cast("double")
         length = F.length(x.cast("string"))
         rows.append(F.struct(
@@ -59,6 +59,12 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
             (F.min(length).cast("long") if k == "string" else null).alias("min_length"), (F.max(length).cast("long") if k == "string" else null).alias("max_length"), (F.avg(length) if k == "string" else num).alias("avg_length"),
         ))
     out = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    if exact:
+        # distinct aggregates side by side would copy every row once a column; pairs of column and value are narrow
+        as_text = lambda c: _name(c).cast("string") if ks[c] != "other" else F.when(_name(c).isNotNull(), F.to_json(F.struct(_name(c))))
+        pairs = _texts(df, list(ks), as_text).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
+        n = pairs.groupBy("column").agg(F.count("*").alias("_distinct"))
+        out = out.join(F.broadcast(n), "column", "left").withColumn("distinct", F.coalesce("_distinct", F.lit(0))).drop("_distinct")  # a row a column
     share = lambda a, b: F.when(b > 0, F.least(a / b, F.lit(1.0))).otherwise(0.0)
     return out.withColumns({"null_pct": share(F.col("count") - F.col("non_null"), F.col("count")), "distinct_pct": share(F.col("distinct"), F.col("non_null"))})
 

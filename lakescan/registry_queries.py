@@ -39,12 +39,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in FIELDS.items()])
+    return _objects(read(spark, sf_dir, "orders"), FIELDS)
+
+
+def _objects(orders: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The key goes through an explode, so that it is made once and then read, as an inventory's stored column is."""
+    return orders.selectExpr(*[f"explode_outer(array({e})) AS {c}" if c == "key" else f"{e} AS {c}" for c, e in fields.items()])
 
 
 def previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = FIELDS | {"etag": "CASE WHEN o_orderkey % 11 = 0 THEN 'old' ELSE md5(cast(o_orderkey AS string)) END"}
-    old = read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").selectExpr(*[f"{e} AS {c}" for c, e in fields.items()])
+    old = _objects(read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0"), fields)
     gone = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("'b0' AS bucket", "'gone/' || c_custkey || '.csv' AS key", "c_custkey AS size", "'x' AS etag", "'' AS storage_class", "'' AS version_id", "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS modified")
     return old.unionByName(gone)
 
