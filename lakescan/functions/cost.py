@@ -37,9 +37,9 @@ def with_cost(objects: DataFrame, rates: DataFrame, region: str = "region", cls:
     r = rates.select(F.col("region").alias("_region"), F.upper("class").alias("_class"), F.col("rate").alias("_rate"))
     known = r.select(F.col("_region").alias("_known")).distinct()
     standard = r.where("_class = 'STANDARD'").select(F.col("_region").alias("_sregion"), F.col("_rate").alias("_standard"))
-    # The rate table has a few hundred rows, one for each region and class that a store sells.
+    # The rate table is the caller's: the planner broadcasts it where its size is small enough.
     o = objects.withColumn("_cls", storage_class(F.col(cls)))
-    o = o.join(F.broadcast(known), F.col(region) == F.col("_known"), "left").withColumn("_priced", F.coalesce("_known", F.lit(DEFAULT_REGION)))
-    o = o.join(F.broadcast(standard), F.col("_priced") == F.col("_sregion"), "left").join(F.broadcast(r), (F.col("_priced") == F.col("_region")) & (F.col("_cls") == F.col("_class")), "left")
+    o = o.join(known, F.col(region) == F.col("_known"), "left").withColumn("_priced", F.coalesce("_known", F.lit(DEFAULT_REGION)))
+    o = o.join(standard, F.col("_priced") == F.col("_sregion"), "left").join(r, (F.col("_priced") == F.col("_region")) & (F.col("_cls") == F.col("_class")), "left")
     o = o.withColumn("cost", cost_of(F.col(size), F.col("_cls"), F.coalesce("_rate", "_standard"), F.col("_standard")))
     return o.select(*objects.columns, F.col("_priced").alias("price_region"), "cost")

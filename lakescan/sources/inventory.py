@@ -90,7 +90,7 @@ def folder_summary(inventory: DataFrame, prefix: str = "") -> DataFrame:
 def price_regions(buckets: DataFrame, rates: DataFrame, default: str = "us-east-1") -> DataFrame:
     """Each bucket's region if rates exist for it, else the default."""
     known = rates.select(F.col("region").alias("_known")).distinct()
-    return buckets.join(F.broadcast(known), F.col("region") == F.col("_known"), "left").select(*buckets.columns, F.coalesce("_known", F.lit(default)).alias("price_region"))
+    return buckets.join(known, F.col("region") == F.col("_known"), "left").select(*buckets.columns, F.coalesce("_known", F.lit(default)).alias("price_region"))
 
 
 def objects_of(inventory: DataFrame, bucket: str, root: str | None = None, limit: int = 50) -> DataFrame:
