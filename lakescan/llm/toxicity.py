@@ -139,10 +139,11 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, toxic_most: int = 1200, ordinary_most: int = 4000, chars_most: int = 40_000_000) -> Model | None:
     """A model from the labelled documents that are not held out; None where one kind is missing."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
-    order = F.md5(F.concat(F.lit("toxicity|"), F.col("doc_id").cast("string")))
-    sample = [rows.where(F.col("toxic") == k).withColumn("order", order).orderBy("order", "text").limit(most) for k, most in ((1, toxic_most), (0, ordinary_most))]
-    both = sample[0].unionByName(sample[1])
+    y = y.where(~held_out(F.col("_id"))).withColumn("order", F.md5(F.concat(F.lit("toxicity|"), F.col("_id").cast("string"))))
+    # The sample is drawn from the labels, which are narrow; its ids are bounded, so the texts need no shuffle.
+    ids = [y.where(F.col("toxic") == k).orderBy("order").limit(most) for k, most in ((1, toxic_most), (0, ordinary_most))]
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), F.col("doc_id") == F.col("_id"))
+    both = rows.orderBy("order", "text").limit(toxic_most + ordinary_most)
     upto = F.sum(F.length("text")).over(Window.orderBy("order", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded sample
     got = both.withColumn("upto", upto).where(F.col("upto") <= chars_most).select("text", "toxic", "order").collect()
     part = {(k, s): [r.text for r in got if r.toxic == k and (int(r.order[-1], 16) % 3 == 0) == s] for k in (0, 1) for s in (False, True)}
