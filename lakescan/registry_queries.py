@@ -380,6 +380,21 @@ def json_schema(spark, sf_dir):
     return I.infer_json(read(spark, sf_dir, "events").selectExpr("event_type AS file", "event_id AS line_no", "props AS line"))
 
 
+@registered("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'boolean' WHEN 3 THEN 'date' WHEN 4 THEN 'array' WHEN 5 THEN 'struct' ELSE 'null' END AS kind FROM events""", "")
+def json_kinds(spark, sf_dir):
+    value = "CASE event_id % 7 WHEN 0 THEN cast(user_id AS string) WHEN 1 THEN user_id || '.5' WHEN 2 THEN 'true' WHEN 3 THEN '\"' || cast(cast(ts AS date) AS string) || '\"' WHEN 4 THEN '[1]' WHEN 5 THEN props ELSE 'null' END"
+    v = read(spark, sf_dir, "events").selectExpr("event_id", f"parse_json({value}) AS v")
+    return v.select("event_id", I.json_kind(F.col("v"), F.col("v").cast("string")).alias("kind"))
+
+
+@registered("""SELECT event_type, event_id AS line_no, '{"id":"' || event_id || '","user":"' || user_id || '"}' AS row FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 200""", "")
+def sample_rows(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    cells = e.selectExpr("event_type", "event_id AS line_no", "explode(array(struct(0 AS pos, cast(event_id AS string) AS value), struct(1 AS pos, cast(user_id AS string) AS value))) AS c").select("event_type", "line_no", "c.*")
+    names = e.select("event_type").distinct().selectExpr("event_type", "explode(array(struct(0 AS pos, 'id' AS name), struct(1 AS pos, 'user' AS name))) AS c").select("event_type", "c.*")
+    return I.sample_rows(cells, names, ["event_type"])
+
+
 # ---- profiles (H) ----
 
 
@@ -447,9 +462,81 @@ def profile_kinds_embeddings(spark, sf_dir):
     return P.scalars(read(spark, sf_dir, "embeddings")).select(F.lit("embeddings").alias("t"), "column", "kind", "non_null")
 
 
+# ---- reading together (F) ----
+
+
+def _file_columns(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    cols = "explode(CASE WHEN c_custkey % 10 = 9 THEN array(struct(0 AS pos, 'id' AS name, 'int' AS type)) ELSE array(struct(0 AS pos, 'id' AS name, CASE WHEN c_custkey % 3 = 0 THEN 'bigint' ELSE 'int' END AS type), struct(1 AS pos, CASE WHEN c_custkey % 2 = 0 THEN 'Name' ELSE 'name' END AS name, CASE WHEN c_custkey % 10 = 7 THEN 'int' ELSE 'string' END AS type)) END) AS c"
+    return c.selectExpr("c_custkey AS file_idx", "CASE WHEN c_custkey % 4 = 3 THEN 'orc' ELSE 'parquet' END AS format", cols).select("file_idx", "format", "c.*")
+
+
+VERDICTS = "v AS (SELECT c_custkey AS file_idx, CASE WHEN c_custkey % 4 = 3 THEN 'orc' ELSE 'parquet' END AS format, CASE WHEN c_custkey % 10 IN (7, 9) THEN 'incompatible' ELSE 'compatible' END AS verdict, CASE c_custkey % 10 WHEN 9 THEN 'shape' WHEN 7 THEN 'type:name' ELSE '' END AS reason FROM customer)"
+
+
+@registered(f"WITH {VERDICTS} SELECT * FROM v", "")
+def compat_groups(spark, sf_dir):
+    from .operators.compat import group_files
+
+    return group_files(_file_columns(spark, sf_dir))[0]
+
+
+@registered(f"""WITH {VERDICTS} SELECT format, count(*) FILTER (verdict <> 'incompatible') AS members, count(*) FILTER (verdict = 'incompatible') AS rejected, 0::BIGINT AS widened, format = 'parquet' AS is_primary, true AS mixed_format FROM v GROUP BY format""", "")
+def compat_summary(spark, sf_dir):
+    from .operators.compat import group_files, summarize
+
+    return summarize(group_files(_file_columns(spark, sf_dir))[0])
+
+
+@registered("""SELECT c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN sum(c_custkey)::BIGINT ELSE -1 END AS rows FROM customer GROUP BY 1""", "")
+def footer_rows(spark, sf_dir):
+    from .operators.compat import total_rows
+
+    out = None
+    c = read(spark, sf_dir, "customer")
+    for (segment,) in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():  # five segments
+        f = c.where(F.col("c_mktsegment") == segment).selectExpr("CASE WHEN c_mktsegment = 'BUILDING' OR c_custkey % 2 = 0 THEN 'parquet' ELSE 'csv' END AS format", "c_custkey AS num_rows")
+        d = total_rows(f).select(F.lit(segment).alias("c_mktsegment"), "rows")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 # ---- browsing (A, I) ----
 
 
+@registered("""SELECT bucket, key, size FROM inv WHERE bucket = 'b1' AND starts_with(key, 'orders/') ORDER BY key LIMIT 50""")
+def bucket_objects(spark, sf_dir):
+    return INV.objects_of(D.classified(inventory(spark, sf_dir)), "b1", "orders").select("bucket", "key", "size")
+
+
+@registered("""SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 'eu-west-1' ELSE 'us-east-1' END AS price_region FROM nation""", "")
+def price_regions(spark, sf_dir):
+    buckets = read(spark, sf_dir, "nation").selectExpr("n_name AS name", "CASE n_regionkey WHEN 1 THEN 'eu-west-1' WHEN 2 THEN 'mars-1' END AS region")
+    return INV.price_regions(buckets, spark.createDataFrame([("eu-west-1",), ("us-east-1",)], "region string")).select("name", "price_region")
+
+
+@registered(f"""WITH {COLS}, v AS (SELECT dataset, CASE WHEN dataset LIKE '%1' THEN 1 ELSE 2 END AS version FROM (SELECT DISTINCT dataset FROM cols)), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY name) - 1 AS pos FROM cols)
+SELECT k.dataset, v.version, k.pos, k.name, k.type, s.n FROM k JOIN v USING (dataset) LEFT JOIN (SELECT p_brand AS dataset, p_type AS name, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1, 2) s USING (dataset, name)""", "")
+def latest_schema(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from .operators.catalog import latest_schema as latest
+
+    pos = (F.row_number().over(Window.partitionBy("dataset").orderBy("name")) - 1).cast("long").alias("pos")
+    cols = _columns(spark, sf_dir).select("dataset", pos, "name", "type")
+    both = cols.withColumn("version", F.lit(1)).unionByName(cols.where("NOT dataset LIKE '%1'").withColumn("version", F.lit(2)))
+    stats = read(spark, sf_dir, "part").where("p_size > 10").groupBy(F.col("p_brand").alias("dataset"), F.col("p_type").alias("name")).agg(F.count("*").alias("n"))
+    return latest(both.select("dataset", "version").distinct(), both, stats).select("dataset", "version", "pos", "name", "type", "n")
+
+
+@registered("""SELECT bucket, root FROM (SELECT DISTINCT bucket, root FROM folded) WHERE bucket = 'b2' AND root = 'sales'""", "inv cls folded")
+def dataset_by_location(spark, sf_dir):
+    from .operators.catalog import find_by_location
+
+    d = D.roll_up(folded(spark, sf_dir)).withColumn("updated_at", F.lit(0))
+    return find_by_location(d, "b2", "/sales/").select("bucket", "root")
+
+
 @registered("""SELECT bucket, split_part(substr(key, 6), '/', 1) AS name, contains(substr(key, 6), '/') AS is_folder, count(*) AS objects FROM inv WHERE starts_with(key, 'feed/') GROUP BY ALL""")
 def list_dir(spark, sf_dir):
     return INV.children(inventory(spark, sf_dir), "feed/").select("bucket", "name", "is_folder", "objects")
