@@ -34,7 +34,7 @@ class ReadOptions:
 
 
 
-def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions, recursive: bool) -> DataFrame:
+def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions) -> DataFrame:
     from ..operators.infer import detect_headers, sniff_delimiters, split_cells
     from .files import heads
 
@@ -73,7 +73,7 @@ def read_files(spark: SparkSession, paths: list[str], fmt: str, options: ReadOpt
     """An explicit list of files, without partition columns."""
     o = (options or ReadOptions()).applicable(fmt)
     if fmt in TEXT:
-        return _read_text(spark, paths, fmt, o, False)
+        return _read_text(spark, paths, fmt, o)
     r = spark.read.option("recursiveFileLookup", True)
     if fmt in ("json", "jsonl"):
         df = r.option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("multiLine", fmt == "json").json(paths)
