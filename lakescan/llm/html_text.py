@@ -41,6 +41,7 @@ NOT_CONTENT = frozenset(
 #: Elements that begin a block of text, and those that a paragraph cannot hold.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body div main section td blockquote html center".split())
+SALTS = 32
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
@@ -214,9 +215,10 @@ def host_paths(pages: DataFrame, best: int = 8) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    ranked = host_paths(pages).withColumnRenamed("host", "_host")
-    # A row a host: joined by broadcast where its size allows, else by shuffle, hot hosts being split by adaptive execution.
-    d = pages.join(ranked, url_host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "paths")
+    # A row a host meets its pages; a host with a third of all pages is dealt to SALTS tasks.
+    ranked = host_paths(pages).select(F.col("host").alias("_host"), "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    d = pages.withColumns({"host": url_host(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")})
+    d = d.join(ranked, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left").select("page_id", "url", "html", "paths")
     d = d.mapInArrow(_texts, "page_id long, url string, text string")
     return d.withColumn("n_chars", F.length("text").cast("long"))
 
