@@ -2,8 +2,8 @@
 
 1. *Score.* Each page's containers (elements that hold blocks of text) are scored: characters in their own paragraphs,
    headings and other blocks, less what stands in links, and nothing for what lies in parts that are never content
-   (navigation, headers, footers, asides, forms, scripts, and elements whose class or id names adverts, comments,
-   notices, menus and the like).
+   (navigation, headers, footers, asides, forms, scripts, pictures, and containers and lists of which a whole class, id or
+   role names adverts, comments, notices, menus and the like).
 2. *Vote.* A container's path, the tags and classes from the root down with digits generalised, gets its page's vote,
    its share of the page's score. Votes are summed in Spark for each host and path; pages of a host with a third of all
    pages are counted map-side first.
@@ -14,7 +14,8 @@ Inside a block, character references are decoded and white space becomes single
 in page order. Nothing else is dropped or cut, and the whole page is read.
 
 Defined results: null and empty pages, and pages without text blocks, give the empty text; pages without a host vote for
-the host ""; unclosed elements end where their parents do, and paragraphs where a block begins; repeated rows get equal
+the host ""; unclosed elements end where their parents do, paragraphs where a block begins, and pictures and formulas where HTML goes on;
+formulas give their text without its annotations; repeated rows get equal
 texts; an empty table gives an empty table; further columns do not matter.
 """
 
@@ -32,18 +33,25 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements without content, elements whose content is no text, and elements that are never an article's.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
-NEVER = frozenset("nav header footer aside form head button select menu dialog".split())
-#: Words of a class, id or role that name what is not an article.
+RAW = frozenset("script style iframe textarea title".split())
+SPACED = frozenset("iframe object canvas audio video textarea".split())
+NEVER = frozenset("nav header footer aside form head button select menu dialog noscript template object svg canvas audio video annotation annotation-xml".split())
+#: Foreign elements, the elements in them that hold HTML, and elements besides blocks that end them.
+FOREIGN = frozenset(("svg", "math"))
+HOLDS_HTML = frozenset("foreignobject desc title mtext mi mo mn ms annotation-xml".split())
+ENDS_FOREIGN = frozenset("b big br code em embed i img s small span strike strong sub sup tt u var".split())
+#: Whole classes, ids and roles, without a number at the end, that name what is not an article.
 NOT_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search alert dialog".split()
+    + "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper advert-box comment-list comments-list comments-area comment-area comments-section comment-section comment-form comment-respond cookie-banner cookie-bar cookie-consent cookie-notice gdpr-banner main-menu main-nav main-navigation nav-bar nav-links nav-menu navigation-menu newsletter-signup page-footer page-header post-navigation related-articles related-links related-posts related-stories search-box search-form share-bar share-buttons share-links side-bar sidebar-left sidebar-right site-footer site-header site-nav site-navigation skip-links social-links social-media social-share sponsored-content sponsored-links sub-nav tool-bar top-bar top-nav widget-area".split()
 )
 #: Elements that begin a block of text, and those that a paragraph cannot hold.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body div main section td blockquote html center".split())
+NAMED = frozenset("div section td blockquote center ul ol dl table details figure".split())
 SALTS = 32
 SPACE = re.compile(r"\s+")
-NAME = re.compile(r"[a-z]+")
+NUMBER = re.compile(r"[-_]*\d+$")
 DIGITS = re.compile(r"\d+")
 #: Elements that end an open element of the same kind, as their end tags may be left out.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -106,6 +114,12 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 yield b
             del stack[k:]
             continue
+        foreign = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN or stack[i][0] in HOLDS_HTML), None)
+        if foreign is not None and stack[foreign][0] in HOLDS_HTML:
+            foreign = None
+        if foreign is not None and (tag in BLOCK or tag in ENDS_FOREIGN):
+            del stack[foreign:]
+            foreign = None
         if tag == "br":
             if content():
                 text.append(" ")
@@ -124,11 +138,11 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
                     break
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in RAW:
+        if tag in SPACED and content():
+            text.append(" ")
+        if tag in RAW and foreign is None:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if content() and tag not in ("script", "style", "template", "noscript", "title", "svg", "math"):
-                text.append(" ")
             continue
         names: list[str] = []
         hidden = False
@@ -137,12 +151,12 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
             for a in ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role"):
-                    names += NAME.findall(value.lower())
+                    names += [NUMBER.sub("", x).replace("_", "-") for x in value.lower().split()]
                     if key == "class":
                         step = tag + "." + ".".join(sorted(DIGITS.sub("#", value.lower()).split()))
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value.lower()):
                     hidden = True
-        good = content() and tag not in NEVER and not hidden and (tag in ("body", "html", "article", "main") or not NOT_CONTENT.intersection(names))
+        good = content() and tag not in NEVER and not hidden and (tag not in NAMED or not NOT_CONTENT.intersection(names))
         stack.append((tag, step, good, tag == "a" or bool(stack and stack[-1][3])))
     put(page[at:])
     if (b := flush()) is not None:

@@ -36,3 +36,20 @@ def test_empty_table_extra_columns_and_long_pages(spark):
     assert html_text.query(frame(spark, [])).count() == 0
     d = frame(spark, [(1, "http://a/", "<article>" + "<p>word word</p>" * 20_000 + "</article>")]).selectExpr("*", "1 AS host", "2 AS text")
     assert html_text.query(d).first().text == "\n".join(["word word"] * 20_000)
+
+
+def article(page):
+    return "\n".join(text for _, text, _ in html_text.blocks(page))
+
+
+def test_words_inside_names_and_names_of_blocks_do_not_remove_them():
+    page = '<body><div class="post category-social tag-advertising"><h2 id="related-work">Related</h2><p id=search-results>found<p class=banner>text</div>'
+    page += '<div class="x comment-list"><p>no</div><ul id=share_buttons><li>no</ul><div class=ad-12>no</div>'
+    assert article(page) == "Related\nfound\ntext"
+
+
+def test_pictures_and_formulas_end_where_they_should():
+    assert article('<div><p>a <svg class="icon"/> b</p><p>c</p></div>') == "a b\nc"
+    assert article("<div><p>a <svg><title>t</title><text>no</text></svg>b</p></div>") == "a b"
+    assert article("<div><svg><path><p>a</p><video><source></div><p>b") == "a\nb"
+    assert article("<p>let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation encoding=tex>x</annotation></math> be") == "let x<2 be"
