@@ -5,10 +5,12 @@
    (navigation, headers, footers, asides, forms, scripts, pictures, and containers and lists of which a whole class, id or
    role names adverts, comments, notices, menus and the like).
 2. *Vote.* A container's path, the tags and classes from the root down with digits generalised, gets its page's vote,
-   its share of the page's score. Votes are summed in Spark for each host and path; pages of a host with a third of all
-   pages are counted map-side first.
-3. *Re-extract.* A host's winning paths, best first, go back to its pages (a page's own best path stands in where no
-   winner occurs on it), and the text of the containers on that path is taken, again without what is never content.
+   the fourth power of its score as a share of the page's best one, so that winning counts most. Spark averages the votes for each host and path over the host's pages
+   that have the path, slightly less for few pages, so that a template of some pages is not outvoted by the outer
+   containers that all pages have.
+3. *Re-extract.* Each page's paths meet their averages, the best one goes back to the page (a page's own best path stands
+   in where none has votes), and the text of the containers on that path is taken, again without what is never content.
+   All paths of a host take part; page and path rows are narrow, and a page's HTML meets one row.
 
 Inside a block, character references are decoded and white space becomes single blanks; blocks are joined by line ends
 in page order. Nothing else is dropped or cut, and the whole page is read.
@@ -26,9 +28,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, text_keys
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements without content, elements whose content is no text, and elements that are never an article's.
@@ -164,7 +168,7 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
 
 
 def scores(page: str | None) -> dict[str, float]:
-    """Each container path's share of the page: its blocks' characters outside links, an outer container getting less."""
+    """Each container path's score as a share of the page's best: characters outside links, an outer container getting less."""
     found: dict[str, float] = {}
     for path, text, links in blocks(page):
         gain = float(len(text) - 2 * links)
@@ -172,17 +176,15 @@ def scores(page: str | None) -> dict[str, float]:
             # a named article is preferred to what surrounds it; each level further out counts for less
             worth = 1.5 if p.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
             found[p] = found.get(p, 0.0) + gain * worth * 0.9**k
-    total = sum(x for x in found.values() if x > 0)
-    return {p: x / total for p, x in found.items() if x > 0} if total else {}
+    best = max(found.values(), default=0.0)
+    return {p: max(x, 0.0) / best if best > 0 else 0.0 for p, x in found.items()}
 
 
-def extract(page: str | None, ranked: list[str]) -> str:
-    """The blocks under the best path of ``ranked`` that occurs on the page, or under the page's own best path."""
+def extract(page: str | None, best: str | None) -> str:
+    """The blocks under the path ``best``, or under the page's own best path."""
     found = list(blocks(page))
-    there = {p for path, _, _ in found for p in path}
-    best = next((p for p in ranked if p in there), None)
     if best is None:
-        own = scores(page)
+        own = {p: x for p, x in scores(page).items() if x > 0}
         if not own:
             return "\n".join(text for _, text, _ in found)
         best = min(own, key=lambda p: (-own[p], p))
@@ -190,25 +192,22 @@ def extract(page: str | None, ranked: list[str]) -> str:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's votes are summed by host and path before they leave it."""
-    total: dict[tuple[str, str], float] = {}
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["host", "path", "votes"])
-
+    """(host, page, path, vote) for each container path of each page."""
+    names = ["host", "text_a", "text_b"]
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, share in scores(page).items():
-                total[host, path] = total.get((host, path), 0.0) + share
-        if len(total) > 200_000:
-            yield out()
-            total.clear()
-    yield out()
+        row, paths, votes = [], [], []
+        for i, page in enumerate(batch.column("html").to_pylist()):
+            for path, vote in scores(page).items():
+                row.append(i)
+                paths.append(path)
+                votes.append(vote**4)
+        own = batch.select(names).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths, pa.string()), pa.array(votes, pa.float64())], names=[*names, "path", "vote"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(page, paths or []) for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+        texts = [extract(page, path) for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -217,22 +216,24 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), r"^www\.", "")
 
 
-def host_paths(pages: DataFrame, best: int = 8) -> DataFrame:
-    """(host, paths): each host's ``best`` paths by votes, ties by name."""
-    d = pages.select(url_host(F.col("url")).alias("host"), "html").where("html IS NOT NULL")
-    votes = d.mapInArrow(_votes, "host string, path string, votes double").groupBy("host", "path").agg(F.sum(F.round("votes", 9).cast("decimal(28,9)")).alias("votes"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = votes.withColumn("place", place).where(F.col("place") <= best)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+def page_paths(pages: DataFrame) -> DataFrame:
+    """(host, text_a, text_b, path): the path on which a host takes the text of a page; one row for each host and text of a page."""
+    d = pages.where("html IS NOT NULL").select(url_host(F.col("url")).alias("host"), *text_keys(F.col("html")), "html")
+    own = checkpoint(d.mapInArrow(_votes, "host string, text_a long, text_b long, path string, vote double"))
+    votes = own.groupBy("host", "path").agg(F.sum(F.round("vote", 9).cast("decimal(28,9)")).cast("double").alias("votes"), F.count("*").alias("n"))
+    # A path met on one page only must beat its page's other paths clearly. A path's pages meet it in SALTS tasks.
+    votes = votes.where("votes > 0").select(F.col("host").alias("_host"), F.col("path").alias("_path"), (F.col("votes") / (F.col("n") + 0.2)).alias("worth"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = own.withColumn("salt", F.pmod("text_a", F.lit(SALTS)).cast("int"))
+    met = own.join(votes, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & (F.col("salt") == F.col("_salt")))
+    return met.groupBy("host", "text_a", "text_b").agg(F.min(F.struct((-F.col("worth")).alias("worth"), "path"))["path"].alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    # A row a host meets its pages; a host with a third of all pages is dealt to SALTS tasks.
-    ranked = host_paths(pages).select(F.col("host").alias("_host"), "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    d = pages.withColumns({"host": url_host(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")})
-    d = d.join(ranked, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left").select("page_id", "url", "html", "paths")
+    best = page_paths(pages).select(F.col("host").alias("_host"), F.col("text_a").alias("_a"), F.col("text_b").alias("_b"), "path")
+    d = pages.withColumn("host", url_host(F.col("url"))).select("*", *text_keys(F.col("html")))
+    d = d.join(best, (F.col("host") == F.col("_host")) & (F.col("text_a") == F.col("_a")) & (F.col("text_b") == F.col("_b")), "left").select("page_id", "url", "html", "path")
     d = d.mapInArrow(_texts, "page_id long, url string, text string")
     return d.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -53,3 +53,11 @@ def test_pictures_and_formulas_end_where_they_should():
     assert article("<div><p>a <svg><title>t</title><text>no</text></svg>b</p></div>") == "a b"
     assert article("<div><svg><path><p>a</p><video><source></div><p>b") == "a\nb"
     assert article("<p>let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation encoding=tex>x</annotation></math> be") == "let x<2 be"
+
+
+def test_every_template_of_a_host_gets_its_own_container(spark):
+    rest = "<body><div class=tags><p>tag line</div>{}<div class=latest><p>latest list</div><div class=legal><p>copyright</div>"
+    rows = [(n, "http://h.org/", rest.format(f"<article><p>{'text ' * 40}{n}</article>")) for n in range(90)]
+    rows += [(90 + n, "http://h.org/", rest.format(f"<div class=page><div class=post-{'abcdefghij'[n]}><p>{'word ' * 40}{n}</div></div>")) for n in range(10)]
+    got = {r.page_id: r.text for r in html_text.query(frame(spark, rows)).collect()}
+    assert got == {n: "text " * 40 + str(n) for n in range(90)} | {90 + n: "word " * 40 + str(n) for n in range(10)}
