@@ -2,7 +2,8 @@
 
 Four kinds of evidence are multiplied: how likely the text's letter trigrams are in each language; which language its
 markup declares; its address suffix (top-level domain, and a language code as the first step of the path); and what its
-host mostly holds. The text model is trained on a bounded sample of labelled documents. All else is counted over the
+host mostly holds. The text model is trained on a bounded sample of labelled documents for every label that occurs with
+text. All else is counted over the
 whole corpus by grouped aggregation of the text-only posteriors: how often pages of a language declare each code or have
 each suffix, and the languages of each host, smoothed towards its domain, and that towards the corpus. A document's own
 share is taken out of its host's counts before they become its prior.
@@ -22,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -56,18 +57,41 @@ def log_likelihoods(model: TextModel, text: str, steps: int) -> np.ndarray:
     return total * (min(n, steps) / n) if n else total
 
 
-def train(docs: DataFrame, each: int = 400, languages_most: int = 64, chars_most: int = 20_000) -> TextModel | None:
-    """Trigram frequencies of ``each`` documents a language, in hash order; training texts are longer than a line and shorter than ``chars_most``."""
-    d = docs.where(F.col("lang").isNotNull() & F.length("text").between(80, chars_most))
-    found = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages_most).collect()]
+def _counted(key: tuple, pieces: pa.Table) -> pa.Table:
+    """How often a language's training texts have each trigram bucket."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for text in pieces.column("piece").to_pylist():
+        for t in trigrams(text):
+            counts += np.bincount(t, minlength=1 << BITS)
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "counts": pa.array([counts.astype("<i4").tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, each: int = 400, chars_most: int = 20_000, chars_least: int = 80) -> TextModel | None:
+    """Trigram frequencies of ``each`` training texts of every language, in hash order.
+
+    A text longer than ``chars_most`` is cut into pieces of that length, each a training text; texts shorter than
+    ``chars_least`` are for languages without others. Equal pieces of one document count once.
+    """
+    d = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    found = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row a language
     if not found:
         return None
-    counts = np.ones((1 << BITS, len(found)))
-    for k, language in enumerate(found):
-        for row in d.where(F.col("lang") == language).orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "text").limit(each).select("text").collect():
-            for t in trigrams(row.text):
-                np.add.at(counts[:, k], t, 1)
-    return TextModel(found, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    d = d.withColumns({"text_hash": F.xxhash64("text"), "at": F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / chars_most).cast("int") - 1))})
+    d = d.withColumns({"piece": F.substring("text", F.col("at") * chars_most + 1, F.lit(chars_most)), "order": F.md5(F.concat("id", F.when(F.col("at") == 0, F.lit("")).otherwise(F.concat(F.lit("|"), F.col("at").cast("string")))))})
+    # The sample is drawn from narrow rows, whose number a language is bounded before they are shuffled.
+    keys = ["lang", "order", "text_hash", "at"]
+    narrow = d.select(*keys, (F.length("piece") < chars_least).alias("short")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("short", "order", "text_hash", "at"))
+    taken = narrow.withColumn("place", place).where(F.col("place") <= each)
+    taken = taken.withColumn("only_short", F.min("short").over(Window.partitionBy("lang"))).where(~F.col("short") | F.col("only_short"))
+    pieces = d.join(F.broadcast(taken.select(*keys)), keys, "left_semi").dropDuplicates(keys).select("lang", "piece")
+    rows = pieces.groupBy("lang").applyInArrow(_counted, "lang string, counts binary").collect()  # a row a language
+    place_of = {language: k for k, language in enumerate(found)}
+    log_p = np.empty((1 << BITS, len(found)), np.float32)
+    for row in rows:
+        counts = np.frombuffer(row["counts"], "<i4") + 1.0
+        log_p[:, place_of[row.lang]] = np.log(counts / counts.sum())
+    return TextModel(found, log_p)
 
 
 def _measured(model: TextModel, steps: int):

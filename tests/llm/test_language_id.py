@@ -55,3 +55,23 @@ def test_held_out_accuracy(spark):
     rows = docs.where("doc_id >= 40").selectExpr("'document' AS kind", "doc_id AS id", "text", "CAST(NULL AS string) AS url", "'s' AS host")
     got = language_id.identify(rows, model).join(docs.withColumnRenamed("doc_id", "id"), "id").collect()
     assert len(got) == 20 and all(r.language == r.lang for r in got)
+
+
+def test_every_label_is_learned_from_short_and_long_texts_alike(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26 + 3] + letters[(k * 7 + 1) % 26]
+    rows = [(k * 10 + j, " ".join([word(k) + letters[(j + x) % 4] for x in range(40)]), f"l{k}") for k in range(70) for j in range(3 - (k > 64))]
+    rows += [(9001, "ŝaĝa ĉevalo ĵetas", "short"), (9002, "ŝaĝa ĉevalo", "short"), (9003, "жёлтый конь " * 3000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert set(model.languages) == {f"l{k}" for k in range(70)} | {"short", "long"}
+    best = lambda text: model.languages[int(language_id.log_likelihoods(model, text, 150).argmax())]
+    assert best("жёлтый конь") == "long" and best("ŝaĝa ĉevalo") == "short"
+    assert all(best(" ".join([word(k) + c for c in "abcd"])) == f"l{k}" for k in range(70))
+
+
+def test_a_long_text_gives_all_its_pieces_and_short_ones_give_way(spark):
+    rows = [(1, "aa " * 40 + "zzz " * 40, "x"), (2, "qqq", "x")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_most=120)
+    at = lambda s: np.concatenate(list(language_id.trigrams(s)))
+    assert model.log_p[at("zzz")[1], 0] > model.log_p[at("qqq")[1], 0] == model.log_p.min()
