@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -153,6 +153,16 @@ def _joined(cosine: float):
     return run
 
 
+def _pivots(classes: DataFrame, dims: dict[int, int], most: int) -> list[Row]:
+    """Rows of the first ``most`` classes of each dimension in hash order; each task sends its own first ones only."""
+    few = [dim for dim, n in dims.items() if n <= most]
+    order = [F.xxhash64("embedding"), F.col("vec_id")]
+    found = classes.where(F.col("dim").isin(few)).orderBy("dim", *order).select("dim", "embedding").collect() if few else []
+    for dim in sorted(set(dims) - set(few)):
+        found += classes.where(F.col("dim") == dim).orderBy(*order).limit(most).select("dim", "embedding").collect()
+    return found
+
+
 def near_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -160,12 +170,10 @@ def near_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     finite = F.coalesce(F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0.0), F.lit(False))
     good = vectors.where(finite & F.col("vec_id").isNotNull())
     classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
-    n = classes.count()
-    n_pivots = min(max(n // CELL_ROWS, 2), PIVOTS_MOST)
-    order = Window.partitionBy("dim").orderBy(F.xxhash64("embedding"), "vec_id")
-    sample = classes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_pivots).select("dim", "embedding").collect()  # bounded
+    dims = {row.dim: row["count"] for row in classes.groupBy("dim").count().collect()}  # a row a dimension
+    n_pivots = min(max(sum(dims.values()) // CELL_ROWS, 2), PIVOTS_MOST)
     pivots: dict[int, list] = {}
-    for row in sample:
+    for row in _pivots(classes, dims, n_pivots):
         pivots.setdefault(row.dim, []).append(row.embedding)
     at = {dim: unit_rows(pa.array(rows, pa.list_(pa.float64())), dim) for dim, rows in pivots.items()}
     shared = spark.sparkContext.broadcast(at)

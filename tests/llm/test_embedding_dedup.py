@@ -39,3 +39,19 @@ def test_rows_without_id_repeats_and_empty(spark):
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in embedding_dedup.query(d).collect())
     assert got == [(0, 0, None, False), (2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False)]
     assert embedding_dedup.query(d.where("false")).count() == 0
+
+
+def test_pivots_need_no_window_over_a_dimension(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    d = spark.createDataFrame(vectors(5), "vec_id long, embedding array<double>")
+    plans, collect = [], type(d).collect
+
+    def noted(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(d), "collect", noted)
+    out = embedding_dedup.query(d)
+    assert plans and not any("Window" in p for p in plans)
+    monkeypatch.undo()
+    assert out.count() == d.count()
