@@ -7,7 +7,8 @@ bucket, and ``write_buckets`` lays the sequences out so.
 
 Tokens come from a public tokenizer file. Its pre-tokenizer never puts a blank after other characters of one token, so a
 text whose white space stands alone is cut before each blank or line end, and the pieces, which repeat a lot, are
-tokenized once and kept in a bounded table; other texts go to the tokenizer whole, and give the same ids.
+tokenized once and kept in a table bounded in pieces, in characters of a piece and in ids; texts with longer pieces, such
+as those of scripts without blanks, and texts with other white space go to the tokenizer whole, and give the same ids.
 
 Defined results: a null or empty text is one end token; repeated rows are packed each for itself; an empty table gives
 an empty table; columns other than doc_id and text do not matter. Sequence ids are unique within a result.
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 #: What keeps a text from being cut: blanks and line ends in a row, rarer white space, or what may start a special token.
 IN_A_ROW = ("  ", "\n\n", " \n", "\n ")
 ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
-KNOWN_MOST = 600_000
-CHUNK_CHARS = 2_000_000
+#: Bounds of the table of pieces, which is begun anew when it is full: some 50 MB at most.
+KNOWN_MOST = 200_000
+PIECE_CHARS = 64
+IDS_MOST = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -40,7 +44,7 @@ def byte_of_character() -> dict[str, int]:
 
 
 class PieceTokenizer:
-    """Texts to ids by a byte-level BPE file of ``tokenizers``, with a bounded table of the pieces seen.
+    """Texts to ids by a byte-level BPE file of ``tokenizers``, with a bounded table of the short pieces seen.
 
     New pieces are joined and encoded in one go by the same vocabulary; as every token stands for its bytes, the running
     byte lengths say which ids belong to which piece.
@@ -62,7 +66,7 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)
+        self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int32)  # piece k has ids[starts[k] : starts[k + 1]]
         self.n_known = 0
 
@@ -77,6 +81,8 @@ class PieceTokenizer:
             self.known[piece] = -2
         firsts, rest = [p for p in pieces if p[:1] == "\r" and p not in self.known], [p for p in pieces if p[:1] != "\r" and p not in self.known]
         pieces = firsts + rest
+        if not pieces:
+            return
         joined = [("\n" + p[1:]).encode() for p in firsts] + [(p if p[:1] == "\n" else " " + p).encode() for p in rest]
         ids = np.array(self.pieces.encode_ordinary(b"".join(joined).decode()), np.int64)
         last = np.searchsorted(self.bytes[ids].cumsum(), np.cumsum(list(map(len, joined)), dtype=np.int64)) + 1
@@ -126,12 +132,12 @@ class PieceTokenizer:
             upto.append(len(pieces))
         found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int32, len(pieces))
         if (found == -1).any():
-            new = list(dict.fromkeys([pieces[i] for i in np.flatnonzero(found == -1)]))
-            if len(self.known) + len(new) > KNOWN_MOST:
+            new = [p for p in dict.fromkeys([pieces[i] for i in np.flatnonzero(found == -1)]) if len(p) <= PIECE_CHARS]
+            if len(self.known) + len(new) > KNOWN_MOST or self.starts[self.n_known] > IDS_MOST:
                 self._forget()
-                new = list(dict.fromkeys(pieces))
+                new = [p for p in dict.fromkeys(pieces) if len(p) <= PIECE_CHARS]
             self._learn(new)
-            found = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
+            found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-2)), np.int32, len(pieces))  # longer ones are not kept
         start, n = self.starts[found], self.starts[found + 1] - self.starts[found]
         odd = found == -2
         n[odd] = 0
