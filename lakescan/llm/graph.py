@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
     Rounds grow with the logarithm of the longest path. Each round is two aggregations and two equi-joins; hub nodes
-    are aggregated map-side, and adaptive execution splits them in the joins. Null ends and loops are left out; an
-    empty table gives an empty table.
+    are aggregated map-side. The aggregates are written before they are joined, so that both sides are shuffled for the
+    join and adaptive execution can split a hub. Null ends and loops are left out; an empty table gives an empty table.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     e = checkpoint(edges.mapInArrow(shrink, EDGE).distinct())
@@ -76,9 +76,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while (now := mark(e)) != before and now[0]:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = checkpoint(small)
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

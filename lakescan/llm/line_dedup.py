@@ -41,6 +41,9 @@ def repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     win = checkpoint(windows(docs, size))  # a few hashes a line, read twice
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.get("at", F.lit(0)).alias("at"))
     first = win.groupBy("win_a", "win_b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("win_a").alias("a"), F.col("win_b").alias("b"), "first")
+    # Written first, so that both sides of the join are shuffled for it and adaptive execution can split a window that a
+    # third of all documents share.
+    first = checkpoint(first)
     late = win.join(first, (F.col("win_a") == F.col("a")) & (F.col("win_b") == F.col("b"))).where(place != F.col("first"))
     return late.groupBy("doc_id", "text_a", "text_b").agg(F.collect_set("at").alias("at")).select(
         "doc_id", "text_a", "text_b", F.array_distinct(F.flatten("at")).alias("covered"))
@@ -50,8 +53,9 @@ def line_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """(row, text, n_lines, n_removed): each row of ``docs`` as a struct, its reduced text, and its lines with a word before and taken."""
     gone = repeats(docs, size).withColumnsRenamed({"doc_id": "_id", "text_a": "_a", "text_b": "_b"})
     a, b = text_keys(F.col("text"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", a.alias("_ta"), b.alias("_tb"))
-    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_ta") == F.col("_a")) & (F.col("_tb") == F.col("_b")), "left")
+    # A row's text is shuffled once, inside the row.
+    d = docs.select(F.struct(*docs.columns).alias("row"), a.alias("_ta"), b.alias("_tb"))
+    d = d.join(gone, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_ta") == F.col("_a")) & (F.col("_tb") == F.col("_b")), "left").withColumn("text", F.col("row.text"))
     full = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _has_word)
     d = d.select("row", "text", "covered", F.size(full).cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.size("covered") > 0, F.split("text", "\n")).alias("split"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "covered"), lambda i: F.get("split", i))
