@@ -34,20 +34,20 @@ def normal(line):
     return " ".join(word_texts(line.lower()))
 
 
-def kept_texts(rows, min_documents=10, per_mille=10):
+def kept_texts(rows, min_documents=10, per_mille=10, min_texts=10):
     """rows (doc_id, text, source) -> per row (kept, text without frequent lines)."""
+    total: dict = {}
+    often: dict = {}
     texts: dict = {}
     for _, t, s in rows:
-        texts.setdefault(s, set()).add(t or "")
-    often = {}
-    for s, ts in texts.items():
-        for t in ts:
-            for x in {normal(x) for x in t.split("\n") if words(x)}:
-                often[s, x] = often.get((s, x), 0) + 1
+        total[s] = total.get(s, 0) + 1
+        for x in {normal(x) for x in (t or "").split("\n") if words(x)}:
+            often[s, x] = often.get((s, x), 0) + 1
+            texts.setdefault((s, x), set()).add(t)
     out = []
     for _, t, s in rows:
-        most = max(1000 * min_documents, per_mille * len(texts[s]))
-        gone = [i for i, x in enumerate((t or "").split("\n")) if words(x) and 1000 * often[s, normal(x)] > most]
+        most = max(1000 * min_documents, per_mille * total[s])
+        gone = [i for i, x in enumerate((t or "").split("\n")) if words(x) and 1000 * often[s, normal(x)] > most and len(texts[s, normal(x)]) > min_texts]
         n, *_, failed = measures(t)
         removed = sum(len(words(x)) for i, x in enumerate((t or "").split("\n")) if i in set(gone))
         bad = removed > 0 and (100 * removed > 50 * n or n - removed < 50)
