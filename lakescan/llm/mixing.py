@@ -3,17 +3,18 @@
 Every source gets a target in words: its weight's share of the budget, at most ``epochs`` times its own size, the excess
 shared again by weight among the others. Within a source each epoch's documents stand in a shuffled order fixed by a
 hash of the document. A document's virtual finish time is its source's running words, this document included, divided by
-the source's target. All copies of all sources are then sorted by finish time, and the mix is the longest start of that
-order whose words stay within the budget. A source whose target is its whole size in every epoch is taken whole.
+the source's target. All copies of all sources are range-sorted by finish time over the cluster, and the mix is the
+longest start of that order whose words stay within the budget. ``mixed_documents`` returns it in that order.
 
-At scale: running sums take two levels (sums of hash buckets, then rows inside a bucket), so a source with a third of
-all rows is not sorted in one task. Up to virtual time 1 every source stays within its target, so all of it lies within
-the budget; only the few documents after time 1 are ranked by slices of time, and inside the slice that crosses the
-budget by row. Only tables of one row a source, a bucket or a slice of time go through a window of their own.
+At scale: what is sorted is narrow rows of ids and sizes. Running sums take two levels, within a source (sums of hash
+buckets, then rows inside a bucket) and over the sorted copies (sums of the sort's partitions, then rows inside one), so
+no source and no sort is one task; only tables of one row a source, a bucket or a partition go through a window of their
+own. Texts are shuffled twice, to meet their places and into their order.
 
 Defined results: a null text has size 0; null is a source of its own, last in the order; a source without words has
 target 0 and nothing is taken from it; documents of size 0 are never taken; repeated rows are separate documents, and
-rows equal in doc_id, source and text are interchangeable; an empty table gives an empty table.
+rows equal in doc_id, source and text are interchangeable, also where further columns differ; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -58,51 +59,44 @@ def finish_times(sized: DataFrame, targets: DataFrame, seed: str = "mix", bucket
     return d.withColumn("running", F.col("before") + F.sum("size").over(inside)).drop("bucket", "before")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, tie, size, source_size, target, times, taken): times says how often the mix holds the document; tie is a hash of the text."""
+def queue(docs: DataFrame, text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The documents (row, doc_id, source, tie, size, source_size, target) and the copies that the mix takes (row, doc_id, source, tie, size, place).
+
+    ``place`` counts from 0 in order of finish; tie is a hash of the text; row tells rows apart.
+    """
     sized = checkpoint(docs.select("doc_id", F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tie")))
-    d = checkpoint(finish_times(sized, source_targets(sized, "source", weights, share, epochs), seed))
-    finish = lambda epoch: F.when(F.col("target") > 0, (F.col("running") + epoch * F.col("source_size")) / F.col("target"))
-    early = [F.when(finish(e) <= 1.0, 1).otherwise(0) for e in range(epochs)]
-    # Copies after virtual time 1 compete, in order of finish, for what the early ones leave of the budget.
-    late = d.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)]))).withColumn("finish", finish(F.col("epoch"))).where("finish > 1.0")
-    late = late.withColumn("slice", F.floor(F.log2("finish") * 4096).cast("long"))
-    place = lambda finish, epoch: F.struct(finish.alias("finish"), "source_place", epoch.alias("epoch"), "turn", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "tie", "running")
-    spent = d.groupBy().agg(F.sum(F.col("size") * sum(early[1:], early[0])).alias("spent"), F.max("budget").alias("most"))
-    sums = late.groupBy("slice").agg(F.sum("size").alias("words")).crossJoin(F.broadcast(spent))  # spent is one row
-    sums = sums.withColumn("total", F.sum("words").over(Window.orderBy("slice")) + F.col("spent"))
-    edge = sums.where("total > most").groupBy().agg(F.min("slice").alias("edge"), F.min_by(F.col("total") - F.col("words"), "slice").alias("at_edge"), F.min("most").alias("most"))
-    edge = edge.join(spent.select(F.col("most").alias("everything")), F.lit(True))  # one row each
-    inside = late.join(F.broadcast(edge), F.col("slice") == F.col("edge")).withColumn("place", place(F.col("finish"), F.col("epoch")))
-    upto = F.sum("size").over(Window.partitionBy("slice").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    last = inside.withColumn("upto", F.col("at_edge") + upto).where("upto <= most").groupBy().agg(F.max("place").alias("last"))
-    cut = edge.select("edge").join(last, F.lit(True))  # one row
-    d = d.crossJoin(F.broadcast(cut))
-
-    def taken(e: int):
-        f = finish(F.lit(e))
-        piece = F.floor(F.log2(f) * 4096)
-        late = F.col("edge").isNull() | (piece < F.col("edge")) | ((piece == F.col("edge")) & F.coalesce(place(f, F.lit(e)) <= F.col("last"), F.lit(False)))
-        return F.when(F.col("size") == 0, 0).when(f <= 1.0, 1).when((f > 1.0) & late, 1).otherwise(0)
-
-    d = d.withColumn("times", sum([taken(e) for e in range(1, epochs)], taken(0)).cast("long"))
+    d = finish_times(sized, source_targets(sized, "source", weights, share, epochs), seed).withColumn("row", F.monotonically_increasing_id())
+    d = checkpoint(d)
+    copies = d.where("size > 0 AND target > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
+    copies = copies.withColumn("finish", (F.col("running") + F.col("epoch") * F.col("source_size")) / F.col("target"))
+    order = ["finish", "source_place", "epoch", "turn", "doc_id", "tie", "row"]
+    copies = copies.select("row", "source", "size", "budget", *order[:-1]).repartitionByRange(*order).sortWithinPartitions(*order)
+    copies = checkpoint(copies.withColumn("part", F.spark_partition_id()))
+    sums = copies.groupBy("part").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    by_part = Window.orderBy("part")  # a row a partition of the sort
+    sums = sums.select(F.col("part").alias("_part"), (F.sum("words").over(by_part) - F.col("words")).alias("words_before"), (F.sum("rows").over(by_part) - F.col("rows")).alias("rows_before"))
+    inside = Window.partitionBy("part").orderBy(*order)
+    c = copies.withColumns({"upto": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(inside)})
+    c = c.join(F.broadcast(sums), F.col("part") == F.col("_part")).where(F.col("words_before") + F.col("upto") <= F.col("budget"))
+    return d, c.select("row", "doc_id", "source", "tie", "size", (F.col("rows_before") + F.col("n") - 1).alias("place"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+    """(doc_id, source, tie, size, source_size, target, times, taken): times says how often the mix holds the document."""
+    d, taken = queue(docs, text, source, **options)
+    times = taken.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("times"))
+    d = d.join(times, F.col("row") == F.col("_row"), "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return d.select("doc_id", "source", "tie", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    m = mix(docs, text, source, **options).groupBy("doc_id", "source", "tie").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col(source).alias("_source"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_tie"))
-
-    def with_copies(copies) -> DataFrame:
-        own = m.select("doc_id", "source", "tie", copies.cast("int").alias("copies")).where("copies > 0").hint("shuffle_hash")
-        return d.join(own, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_tie") == F.col("tie")))
-
-    # Rows equal in doc_id, source and text are interchangeable: each gives as many copies as all can give alike, and one
-    # of them gives the rest.
-    alike = with_copies(F.floor(F.col("times") / F.col("rows")))
-    rest = with_copies(F.when(F.col("rows") > 1, F.col("times") % F.col("rows"))).dropDuplicates(["_id", "_source", "_tie"])
-    return alike.unionByName(rest).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it, in order of finish."""
+    keys = lambda tie: [F.xxhash64(*k, "doc_id", "source", tie).alias(n) for n, k in (("key_a", []), ("key_b", [F.lit(7)]))]
+    _, taken = queue(docs, text, source, **options)
+    taken = taken.select(*keys("tie"), "place")
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col(source).alias("source"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tie"))
+    d = d.select("row", *keys("tie")).dropDuplicates(["key_a", "key_b"])
+    return d.join(taken, ["key_a", "key_b"]).select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
