@@ -8,8 +8,10 @@ cell b plus r. Each pair of near vectors so meets in exactly one cell, and cells
 vectors are sorted by their distance to the pivot, and only slices whose distances differ by at most r are multiplied.
 Products are screened in single precision with a margin for its error; pairs that pass are decided in double precision.
 
-A cell above a size is cut into blocks and each pair of blocks is a task of its own, so no cell has to fit one task. A
-task returns each class's number of links and a spanning forest, never pairs; alternating stars join the forests.
+Cells have ``CELL_BYTES`` of vectors on average, so their number grows with the table as long as the pivots, which are
+broadcast, stay within ``PIVOT_BYTES``. Residents and visitors of a cell are cut into blocks of ``BLOCK_BYTES``; a task
+has two blocks of residents or one of each kind, so no cell has to fit one task. A task returns each class's number of
+links and a spanning forest, never pairs; alternating stars join the forests.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components link with nothing, and
 vectors of different dimensions do not link with each other; rows without vec_id link with nothing, have no component
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 from .graph import connected_components
 
-CELL_ROWS = 4096
-PIVOTS_MOST = 1024
-BLOCK_ROWS = 16384
+#: Sizes in bytes of double precision, so that they hold for vectors of any dimension.
+CELL_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+PIVOT_BYTES = 32 << 20
 SLACK = 1e-9
 
 
@@ -62,8 +65,9 @@ def _homes(pivots):
     return run
 
 
-def _dealt(pivots, radii, r: float):
+def _dealt(pivots, radii, r: float, with_vectors: bool):
     """Each class in its own cell and, as a visitor, in later cells that may hold a near vector."""
+    more = ["far", "vec_id", "copies", "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +83,11 @@ def _dealt(pivots, radii, r: float):
                 visits |= (between == 0) & (np.arange(len(p))[None, :] > home[:, None])
                 visits[np.arange(len(d)), home] = True
                 row, cell = np.nonzero(visits)
-                out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [out.column("dim"), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(d[row, cell]), out.column("vec_id"), out.column("copies"), out.column("embedding")],
-                    names=["dim", "cell", "native", "far", "vec_id", "copies", "embedding"])
+                where = [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])]
+                if with_vectors:
+                    out = part.take(pa.array(row))
+                    where += [pa.array(d[row, cell]), *(out.column(c) for c in more[1:])]
+                yield pa.RecordBatch.from_arrays(where, names=["dim", "cell", "native", *more[: len(where) - 3]])
 
     return run
 
@@ -109,26 +114,32 @@ def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.ndarr
 
 
 def _joined(cosine: float):
-    """Rows sorted by (dim, cell, i, j) -> (vec_id, root, links) of each group."""
+    """Rows sorted by (dim, cell, kind, i, j) -> (vec_id, root, links) of each group."""
 
     def search(key: tuple, batch: pa.Table) -> pa.RecordBatch:
-        dim, _, bi, bj = key
+        dim, _, kind, bi, bj = key
         x = unit_rows(batch.column("embedding").combine_chunks(), dim)
         ids, copies = batch.column("vec_id").to_numpy(), batch.column("copies").to_numpy()
         native, far, block = (batch.column(k).to_numpy() for k in ("native", "far", "block"))
-        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        mine, other = block == bi, block == bj
-        # natives meet natives once and visitors once; visitors do not meet each other here
-        sides = [(mine & native, mine & native, False), (mine & native, mine & ~native, True)] if bi == bj else [(mine & native, other & native, True), (mine & native, other & ~native, True), (mine & ~native, other & native, True)]
-        for a, b, both in sides:
-            for i, found in near_pairs(x, np.flatnonzero(a), np.flatnonzero(b), far, cosine):
-                links[i] += copies[found].sum()
-                if both:
-                    links[found] += copies[i]
-                names = np.unique(np.append(label[found], label[i]))
-                if len(names) > 1:
-                    label[np.isin(label, names)] = names[0]
+        links, up = np.zeros(len(x), np.int64), np.arange(len(x))
+
+        def roots(at: np.ndarray) -> np.ndarray:
+            at = up[at]
+            while (up[at] != at).any():
+                at = up[at]
+            return at
+
+        # residents meet each other once and visitors once; visitors do not meet each other here
+        left, right = (native, ~native) if kind else (block == bi, block == bj)
+        for i, found in near_pairs(x, np.flatnonzero(left), np.flatnonzero(right), far, cosine):
+            links[i] += copies[found].sum()
+            if kind or bi != bj:
+                links[found] += copies[i]
+            trees = np.unique(roots(np.append(found, i)))
+            up[trees] = trees[0]
+            up[found], up[i] = trees[0], trees[0]
         keep = links > 0
+        label = roots(np.arange(len(x)))
         first = np.full(len(x), np.iinfo(np.int64).max)
         np.minimum.at(first, label, ids)
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(first[label[keep]]), pa.array(links[keep])], names=["vec_id", "root", "links"])
@@ -138,7 +149,7 @@ def _joined(cosine: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(k).to_numpy() for k in ("dim", "cell", "i", "j")], 1)
+            keys = np.stack([batch.column(k).to_numpy() for k in ("dim", "cell", "kind", "i", "j")], 1)
             edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])).tolist()
             for s, e in zip(edge, [*edge[1:], len(keys)], strict=True):
                 key = tuple(keys[s].tolist())
@@ -153,42 +164,54 @@ def _joined(cosine: float):
     return run
 
 
-def _pivots(classes: DataFrame, dims: dict[int, int], most: int) -> list[Row]:
-    """Rows of the first ``most`` classes of each dimension in hash order; each task sends its own first ones only."""
-    few = [dim for dim, n in dims.items() if n <= most]
+def _pivots(classes: DataFrame, most: dict[int, int], rows: dict[int, int]) -> list[Row]:
+    """Rows of the first classes of each dimension in hash order, ``most`` of a dimension; each task sends its own first ones only."""
+    few = [dim for dim, n in rows.items() if n <= most[dim]]
     order = [F.xxhash64("embedding"), F.col("vec_id")]
     found = classes.where(F.col("dim").isin(few)).orderBy("dim", *order).select("dim", "embedding").collect() if few else []
-    for dim in sorted(set(dims) - set(few)):
-        found += classes.where(F.col("dim") == dim).orderBy(*order).limit(most).select("dim", "embedding").collect()
+    for dim in sorted(set(rows) - set(few)):
+        found += classes.where(F.col("dim") == dim).orderBy(*order).limit(most[dim]).select("dim", "embedding").collect()
     return found
 
 
 def near_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # half the bytes, the same values
+    kind = "array<float>" if single else "array<double>"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.coalesce(F.forall("embedding", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists("embedding", lambda v: v != 0.0), F.lit(False))
     good = vectors.where(finite & F.col("vec_id").isNotNull())
     classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
-    dims = {row.dim: row["count"] for row in classes.groupBy("dim").count().collect()}  # a row a dimension
-    n_pivots = min(max(sum(dims.values()) // CELL_ROWS, 2), PIVOTS_MOST)
+    rows = {row.dim: row["count"] for row in classes.groupBy("dim").count().collect()}  # a row a dimension
+    most = {dim: min(max(n * 8 * dim // CELL_BYTES, 1), max(PIVOT_BYTES // (8 * dim), 1)) for dim, n in rows.items()}
     pivots: dict[int, list] = {}
-    for row in _pivots(classes, dims, n_pivots):
+    for row in _pivots(classes, most, rows):
         pivots.setdefault(row.dim, []).append(row.embedding)
-    at = {dim: unit_rows(pa.array(rows, pa.list_(pa.float64())), dim) for dim, rows in pivots.items()}
+    at = {dim: unit_rows(pa.array(own, pa.list_(pa.float64())), dim) for dim, own in pivots.items()}
     shared = spark.sparkContext.broadcast(at)
     radii = {dim: np.full(len(p), -np.inf) for dim, p in at.items()}
     for row in classes.select("dim", "embedding").mapInArrow(_homes(shared), "dim int, cell int, far double").groupBy("dim", "cell").agg(F.max("far").alias("far")).collect():  # a row a pivot
         radii[row.dim][row.cell] = row.far
     r = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    dealt = classes.mapInArrow(_dealt(shared, spark.sparkContext.broadcast(radii), r), "dim int, cell int, native boolean, far double, vec_id long, copies long, embedding array<double>")
-    # Every class's home is known, but a cell's visitors have to be counted before it is cut into blocks.
-    sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    radius = spark.sparkContext.broadcast(radii)
+    # Every class's home is known, but a cell's visitors have to be counted before they are cut into blocks.
+    block_rows = F.greatest(F.lit(BLOCK_BYTES // 8) / F.col("dim"), F.lit(1.0))
+    count = lambda native: F.ceil(F.count_if(F.col("native") == native) / F.first(block_rows)).cast("int")
+    sizes = classes.mapInArrow(_dealt(shared, radius, r, False), "dim int, cell int, native boolean").groupBy("dim", "cell").agg(count(True).alias("residents"), count(False).alias("visitors"))
     sizes = F.broadcast(sizes.withColumnsRenamed({"dim": "_dim", "cell": "_cell"}))  # a row a pivot at most
-    d = dealt.join(sizes, (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))).drop("_dim", "_cell").withColumn("embedding", F.col("embedding"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("dim", "cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "native", "far", "vec_id", "copies", "embedding")
-    found = checkpoint(d.repartition("dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j").mapInArrow(_joined(cosine), "vec_id long, root long, links long"))
+    dealt = classes.mapInArrow(_dealt(shared, radius, r, True), f"dim int, cell int, native boolean, far double, vec_id long, copies long, embedding {kind}")
+    d = dealt.join(sizes, (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))).where("residents > 0")
+    d = d.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("native"), F.col("residents")).otherwise(F.col("visitors"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto(F.col("residents")), lambda o: task(0, F.least("block", o), F.greatest("block", o)))
+    hosts = F.transform(upto(F.col("visitors")), lambda o: task(1, F.col("block"), o))
+    visits = F.transform(upto(F.col("residents")), lambda o: task(1, o, F.col("block")))
+    d = d.withColumn("task", F.explode(F.when(F.col("native"), F.concat(among, hosts)).otherwise(visits)))
+    keys = ["dim", "cell", "kind", "i", "j"]
+    d = d.select("dim", "cell", "task.*", "block", "native", "far", "vec_id", "copies", "embedding")
+    found = checkpoint(d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(cosine), "vec_id long, root long, links long"))
     components = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = classes.join(links.withColumnRenamed("vec_id", "_v"), F.col("vec_id") == F.col("_v"), "left").join(components, F.col("vec_id") == F.col("node"), "left")

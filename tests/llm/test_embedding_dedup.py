@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lakescan.llm import embedding_dedup
@@ -24,12 +25,15 @@ def vectors(seed, n=220, dim=6):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "rows", "cell"), [(1, 16384, 4096), (2, 20, 16), (3, 16384, 10)])
+@pytest.mark.parametrize(("seed", "rows", "cell"), [(1, 16384, 8192), (2, 20, 16), (3, 16384, 10), (4, 7, 60)])
 def test_equals_brute_force(spark, monkeypatch, seed, rows, cell):
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", rows)
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", rows * 6 * 8)
+    monkeypatch.setattr(embedding_dedup, "CELL_BYTES", cell * 6 * 8)
     data = vectors(seed)
-    d = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "1 AS cell", "2 AS dim")
+    kind = "float" if seed == 4 else "double"
+    if seed == 4:
+        data = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in data]
+    d = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 AS cell", "2 AS dim")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.query(d).collect()}
     assert got == brute.cosine_links(data)
 
@@ -42,7 +46,7 @@ def test_rows_without_id_repeats_and_empty(spark):
 
 
 def test_pivots_need_no_window_over_a_dimension(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "CELL_BYTES", 20 * 6 * 8)
     d = spark.createDataFrame(vectors(5), "vec_id long, embedding array<double>")
     plans, collect = [], type(d).collect
 
