@@ -1,22 +1,25 @@
 """Operator 1, WARC archives behind a two-level capture index.
 
 *Writing.* Each task writes its captures as one archive, every record a gzip member of its own. Of captures with equal
-payloads the first id is a response record, the others are revisit records that name it and carry no payload. Payloads
-are shuffled once, to meet their equals. What is sorted is the index: its lines (reversed-host URL key, id, archive,
-offset, length) are range-partitioned by key, and each task writes one shard of it: sorted lines in compressed blocks,
-and a sparse directory with the first key of each block.
+payloads that of the smallest (id, URL) is a response record, the others are revisit records that name it and carry no
+payload. Payloads are shuffled once, to meet their equals. What is sorted is the index: its lines (reversed-host URL key,
+id, digest, archive, offset, length) are range-partitioned by key, and each task writes one shard of it: sorted lines in
+compressed blocks, and a sparse directory with the first key of each block.
 
 *Reading.* A lookup goes from its key to the shard (a list with one entry a shard), by binary search in the shard's
-directory to the block, by a range read to the block's lines, by binary search to the line, and by a range read of the
-archive to the record. Lookups are range-partitioned as the index is, so a task reads few shards, each directory once.
+directory to the block, by a range read to the block's lines, by binary search to the lines, and by range reads of the
+archives to the records. Lookups are range-partitioned as the index is, so a task reads few shards, each directory once;
+the hits of a batch of lookups are read in the order of archive and offset, so an archive is opened once a batch.
 
 Files go to a folder that driver and executors share, through ``pyarrow.fs`` (file, hdfs, s3, gs). A task writes under a
 name of its own, and the shard list, itself written by Spark, names only files of tasks that succeeded, so retries and
-lost executors leave at most files that nobody reads. Memory in a task is one record and one block of index lines.
+lost executors leave at most files that nobody reads. Memory in a task is one record, one block of index lines and the
+places of one batch's hits.
 
-Defined results: a null payload is empty; null URLs sort first under the empty key; captures of one URL are told apart
-by their id; rows without an id are not archived; rows that share an id and a payload are one capture; an empty table
-gives no archives and an empty table; further columns do not matter.
+Defined results: a null payload is empty; null URLs and null ids are values of their own, first in the order of keys, but
+an id of null is the response's only where all captures of a payload lack one; every row is a capture, so rows equal in
+id, URL and payload are several records of one kind; an empty table gives no archives and an empty table; further columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,9 +43,9 @@ from .common import shared_dir
 BLOCK_LINES = 512
 SHARDS_MOST = 4096
 LEVEL = 4
-OPEN_MOST = 64
-LINE = "url_key string, page_id long, archive string, offset long, length long"
-SHARD = "index string, directory string, first_key string, first_id long, records long"
+KEY = ["url_key", "page_id", "digest"]
+LINE = "url_key string, page_id long, digest string, archive string, offset long, length long"
+SHARD = "index string, directory string, first string, records long"
 FOUND = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -64,31 +66,31 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """(page_id, url, url_key, payload, digest, refers_to): refers_to is null for responses."""
-    d = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("url_key"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
-    d = d.withColumn("digest", F.sha1("payload"))
+    """(page_id, url, url_key, payload, digest, refers_to, refers_url, revisits): one row a row of ``pages``; refers_to is null for responses."""
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("url_key"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
+    d = d.withColumns({"digest": F.sha1("payload"), "place": F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")})
     # One row a payload meets the captures; adaptive execution splits a payload that a third of them share.
-    first = d.groupBy("digest").agg(F.min("page_id").alias("first_id")).withColumnRenamed("digest", "_digest")
-    d = d.join(first, F.col("digest") == F.col("_digest")).drop("_digest")
-    return d.select("page_id", "url", "url_key", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    first = d.groupBy("digest").agg(F.min("place").alias("first")).withColumnRenamed("digest", "_digest")
+    d = d.join(first, F.col("digest") == F.col("_digest")).withColumn("revisits", (F.col("place") != F.col("first")) & F.col("first.page_id").isNotNull())
+    return d.select("page_id", "url", "url_key", "payload", "digest", *[F.when(F.col("revisits"), F.col(f"first.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("url", "refers_url"))], "revisits")
 
 
 def base32_digest(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([page_id, url, digest]))}>"
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2020-01-01T00:00:00Z") -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None, revisits: bool = False, date: str = "2020-01-01T00:00:00Z") -> bytes:
     """A WARC/1.1 record whose block is the payload; a revisit record's block is empty. ``digest`` is hexadecimal SHA-1."""
     target = "".join(c for c in url or "" if c not in "\r\n")
-    kind = "response" if refers_to is None else "revisit"
-    block = payload if refers_to is None else b""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base32_digest(digest)}", f"X-Capture-Id: {page_id}"]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Capture-Id: {refers_to}"]
+    block = b"" if revisits else payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base32_digest(digest)}"]
+    lines += [] if page_id is None else [f"X-Capture-Id: {page_id}"]
+    if revisits:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"X-Refers-To-Capture-Id: {refers_to}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -120,12 +122,12 @@ def _archived(folder: str):
                     archive = store.open_output_stream(name, compression=None)
                 offsets, lengths = [], []
                 for row in range(batch.num_rows):
-                    one = {c: batch.column(c)[row].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to")}
+                    one = {c: batch.column(c)[row].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url", "revisits")}
                     data = _gzip(make_record(**one))
                     offsets.append(archive.tell())
                     lengths.append(len(data))
                     archive.write(data)
-                yield pa.RecordBatch.from_arrays([batch.column("url_key"), batch.column("page_id"), pa.array([name] * batch.num_rows, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["url_key", "page_id", "archive", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array([name] * batch.num_rows, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=[*KEY, "archive", "offset", "length"])
         finally:
             if archive is not None:
                 archive.close()
@@ -147,16 +149,16 @@ def _indexed(folder: str):
 
         def close_block() -> None:
             packed = zlib.compress(b"\n".join(lines), LEVEL)
-            directory.append([*block_first, index.tell(), len(packed)])
+            directory.append([block_first, index.tell(), len(packed)])
             index.write(packed)
             lines.clear()
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("url_key", "page_id", "archive", "offset", "length")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*KEY, "archive", "offset", "length")), strict=True):
                 if index is None:
                     index = store.open_output_stream(f"{name}.idx", compression=None)
                 if not lines:
-                    block_first = [row[0], row[1]]
+                    block_first = row[:3]
                 lines.append(json.dumps(row).encode())
                 records += 1
                 if len(lines) >= BLOCK_LINES:
@@ -168,9 +170,9 @@ def _indexed(folder: str):
         index.close()
         with store.open_output_stream(f"{name}.dir", compression=None) as out:
             out.write(_gzip(json.dumps(directory).encode()))
-        one = [[f"{name}.idx"], [f"{name}.dir"], [directory[0][0]], [directory[0][1]], [records]]
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, types, strict=True)], names=["index", "directory", "first_key", "first_id", "records"])
+        one = [[f"{name}.idx"], [f"{name}.dir"], [json.dumps(directory[0][0])], [records]]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, types, strict=True)], names=["index", "directory", "first", "records"])
 
     return run
 
@@ -181,61 +183,73 @@ def write(found: DataFrame, folder: str, shards: int | None = None) -> Archive:
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     # Spark commits the lines of tasks that succeeded; archives of others are named nowhere.
-    found.select("page_id", "url", "url_key", "payload", "digest", "refers_to").mapInArrow(_archived(folder), LINE).write.parquet(f"{folder}/lines")
+    found.select("page_id", "url", "url_key", "payload", "digest", "refers_to", "refers_url", "revisits").mapInArrow(_archived(folder), LINE).write.parquet(f"{folder}/lines")
     n = min(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), SHARDS_MOST)
-    lines = spark.read.parquet(f"{folder}/lines").repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    lines = spark.read.parquet(f"{folder}/lines").repartitionByRange(n, *KEY).sortWithinPartitions(*KEY)
     lines.mapInArrow(_indexed(folder), SHARD).write.parquet(f"{folder}/shards")
     return Archive(folder, f"{folder}/shards")
 
 
+def _order(key: str, page_id: int | None, digest: str) -> tuple:
+    """The place of an index key as Spark sorts them."""
+    return key, page_id is not None, page_id or 0, digest
+
+
 def _looked_up(folder: str, shards: list[dict]):
-    """Lookups (url_key, page_id), sorted, to their records."""
-    starts = [(s["first_key"], s["first_id"]) for s in shards]
+    """Lookups (url_key, page_id, digest), sorted, to the records of that key; a null digest stands for all."""
+    starts = [_order(*json.loads(s["first"])) for s in shards]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         now = block_at = index = None
-        archives: OrderedDict = OrderedDict()
         firsts: list = []
         directory: list = []
         lines: list = []
         keys: list = []
+
+        def hits(wanted: tuple, parts: int) -> Iterator[tuple[str, int, int]]:
+            nonlocal now, block_at, index, firsts, directory, lines, keys
+            # equal keys lie in one shard but may run over blocks, and keys of one page over shards
+            for shard in range(max(bisect.bisect_left(starts, wanted) - 1, 0), len(starts)):
+                if starts[shard][:parts] > wanted[:parts]:
+                    return
+                if shard != now:
+                    if index is not None:
+                        index.close()
+                    now, block_at = shard, None
+                    index = store.open_input_file(shards[shard]["index"])
+                    with store.open_input_file(shards[shard]["directory"]) as f:
+                        directory = json.loads(zlib.decompress(f.read(), 31))
+                    firsts = [_order(*d[0]) for d in directory]
+                for block in range(max(bisect.bisect_left(firsts, wanted) - 1, 0), len(firsts)):
+                    if firsts[block][:parts] > wanted[:parts]:
+                        break
+                    if block != block_at:
+                        offset, length = directory[block][1:]
+                        lines = [json.loads(x) for x in zlib.decompress(index.read_at(length, offset)).split(b"\n")]
+                        keys = [_order(*x[:3]) for x in lines]
+                        block_at = block
+                    for at in range(bisect.bisect_left(keys, wanted), len(keys)):
+                        if keys[at][:parts] != wanted[:parts]:
+                            break
+                        yield tuple(lines[at][3:])
+
         try:
             for batch in batches:
+                places = []
+                for key, page_id, digest in zip(*(batch.column(c).to_pylist() for c in KEY), strict=True):
+                    places += [(*hit, page_id) for hit in hits(_order(key, page_id, digest or ""), 3 if digest is None else 4)]
                 out: list[tuple] = []
                 size = 0
-                for key, page_id in zip(batch.column("url_key").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
-                    shard = bisect.bisect_right(starts, (key, page_id)) - 1
-                    if shard < 0:
-                        continue
-                    if shard != now:
-                        if index is not None:
-                            index.close()
-                        now, block_at = shard, None
-                        index = store.open_input_file(shards[shard]["index"])
-                        with store.open_input_file(shards[shard]["directory"]) as f:
-                            directory = json.loads(zlib.decompress(f.read(), 31))
-                        firsts = [(d[0], d[1]) for d in directory]
-                    block = bisect.bisect_right(firsts, (key, page_id)) - 1
-                    if block < 0:
-                        continue
-                    if block != block_at:
-                        offset, length = directory[block][2:]
-                        lines = [json.loads(x) for x in zlib.decompress(index.read_at(length, offset)).split(b"\n")]
-                        keys = [(x[0], x[1]) for x in lines]
-                        block_at = block
-                    at = bisect.bisect_left(keys, (key, page_id))
-                    if at == len(keys) or keys[at] != (key, page_id):
-                        continue
-                    _, _, name, offset, length = lines[at]
-                    if name not in archives:
-                        archives[name] = store.open_input_file(name)
-                        if len(archives) > OPEN_MOST:
-                            archives.popitem(last=False)[1].close()
-                    archives.move_to_end(name)
-                    header, payload = parse_record(zlib.decompress(archives[name].read_at(length, offset), 31))
-                    if int(header["x-capture-id"]) != page_id:
-                        raise ValueError(f"the index leads to another record at {lines[at]}")
+                name, archive = None, None
+                for at, offset, length, page_id in sorted(places, key=lambda x: x[:2]):
+                    if at != name:
+                        if archive is not None:
+                            archive.close()
+                        name, archive = at, store.open_input_file(at)
+                    header, payload = parse_record(zlib.decompress(archive.read_at(length, offset), 31))
+                    if header.get("x-capture-id") != (None if page_id is None else str(page_id)):
+                        raise ValueError(f"the index leads to another record: {at} {offset}")
                     refers = header.get("x-refers-to-capture-id")
                     digest = header["warc-payload-digest"].removeprefix("sha1:")
                     if refers is None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -245,11 +259,12 @@ def _looked_up(folder: str, shards: list[dict]):
                     if size > 1 << 24:
                         yield _found(out)
                         out, size = [], 0
+                if archive is not None:
+                    archive.close()
                 yield _found(out)
         finally:
-            for f in (index, *archives.values()):
-                if f is not None:
-                    f.close()
+            if index is not None:
+                index.close()
 
     return run
 
@@ -261,13 +276,15 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(spark: SparkSession, archive: Archive, wanted: DataFrame) -> DataFrame:
-    """The records of ``wanted`` (url, page_id): page_id, record_type, refers_to, payload_digest, payload_bytes, payload.
+    """The records of ``wanted`` (url, page_id and, to tell captures of one page apart, digest as hexadecimal SHA-1): page_id, record_type, refers_to, payload_digest, payload_bytes, payload.
 
     A revisit has no payload of its own: payload_bytes is null and payload empty. Lookups that hit nothing are left out.
     """
-    shards = [r.asDict() for r in spark.read.parquet(archive.shards).orderBy("first_key", "first_id").collect()]  # SHARDS_MOST rows at most
-    d = wanted.where("page_id IS NOT NULL").select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id")).distinct()
-    d = d.repartitionByRange(max(len(shards), 1), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    shards = [r.asDict() for r in spark.read.parquet(archive.shards).collect()]  # SHARDS_MOST rows at most
+    shards.sort(key=lambda s: _order(*json.loads(s["first"])))
+    digest = F.col("digest") if "digest" in wanted.columns else F.lit(None).cast("string")
+    d = wanted.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id"), digest.alias("digest")).distinct()
+    d = d.repartitionByRange(max(len(shards), 1), *KEY).sortWithinPartitions(*KEY)
     return d.mapInArrow(_looked_up(archive.folder, shards), FOUND)
 
 
@@ -275,8 +292,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Every page archived and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     archive = write(captures(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    d = lookup(spark, archive, pages.select("url", "page_id")).drop("payload")
-    whole = d.where("refers_to IS NULL").select(F.col("page_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    wanted = pages.select("url", "page_id", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))).alias("digest"))
+    d = lookup(spark, archive, wanted).drop("payload")
+    # A revisit's length is that of its response; responses of one id and payload are alike.
+    whole = d.where("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     d = d.join(whole, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return d.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 

@@ -8,15 +8,21 @@ from lakescan.llm import warc
 
 
 def brute(rows):
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")
     whole = {}
-    for page_id, _, html in sorted(rows, key=lambda r: r[0]):
-        whole.setdefault((html or "").encode(), page_id)
-    out = set()
-    for page_id, _, html in rows:
-        data = (html or "").encode()
+    for row in sorted(rows, key=order):
+        whole.setdefault((row[2] or "").encode(), row)
+    out = []
+    for row in rows:
+        data = (row[2] or "").encode()
         first = whole[data]
-        out.add((page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first == page_id else "revisit", None if first == page_id else first))
-    return out
+        revisits = first[:2] != row[:2] and first[0] is not None
+        out.append((row[0], len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisits else "response", first[0] if revisits else None))
+    return sorted(out, key=str)
+
+
+def found(spark, rows):
+    return sorted((tuple(r) for r in warc.query(frame(spark, rows)).collect()), key=str)
 
 
 ROWS = [(5, "http://b.example.com/x?q=1", "<p>é</p>"), (2, "https://a.example.com/", "<p>é</p>"), (3, None, None), (4, "http://a.example.com:80/#f", ""), (9, "http://c.org/y", "x" * 300_000), (7, "http://a.example.com/", "<p>é</p>"), (8, "bad\r\nurl", "\r\n\r\n")]
@@ -27,24 +33,35 @@ def frame(spark, rows):
 
 
 def test_round_trip_equals_brute_force(spark):
-    got = {tuple(r) for r in warc.query(frame(spark, ROWS).withColumnRenamed("page_id", "page_id")).collect()}
-    assert got == brute(ROWS)
+    assert found(spark, ROWS) == brute(ROWS)
 
 
 def test_many_blocks_and_shards(spark):
     rows = [(i, f"http://h{i % 7}.org/{i % 50}", f"body {i % 90}") for i in range(3000)]
-    assert {tuple(r) for r in warc.query(frame(spark, rows)).collect()} == brute(rows)
+    assert found(spark, rows) == brute(rows)
 
 
 def test_empty_table_and_extra_columns(spark):
     assert warc.query(frame(spark, [])).count() == 0
     d = frame(spark, ROWS).selectExpr("*", "1 AS digest", "2 AS payload")
-    assert {tuple(r) for r in warc.query(d).collect()} == brute(ROWS)
+    assert sorted((tuple(r) for r in warc.query(d).collect()), key=str) == brute(ROWS)
+
+
+def test_every_row_is_a_capture(spark):
+    same_id = [(1, "http://a/", "x"), (1, "http://a/", "y"), (1, "http://b/", "x"), (2, "http://c/", "x"), (2, "http://c/", None)]
+    repeated = [(1, "http://a/", "t"), (1, "http://a/", "t"), (3, "http://a/", "t"), (3, "http://a/", "t")]
+    no_id = [(None, "http://a/", "t"), (None, None, "t"), (4, None, "t"), (None, None, "u"), (None, None, "u")]
+    for rows in (same_id, repeated, no_id, [*same_id, *repeated, *no_id]):
+        assert found(spark, rows) == brute(rows)
 
 
-def test_rows_without_id_are_left_out_and_repeated_rows_are_one_capture(spark):
-    rows = [(1, "http://a/", "t"), (1, "http://a/", "t"), (None, "http://a/", "t")]
-    assert {tuple(r) for r in warc.query(frame(spark, rows)).collect()} == brute(rows[:1])
+def test_many_captures_of_one_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(1, "http://a/", f"v{i % 30}") for i in range(60)] + [(2, "http://a/", "v1"), (0, "http://a/", "v2")]
+    assert found(spark, rows) == brute(rows)
+    archive = warc.write(warc.captures(frame(spark, rows)), warc.shared_dir(spark) + "/warc-many")
+    wanted = spark.createDataFrame([("http://a/", 1)], "url string, page_id long")
+    assert warc.lookup(spark, archive, wanted).count() == 60
 
 
 def test_a_lookup_that_hits_nothing_is_left_out(spark, tmp_path):
