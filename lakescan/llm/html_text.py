@@ -25,16 +25,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, text_keys
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a value only after an equals sign; one that is never closed is a character.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements without content, elements whose content is no text, and elements that are never an article's.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe textarea title".split())
@@ -53,7 +58,6 @@ NOT_CONTENT = frozenset(
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body div main section td blockquote html center".split())
 NAMED = frozenset("div section td blockquote center ul ol dl table details figure".split())
-SALTS = 32
 SPACE = re.compile(r"\s+")
 NUMBER = re.compile(r"[-_]*\d+$")
 DIGITS = re.compile(r"\d+")
@@ -62,14 +66,31 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(container paths from the outermost in, text, characters in links) of each block of content, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path step, is content, is link
+class Open(NamedTuple):
+    """An open element: its path's hash, the nearest container's, whether its text is content, whether it is in a link, the place of what makes it foreign."""
+
+    tag: str
+    path: int
+    box: int | None
+    content: bool
+    link: bool
+    foreign: int | None
+
+
+def blocks(page: str | None, above: dict[int, tuple[int | None, bool]] | None = None) -> Iterator[tuple[int, str, int]]:
+    """(container, text, characters in links) of each block of content, in page order; one pass, linear in the page.
+
+    A container is named by the hash of its path; ``above`` gets the container around it, and whether it is an article.
+    Containers come into ``above`` after those around them.
+    """
+    stack: list[Open] = []
+    count: Counter = Counter()  # of open elements by tag
     text: list[str] = []
     linked = 0
     at, page = 0, page or ""
+    above = {} if above is None else above
 
-    def flush() -> tuple[tuple[str, ...], str, int] | None:
+    def flush() -> tuple[int, str, int] | None:
         nonlocal linked
         if not text:
             return None
@@ -78,22 +99,21 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
         links, linked = linked, 0
         if not whole:
             return None
-        path, steps = [], []
-        for tag, step, _, _ in stack:
-            steps.append(step)
-            if tag in CONTAINER:
-                path.append(">".join(steps))
-        return tuple(path) or ("",), whole, min(links, len(whole))
+        box = stack[-1].box if stack else None
+        if box is None:
+            box = above.setdefault(0, (None, False)) and 0
+        return box, whole, min(links, len(whole))
 
-    def content() -> bool:
-        return not stack or stack[-1][2]
+    def close(k: int) -> None:
+        count.subtract([x.tag for x in stack[k:]])
+        del stack[k:]
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw and content():
+        if raw and (not stack or stack[-1].content):
             piece = entities.unescape(raw)
             text.append(piece)
-            if stack and stack[-1][3]:
+            if stack and stack[-1].link:
                 linked += len(piece.strip())
 
     for m in TOKEN.finditer(page):
@@ -107,25 +127,27 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 put(page[m.start() + 9 : m.end()].removesuffix("]]>"))
             continue
         if m[1]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
-                if (b := flush()) is not None:
+            if not count[tag]:
+                if tag == "p" and (b := flush()) is not None:
                     yield b
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is None or (tag not in BLOCK and any(x[0] in BLOCK for x in stack[k + 1 :])):
+            k = len(stack) - 1
+            block = False
+            while stack[k].tag != tag:
+                block = block or stack[k].tag in BLOCK
+                k -= 1
+            if block and tag not in BLOCK:
                 continue
-            if any(x[0] in BLOCK for x in stack[k:]) and (b := flush()) is not None:
+            if (block or tag in BLOCK) and (b := flush()) is not None:
                 yield b
-            del stack[k:]
+            close(k)
             continue
-        foreign = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN or stack[i][0] in HOLDS_HTML), None)
-        if foreign is not None and stack[foreign][0] in HOLDS_HTML:
-            foreign = None
+        foreign = stack[-1].foreign if stack else None
         if foreign is not None and (tag in BLOCK or tag in ENDS_FOREIGN):
-            del stack[foreign:]
+            close(foreign)
             foreign = None
         if tag == "br":
-            if content():
+            if not stack or stack[-1].content:
                 text.append(" ")
             continue
         if tag in BLOCK:
@@ -133,16 +155,19 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 yield b
             # A block ends an open paragraph, and an item the item before it.
             ends = {"p"} | SIBLINGS.get(tag, set())
-            stop = STOPS.get(tag, set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop or (stack[i][0] in CONTAINER and stack[i][0] not in ends):
-                    break
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
+            if any(count[x] for x in ends):
+                stop = STOPS.get(tag, set())
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag in stop or (stack[i].tag in CONTAINER and stack[i].tag not in ends):
+                        break
+                    if stack[i].tag in ends:
+                        close(i)
+                        break
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in SPACED and content():
+        outer = stack[-1] if stack else None
+        good = outer is None or outer.content
+        if tag in SPACED and good:
             text.append(" ")
         if tag in RAW and foreign is None:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -160,35 +185,50 @@ def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str, int]]:
                         step = tag + "." + ".".join(sorted(DIGITS.sub("#", value.lower()).split()))
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value.lower()):
                     hidden = True
-        good = content() and tag not in NEVER and not hidden and (tag not in NAMED or not NOT_CONTENT.intersection(names))
-        stack.append((tag, step, good, tag == "a" or bool(stack and stack[-1][3])))
+        good = good and tag not in NEVER and not hidden and (tag not in NAMED or not NOT_CONTENT.intersection(names))
+        path = xxhash.xxh3_64_intdigest(step.encode(), outer.path if outer else 1)
+        box = outer.box if outer else None
+        if tag in CONTAINER:
+            above.setdefault(path, (box, tag in ("article", "main")))
+            box = path
+        # what HTML stands in is foreign until an element in it holds HTML again
+        foreign = None if tag in HOLDS_HTML else len(stack) if foreign is None and tag in FOREIGN else foreign
+        stack.append(Open(tag, path, box, good, tag == "a" or bool(outer and outer.link), foreign))
+        count[tag] += 1
     put(page[at:])
     if (b := flush()) is not None:
         yield b
 
 
-def scores(page: str | None) -> dict[str, float]:
+def scores(page: str | None, found: list | None = None, above: dict | None = None) -> dict[int, float]:
     """Each container path's score as a share of the page's best: characters outside links, an outer container getting less."""
-    found: dict[str, float] = {}
-    for path, text, links in blocks(page):
-        gain = float(len(text) - 2 * links)
-        for k, p in enumerate(reversed(path)):
-            # a named article is preferred to what surrounds it; each level further out counts for less
-            worth = 1.5 if p.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0
-            found[p] = found.get(p, 0.0) + gain * worth * 0.9**k
-    best = max(found.values(), default=0.0)
-    return {p: max(x, 0.0) / best if best > 0 else 0.0 for p, x in found.items()}
-
-
-def extract(page: str | None, best: str | None) -> str:
+    above = {} if above is None else above
+    gain: dict[int, float] = {}
+    for box, text, links in found if found is not None else blocks(page, above):
+        gain[box] = gain.get(box, 0.0) + len(text) - 2 * links
+    for box in reversed(list(above)):  # inner ones first; each level further out counts for less
+        outer = above[box][0]
+        if box in gain and outer is not None:
+            gain[outer] = gain.get(outer, 0.0) + 0.9 * gain[box]
+    # a named article is preferred to what surrounds it
+    gain = {box: x * (1.5 if above[box][1] else 1.0) for box, x in gain.items()}
+    best = max(gain.values(), default=0.0)
+    return {box: max(x, 0.0) / best if best > 0 else 0.0 for box, x in gain.items()}
+
+
+def extract(page: str | None, best: int | None) -> str:
     """The blocks under the path ``best``, or under the page's own best path."""
-    found = list(blocks(page))
+    above: dict = {}
+    found = list(blocks(page, above))
     if best is None:
-        own = {p: x for p, x in scores(page).items() if x > 0}
+        own = {p: x for p, x in scores(page, found, above).items() if x > 0}
         if not own:
             return "\n".join(text for _, text, _ in found)
         best = min(own, key=lambda p: (-own[p], p))
-    return "\n".join(text for path, text, _ in found if best in path)
+    inside: dict[int | None, bool] = {None: False}
+    for box, (outer, _) in above.items():
+        inside[box] = box == best or inside[outer]
+    return "\n".join(text for box, text, _ in found if inside[box])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +242,13 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths.append(path)
                 votes.append(vote**4)
         own = batch.select(names).take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(paths, pa.string()), pa.array(votes, pa.float64())], names=[*names, "path", "vote"])
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.array(paths, np.uint64).view(np.int64)), pa.array(votes, pa.float64())], names=[*names, "path", "vote"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(page, path) for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        paths = [None if p is None else p % (1 << 64) for p in batch.column("path").to_pylist()]
+        texts = [extract(page, path) for page, path in zip(batch.column("html").to_pylist(), paths, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -219,13 +260,13 @@ def url_host(url: Column) -> Column:
 def page_paths(pages: DataFrame) -> DataFrame:
     """(host, text_a, text_b, path): the path on which a host takes the text of a page; one row for each host and text of a page."""
     d = pages.where("html IS NOT NULL").select(url_host(F.col("url")).alias("host"), *text_keys(F.col("html")), "html")
-    own = checkpoint(d.mapInArrow(_votes, "host string, text_a long, text_b long, path string, vote double"))
+    own = checkpoint(d.mapInArrow(_votes, "host string, text_a long, text_b long, path long, vote double"))
     votes = own.groupBy("host", "path").agg(F.sum(F.round("vote", 9).cast("decimal(28,9)")).cast("double").alias("votes"), F.count("*").alias("n"))
-    # A path met on one page only must beat its page's other paths clearly. A path's pages meet it in SALTS tasks.
-    votes = votes.where("votes > 0").select(F.col("host").alias("_host"), F.col("path").alias("_path"), (F.col("votes") / (F.col("n") + 0.2)).alias("worth"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    own = own.withColumn("salt", F.pmod("text_a", F.lit(SALTS)).cast("int"))
-    met = own.join(votes, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")) & (F.col("salt") == F.col("_salt")))
-    return met.groupBy("host", "text_a", "text_b").agg(F.min(F.struct((-F.col("worth")).alias("worth"), "path"))["path"].alias("path"))
+    # A path met on one page only must beat its page's other paths clearly. Votes and winners are written before they are
+    # joined, so that both sides are shuffled for the join and adaptive execution can split a hot host's paths.
+    votes = checkpoint(votes.where("votes > 0").select(F.col("host").alias("_host"), F.col("path").alias("_path"), (F.col("votes") / (F.col("n") + 0.2)).alias("worth")))
+    met = own.join(votes, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")))
+    return checkpoint(met.groupBy("host", "text_a", "text_b").agg(F.min(F.struct((-F.col("worth")).alias("worth"), "path"))["path"].alias("path")))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

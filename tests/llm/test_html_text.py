@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from lakescan.llm import html_text
 
 
@@ -61,3 +63,48 @@ def test_every_template_of_a_host_gets_its_own_container(spark):
     rows += [(90 + n, "http://h.org/", rest.format(f"<div class=page><div class=post-{'abcdefghij'[n]}><p>{'word ' * 40}{n}</div></div>")) for n in range(10)]
     got = {r.page_id: r.text for r in html_text.query(frame(spark, rows)).collect()}
     assert got == {n: "text " * 40 + str(n) for n in range(90)} | {90 + n: "word " * 40 + str(n) for n in range(10)}
+
+
+def test_quotes_open_values_only():
+    assert article("<p title=it's>Hello there</p><p>do not</p><p>don't stop</p>") == "Hello there\ndo not\ndon't stop"
+    assert article("<p title='a > b' x=\"c > d\">one</p><p data-x = 'e > f'>two</p><p title=\"open>three</p>") == "one\ntwo\nthree"
+    assert article("<p it's>one</p><!--><p>two</p><!-- <p>no</p> --><p class=a'b>three") == "one\ntwo\nthree"
+
+
+def test_deep_nesting_takes_linear_work():
+    deep = "<div>word" * 20_000
+    found = list(html_text.blocks(deep))
+    assert len(found) == 20_000 and html_text.extract("<body>" + deep, None).startswith("word")
+    assert article("<b>" * 20_000 + "x" + "<p>y</i>" * 2_000).startswith("x\ny")
+
+
+def made_pages(seed, n=60):
+    """Pages with known article texts, as (page_id, url, html), and the texts: three hosts, each with templates of its own."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["plain", "don't", "a<b", "é", "x & y", "©", "5 > 4", "tail"])
+    escape = lambda s: s.replace("&", r.choice(["&amp;", "&#38;", "&#x26;"])).replace("<", "&lt;").replace(">", r.choice([">", "&gt;"]))
+    spaces = lambda: r.choice([" ", "  ", "\n", "\t "])
+    attribute = lambda: r.choice(["", " title=it's", " data-a='x > y'", ' lang="en"', " class=lead", " hidden-not"])
+    rows, want = [], {}
+    for i in range(n):
+        host, template = r.randrange(3), r.randrange(2)
+        parts, lines = [], []
+        for _ in range(r.randint(3, 9)):
+            tag = r.choice(["p", "p", "p", "h2", "ul", "blockquote"])
+            text = [word() for _ in range(r.randint(8, 40))]
+            inline = spaces().join(escape(w) if r.random() < 0.8 else f"<{t}{attribute()}>{escape(w)}</{t}>" for w in text for t in [r.choice(["b", "em", "span"])])
+            parts.append(f"<ul><li{attribute()}>{inline}</ul>" if tag == "ul" else f"<{tag}{attribute()}>{spaces()}{inline}" + ("" if tag == "p" and r.random() < 0.5 else f"</{tag}>"))
+            lines.append(" ".join(text))
+        body = "".join(parts)
+        main = [f"<article class=a{i}>{body}</article>", f"<div class='entry e-{i}'>{body}</div>"][template] if host < 2 else f"<table><tr><td class=text>{body}</table>"
+        side = r.choice(["<aside><p>more</aside>", "<div class=sidebar><p>older texts</p></div>", "<div id='cookie-notice'><p>we use them</p></div>", "<form><p>ask</form>", "<div class='comments'><p>first!</div>", "<script>if (a < b) '</p>'</script>"])
+        rows.append((i, f"http://h{host}.org/{i}", f"<!DOCTYPE html><html><head><title>t</title></head><body><nav><a href=/>home</a></nav><header>top</header>{side}{main}{side}<footer>end</footer></body></html>"))
+        want[i] = "\n".join(lines)
+    return rows, want
+
+
+def test_known_articles_come_back_whole(spark):
+    for seed in (1, 2):
+        rows, want = made_pages(seed)
+        got = {r.page_id: r.text for r in html_text.query(frame(spark, rows)).collect()}
+        assert got == want
