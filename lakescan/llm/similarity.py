@@ -18,7 +18,7 @@ sets' Jaccard similarity is at least 80 %.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
 texts of one to four words have one shingle, the whole sequence; rows that share doc_id are one document for the ids of
-components; rows without doc_id get no component; an empty table gives an empty table.
+components, but each counts as a link; rows without doc_id get no component; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -235,6 +235,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def search(group: tuple, rows: list) -> pa.RecordBatch:
         _, i, j = group
+        rows = list({r[1]: r for r in rows}.values())  # rows that share id and text come several times
         node = np.array([r[1] for r in rows], np.int64)
         block = np.array([r[0] for r in rows])
         copies = np.array([r[2] for r in rows], np.int64)
@@ -295,7 +296,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = classes.join(cells, F.col("a") == F.col("node")).select("node", F.col("component").alias("cell"), "rep", "copies", "n")
     sizes = member.groupBy("cell").agg(F.sum("n").alias("total")).select(F.col("cell").alias("_cell"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     member = member.join(sizes, F.col("cell") == F.col("_cell")).drop("_cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    sets = docs.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "cell", "blocks", "block", "node", "copies").mapInArrow(_sets, "cell long, blocks int, block int, node long, copies long, shingles binary")
+    sets = docs.join(member, F.col("doc_id") == F.col("rep")).select("text", "cell", "blocks", "block", "node", "copies").mapInArrow(_sets, "cell long, blocks int, block int, node long, copies long, shingles binary")
     # Block k meets every block: as i of the pairs (k, j) with j >= k, as j of the pairs (i, k) with i < k.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("o", other).select("cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "copies", "shingles")
@@ -313,7 +314,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are their component's smallest id; rows without doc_id stay."""
     found = jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_id"], "left_semi")
+    kept = docs.join(found, docs["doc_id"] == found["_id"], "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

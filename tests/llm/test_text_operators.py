@@ -86,6 +86,13 @@ def test_jaccard_threshold_is_exact(spark):
     assert got == {d: x[2] for d, x in brute.jaccard(rows).items()}
 
 
+def test_jaccard_of_repeated_rows(spark):
+    w = [f"q{i}" for i in range(100)]
+    a, b = " ".join(w), " ".join([*w[:-1], "z"])
+    got = [tuple(r) for r in similarity.query(frame(spark, [(4, a, None), (4, a, None), (6, b, None), (None, a, None)])).collect()]
+    assert sorted(got, key=str) == sorted([(4, 96, 4, 2), (4, 96, 4, 2), (6, 96, 4, 2), (None, 96, None, 2)], key=str)
+
+
 def test_divide_skip_probes_long_lists():
     r = np.random.default_rng(0)
     base = np.unique(r.integers(0, 1 << 40, 300).astype(np.uint64))
