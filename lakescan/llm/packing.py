@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 #: What keeps a text from being cut: blanks and line ends in a row, rarer white space, or what may start a special token.
 IN_A_ROW = ("  ", "\n\n", " \n", "\n ")
 ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
-#: Bounds of the table of pieces, which is begun anew when it is full: some 50 MB at most.
-KNOWN_MOST = 200_000
+#: Bounds of the table of pieces. When it is full, further pieces are kept for one chunk of texts only, and after some
+#: multiple of its size of those it is begun anew.
+KNOWN_MOST = 150_000
 PIECE_CHARS = 64
 IDS_MOST = 2_000_000
 CHUNK_CHARS = 1_000_000
@@ -69,6 +70,7 @@ class PieceTokenizer:
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int32)  # piece k has ids[starts[k] : starts[k + 1]]
         self.n_known = 0
+        self.passing = 0
 
     def _learn(self, pieces: list[str]) -> None:
         # A first piece of a text has no blank before it; "\r" stands for that. It is encoded after a line end, whose id
@@ -131,14 +133,23 @@ class PieceTokenizer:
                 pieces += own
             upto.append(len(pieces))
         found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int32, len(pieces))
+        full = False
         if (found == -1).any():
             new = [p for p in dict.fromkeys([pieces[i] for i in np.flatnonzero(found == -1)]) if len(p) <= PIECE_CHARS]
-            if len(self.known) + len(new) > KNOWN_MOST or self.starts[self.n_known] > IDS_MOST:
+            full = len(self.known) + len(new) > KNOWN_MOST or self.starts[self.n_known] > IDS_MOST
+            if full and self.passing > 4 * KNOWN_MOST:
                 self._forget()
-                new = [p for p in dict.fromkeys(pieces) if len(p) <= PIECE_CHARS]
+                new, full = [p for p in dict.fromkeys(pieces) if len(p) <= PIECE_CHARS], False
+            kept = self.n_known
             self._learn(new)
+            if full:
+                self.passing += len(new)
             found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-2)), np.int32, len(pieces))  # longer ones are not kept
         start, n = self.starts[found], self.starts[found + 1] - self.starts[found]
+        if full:
+            for p in new:
+                self.known.pop(p, None)
+            self.n_known = kept
         odd = found == -2
         n[odd] = 0
         total = np.zeros(len(n) + 1, np.int32)

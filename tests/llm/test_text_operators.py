@@ -174,3 +174,17 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (7, 200), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 200: 0, 100: 100, 101: 100}
+
+
+def test_the_table_of_pieces_stays_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KNOWN_MOST", 500)
+    r = random.Random(9)
+    texts = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(400)) for _ in range(50)] + ["x" * 300 + " y", "a" * 65, "b " * 3]
+    texts += [" ".join(f"{r.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    tokenizer = packing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(0, len(texts), 3):
+        some = texts[k : k + 3]
+        assert [[*ids.tolist(), 1] for ids in tokenizer(some)] == [brute.tokens(t) for t in some]
+        assert len(tokenizer.known) <= 500 + 600 and not any(len(p) > packing.PIECE_CHARS for p in tokenizer.known)
