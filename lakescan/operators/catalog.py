@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.readers import ReadOptions, read_files, read_folder, with_path_partitions
+from ..sources.files import footers
+from ..sources.readers import ReadOptions, folder_files, read_files, read_folder, with_path_partitions
+from .compat import group_files, read_members
 
-ENTRY = "name string, bucket string, root string, format string, paths array<string>, partition_columns array<string>, options string, schema_ddl string"
+ENTRY = "name string, bucket string, root string, format string, paths array<string>, partition_columns array<string>, options string, strategy string, schema_ddl string"
 VALID = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -50,21 +53,51 @@ class Catalog:
             raise ValueError(f"no free name for {name}")
         return free
 
+    def _selected(self, paths: list[str], o: ReadOptions) -> DataFrame:
+        """Parquet files picked by hand, as one table of their merged schema; files that do not fit are left out."""
+        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string")).select("file", "pos", "name", "type")
+        place = self.spark.createDataFrame(list(enumerate(paths)), "file_idx long, file string")
+        columns = own.join(place, "file").withColumn("format", F.lit("parquet"))
+        verdicts, merged = group_files(columns)
+        good = {r.file_idx for r in verdicts.where("verdict <> 'incompatible'").collect()}  # named one by one
+        shapes: dict[str, list[str]] = {}
+        for r in columns.where(F.col("file_idx").isin(sorted(good))).groupBy("file_idx", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))), lambda c: F.concat(F.lit("`"), c["name"], F.lit("` "), c["type"])), ", ").alias("ddl")).orderBy("file_idx").collect():
+            shapes.setdefault(r.ddl, []).append(r.file)
+        return read_members(self.spark, [(T._parse_datatype_string(ddl), own) for ddl, own in shapes.items()], merged["parquet"], filename=o.filename)
+
+    def _by_strategy(self, e) -> str | None:
+        """The columns that a folder of Parquet files is read with under ``latest`` or ``strict``."""
+        paths = list(e.paths) or folder_files(self.spark, e.root, e.format)
+        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string"))
+        ddl = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))), lambda c: F.concat(F.lit("`"), c["name"], F.lit("` "), c["type"])), ", ")
+        times = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
+        schemas = own.groupBy("file").agg(ddl.alias("schema")).withColumn("name", F.substring_index("file", ":", -1)).join(times.withColumn("name", F.substring_index("file", ":", -1)).drop("file"), "name")
+        return schema_by_strategy(schemas, e.strategy, "") or None
+
     def _frame(self, e) -> DataFrame:
-        o = ReadOptions(**json.loads(e.options))
-        if e.paths:
+        asked = ReadOptions(**json.loads(e.options))
+        parts = list(e.partition_columns)
+        o = replace(asked, filename=True) if parts else asked
+        if e.format == "parquet" and e.strategy in ("latest", "strict"):
+            df = self.spark.read.schema(self._by_strategy(e)).option("recursiveFileLookup", True).parquet(*(list(e.paths) or [e.root]))
+            df = df.withColumn("filename", F.col("_metadata.file_path")) if o.filename else df
+        elif e.paths and e.format == "parquet" and o.union_by_name:
+            df = self._selected(list(e.paths), o)
+        elif e.paths:
             df = read_files(self.spark, list(e.paths), e.format, o)
         else:
             df = read_folder(self.spark, e.root, e.format, options=o)
-        return with_path_partitions(df, e.root, list(e.partition_columns), o.filename) if e.partition_columns and not e.paths else df
+        if parts and "filename" in df.columns and not set(parts) <= set(df.columns):  # a Hive folder has them already
+            df = with_path_partitions(df, e.root, parts, True)
+        return df if asked.filename else df.drop("filename")
 
-    def register(self, name: str, root: str, fmt: str, bucket: str = "", partition_columns: list[str] = (), options: ReadOptions | None = None, paths: list[str] = ()) -> DataFrame:
-        """A row and a view. The view is made first, so a source that cannot be read leaves no row."""
+    def register(self, name: str, root: str, fmt: str, bucket: str = "", partition_columns: list[str] = (), options: ReadOptions | None = None, paths: list[str] = (), strategy: str = "union") -> DataFrame:
+        """A row and a view. The view is made first, so a source that cannot be read leaves no row."""
         if not VALID.fullmatch(name):
             raise ValueError(f"not a table name: {name!r}")
         if self.taken(name):
             raise ValueError(f"the name is taken: {name}")
-        row = self.spark.createDataFrame([(name, bucket, root, fmt, list(paths), list(partition_columns), json.dumps(asdict(options or ReadOptions())), "")], ENTRY)
+        row = self.spark.createDataFrame([(name, bucket, root, fmt, list(paths), list(partition_columns), json.dumps(asdict(options or ReadOptions())), strategy, "")], ENTRY)
         df = self._frame(row.first())
         self._save(self.entries().unionByName(row.withColumn("schema_ddl", F.lit(df.schema.simpleString()))))
         df.createOrReplaceTempView(name)

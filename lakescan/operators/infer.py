@@ -54,10 +54,10 @@ def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return d.withColumn("_n", n).select("file", "pos", F.when(F.col("_n") > 1, F.concat_ws("_", "_name", "_n")).otherwise(F.col("_name")).alias("name"))
 
 
-def infer_text(lines: DataFrame, rows_most: int = 1000) -> DataFrame:
-    """(file, pos, name, type, nullable, delimiter, has_header) for every delimited file of ``lines``. Ragged rows miss cells, which makes those columns nullable."""
+def infer_text(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") -> DataFrame:
+    """(file, pos, name, type, nullable, delimiter, has_header) for every delimited file of ``lines``. Ragged rows miss cells, which makes those columns nullable. A format's own ``delimiter`` is not sniffed."""
     d = lines.where(F.col("line_no") <= rows_most + 1)
-    delimiters = sniff_delimiters(d)
+    delimiters = d.select("file").distinct().withColumn("delimiter", F.lit(delimiter)) if delimiter else sniff_delimiters(d)
     cells = split_cells(d, delimiters)
     headers = detect_headers(cells)
     first = F.min("line_no").over(Window.partitionBy("file"))
@@ -88,8 +88,7 @@ def infer_json(lines: DataFrame) -> DataFrame:
     """(file, pos, name, type, nullable) from JSON lines; bad lines are skipped, keys sorted, a key missing in a row makes it nullable."""
     d = lines.withColumn("_v", F.try_parse_json("line")).where(F.schema_of_variant("_v").startswith("OBJECT"))
     rows = d.groupBy("file").agg(F.count("*").alias("_rows"))
-    d.createOrReplaceTempView("_lakescan_json_lines")
-    cells = d.sparkSession.sql("SELECT file, line_no, key AS name, value, CAST(value AS STRING) AS text FROM _lakescan_json_lines, LATERAL variant_explode(_v)")
+    cells = d.lateralJoin(d.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("file", "line_no", F.col("key").alias("name"), "value", F.col("value").cast("string").alias("text"))
     cells = cells.withColumn("_kind", json_kind(F.col("value"), F.col("text")))
     g = cells.groupBy("file", "name").agg(F.bit_or(type_bit(F.col("_kind"))).alias("_bits"), F.max(F.col("_kind") == "null").alias("_null"), F.count("*").alias("_n")).join(rows, "file")
     t = merged_type(F.col("_bits"))
@@ -97,10 +96,19 @@ def infer_json(lines: DataFrame) -> DataFrame:
     return g.select("file", pos.alias("pos"), "name", F.when(t == "null", "string").otherwise(t).alias("type"), (F.col("_null") | (F.col("_bits") == 0) | (F.col("_n") < F.col("_rows"))).alias("nullable"))
 
 
-def array_lines(documents: DataFrame) -> DataFrame:
-    """(file, line_no, line) of files (file, content) that hold one JSON array: its elements as lines."""
-    documents.withColumn("_v", F.try_parse_json("content")).createOrReplaceTempView("_lakescan_json_arrays")
-    return documents.sparkSession.sql("SELECT file, pos + 1 AS line_no, to_json(value) AS line FROM _lakescan_json_arrays, LATERAL variant_explode(_v) WHERE schema_of_variant(_v) LIKE 'ARRAY%'")
+def json_lines(documents: DataFrame) -> DataFrame:
+    """(file, line_no, line) of JSON files (file, content): an array's elements, a single object, or else the file's lines."""
+    d = documents.withColumn("_v", F.try_parse_json("content"))
+    kind = F.schema_of_variant("_v")
+    arrays = d.where(kind.startswith("ARRAY"))
+    arrays = arrays.lateralJoin(d.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), F.to_json("value").alias("line"))
+    others = d.where(F.coalesce(~kind.startswith("ARRAY"), F.lit(True)))
+    # the parser stops at the first value's end, so what has an object in its first line is read by lines
+    first = F.get(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    by_line = F.coalesce(F.schema_of_variant(F.try_parse_json(first)).startswith("OBJECT"), F.lit(False))
+    whole = F.when(kind.startswith("OBJECT") & ~by_line, F.array("content")).otherwise(F.split("content", "\n"))
+    others = others.select("file", F.posexplode(whole).alias("pos", "line")).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    return arrays.unionByName(others)
 
 
 def sample_stats(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: How many top values and bins, up to how many columns, and the patterns of identifiers and mail addresses.
 TOP_VALUES = 8
 BINS = 12
 WIDEST = 40
@@ -32,6 +33,16 @@ def _name(c: str) -> Column:
     return F.col(f"`{c.replace('`', '``')}`")
 
 
+def _text(df: DataFrame, c: str) -> Column:
+    """A cell as text: binary ones as hexadecimal digits, nested ones as JSON."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.BinaryType):
+        return F.hex(_name(c))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.when(_name(c).isNotNull(), F.to_json(_name(c)))
+    return _name(c).cast("string")
+
+
 def _texts(df: DataFrame, names: list[str], as_text) -> DataFrame:
     """(column, value): every named column's cells, by one generator over the row."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in names])
@@ -61,8 +72,7 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
     out = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     if exact:
         # distinct aggregates side by side would copy every row once a column; pairs of column and value are narrow
-        as_text = lambda c: _name(c).cast("string") if ks[c] != "other" else F.when(_name(c).isNotNull(), F.to_json(F.struct(_name(c))))
-        pairs = _texts(df, list(ks), as_text).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
+        pairs = _texts(df, list(ks), lambda c: _text(df, c)).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
         n = pairs.groupBy("column").agg(F.count("*").alias("_distinct"))
         out = out.join(F.broadcast(n), "column", "left").withColumn("distinct", F.coalesce("_distinct", F.lit(0))).drop("_distinct")  # a row a column
     share = lambda a, b: F.when(b > 0, F.least(a / b, F.lit(1.0))).otherwise(0.0)
@@ -71,10 +81,11 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
 
 def top_values(df: DataFrame, n: int = TOP_VALUES) -> DataFrame:
     """H3, H7: (column, place, value, n) of the most frequent values of non-numeric columns, ties by value; none for wide tables."""
-    names = [c for c, k in kinds(df).items() if k not in ("numeric", "other")] if len(df.columns) <= WIDEST else []
+    ks = kinds(df)
+    names = [c for c, k in ks.items() if k != "numeric"] if len(df.columns) <= WIDEST else []
     if not names:
         return df.sparkSession.createDataFrame([], "column string, place int, value string, n long")
-    counts = _texts(df, names, lambda c: _name(c).cast("string")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = _texts(df, names, lambda c: _text(df, c)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
     return counts.withColumn("place", place).where(F.col("place") <= n).select("column", "place", "value", "n")
 
@@ -115,8 +126,8 @@ def badges(profile: DataFrame) -> DataFrame:
     return profile.select("column", F.slice(F.filter(found, lambda x: x.isNotNull()), 1, 2).alias("badges"))
 
 
-def badged(df: DataFrame, exact: bool = False) -> DataFrame:
-    return badges(scalars(df, exact).join(F.broadcast(pattern_shares(df)), "column", "left"))  # a row a column
+def badged(df: DataFrame, exact: bool = False, of: DataFrame | None = None) -> DataFrame:
+    return badges((scalars(df, exact) if of is None else of).join(F.broadcast(pattern_shares(df)), "column", "left"))  # a row a column
 
 
 def extended(df: DataFrame) -> DataFrame:

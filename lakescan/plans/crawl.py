@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import datasets as D
-from ..operators.infer import array_lines, infer_json, infer_text
-from ..sources.files import footers, heads
+from ..operators.infer import infer_json, infer_text, json_lines
+from ..sources.files import avro_columns, contents, footers, heads, orc_footers
+from ..sources.table_formats import delta_tables, iceberg_tables
 
 
 class Crawl(NamedTuple):
@@ -28,12 +31,39 @@ def crawl(inventory: DataFrame, mode: str = "auto", crawl_root: str = "") -> Cra
 
 
 def infer_schemas(spark: SparkSession, representatives: DataFrame) -> DataFrame:
-    """(file, pos, name, type, nullable) of the representatives (file, format): each reader runs once on all its files."""
+    """(file, pos, name, type, nullable) of the representatives (file, format): each reader runs once on all its files.
+
+    Delta and Iceberg representatives name their table's folder or a file in it; Avro needs Spark's module, without which
+    its files are left out.
+    """
     of = lambda *kinds: representatives.where(F.col("format").isin(*kinds)).select("file")
-    plain = ["file", "pos", "name", "type", "nullable"]
-    text = infer_text(heads(of("csv", "tsv"))).select(*plain)
-    lines = infer_json(heads(of("jsonl"))).select(*plain)
-    whole = heads(of("json")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    arrays = infer_json(array_lines(whole)).select(*plain)
-    parquet = footers(of("parquet")).select(*plain)
-    return text.unionByName(lines).unionByName(arrays).unionByName(parquet)
+    plain = ["file", F.col("pos").cast("int").alias("pos"), "name", "type", "nullable"]
+    found = [
+        infer_text(heads(of("csv"))), infer_text(heads(of("tsv")), delimiter="\t"), infer_json(heads(of("jsonl"))), infer_json(json_lines(contents(of("json")))), footers(of("parquet")), orc_footers(of("orc")),
+        *(f for kind in ("delta", "iceberg") if (f := _table_schemas(spark, of(kind), kind)) is not None), *_avro_schemas(spark, of("avro")),
+    ]
+    return reduce(DataFrame.unionByName, [d.select(*plain) for d in found])
+
+
+def _table_schemas(spark: SparkSession, paths: DataFrame, kind: str) -> DataFrame | None:
+    """The schemas of Delta or Iceberg tables under the names that ``paths`` gives them."""
+    marker, read, names = ("/_delta_log/", delta_tables, "_delta_log/*.json") if kind == "delta" else ("/metadata/", iceberg_tables, "metadata/*.metadata.json")
+    root = F.rtrim(F.substring_index("file", marker, 1), F.lit("/"))
+    roots = paths.select("file", root.alias("root"))
+    tables = [r.root for r in roots.select("root").distinct().collect()]  # a row a table, whose logs the reader lists
+    if not tables:
+        return None
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    d = read(spark, [f"{t}/{names}" for t in tables])
+    return d.withColumn("_table", plain(F.url_decode(F.replace("table", F.lit("+"), F.lit("%2B"))))).join(roots.withColumn("_root", plain(F.col("root"))), F.col("_table") == F.col("_root"))
+
+
+def _avro_schemas(spark: SparkSession, paths: DataFrame) -> list[DataFrame]:
+    """One frame a file, as Spark's reader names columns for a whole read; none where its module is missing."""
+    own = [r.file for r in paths.collect()]  # a row a dataset of that format
+    try:
+        return [avro_columns(spark, p) for p in own]
+    except AnalysisException as e:
+        if e.getCondition() and "AVRO" in str(e).upper():
+            return []
+        raise

@@ -398,12 +398,14 @@ def sample_rows(spark, sf_dir):
 # ---- profiles (H) ----
 
 
-def _scalar_sql(table: str, numeric: list[str], text: list[str]) -> str:
+def _scalar_sql(table: str, numeric: list[str], text: list[str], times: list[str]) -> str:
     rows = []
     for c in numeric:
         rows.append(f"SELECT '{c}' AS \"column\", 'numeric' AS kind, count(*) AS count, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 5) AS mean, round(stddev_pop({c}), 6) AS stddev, round(quantile_cont({c}, 0.5), 6) AS median, NULL::BIGINT AS min_length, NULL::BIGINT AS max_length, round(count(DISTINCT {c}) / count({c}), 9) AS distinct_pct FROM {table}")
     for c in text:
         rows.append(f"SELECT '{c}', 'string', count(*), count({c}), count(DISTINCT {c}), NULL, NULL, NULL, min(length({c})), max(length({c})), round(count(DISTINCT {c}) / count({c}), 9) FROM {table}")
+    for c in times:
+        rows.append(f"SELECT '{c}', 'temporal', count(*), count({c}), count(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, round(count(DISTINCT {c}) / count({c}), 9) FROM {table}")
     return " UNION ALL ".join(rows)
 
 
@@ -415,9 +417,9 @@ def _scalar(df: DataFrame) -> DataFrame:
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@registered(_scalar_sql("lineitem", LINEITEM, ["l_returnflag", "l_linestatus"]), "")
+@registered(_scalar_sql("lineitem", LINEITEM, ["l_returnflag", "l_linestatus"], ["l_shipdate"]), "")
 def profile_scalar_lineitem(spark, sf_dir):
-    return _scalar(read(spark, sf_dir, "lineitem").select(*LINEITEM, "l_returnflag", "l_linestatus"))
+    return _scalar(read(spark, sf_dir, "lineitem"))
 
 
 def profile_approx_lineitem(spark, sf_dir):
@@ -492,13 +494,8 @@ def compat_summary(spark, sf_dir):
 def footer_rows(spark, sf_dir):
     from .operators.compat import total_rows
 
-    out = None
-    c = read(spark, sf_dir, "customer")
-    for (segment,) in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():  # five segments
-        f = c.where(F.col("c_mktsegment") == segment).selectExpr("CASE WHEN c_mktsegment = 'BUILDING' OR c_custkey % 2 = 0 THEN 'parquet' ELSE 'csv' END AS format", "c_custkey AS num_rows")
-        d = total_rows(f).select(F.lit(segment).alias("c_mktsegment"), "rows")
-        out = d if out is None else out.unionByName(d)
-    return out
+    f = read(spark, sf_dir, "customer").selectExpr("c_mktsegment", "CASE WHEN c_mktsegment = 'BUILDING' OR c_custkey % 2 = 0 THEN 'parquet' ELSE 'csv' END AS format", "c_custkey AS num_rows")
+    return total_rows(f, "c_mktsegment")
 
 
 # ---- browsing (A, I) ----

@@ -5,7 +5,9 @@ Paths are a table, so executors share the work; each task opens files through ``
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,13 @@ FOOTER = "file string, pos int, name string, type string, nullable boolean, num_
 
 
 def _open(path: str):
+    """The store and the name in it; local paths may be plain, as Spark lists them, or escaped, as ``_metadata`` has them."""
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
-    return store, name
+    if path.startswith("file:") or "://" not in path:
+        name = "/" + path.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem(), name if os.path.exists(name) else unquote(name)
+    return fs.FileSystem.from_uri(quote(path, safe="/:@%?=&+,;!$'()*~"))
 
 
 def heads(paths: DataFrame, head_bytes: int = HEAD_BYTES, partitions: int | None = None) -> DataFrame:
@@ -72,15 +77,40 @@ def described(spark: SparkSession, df: DataFrame, file: str = "") -> DataFrame:
     return spark.createDataFrame(rows, "file string, pos int, name string, type string, nullable boolean")
 
 
-def orc_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Columns and row counts of ORC files, any codec; counts by one scan of no columns."""
-    out = None
-    for p in paths:
-        d = described(spark, spark.read.orc(p), p)
-        out = d if out is None else out.unionByName(d)
-    counts = spark.read.orc(paths[0] if len(paths) == 1 else paths).groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("num_rows"))
-    name = lambda c: F.substring_index(c, "/", -1)
-    return out.join(counts, name(F.col("file")) == name(F.col("_path")), "left").drop("_path")
+def orc_footers(paths: DataFrame) -> DataFrame:
+    """(file, pos, name, type, nullable, num_rows, codec) from ORC footers alone, any codec; ORC columns may all be null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import orc
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                store, name = _open(path)
+                with store.open_input_file(name) as f:
+                    found = orc.ORCFile(f)
+                    schema, rows, codec = found.schema, found.nrows, str(found.compression).lower()
+                n = len(schema)
+                kinds = [from_arrow_type(x.type, prefer_timestamp_ntz=True).simpleString() for x in schema]
+                cols = [[path] * n, range(n), schema.names, kinds, [True] * n, [rows] * n, ["none" if codec == "uncompressed" else codec] * n]
+                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "pos", "name", "type", "nullable", "num_rows", "codec"])
+
+    return paths.select("file").repartition("file").mapInArrow(run, FOOTER)
+
+
+def contents(paths: DataFrame) -> DataFrame:
+    """(file, content): whole text files, one at a time in a task; compression by suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                store, name = _open(path)
+                with store.open_input_stream(name) as f:
+                    text = f.read().decode("utf-8", "replace").removeprefix("\ufeff")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["file", "content"])
+
+    return paths.select("file").repartition("file").mapInArrow(run, "file string, content string")
 
 
 def avro_columns(spark: SparkSession, path: str) -> DataFrame:

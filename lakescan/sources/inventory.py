@@ -14,18 +14,21 @@ SCHEMA = "bucket string, key string, size long, etag string, storage_class strin
 
 
 def list_folder(spark: SparkSession, root: str, bucket: str, markers: bool = True) -> DataFrame:
-    """A1: a recursive listing without reading contents. Names that start with ``_`` or ``.`` are hidden from Spark's listing; ``_delta_log`` is listed by an explicit glob."""
+    """A1: a recursive listing without reading contents. Names that start with ``_`` or ``.`` are hidden from Spark's listing; ``_delta_log`` folders are listed by a glob for each depth that the keys have."""
     root = root.rstrip("/")
+    listed = lambda path: spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    # paths come back as URIs: what follows the root's first occurrence is the key
+    tail = root.rsplit("://", 1)[-1] + "/"
+    key = F.substring(F.col("path"), F.instr("path", tail) + len(tail), F.length("path"))
     if markers:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for glob in ("/_delta_log/*.json", "/*/_delta_log/*.json", "/*/*/_delta_log/*.json"):
-            p = jvm.org.apache.hadoop.fs.Path(root + glob)
+        deepest = found.agg(F.max(F.size(F.split(key, "/")))).first()[0] or 1
+        for depth in range(deepest):
+            glob = root + "/*" * depth + "/_delta_log/*.json"
+            p = jvm.org.apache.hadoop.fs.Path(glob)
             if p.getFileSystem(conf).globStatus(p):
-                found = found.unionByName(spark.read.format("binaryFile").load(root + glob).select("path", "modificationTime", "length"))
-    # paths come back as URIs: what follows the root's last part is the key
-    tail = root.rsplit("://", 1)[-1].rstrip("/")
-    key = F.substring_index(F.col("path"), tail + "/", -1)
+                found = found.unionByName(listed(glob))
     none = F.lit(None).cast("string")
     return found.select(F.lit(bucket).alias("bucket"), key.alias("key"), F.col("length").alias("size"), none.alias("etag"), none.alias("storage_class"), none.alias("version_id"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import format_of
+
 DELIMITERS = {",": ",", ";": ";", "|": "|", ":": ":", "tab": "\t", "space": " "}
 TEXT = ("csv", "tsv")
 
@@ -33,8 +35,12 @@ class ReadOptions:
         return replace(out, union_by_name=False) if fmt in ("delta", "iceberg") else out
 
 
+def _reader(spark: SparkSession, base: str | None):
+    """Explicit files have no partition columns unless there is a base folder to take them from."""
+    return spark.read.option("basePath", base) if base else spark.read.option("recursiveFileLookup", True)
+
 
-def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions) -> DataFrame:
+def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions, base: str | None = None) -> DataFrame:
     from ..operators.infer import detect_headers, sniff_delimiters, split_cells
     from .files import heads
 
@@ -57,10 +63,10 @@ def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions)
         groups.setdefault((d, header, tops.get(p) if header and o.union_by_name else None), []).append(p)
     parts = []
     for (d, header, _), own in groups.items():
-        r = spark.read.option("sep", d).option("header", header).option("inferSchema", True).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE")
+        r = _reader(spark, base).option("sep", d).option("header", header).option("inferSchema", True).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE")
         df = r.csv(own)
         if not header:
-            df = df.toDF(*[f"col_{i + 1}" for i in range(len(df.columns))])
+            df = df.withColumnsRenamed({f"_c{i}": f"col_{i + 1}" for i in range(len(df.columns))})
         parts.append(_named(df) if o.filename else df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -69,46 +75,65 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("filename", F.col("_metadata.file_path"))
 
 
-def read_files(spark: SparkSession, paths: list[str], fmt: str, options: ReadOptions | None = None) -> DataFrame:
-    """An explicit list of files, without partition columns."""
+def _read_json(spark: SparkSession, paths: list[str], o: ReadOptions, base: str | None = None) -> DataFrame:
+    """Files of one value are read whole, files of a value a line by lines, whatever their suffix."""
+    from .files import heads
+
+    top = heads(spark.createDataFrame([(p,) for p in paths], "file string"), 65_536).where(F.trim("line") != "")
+    kind = F.schema_of_variant(F.try_parse_json("line"))
+    top = top.groupBy("file").agg(F.min_by(kind, "line_no").alias("first"), F.count("*").alias("n"))
+    by_line = {r.file for r in top.where("first LIKE 'OBJECT%'").collect()}  # one row a file that is named
+    parts = []
+    for whole, own in ((False, [p for p in paths if p in by_line]), (True, [p for p in paths if p not in by_line])):
+        if own:
+            parts.append(_reader(spark, base).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("multiLine", whole).json(own))
+    parts = [_named(df) if o.filename else df for df in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_files(spark: SparkSession, paths: list[str], fmt: str, options: ReadOptions | None = None, base: str | None = None) -> DataFrame:
+    """An explicit list of files; partition columns only of the folders below ``base``."""
     o = (options or ReadOptions()).applicable(fmt)
     if fmt in TEXT:
-        return _read_text(spark, paths, fmt, o)
-    r = spark.read.option("recursiveFileLookup", True)
+        return _read_text(spark, paths, fmt, o, base)
     if fmt in ("json", "jsonl"):
-        df = r.option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("multiLine", fmt == "json").json(paths)
-    elif fmt == "parquet":
-        df = r.option("mergeSchema", o.union_by_name).parquet(*paths)
-    else:
-        df = r.format(fmt).load(paths)
+        return _read_json(spark, paths, o, base)
+    r = _reader(spark, base)
+    df = r.option("mergeSchema", o.union_by_name).parquet(*paths) if fmt == "parquet" else r.format(fmt).load(paths)
     return _named(df) if o.filename else df
 
 
+def folder_files(spark: SparkSession, root: str, fmt: str, extension: str | None = None) -> list[str]:
+    """The files of a format below a folder at any depth, by one extension or by all that the format has, compressed or not."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    d = d.where(F.col("path").endswith(extension) if extension else format_of(F.substring_index("path", "/", -1)) == fmt)
+    return [r.path for r in d.select("path").orderBy("path").collect()]  # the reader's own file index holds them as well
+
+
 def read_folder(spark: SparkSession, root: str, fmt: str, extension: str | None = None, options: ReadOptions | None = None) -> DataFrame:
-    """A folder's files of one extension, Hive partitions as text columns and with pruning; table formats by their packages."""
+    """A folder's files at any depth, with every option of ``read_files``; Hive partitions as text columns and with pruning; table formats by their packages."""
     o = (options or ReadOptions()).applicable(fmt)
     if fmt in ("delta", "iceberg"):
         return spark.read.format(fmt).load(root)
+    paths = folder_files(spark, root, fmt, extension)
+    if not paths:
+        raise ValueError(f"no {fmt} files under {root}")
+    tail = root.rsplit("://", 1)[-1].rstrip("/") + "/"
+    hive = all("=" in part for p in paths for part in p[p.index(tail) + len(tail) :].split("/")[:-1]) and any("/" in p[p.index(tail) + len(tail) :] for p in paths)
     key = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, False)
     try:
-        r = spark.read.option("pathGlobFilter", f"*{extension or '.' + fmt}")
-        if fmt in TEXT:
-            r = r.option("header", o.header != "none").option("sep", "\t" if fmt == "tsv" else DELIMITERS.get(o.delimiter, ",")).option("inferSchema", True)
-            df = r.csv(root)
-        elif fmt in ("json", "jsonl"):
-            df = r.option("multiLine", fmt == "json").json(root)
-        else:
-            df = (r.option("mergeSchema", o.union_by_name) if fmt == "parquet" else r).format(fmt).load(root)
-        return _named(df) if o.filename else df
+        return read_files(spark, paths, fmt, o, root if hive else None)
     finally:
         spark.conf.set(key, before)
 
 
 def with_path_partitions(df: DataFrame, root: str, names: list[str], keep_filename: bool = False) -> DataFrame:
     """Positional partition columns cut from ``filename`` below ``root``. They are computed, so filter the inventory first to prune files."""
-    rest = F.substring_index("filename", root.rsplit("://", 1)[-1].strip("/") + "/", -1)
+    tail = root.rsplit("://", 1)[-1].strip("/") + "/"
+    path = F.url_decode(F.replace("filename", F.lit("+"), F.lit("%2B")))  # file names come escaped
+    rest = F.substring(path, F.instr(path, tail) + len(tail), F.length(path))
     out = df.withColumns({n: F.split_part(rest, F.lit("/"), F.lit(i + 1)) for i, n in enumerate(names)})
     return out if keep_filename else out.drop("filename")
 

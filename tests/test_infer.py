@@ -56,7 +56,7 @@ def test_q9_missing_json_key_is_nullable(spark):
 
 def test_json_arrays_become_lines(spark):
     d = spark.createDataFrame([("f", json.dumps([{"a": 1}, {"a": True}]))], "file string, content string")
-    assert [r.type for r in infer.infer_json(infer.array_lines(d)).collect()] == ["string"]
+    assert [r.type for r in infer.infer_json(infer.json_lines(d)).collect()] == ["string"]
 
 
 def test_q18_estimates(spark):
@@ -75,7 +75,7 @@ def test_sample_stats_and_rows(spark):
 
 def test_heads_footers_and_the_whole_dispatch(spark, tmp_path):
     from lakescan.plans.crawl import infer_schemas
-    from lakescan.sources.files import footers, heads, orc_columns
+    from lakescan.sources.files import footers, heads, orc_footers
 
     (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n")
     with gzip.open(tmp_path / "b.csv.gz", "wt") as f:
@@ -93,7 +93,7 @@ def test_heads_footers_and_the_whole_dispatch(spark, tmp_path):
     assert got["a.csv"] == [("id", "integer"), ("name", "string")] and got["b.csv.gz"] == [("id", "integer"), ("v", "float")] and got["c.jsonl"] == [("k", "string")] and got["d.json"] == [("z", "boolean")]
     assert got[pq.name] == [("id", "bigint"), ("d", "decimal(10,2)"), ("t", "timestamp_ntz")]
     assert {r.num_rows for r in footers(reps.where("format = 'parquet'")).collect()} == {3}
-    assert {(r.name, r.type, r.num_rows) for r in orc_columns(spark, [str(orc)]).collect()} == {("id", "bigint", 4)}
+    assert {(r.name, r.type, r.num_rows) for r in orc_footers(spark.createDataFrame([(str(orc),)], "file string")).collect()} == {("id", "bigint", 4)}
     assert heads(reps.where("format = 'csv'"), 9).where("file LIKE '%a.csv'").count() == 1  # a cut line is not a line
 
 
