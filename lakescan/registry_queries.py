@@ -6,6 +6,9 @@ layouts, table-format markers, hidden files, five buckets' worth of sizes, class
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +21,11 @@ from .operators import changes as CH
 from .operators import datasets as D
 from .operators import infer as I
 from .operators import profile as P
-from .plans import sqlapi
+from .operators.catalog import Catalog
+from .plans import crawl, sqlapi
+from .sources import files as FILES
 from .sources import inventory as INV
+from .sources import readers as R
 
 KEY = """CASE o_orderkey % 6
 WHEN 0 THEN 'orders/year=' || year(o_orderdate) || '/month=' || lpad(month(o_orderdate) || '', 2, '0') || '/part-' || o_orderkey || '.parquet'
@@ -573,6 +579,156 @@ def registration_counts(spark, sf_dir):
     return registrations(entries, d)
 
 
+# ---- files written from the tables and read back (E, F, G) ----
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lakescan-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, root: str, fmt: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in R.folder_files(spark, root, fmt)], "file string")
+
+
+@registered("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus AS status FROM orders", "")
+def folder_of_text(spark, sf_dir):
+    """A positional folder of compressed files with ``;`` between the cells."""
+    root, o = _scratch(spark, "text"), read(spark, sf_dir, "orders")
+    for status in ("F", "O", "P"):
+        o.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").write.option("sep", ";").option("header", True).option("compression", "gzip").csv(f"{root}/{status}")
+    d = R.with_path_partitions(R.read_folder(spark, root, "csv"), root, ["status"])
+    return d.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), F.col("o_totalprice").cast("double"), "o_orderpriority", "status")
+
+
+@registered("SELECT o_orderkey, o_totalprice, o_orderstatus, strftime(o_orderdate, '%m') AS month FROM orders", "")
+def folder_of_hive_parquet(spark, sf_dir):
+    root = _scratch(spark, "hive")
+    read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "MM").alias("month")).write.partitionBy("o_orderstatus", "month").parquet(root)
+    return R.read_folder(spark, root, "parquet").select("o_orderkey", "o_totalprice", "o_orderstatus", "month")
+
+
+@registered("SELECT event_id, event_type, user_id FROM events", "")
+def folder_of_json(spark, sf_dir):
+    root = _scratch(spark, "json")
+    read(spark, sf_dir, "events").select("event_id", "event_type", "user_id").write.json(root)
+    d = R.read_folder(spark, root, "json", options=R.ReadOptions(filename=False))
+    return d.select(F.col("event_id").cast("long"), "event_type", F.col("user_id").cast("long"))
+
+
+FOOTERS = "SELECT name, type, n AS rows FROM (SELECT unnest(['k', 'p', 't']) AS name, unnest(['bigint', 'string', 'double']) AS type), (SELECT count(*) AS n FROM orders)"
+
+
+def _narrow(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").cast("double").alias("t")).repartition(5, "k")
+
+
+def _footer_query(fmt: str, read_footers):
+    def run(spark, sf_dir):
+        root = _scratch(spark, fmt)
+        _narrow(spark, sf_dir).write.format(fmt).save(root)
+        return read_footers(_files(spark, root, fmt)).groupBy("name", "type").agg(F.sum("num_rows").alias("rows"))
+
+    return run
+
+
+QUERIES["parquet_footers"], SQL["parquet_footers"] = _footer_query("parquet", FILES.footers), FOOTERS
+QUERIES["orc_footers"], SQL["orc_footers"] = _footer_query("orc", FILES.orc_footers), FOOTERS
+
+
+@registered("SELECT f AS format, pos, name, CASE WHEN f IN ('csv', 'json') AND type = 'bigint' THEN 'integer' WHEN f IN ('csv', 'json') AND type = 'double' THEN 'float' ELSE type END AS type, n AS files_rows FROM (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS f), (SELECT unnest([0, 1, 2]) AS pos, unnest(['k', 'p', 't']) AS name, unnest(['bigint', 'string', 'double']) AS type), (SELECT count(*) AS n FROM orders)", "")
+def schema_dispatch(spark, sf_dir):
+    """Every format's schema by one crawl, with the rows that the files hold."""
+    root, d = _scratch(spark, "dispatch"), _narrow(spark, sf_dir)
+    reps = None
+    for fmt in ("csv", "json", "orc", "parquet"):
+        (d.write.option("header", True) if fmt == "csv" else d.write).format(fmt).save(f"{root}/{fmt}")
+        own = _files(spark, f"{root}/{fmt}", fmt).withColumn("format", F.lit(fmt))
+        reps = own if reps is None else reps.unionByName(own)
+    found = crawl.infer_schemas(spark, reps).join(reps, "file").groupBy("format", "pos", "name").agg(F.max("type").alias("type"))
+    return found.crossJoin(d.agg(F.count("*").alias("files_rows")))  # one row
+
+
+@registered("SELECT o_orderkey AS k, o_custkey AS c FROM orders", "")
+def read_selection(spark, sf_dir):
+    """Files of int and of bigint members picked by hand, read as their merged schema."""
+    root, o = _scratch(spark, "selection"), read(spark, sf_dir, "orders")
+    for name, kind in (("a", "int"), ("b", "long")):
+        o.where(F.col("o_orderkey") % 2 == (1 if name == "b" else 0)).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast(kind).alias("c")).write.parquet(f"{root}/{name}")
+    own = Catalog(spark, f"{root}/catalog")
+    name = "selection_" + uuid.uuid4().hex
+    return own.register(name, "", "parquet", paths=R.folder_files(spark, f"{root}/a", "parquet") + R.folder_files(spark, f"{root}/b", "parquet"), options=R.ReadOptions(filename=False)).select("k", "c")
+
+
+@registered("""SELECT 'f' || c AS file, i AS pos, CASE WHEN c % 2 = 0 THEN ['id', 'prio', 'col_3', 'id_2'][i + 1] ELSE 'col_' || (i + 1) END AS name, c % 2 = 0 AS has_header FROM (SELECT DISTINCT o_custkey AS c FROM orders), (SELECT unnest([0, 1, 2, 3]) AS i)""", "")
+def text_headers(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    body = o.selectExpr("'f' || o_custkey AS file", "o_orderkey AS line_no", "o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || ',x' AS line")
+    top = o.where("o_custkey % 2 = 0").selectExpr("'f' || o_custkey AS file", "-1L AS line_no", "' id ,prio,,id' AS line").distinct()
+    lines = body.unionByName(top)
+    cells = I.split_cells(lines, lines.select("file").distinct().withColumn("delimiter", F.lit(",")))
+    headers = I.detect_headers(cells)
+    return I.header_names(cells, headers).join(headers, "file")
+
+
+@registered("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN floor(o_totalprice) <= 100000 THEN o_custkey ELSE floor(floor(o_totalprice) / (100000 / greatest(o_custkey, 1)))::BIGINT END AS rows FROM orders""", "")
+def row_estimates(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    size, rows = F.floor("o_totalprice"), F.col("o_custkey").cast("long")
+    return o.select("o_orderkey", I.estimated_rows(F.lit(100_000), rows, size, F.col("o_orderkey") % 3 == 0).cast("long").alias("rows"))
+
+
+@registered(f"WITH {VERDICTS} SELECT file_idx, 'csv' AS format, verdict, reason FROM v", "")
+def compat_one_format(spark, sf_dir):
+    from .operators.compat import group_files, read_as
+
+    return group_files(read_as(_file_columns(spark, sf_dir), "csv"))[0]
+
+
+@registered("""SELECT 'parquet' AS format, count(*) AS members, 0::BIGINT AS rejected, count(*) FILTER (s_suppkey % 2 = 0) AS widened, sum(10 * s_suppkey)::BIGINT AS bytes, true AS is_primary, false AS mixed_format, 'struct<v:double>' AS merged FROM supplier""", "")
+def compat_widened(spark, sf_dir):
+    from .operators.compat import group_files, summarize
+
+    s = read(spark, sf_dir, "supplier")
+    columns = s.selectExpr("s_suppkey AS file_idx", "'parquet' AS format", "0 AS pos", "'v' AS name", "CASE WHEN s_suppkey % 2 = 0 THEN 'double' ELSE 'int' END AS type")
+    verdicts, merged = group_files(columns)
+    return summarize(verdicts, s.selectExpr("s_suppkey AS file_idx", "10 * s_suppkey AS size")).withColumn("merged", F.lit(merged["parquet"].simpleString()))
+
+
+@registered("SELECT CASE WHEN count(DISTINCT o_custkey % 3) > 1 THEN 'web_sales' ELSE 'x' END AS name FROM orders", "")
+def common_table_name(spark, sf_dir):
+    from .operators.compat import common_table_name as common
+
+    return common(read(spark, sf_dir, "orders").selectExpr("'lake/Web Sales/' || (o_custkey % 3) || '/' || o_orderkey || '.csv' AS key"), "csv")
+
+
+@registered("""SELECT name, is_folder, size FROM (SELECT substr(key, 6) AS name, false AS is_folder, size FROM inv WHERE bucket = 'b1' AND starts_with(key, 'flat/')) ORDER BY size DESC, name LIMIT 30""")
+def listing_by_size(spark, sf_dir):
+    listing = INV.children(inventory(spark, sf_dir).where("bucket = 'b1'"), "flat/")
+    return INV.sort_listing(listing, "size", True).select("name", "is_folder", "size").limit(30)
+
+
+@registered("""SELECT bucket, key, size FROM folded WHERE bucket = 'b1' AND root = 'orders' ORDER BY key LIMIT 50""", "inv cls folded")
+def dataset_objects(spark, sf_dir):
+    from .operators.catalog import dataset_detail
+
+    objects = folded(spark, sf_dir)
+    none = D.partition_summary(objects)
+    parts = dataset_detail("b1", "orders", D.roll_up(objects), none.withColumn("pos", F.lit(0)), none, none, objects)
+    return parts["objects"].select("bucket", "key", "size")
+
+
+@registered("""SELECT 'c_custkey' AS "column", 'numeric' AS kind, count(*) AS count, count(c_custkey) AS non_null FROM customer UNION ALL SELECT 'c_name', 'string', count(*), count(c_name) FROM customer UNION ALL SELECT 'c_nationkey', 'numeric', count(*), count(c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', 'numeric', count(*), count(c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', 'string', count(*), count(c_mktsegment) FROM customer""", "")
+def sql_summarize(spark, sf_dir):
+    read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return sqlapi.query(spark, "SUMMARIZE customer", None)[0].select("column", "kind", "count", "non_null")
+
+
 # ---- SQL over views (G19-G21) ----
 
 
