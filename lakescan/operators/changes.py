@@ -23,14 +23,14 @@ def difference(listing: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def upsert(previous: DataFrame, listing: DataFrame, now: Column, full: bool = False) -> DataFrame:
-    """The stored inventory after a listing. Known objects keep id and created_at; a full run rewrites all listed rows, an incremental one only new and changed rows."""
-    state = [F.col(c) for c in listing.columns]
-    d = difference(listing, previous).where("change <> 'removed'" if full else "change IN ('new', 'changed')").select(*OBJECT)
-    touched = listing.join(d, OBJECT, "left_semi").select(*state)
-    kept = previous.select(*OBJECT, F.col("id").alias("_id"), F.col("created_at").alias("_created"))
+    """The stored inventory after a listing, by one full join. Known objects keep id and created_at; a full run rewrites all listed rows, an incremental one only new and changed rows; objects that are gone stay."""
+    whole = lambda d, name: hashed(d).select(*OBJECT, F.struct(*d.columns, "hash").alias(name))
+    d = whole(previous, "_then").join(whole(listing, "_now"), OBJECT, "full")
+    fresh = F.col("_now").isNotNull() if full else F.col("_now").isNotNull() & (F.col("_then").isNull() | (F.col("_now.hash") != F.col("_then.hash")))
     identity = F.substring(F.sha2(F.concat_ws("/", "bucket", "key"), 256), 1, 32)
-    fresh = touched.join(kept, OBJECT, "left").withColumns({"id": F.coalesce("_id", identity), "created_at": F.coalesce("_created", now), "updated_at": now}).drop("_id", "_created")
-    return previous.join(d, OBJECT, "left_anti").unionByName(fresh.select(*previous.columns))
+    made = {"id": F.coalesce("_then.id", identity), "created_at": F.coalesce("_then.created_at", now), "updated_at": now}
+    own = lambda c: F.col(c) if c in OBJECT else F.when(F.col("_fresh"), made[c] if c in made else F.col(f"_now.{c}")).otherwise(F.col(f"_then.{c}")).alias(c)
+    return d.withColumn("_fresh", fresh).select(*map(own, previous.columns))
 
 
 def run_metrics(listing: DataFrame, changes: DataFrame, datasets: DataFrame) -> DataFrame:

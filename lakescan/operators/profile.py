@@ -49,6 +49,29 @@ def _texts(df: DataFrame, names: list[str], as_text) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.column", "x.value")
 
 
+def exact_quantiles(df: DataFrame, names: list[str], at: list[float], pieces: int = 64) -> DataFrame:
+    """(column, q): exact quantiles with linear interpolation, q having one value for each of ``at``.
+
+    Values are counted, cut into ``pieces`` by approximate quantiles of themselves, and ranked only within the pieces that
+    the wanted ranks fall in, so that no column's values meet in one task.
+    """
+    counts = _texts(df, names, lambda c: _name(c).cast("double")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    cuts = counts.groupBy("column").agg(F.percentile_approx("value", [i / pieces for i in range(1, pieces)]).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "column").withColumn("piece", F.aggregate("cuts", F.lit(0), lambda k, cut: k + (cut < F.col("value")).cast("int"))).drop("cuts")  # a row a column
+    by = Window.partitionBy("column")
+    sums = counts.groupBy("column", "piece").agg(F.sum("n").alias("n"))  # some pieces a column
+    sums = sums.withColumns({"before": F.sum("n").over(by.orderBy("piece")) - F.col("n"), "total": F.sum("n").over(by)})
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.expr(f"{'floor' if side == 0 else 'ceil'}({q}D * (total - 1))").cast("long").alias("rank"), (F.lit(q) * (F.col("total") - 1)).alias("place")) for i, q in enumerate(at) for side in (0, 1)])
+    wanted = sums.select("column", "piece", "before", "n", F.explode(ranks).alias("w")).where("w.rank >= before AND w.rank < before + n").select(F.col("column").alias("_c"), F.col("piece").alias("_p"), "before", "w.*")
+    found = counts.join(F.broadcast(wanted), (F.col("column") == F.col("_c")) & (F.col("piece") == F.col("_p")))  # a few rows a column
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column", "piece", "i", "side").orderBy("value"))
+    found = found.withColumn("upto", upto).where("upto > rank").groupBy("column", "i", "side", "rank", "place").agg(F.min("value").alias("value"))
+    low, high = F.max(F.when(F.col("side") == 0, F.col("value"))), F.max(F.when(F.col("side") == 1, F.col("value")))
+    share = F.max(F.when(F.col("side") == 0, F.col("place") - F.col("rank")))
+    each = found.groupBy("column", "i").agg((low + share * (high - low)).alias("value"))
+    return each.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("q"))
+
+
 def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
     """H2, H5: one row a column: count, non_null, distinct, min and max as text, mean, stddev, median, lengths, null_pct, distinct_pct.
 
@@ -66,7 +89,7 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
         rows.append(F.struct(
             F.lit(c).alias("column"), F.lit(k).alias("kind"), F.count("*").alias("count"), F.count(x).alias("non_null"), d.alias("distinct"),
             (F.min(x).cast("string") if ordered else text).alias("min"), (F.max(x).cast("string") if ordered else text).alias("max"),
-            (F.avg(v) if k == "numeric" else num).alias("mean"), (F.stddev_pop(v) if k == "numeric" else num).alias("stddev"), ((F.percentile(v, 0.5) if exact else F.percentile_approx(v, 0.5)) if k == "numeric" else num).cast("double").alias("median"),
+            (F.avg(v) if k == "numeric" else num).alias("mean"), (F.stddev_pop(v) if k == "numeric" else num).alias("stddev"), (F.percentile_approx(v, 0.5) if k == "numeric" and not exact else num).cast("double").alias("median"),
             (F.min(length).cast("long") if k == "string" else null).alias("min_length"), (F.max(length).cast("long") if k == "string" else null).alias("max_length"), (F.avg(length) if k == "string" else num).alias("avg_length"),
         ))
     out = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
@@ -75,6 +98,9 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
         pairs = _texts(df, list(ks), lambda c: _text(df, c)).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
         n = pairs.groupBy("column").agg(F.count("*").alias("_distinct"))
         out = out.join(F.broadcast(n), "column", "left").withColumn("distinct", F.coalesce("_distinct", F.lit(0))).drop("_distinct")  # a row a column
+        if "numeric" in ks.values():
+            medians = exact_quantiles(df, [c for c, k in ks.items() if k == "numeric"], [0.5])
+            out = out.join(F.broadcast(medians), "column", "left").withColumn("median", F.get("q", F.lit(0))).drop("q")  # a row a column
     share = lambda a, b: F.when(b > 0, F.least(a / b, F.lit(1.0))).otherwise(0.0)
     return out.withColumns({"null_pct": share(F.col("count") - F.col("non_null"), F.col("count")), "distinct_pct": share(F.col("distinct"), F.col("non_null"))})
 
@@ -137,14 +163,15 @@ def extended(df: DataFrame) -> DataFrame:
     rows = []
     for c, k in ks.items():
         v = _name(c).cast("double") if k == "numeric" else None
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if k == "numeric" else F.lit(None).cast("array<double>")
-        rows.append(F.struct(F.lit(c).alias("column"), (F.var_pop(v) if k == "numeric" else num).alias("variance"), q.alias("q")))
+        rows.append(F.struct(F.lit(c).alias("column"), (F.var_pop(v) if k == "numeric" else num).alias("variance")))
     stats = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     counts = _texts(df, list(ks), lambda c: _name(c).cast("string")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
     # entropy = log2(N) - sum(n log2 n) / N, so that counts need not be joined with their total
     entropy = counts.groupBy("column").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
     whole = df.groupBy(*[_name(c) for c in df.columns if ks.get(c)]).agg(F.count("*").alias("_rows")).select("_rows").agg((1 - F.count("*") / F.sum("_rows")).alias("duplicate_ratio"))
-    out = stats.join(F.broadcast(entropy), "column", "left").join(F.broadcast(whole), F.lit(True))  # a row a column; one row
+    numeric = [c for c, k in ks.items() if k == "numeric"]
+    quantiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else df.sparkSession.createDataFrame([], "column string, q array<double>")
+    out = stats.join(F.broadcast(entropy), "column", "left").join(F.broadcast(quantiles), "column", "left").join(F.broadcast(whole), F.lit(True))  # a row a column; one row
     return out.select("column", "variance", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "entropy", "duplicate_ratio")
 
 
@@ -152,4 +179,4 @@ def summarize(df: DataFrame, exact: bool = False) -> DataFrame:
     """The scalars with badges and top values as one row a column."""
     top = top_values(df).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("top_values"))
     s = scalars(df, exact)
-    return s.join(F.broadcast(badged(df, exact)), "column", "left").join(F.broadcast(top), "column", "left")  # a row a column
+    return s.join(F.broadcast(badged(df, exact, s)), "column", "left").join(F.broadcast(top), "column", "left")  # a row a column

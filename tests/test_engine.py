@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -120,6 +121,18 @@ def test_profile_goldens(spark):
     assert e["s"].entropy == pytest.approx(1.5) and e["n"].duplicate_ratio == pytest.approx(0.25) and e["n"].variance == pytest.approx(2.75)
 
 
+def test_exact_quantiles(spark):
+    r = random.Random(3)
+    values = {"a": [r.choice([0.0, 0.0, 0.0, 1.0, 7.5, None, -3.0]) for _ in range(200)], "b": [r.gauss(0, 1) for _ in range(200)], "c": [5.0] * 200, "d": [None] * 199 + [2.0]}
+    d = spark.createDataFrame(list(zip(*values.values(), strict=True)), "a double, b double, c double, d double")
+    at = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {x.column: x.q for x in P.exact_quantiles(d, list(values), at, 7).collect()}
+    for c, v in values.items():
+        v = sorted(x for x in v if x is not None)
+        places = [q * (len(v) - 1) for q in at]
+        assert got[c] == pytest.approx([v[int(p)] + (p - int(p)) * (v[min(int(p) + 1, len(v) - 1)] - v[int(p)]) for p in places])
+
+
 def test_readers(spark, tmp_path):
     d = tmp_path / "feed" / "2023-10-11"
     d.mkdir(parents=True)
