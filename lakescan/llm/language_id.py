@@ -30,6 +30,7 @@ from .common import checkpoint
 from .html_text import blocks, url_host
 
 BITS = 16
+SHARES = 256  # into which the candidates of a language are dealt; they change no result
 DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 LETTERS = re.compile(r"[\W\d_]+")
 
@@ -81,8 +82,10 @@ def train(docs: DataFrame, each: int = 400, chars_most: int = 20_000, chars_leas
     # The sample is drawn from narrow rows, whose number a language is bounded before they are shuffled.
     keys = ["lang", "order", "text_hash", "at"]
     narrow = d.select(*keys, (F.length("piece") < chars_least).alias("short")).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("short", "order", "text_hash", "at"))
-    taken = narrow.withColumn("place", place).where(F.col("place") <= each)
+    order = ["short", "order", "text_hash", "at"]
+    first = lambda d, *by: d.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= each)
+    # The first ones of each share of a language, then the first of those: no task gets more of a hot language.
+    taken = first(first(narrow.withColumn("share", F.pmod("text_hash", F.lit(SHARES))), "lang", "share"), "lang")
     taken = taken.withColumn("only_short", F.min("short").over(Window.partitionBy("lang"))).where(~F.col("short") | F.col("only_short"))
     pieces = d.join(F.broadcast(taken.select(*keys)), keys, "left_semi").dropDuplicates(keys).select("lang", "piece")
     rows = pieces.groupBy("lang").applyInArrow(_counted, "lang string, counts binary").collect()  # a row a language

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lakescan.llm import language_id
 
@@ -75,3 +76,13 @@ def test_a_long_text_gives_all_its_pieces_and_short_ones_give_way(spark):
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_most=120)
     at = lambda s: np.concatenate(list(language_id.trigrams(s)))
     assert model.log_p[at("zzz")[1], 0] > model.log_p[at("qqq")[1], 0] == model.log_p.min()
+
+
+def test_query_over_pages_and_documents(spark):
+    docs = labelled(spark).withColumn("source", F.lit("wiki")).selectExpr("*", "1 AS kind", "2 AS id", "3 AS url", "4 AS p")
+    docs = docs.unionByName(spark.createDataFrame([(900, None, None, None), (901, "", "en", "x"), (902, "der alte hund und der wald " * 4_000, None, None)], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS kind", "2 AS id", "3 AS url", "4 AS p"))
+    pages = spark.createDataFrame([(1, None, "<p>der alte hund läuft durch den wald</p>"), (2, "http://b.com/", None), (2, "http://b.com/", None), (3, "http://b.com/", "<p>the old dog runs through the forest</p>" * 2_000)], "page_id long, url string, html string").selectExpr("*", "1 AS kind", "2 AS text", "3 AS host", "4 AS lang")
+    got = language_id.query(pages, docs).collect()
+    by_doc, by_page = {r.doc_id: r.language for r in got if r.doc_id is not None}, {r.page_id: r.language for r in got if r.page_id is not None}
+    assert len(got) == 67 and by_doc[902] == "de" and by_page[1] == "de" and by_page[3] == "en" and all(by_doc[i] == ("en" if i % 2 else "de") for i in range(60))
+    assert language_id.query(pages.where("false"), docs.where("false")).count() == 0
