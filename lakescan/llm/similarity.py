@@ -307,6 +307,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lowest = linked.groupBy("component").agg(F.min("rep").alias("low"))
     linked = linked.join(lowest, "component").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low", "links")
     classes = classes.join(linked, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.coalesce("low", "rep").alias("low"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    # Written first, so that both sides are shuffled for the join and a class of very many copies can be split.
+    classes = checkpoint(classes)
     out = rows.join(classes, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
