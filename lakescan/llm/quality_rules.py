@@ -66,7 +66,8 @@ def line_removals(docs: DataFrame, text: str = "text", host: str = "source", min
     d = docs.select(F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = d.select("host", *text_keys(F.col("t")), hashed.alias("l")).groupBy("host", "text_a", "text_b").agg(F.first("l").alias("l"), F.count("*").alias("copies"))
     lines = texts.select("host", "text_a", "text_b", "copies", F.explode("l").alias("l")).groupBy("host", "text_a", "text_b", "l.line").agg(F.first("copies").alias("copies"), F.sum("l.n").alias("n"), F.count("*").alias("times"), F.collect_list("l.i").alias("at"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(1000 * min_documents), F.sum("copies") * per_mille).alias("most"))
+    lines = checkpoint(lines)  # hashes and places, read twice
+    limits = d.groupBy("host").agg(F.greatest(F.lit(1000 * min_documents), F.count("*") * per_mille).alias("most"))
     often = lines.groupBy("host", "line").agg(F.sum("copies").alias("documents"), F.count("*").alias("texts")).where(F.col("texts") > min_texts)
     often = often.join(limits, often.host.eqNullSafe(limits.host)).where("1000 * documents > most").select(often.host.alias("h"), F.col("line").alias("often"))
     return lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).groupBy("host", "text_a", "text_b").agg(F.sum("n").alias("words_removed"), F.sum("times").alias("lines_removed"), F.flatten(F.collect_list("at")).alias("removed"))
