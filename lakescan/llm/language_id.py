@@ -30,7 +30,7 @@ from .common import checkpoint
 from .html_text import blocks, url_host
 
 BITS = 16
-SHARES = 256  # into which the candidates of a language are dealt; they change no result
+SHARES = 32  # into which the candidates of a language are dealt; they change no result
 DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 LETTERS = re.compile(r"[\W\d_]+")
 
