@@ -193,8 +193,8 @@ FOUND_TYPE = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64
 def _by_word(places: np.ndarray, words: np.ndarray) -> dict[int, np.ndarray]:
     order = np.argsort(words, kind="stable")
     words, places = words[order], places[order]
-    edges = np.flatnonzero(np.diff(words)) + 1
-    return {int(w[0]): p for w, p in zip(np.split(words, edges), np.split(places, edges), strict=True) if len(w)}
+    edges = [0, *(np.flatnonzero(words[1:] != words[:-1]) + 1).tolist(), len(words)]
+    return {int(words[a]): places[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b}
 
 
 def _scan(index: Index):
