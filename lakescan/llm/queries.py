@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, embedding_dedup, html_text, language_id, license_scan, line_dedup, mixing, packing, quality_rules, similarity, toxicity, warc
+from . import collocations, embedding_dedup, hard_negatives, html_text, language_id, license_scan, line_dedup, mixing, packing, quality_rules, similarity, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op11_license_scan": _documents(license_scan.query),
     "op12_collocations": _documents(collocations.query),
+    "op13_hard_negatives": lambda spark, sf_dir: hard_negatives.query(table(spark, sf_dir, "embeddings")),
     "op2_mixing": _documents(mixing.query),
     "op3_packing": _documents(packing.query),
     "op4_html_extraction": lambda spark, sf_dir: html_text.query(table(spark, sf_dir, "pages")),
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op12_collocations": collocations.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
     "op2_mixing": mixing.SQL,
     "op6_ngram_jaccard_join": similarity.SQL,
     "op7_quality_rules": quality_rules.SQL,
