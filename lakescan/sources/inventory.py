@@ -9,12 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import compression_of, format_of
+from . import listing
 
 SCHEMA = "bucket string, key string, size long, etag string, storage_class string, version_id string, modified timestamp_ntz"
 
 
 def list_folder(spark: SparkSession, root: str, bucket: str, markers: bool = True) -> DataFrame:
-    """A1: a recursive listing without reading contents. Names that start with ``_`` or ``.`` are hidden from Spark's listing; ``_delta_log`` folders are listed by a glob for each depth that the keys have."""
+    """A1: a recursive listing without reading contents, by tasks; ``markers=False`` leaves out what stands in ``_delta_log`` folders."""
+    try:
+        listing.store_of(root)
+    except Exception:  # a store that only Spark's readers know
+        return _listed_by_spark(spark, root, bucket, markers)
+    d = listing.objects(spark, root, bucket)
+    return d if markers else d.where(~F.concat(F.lit("/"), "key").contains("/_delta_log/"))
+
+
+def _listed_by_spark(spark: SparkSession, root: str, bucket: str, markers: bool) -> DataFrame:
+    """Spark hides names that start with ``_`` or ``.``; ``_delta_log`` folders are listed by a glob for each depth that has folders."""
     root = root.rstrip("/")
     listed = lambda path: spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
@@ -23,12 +34,12 @@ def list_folder(spark: SparkSession, root: str, bucket: str, markers: bool = Tru
     key = F.substring(F.col("path"), F.instr("path", tail) + len(tail), F.length("path"))
     if markers:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        deepest = found.agg(F.max(F.size(F.split(key, "/")))).first()[0] or 1
-        for depth in range(deepest):
-            glob = root + "/*" * depth + "/_delta_log/*.json"
-            p = jvm.org.apache.hadoop.fs.Path(glob)
-            if p.getFileSystem(conf).globStatus(p):
-                found = found.unionByName(listed(glob))
+        there = lambda glob: (p := jvm.org.apache.hadoop.fs.Path(glob)).getFileSystem(conf).globStatus(p)
+        stem = root
+        while there(stem):
+            if there(f"{stem}/_delta_log/*.json"):
+                found = found.unionByName(listed(f"{stem}/_delta_log/*.json"))
+            stem += "/*"
     none = F.lit(None).cast("string")
     return found.select(F.lit(bucket).alias("bucket"), key.alias("key"), F.col("length").alias("size"), none.alias("etag"), none.alias("storage_class"), none.alias("version_id"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
@@ -51,17 +62,17 @@ def children(inventory: DataFrame, prefix: str = "") -> DataFrame:
     return g.select("bucket", "name", "is_folder", key.alias("key"), file(F.col("_size")).alias("size"), file(F.col("_modified")).alias("modified"), file(format_of(F.col("name"))).alias("format"), file(compression_of(F.col("name"))).alias("compression"), "objects")
 
 
-def sort_listing(listing: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+def sort_listing(found: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
     """Folders first, always by name; files by name, size or modified, ties by name."""
     key = F.when(~F.col("is_folder"), F.col(by)) if by != "name" else F.col("name")
     order = key.desc() if descending else key.asc()
     by_name = F.when(F.col("is_folder"), F.col("name"))
-    return listing.orderBy(F.col("is_folder").desc(), by_name.asc(), order, F.col("name").asc())
+    return found.orderBy(F.col("is_folder").desc(), by_name.asc(), order, F.col("name").asc())
 
 
-def page(listing: DataFrame, cursor: str = "", limit: int = 100, search: str = "", name: str = "name") -> tuple[DataFrame, str, bool]:
+def page(found: DataFrame, cursor: str = "", limit: int = 100, search: str = "", name: str = "name") -> tuple[DataFrame, str, bool]:
     """The next ``limit`` rows by name after ``cursor`` whose name starts with ``search``; the new cursor, and whether more follow."""
-    d = listing.where(F.col(name) > cursor) if cursor else listing
+    d = found.where(F.col(name) > cursor) if cursor else found
     d = d.where(F.lower(name).startswith(search.lower())) if search else d
     top = d.orderBy(name).limit(limit + 1)
     names = [r[0] for r in top.select(name).collect()]  # one page
