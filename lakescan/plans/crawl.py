@@ -39,7 +39,7 @@ def infer_schemas(spark: SparkSession, representatives: DataFrame) -> DataFrame:
     of = lambda *kinds: representatives.where(F.col("format").isin(*kinds)).select("file")
     plain = ["file", F.col("pos").cast("int").alias("pos"), "name", "type", "nullable"]
     found = [
-        infer_text(heads(of("csv"))), infer_text(heads(of("tsv")), delimiter="\t"), infer_json(heads(of("jsonl"))), infer_json(json_lines(contents(of("json")))), footers(of("parquet")), orc_footers(of("orc")),
+        infer_text(heads(of("csv"), quoted=True)), infer_text(heads(of("tsv"), quoted=True), delimiter="\t"), infer_json(heads(of("jsonl"))), infer_json(json_lines(contents(of("json")))), footers(of("parquet")), orc_footers(of("orc")),
         *(f for kind in ("delta", "iceberg") if (f := _table_schemas(spark, of(kind), kind)) is not None), *_avro_schemas(spark, of("avro")),
     ]
     return reduce(DataFrame.unionByName, [d.select(*plain) for d in found])

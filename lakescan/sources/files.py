@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 262_144
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
+SEPARATORS = b",;|\t"
 LINE = "file string, line_no long, line string"
 FOOTER = "file string, pos int, name string, type string, nullable boolean, num_rows long, codec string"
 
@@ -28,24 +30,35 @@ def _open(path: str):
     return fs.FileSystem.from_uri(quote(path, safe="/:@%?=&+,;!$'()*~"))
 
 
-def heads(paths: DataFrame, head_bytes: int = HEAD_BYTES, partitions: int | None = None) -> DataFrame:
-    """(file, line_no, line) of the first bytes of each file in ``paths`` (file); gzip, bz2, zstd and lz4 by suffix, four times the bytes then."""
+def tasks(d: DataFrame, *keys: str) -> DataFrame:
+    """Rows that each stand for much work, over as many tasks as shuffles have: adaptive execution would put such small rows into one."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def heads(paths: DataFrame, head_bytes: int = HEAD_BYTES, partitions: int | None = None, quoted: bool = False) -> DataFrame:
+    """(file, line_no, line) of the first bytes of each file in ``paths`` (file); gzip, bz2, zstd and lz4 by suffix, four times the bytes then. With ``quoted`` lines are records, whose quotes may hold line ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("file").to_pylist():
                 store, name = _open(path)
                 with store.open_input_stream(name) as f:  # a known compression suffix is decoded
-                    most = head_bytes * (4 if name.endswith((".gz", ".bz2", ".zst", ".lz4")) else 1)
+                    most = head_bytes * (4 if name.endswith(COMPRESSED) else 1)
                     data = f.read(most)
                 whole = len(data) < most
-                lines = data.decode("utf-8", "replace").removeprefix("\ufeff").split("\n")
-                lines = lines[: None if whole and lines[-1] else -1]  # a line cut at the end is not one
+                if quoted:
+                    from .records import whole_records
+
+                    found, open_ = whole_records(data.removeprefix(b"\xef\xbb\xbf"), SEPARATORS)
+                    lines = [x.decode("utf-8", "replace") for x in (found[:-1] if open_ and not whole else found)]
+                else:
+                    lines = data.decode("utf-8", "replace").removeprefix("\ufeff").split("\n")
+                    lines = lines[: None if whole and lines[-1] else -1]  # a line cut at the end is not one
                 lines = [x.removesuffix("\r") for x in lines]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "line"])
 
     d = paths.select("file")
-    return (d.repartition(partitions) if partitions else d.repartition("file")).mapInArrow(run, LINE)
+    return (d.repartition(partitions) if partitions else tasks(d, "file")).mapInArrow(run, LINE)
 
 
 def footers(paths: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def footers(paths: DataFrame) -> DataFrame:
                 types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "pos", "name", "type", "nullable", "num_rows", "codec"])
 
-    return paths.select("file").repartition("file").mapInArrow(run, FOOTER)
+    return tasks(paths.select("file"), "file").mapInArrow(run, FOOTER)
 
 
 def described(spark: SparkSession, df: DataFrame, file: str = "") -> DataFrame:
@@ -96,7 +109,7 @@ def orc_footers(paths: DataFrame) -> DataFrame:
                 types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "pos", "name", "type", "nullable", "num_rows", "codec"])
 
-    return paths.select("file").repartition("file").mapInArrow(run, FOOTER)
+    return tasks(paths.select("file"), "file").mapInArrow(run, FOOTER)
 
 
 def contents(paths: DataFrame) -> DataFrame:
@@ -110,7 +123,7 @@ def contents(paths: DataFrame) -> DataFrame:
                     text = f.read().decode("utf-8", "replace").removeprefix("\ufeff")
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["file", "content"])
 
-    return paths.select("file").repartition("file").mapInArrow(run, "file string, content string")
+    return tasks(paths.select("file"), "file").mapInArrow(run, "file string, content string")
 
 
 def avro_columns(spark: SparkSession, path: str) -> DataFrame:

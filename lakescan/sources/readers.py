@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import format_of
 
@@ -41,34 +45,130 @@ def _reader(spark: SparkSession, base: str | None):
 
 
 def _read_text(spark: SparkSession, paths: list[str], fmt: str, o: ReadOptions, base: str | None = None) -> DataFrame:
+    """Files of one delimiter and header line are one read; columns of several reads get the type that serves all, and keep their text where none does.
+
+    Files whose quotes hold line ends are cut into records by byte ranges (``sources.records``), which costs a scan of all
+    files to find them; all others go to Spark's reader, which splits them at line ends.
+    """
     from ..operators.infer import detect_headers, sniff_delimiters, split_cells
     from .files import heads
+    from .records import quoted_line_ends, ranges
 
     files = spark.createDataFrame([(p,) for p in paths], "file string")
-    lines = heads(files, 65_536).where(F.col("line_no") <= o.sample_size + 1)
+    lines = heads(files, 65_536, quoted=True).where(F.col("line_no") <= o.sample_size + 1)
     sep = "\t" if fmt == "tsv" else DELIMITERS.get(o.delimiter, "")
     delimiters = files.select("file", F.lit(sep).alias("delimiter")) if sep else sniff_delimiters(lines)
-    cells = split_cells(lines, delimiters)
-    found = {r.file: (r.delimiter, None) for r in delimiters.collect()}  # one row a file that is named
+    told = files.join(delimiters, "file", "left").join(lines.groupBy("file").agg(F.min_by("line", "line_no").alias("top")), "file", "left")
     if o.header == "auto":
-        has = {r.file: r.has_header for r in detect_headers(cells).collect()}
+        told = told.join(detect_headers(split_cells(lines, delimiters)), "file", "left")
     else:
-        has = {p: o.header == "present" for p in paths}
-    tops = {r.file: r.line for r in lines.where("line_no = 1").collect()}
+        told = told.withColumn("has_header", F.lit(o.header == "present"))
+    found = {r.file: (r.delimiter or ",", bool(r.has_header), r.top) for r in told.collect()}  # a row a file that is named
+    spans = ranges(spark.createDataFrame([(p, d) for p, (d, _, _) in found.items()], "file string, sep string"))
+    many = {r.file for r in quoted_line_ends(spans).collect()}
     groups: dict[tuple, list[str]] = {}
     for p in paths:
-        d = found.get(p, (",", None))[0]
-        header = has.get(p, False)
+        d, header, top = found[p]
         # One header is applied to all files of a read by position, so files are read by header line and united by name.
-        groups.setdefault((d, header, tops.get(p) if header and o.union_by_name else None), []).append(p)
+        groups.setdefault((d, header, top if header and (o.union_by_name or p in many) else None, p in many), []).append(p)
+    options = lambda d: {"sep": d, "escape": '"', "mode": "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE"}
     parts = []
-    for (d, header, _), own in groups.items():
-        r = _reader(spark, base).option("sep", d).option("header", header).option("inferSchema", True).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE")
-        df = r.csv(own)
-        if not header:
-            df = df.withColumnsRenamed({f"_c{i}": f"col_{i + 1}" for i in range(len(df.columns))})
-        parts.append(_named(df) if o.filename else df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for (d, header, top, by_record), own in groups.items():
+        if by_record:
+            parts.append(_Records(spark, own, d, header, top, options(d), base))
+        else:
+            parts.append(_Lines(spark, own, header, options(d), base))
+    schemas = [p.schema() for p in parts]
+    types = _common_types(schemas)
+    named = [p.read(T.StructType([T.StructField(f.name, types[f.name]) for f in s]), o.filename) for p, s in zip(parts, schemas, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def _common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """F2 for each column of several reads; text where no type serves all."""
+    from ..operators.compat import compatible
+
+    types: dict[str, T.DataType] = {}
+    for f in (f for s in schemas for f in s):
+        if f.name in types:
+            ok, _, merged = compatible(types[f.name], f.dataType)
+            types[f.name] = merged if ok else T.StringType()
+        else:
+            types[f.name] = f.dataType
+    return types
+
+
+class _Lines:
+    """Text files for Spark's reader."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], header: bool, options: dict, base: str | None) -> None:
+        self.paths, self.header = paths, header
+        self.reader = lambda: _reader(spark, base).options(header=header, **options)
+        self.base = base
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        return df if self.header else df.withColumnsRenamed({f"_c{i}": f"col_{i + 1}" for i in range(len(df.columns))})
+
+    def schema(self) -> T.StructType:
+        self.inferred = self.reader().option("inferSchema", True).csv(self.paths)
+        return self._own(self.inferred).schema
+
+    def read(self, schema: T.StructType, filename: bool) -> DataFrame:
+        given = T.StructType([T.StructField(f.name, g.dataType) for f, g in zip(self.inferred.schema, schema, strict=True)])
+        df = self._own(self.inferred if given == T.StructType([T.StructField(f.name, f.dataType) for f in self.inferred.schema]) else self.reader().schema(given).csv(self.paths))
+        return _named(df) if filename else df
+
+
+class _Records:
+    """Text files of one delimiter and header whose quotes hold line ends."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], sep: str, header: bool, top: str | None, options: dict, base: str | None) -> None:
+        from .records import ranges, records
+
+        found = records(ranges(spark.createDataFrame([(p, sep) for p in paths], "file string, sep string")))
+        self.rows = found.where("NOT first").select("file", "record") if header else found.select("file", "record")
+        self.spark, self.options, self.base = spark, options, base
+        self.names = header_names(next(csv.reader([top], delimiter=sep))) if header and top is not None else None
+
+    def schema(self) -> T.StructType:
+        texts = getattr(self.rows.select("record")._jdf, "as")(self.spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        read = self.spark._jsparkSession.read().options({k: str(v) for k, v in self.options.items()}).option("inferSchema", True)
+        found = T.StructType.fromJson(json.loads(read.csv(texts).schema().json()))
+        names = self.names or [f"col_{i + 1}" for i in range(len(found))]
+        kinds = [f.dataType for f in found] + [T.StringType()] * len(names)
+        return T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=False)] + self._folders())
+
+    def _folders(self) -> list[T.StructField]:
+        """Hive partitions below the base folder, as text."""
+        self.hive = []
+        if self.base:
+            first = self.rows.select("file").first()
+            self.hive = [x.split("=", 1)[0] for x in (first.file if first else "").split("/")[:-1] if "=" in x]
+        return [T.StructField(n, T.StringType()) for n in self.hive]
+
+    def read(self, schema: T.StructType, filename: bool) -> DataFrame:
+        own = T.StructType(list(schema)[: len(schema) - len(self.hive)])
+        bad = "_bad_record"
+        drop = self.options["mode"] == "DROPMALFORMED"
+        kinds = T.StructType([*own, T.StructField(bad, T.StringType())])
+        d = self.rows.select("file", F.from_csv("record", _ddl(kinds), {**self.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+        d = d.where(f"r.{bad} IS NULL") if drop else d
+        d = d.select("file", *[F.col("r").getField(f.name).alias(f.name) for f in own])
+        for n in self.hive:
+            d = d.withColumn(n, F.url_decode(F.replace(F.regexp_extract("file", rf"/{re.escape(n)}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))))
+        path = F.when(F.col("file").contains("://"), F.col("file")).otherwise(F.concat(F.lit("file:///"), F.regexp_replace("file", "^(file:)?/*", "")))
+        return d.withColumn("filename", path).drop("file") if filename else d.drop("file")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def header_names(cells: list[str]) -> list[str]:
+    """Names as Spark's reader makes them: blanks by place, repeated ones with their place added."""
+    names = [c if c else f"_c{i}" for i, c in enumerate(cells)]
+    lower = [n.lower() for n in names]
+    return [f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
 def _named(df: DataFrame) -> DataFrame:
