@@ -5,16 +5,19 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import datasets as D
-from ..operators.infer import infer_json, infer_text, json_lines
-from ..sources.files import avro_columns, contents, footers, heads, orc_footers
+from ..operators.infer import infer_json, infer_text
+from ..sources.files import avro_headers, footers, heads, orc_footers
+from ..sources.json_values import json_values
 from ..sources.table_formats import delta_tables, iceberg_tables
 
 
+SAMPLE_ROWS = 1000
+
+
 class Crawl(NamedTuple):
     objects: DataFrame
     datasets: DataFrame
@@ -31,18 +34,23 @@ def crawl(inventory: DataFrame, mode: str = "auto", crawl_root: str = "") -> Cra
 
 
 def infer_schemas(spark: SparkSession, representatives: DataFrame) -> DataFrame:
-    """(file, pos, name, type, nullable) of the representatives (file, format): each reader runs once on all its files.
+    """(file, pos, name, type, nullable, error) of the representatives (file, format): each reader runs once on all its files.
 
-    Delta and Iceberg representatives name their table's folder or a file in it; Avro needs Spark's module, without which
-    its files are left out.
+    Delta and Iceberg representatives name their table's folder or a file in it. A file that cannot be read, or shows no columns, gives one
+    row with the error and without a name; it does not touch the others.
     """
     of = lambda *kinds: representatives.where(F.col("format").isin(*kinds)).select("file")
     plain = ["file", F.col("pos").cast("int").alias("pos"), "name", "type", "nullable"]
     found = [
-        infer_text(heads(of("csv"), quoted=True)), infer_text(heads(of("tsv"), quoted=True), delimiter="\t"), infer_json(heads(of("jsonl"))), infer_json(json_lines(contents(of("json")))), footers(of("parquet")), orc_footers(of("orc")),
-        *(f for kind in ("delta", "iceberg") if (f := _table_schemas(spark, of(kind), kind)) is not None), *_avro_schemas(spark, of("avro")),
+        infer_text(heads(of("csv"), quoted=True)), infer_text(heads(of("tsv"), quoted=True), delimiter="\t"), infer_json(heads(of("jsonl"))), infer_json(json_values(of("json"), SAMPLE_ROWS).where("error IS NULL")),
+        footers(of("parquet")), orc_footers(of("orc")), avro_headers(of("avro")), *(f for kind in ("delta", "iceberg") if (f := _table_schemas(spark, of(kind), kind)) is not None),
     ]
-    return reduce(DataFrame.unionByName, [d.select(*plain) for d in found])
+    error = lambda d: F.col("error") if "error" in d.columns else F.lit(None).cast("string")
+    d = reduce(DataFrame.unionByName, [d.select(*plain, error(d).alias("error")) for d in found])
+    known = ["csv", "tsv", "jsonl", "json", "parquet", "orc", "avro", "delta", "iceberg"]
+    asked = representatives.select(F.col("file").alias("_file"), F.when(F.col("format").isin(*known), "no columns found").otherwise(F.concat(F.lit("no reader for "), "format")).alias("_error"))
+    d = asked.join(d, F.col("_file") == F.col("file"), "left")
+    return d.select(F.col("_file").alias("file"), "pos", "name", "type", "nullable", F.when(F.col("name").isNull(), F.coalesce("error", "_error")).alias("error"))
 
 
 def _table_schemas(spark: SparkSession, paths: DataFrame, kind: str) -> DataFrame | None:
@@ -56,14 +64,3 @@ def _table_schemas(spark: SparkSession, paths: DataFrame, kind: str) -> DataFram
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
     d = read(spark, [f"{t}/{names}" for t in tables])
     return d.withColumn("_table", plain(F.url_decode(F.replace("table", F.lit("+"), F.lit("%2B"))))).join(roots.withColumn("_root", plain(F.col("root"))), F.col("_table") == F.col("_root"))
-
-
-def _avro_schemas(spark: SparkSession, paths: DataFrame) -> list[DataFrame]:
-    """One frame a file, as Spark's reader names columns for a whole read; none where its module is missing."""
-    own = [r.file for r in paths.collect()]  # a row a dataset of that format
-    try:
-        return [avro_columns(spark, p) for p in own]
-    except AnalysisException as e:
-        if e.getCondition() and "AVRO" in str(e).upper():
-            return []
-        raise

@@ -1,4 +1,4 @@
-"""Bounded reads of many files in one job: text heads (E8), Parquet footers (E13), other formats' schemas.
+"""Bounded reads of many files in one job: text heads (E8), Parquet and ORC footers, Avro headers (E13-E15), other schemas.
 
 Paths are a table, so executors share the work; each task opens files through ``pyarrow.fs`` and reads a bounded part.
 """
@@ -6,7 +6,7 @@ Paths are a table, so executors share the work; each task opens files through ``
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -17,7 +17,8 @@ HEAD_BYTES = 262_144
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
 SEPARATORS = b",;|\t"
 LINE = "file string, line_no long, line string"
-FOOTER = "file string, pos int, name string, type string, nullable boolean, num_rows long, codec string"
+FOOTER = "file string, pos int, name string, type string, nullable boolean, num_rows long, codec string, error string"
+FOOTER_NAMES = [c.split()[0] for c in FOOTER.split(", ")]
 
 
 def _open(path: str):
@@ -36,15 +37,18 @@ def tasks(d: DataFrame, *keys: str) -> DataFrame:
 
 
 def heads(paths: DataFrame, head_bytes: int = HEAD_BYTES, partitions: int | None = None, quoted: bool = False) -> DataFrame:
-    """(file, line_no, line) of the first bytes of each file in ``paths`` (file); gzip, bz2, zstd and lz4 by suffix, four times the bytes then. With ``quoted`` lines are records, whose quotes may hold line ends."""
+    """(file, line_no, line) of the first bytes of each file in ``paths`` (file); gzip, bz2, zstd and lz4 by suffix, four times the bytes then. Files that cannot be opened or unpacked have none. With ``quoted`` lines are records, whose quotes may hold line ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("file").to_pylist():
-                store, name = _open(path)
-                with store.open_input_stream(name) as f:  # a known compression suffix is decoded
-                    most = head_bytes * (4 if name.endswith(COMPRESSED) else 1)
-                    data = f.read(most)
+                try:
+                    store, name = _open(path)
+                    with store.open_input_stream(name) as f:  # a known compression suffix is decoded
+                        most = head_bytes * (4 if name.endswith(COMPRESSED) else 1)
+                        data = f.read(most)
+                except OSError:  # a file that is gone or does not unpack has no lines
+                    continue
                 whole = len(data) < most
                 if quoted:
                     from .records import whole_records
@@ -61,29 +65,39 @@ def heads(paths: DataFrame, head_bytes: int = HEAD_BYTES, partitions: int | None
     return (d.repartition(partitions) if partitions else tasks(d, "file")).mapInArrow(run, LINE)
 
 
-def footers(paths: DataFrame) -> DataFrame:
-    """(file, pos, name, type, nullable, num_rows, codec) from Parquet footers alone; types are Spark's."""
+def _columns_of(paths: DataFrame, read: Callable) -> DataFrame:
+    """FOOTER rows of each file by ``read(store, name)``, which gives ([(name, type, nullable)], rows, codec); a file that cannot be read gives one row with the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyspark.sql.pandas.types import from_arrow_type
-
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for path in batch.column("file").to_pylist():
-                store, name = _open(path)
-                with store.open_input_file(name) as f:
-                    meta = pq.read_metadata(f)
-                schema = meta.schema.to_arrow_schema()
-                codec = meta.row_group(0).column(0).compression.lower() if meta.num_row_groups and meta.num_columns else "none"
-                n = len(schema)
-                kinds = [from_arrow_type(x.type, prefer_timestamp_ntz=True).simpleString() for x in schema]
-                cols = [[path] * n, range(n), schema.names, kinds, [x.nullable for x in schema], [meta.num_rows] * n, [codec] * n]
-                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "pos", "name", "type", "nullable", "num_rows", "codec"])
+                try:
+                    found, rows, codec = read(*_open(path))
+                    out = [(path, i, *x, rows, codec, None) for i, x in enumerate(found)]
+                except Exception as e:  # whatever the file does to its reader, the others go on
+                    out = [(path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                columns = list(zip(*out, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=FOOTER_NAMES)
 
     return tasks(paths.select("file"), "file").mapInArrow(run, FOOTER)
 
 
+def footers(paths: DataFrame) -> DataFrame:
+    """FOOTER rows from Parquet footers alone; types are Spark's."""
+
+    def read(store, name):
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_type
+
+        with store.open_input_file(name) as f:
+            meta = pq.read_metadata(f)
+        codec = meta.row_group(0).column(0).compression.lower() if meta.num_row_groups and meta.num_columns else "none"
+        return [(x.name, from_arrow_type(x.type, prefer_timestamp_ntz=True).simpleString(), x.nullable) for x in meta.schema.to_arrow_schema()], meta.num_rows, codec
+
+    return _columns_of(paths, read)
+
+
 def described(spark: SparkSession, df: DataFrame, file: str = "") -> DataFrame:
     """A source's columns (file, pos, name, type, nullable), without scanning rows."""
     rows = [(file, i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
@@ -91,41 +105,28 @@ def described(spark: SparkSession, df: DataFrame, file: str = "") -> DataFrame:
 
 
 def orc_footers(paths: DataFrame) -> DataFrame:
-    """(file, pos, name, type, nullable, num_rows, codec) from ORC footers alone, any codec; ORC columns may all be null."""
+    """FOOTER rows from ORC footers alone, any codec; ORC columns may all be null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(store, name):
         from pyarrow import orc
         from pyspark.sql.pandas.types import from_arrow_type
 
-        for batch in batches:
-            for path in batch.column("file").to_pylist():
-                store, name = _open(path)
-                with store.open_input_file(name) as f:
-                    found = orc.ORCFile(f)
-                    schema, rows, codec = found.schema, found.nrows, str(found.compression).lower()
-                n = len(schema)
-                kinds = [from_arrow_type(x.type, prefer_timestamp_ntz=True).simpleString() for x in schema]
-                cols = [[path] * n, range(n), schema.names, kinds, [True] * n, [rows] * n, ["none" if codec == "uncompressed" else codec] * n]
-                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "pos", "name", "type", "nullable", "num_rows", "codec"])
-
-    return tasks(paths.select("file"), "file").mapInArrow(run, FOOTER)
+        with store.open_input_file(name) as f:
+            found = orc.ORCFile(f)
+            codec = str(found.compression).lower()
+            return [(x.name, from_arrow_type(x.type, prefer_timestamp_ntz=True).simpleString(), True) for x in found.schema], found.nrows, "none" if codec == "uncompressed" else codec
 
+    return _columns_of(paths, read)
 
-def contents(paths: DataFrame) -> DataFrame:
-    """(file, content): whole text files, one at a time in a task; compression by suffix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("file").to_pylist():
-                store, name = _open(path)
-                with store.open_input_stream(name) as f:
-                    text = f.read().decode("utf-8", "replace").removeprefix("\ufeff")
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["file", "content"])
+def avro_headers(paths: DataFrame) -> DataFrame:
+    """FOOTER rows from Avro headers alone, without the number of rows."""
 
-    return tasks(paths.select("file"), "file").mapInArrow(run, "file string, content string")
+    def read(store, name):
+        from .avro_header import columns
 
+        with store.open_input_file(name) as f:
+            found, codec = columns(f)
+        return found, None, codec
 
-def avro_columns(spark: SparkSession, path: str) -> DataFrame:
-    """An Avro file's columns; needs Spark's avro module on the class path."""
-    return described(spark, spark.read.format("avro").load(path), path)
+    return _columns_of(paths, read)

@@ -127,7 +127,7 @@ class _Records:
 
         found = records(ranges(spark.createDataFrame([(p, sep) for p in paths], "file string, sep string")))
         self.rows = found.where("NOT first").select("file", "record") if header else found.select("file", "record")
-        self.spark, self.options, self.base = spark, options, base
+        self.spark, self.options, self.hive = spark, options, _folder_names(paths, base)
         self.names = header_names(next(csv.reader([top], delimiter=sep))) if header and top is not None else None
 
     def schema(self) -> T.StructType:
@@ -136,15 +136,7 @@ class _Records:
         found = T.StructType.fromJson(json.loads(read.csv(texts).schema().json()))
         names = self.names or [f"col_{i + 1}" for i in range(len(found))]
         kinds = [f.dataType for f in found] + [T.StringType()] * len(names)
-        return T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=False)] + self._folders())
-
-    def _folders(self) -> list[T.StructField]:
-        """Hive partitions below the base folder, as text."""
-        self.hive = []
-        if self.base:
-            first = self.rows.select("file").first()
-            self.hive = [x.split("=", 1)[0] for x in (first.file if first else "").split("/")[:-1] if "=" in x]
-        return [T.StructField(n, T.StringType()) for n in self.hive]
+        return T.StructType([T.StructField(n, t) for n, t in [*zip(names, kinds, strict=False), *((n, T.StringType()) for n in self.hive)]])
 
     def read(self, schema: T.StructType, filename: bool) -> DataFrame:
         own = T.StructType(list(schema)[: len(schema) - len(self.hive)])
@@ -154,10 +146,7 @@ class _Records:
         d = self.rows.select("file", F.from_csv("record", _ddl(kinds), {**self.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
         d = d.where(f"r.{bad} IS NULL") if drop else d
         d = d.select("file", *[F.col("r").getField(f.name).alias(f.name) for f in own])
-        for n in self.hive:
-            d = d.withColumn(n, F.url_decode(F.replace(F.regexp_extract("file", rf"/{re.escape(n)}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))))
-        path = F.when(F.col("file").contains("://"), F.col("file")).otherwise(F.concat(F.lit("file:///"), F.regexp_replace("file", "^(file:)?/*", "")))
-        return d.withColumn("filename", path).drop("file") if filename else d.drop("file")
+        return _with_path(d, self.hive, filename)
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -176,21 +165,56 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, paths: list[str], o: ReadOptions, base: str | None = None) -> DataFrame:
-    """Files of one value are read whole, files of a value a line by lines, whatever their suffix."""
+    """Files of a value a line are read by lines, whatever their suffix; arrays and values over many lines as a stream of values (``sources.json_values``)."""
     from .files import heads
 
-    top = heads(spark.createDataFrame([(p,) for p in paths], "file string"), 65_536).where(F.trim("line") != "")
+    files = spark.createDataFrame([(p,) for p in paths], "file string")
+    top = heads(files, 65_536).where(F.trim("line") != "")
     kind = F.schema_of_variant(F.try_parse_json("line"))
-    top = top.groupBy("file").agg(F.min_by(kind, "line_no").alias("first"), F.count("*").alias("n"))
-    by_line = {r.file for r in top.where("first LIKE 'OBJECT%'").collect()}  # one row a file that is named
+    top = top.groupBy("file").agg(F.min_by(kind, "line_no").alias("first"))
+    by_line = {r.file for r in top.where("first LIKE 'OBJECT%'").collect()}  # a row a file that is named
     parts = []
-    for whole, own in ((False, [p for p in paths if p in by_line]), (True, [p for p in paths if p not in by_line])):
-        if own:
-            parts.append(_reader(spark, base).option("mode", "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE").option("multiLine", whole).json(own))
-    parts = [_named(df) if o.filename else df for df in parts]
+    mode = "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE"
+    if own := [p for p in paths if p in by_line]:
+        df = _reader(spark, base).option("mode", mode).json(own)
+        parts.append(_named(df) if o.filename else df)
+    if own := [p for p in paths if p not in by_line]:
+        parts.append(_json_stream(spark, own, o, base))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _json_stream(spark: SparkSession, paths: list[str], o: ReadOptions, base: str | None) -> DataFrame:
+    from .json_values import json_values
+
+    d = json_values(spark.createDataFrame([(p,) for p in paths], "file string"))
+    if not o.ignore_errors:  # a value too long to be read is no row that may be missed
+        d = d.withColumn("line", F.when(F.col("error").isNull(), F.col("line")).otherwise(F.raise_error(F.concat("file", F.lit(": "), "error")).cast("string")))
+    d = d.where("line IS NOT NULL")
+    texts = getattr(d.where("error IS NULL").select("line")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    bad = "_corrupt_record"
+    found = T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(texts).schema().json()))
+    schema = T.StructType([*(f for f in found if f.name != bad), T.StructField(bad, T.StringType())])
+    d = d.select("file", F.from_json("line", schema, {"columnNameOfCorruptRecord": bad}).alias("r"))
+    if o.ignore_errors:
+        d = d.where(f"r.{bad} IS NULL")
+    kept = [f.name for f in schema if f.name != bad or bad in found.names and not o.ignore_errors]
+    d = d.select("file", *[F.col("r").getField(n).alias(n) for n in kept])
+    return _with_path(d, _folder_names(paths, base), o.filename)
+
+
+def _folder_names(paths: list[str], base: str | None) -> list[str]:
+    """The Hive partitions of files below a base folder."""
+    return [x.split("=", 1)[0] for x in paths[0].split("/")[:-1] if "=" in x] if base and paths else []
+
+
+def _with_path(d: DataFrame, folders: list[str], filename: bool) -> DataFrame:
+    """Partition columns, as text, and the file name in place of ``file``."""
+    for n in folders:
+        d = d.withColumn(n, F.url_decode(F.replace(F.regexp_extract("file", rf"/{re.escape(n)}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))))
+    path = F.when(F.col("file").contains("://"), F.col("file")).otherwise(F.concat(F.lit("file:///"), F.regexp_replace("file", "^(file:)?/*", "")))
+    return d.withColumn("filename", path).drop("file") if filename else d.drop("file")
+
+
 def read_files(spark: SparkSession, paths: list[str], fmt: str, options: ReadOptions | None = None, base: str | None = None) -> DataFrame:
     """An explicit list of files; partition columns only of the folders below ``base``."""
     o = (options or ReadOptions()).applicable(fmt)
