@@ -22,33 +22,36 @@ BATCH_BYTES = 4 << 20
 #: A whole string, a bracket or a comma; a lone quote is a string that goes on past the buffer.
 TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*+"|["\[\]{},]', re.S)
 STRING_END = re.compile(rb'(?:[^"\\]|\\.)*+"', re.S)
+SOLID = re.compile(rb"[^ \t\r\n]")
 BLANK = b" \t\r\n"
 Value = tuple[bytes | None, str | None]
 
 
 class Stream:
-    """A buffer over a reader, from which what has been used is dropped."""
+    """A buffer over a reader; what lies before ``at`` has been used and is dropped when more is read."""
 
     def __init__(self, read: Callable[[int], bytes]) -> None:
-        self.read, self.data, self.ended = read, b"", False
+        self.read, self.data, self.at, self.ended = read, b"", 0, False
 
     def more(self) -> bool:
+        """Reads on; the buffer then begins at what was ``at``."""
         found = b"" if self.ended else self.read(CHUNK_BYTES)
         self.ended = not found
-        self.data += found
+        self.data, self.at = self.data[self.at :] + found, 0
         return not self.ended
 
-    def drop(self, n: int) -> None:
-        self.data = self.data[n:]
-
-    def skip_blanks(self, also: bytes = b"") -> bool:
-        """False at the end."""
+    def next(self) -> bytes:
+        """The next character that is not blank; nothing at the end."""
         while True:
-            self.data = self.data.lstrip(BLANK + also)
-            if self.data:
-                return True
+            if m := SOLID.search(self.data, self.at):
+                self.at = m.start()
+                return m[0]
+            self.at = len(self.data)
             if not self.more():
-                return False
+                return b""
+
+    def left(self) -> int:
+        return len(self.data) - self.at
 
 
 def _too_long(most: int) -> Value:
@@ -56,134 +59,123 @@ def _too_long(most: int) -> Value:
 
 
 def _bracketed(s: Stream, most: int) -> tuple[Value, bool]:
-    """The value in brackets that the buffer begins with; False if it never ends."""
-    at = depth = 0
+    """The value in brackets that begins at the buffer's place, which goes past it; False if it never ends, and then the place stays."""
+    seen = depth = 0  # bytes of the value that have been looked through
     lost = False
     while True:
-        for m in TOKEN.finditer(s.data, at):
+        base = s.at
+        for m in TOKEN.finditer(s.data, base + seen):
             token = m[0]
             if token == b'"':
                 break
-            at = m.end()
+            seen = m.end() - base
             if token in (b"[", b"{"):
                 depth += 1
             elif token in (b"]", b"}"):
                 depth -= 1
                 if not depth:
-                    value = None if lost or at > most else s.data[:at]
-                    s.drop(at)
+                    value = None if lost or seen > most else s.data[base : base + seen]
+                    s.at = base + seen
                     return ((value, None) if value is not None else _too_long(most)), True
-        # what is left of the buffer is no token or the beginning of a string
-        q = s.data.find(b'"', at)
-        at = len(s.data) if q < 0 else q
-        if len(s.data) > most:
-            lost = True
+        # what is left of the buffer has no token, or ends inside a string
+        q = s.data.find(b'"', base + seen)
+        seen = s.left() if q < 0 else q - base
+        lost = lost or s.left() > most
         if lost:
-            s.drop(at)
-            at = 0
-            if len(s.data) > most:  # inside a long string
-                while not (m := STRING_END.match(s.data, 1)):
-                    tail = len(s.data) - len(s.data.rstrip(b"\\"))
-                    s.data = b'"' + (b"\\" if tail % 2 else b"")
+            s.at, seen = base + seen, 0
+            if s.left() > most:  # inside a long string
+                s.at += 1
+                while not (m := STRING_END.match(s.data, s.at)):
+                    rest = s.data[s.at :]
+                    s.at = len(s.data) - (len(rest) - len(rest.rstrip(b"\\"))) % 2  # an odd backslash waits for what it escapes
                     if not s.more():
                         return _too_long(most), False
-                s.drop(m.end())
+                s.at = m.end()
                 continue
         if not s.more():
-            return (_too_long(most) if lost else (s.data, None)), False
+            return (_too_long(most) if lost else (None, None)), False
 
 
 def _scalar(s: Stream, most: int) -> tuple[Value, bool]:
-    """A string, number or word up to a comma or the array's end."""
+    """A string, number or word up to a comma or the array's end; False if neither comes, and then the place stays."""
     while True:
-        for m in TOKEN.finditer(s.data):
+        for m in TOKEN.finditer(s.data, s.at):
             if m[0] in (b",", b"]"):
-                value = s.data[: m.start()].strip(BLANK)
-                s.drop(m.start())
+                value = s.data[s.at : m.start()].rstrip(BLANK)
+                if value:
+                    s.at = m.start()
                 return (value, None), bool(value)
             if m[0] == b'"':
                 break
-        if len(s.data) > most:
-            # a string this long is passed over as a bracketed value would be
-            s.data = b"[" + s.data
+        if s.left() > most:  # a string this long is passed over as one in brackets would be
+            s.data, s.at = b"[" + s.data[s.at :], 0
             return _bracketed(s, most)[0], False
         if not s.more():
-            return (s.data, None), False
+            return (None, None), False
 
 
 def lines(s: Stream, most: int) -> Iterator[Value]:
     lost = False
     while True:
-        end = s.data.find(b"\n")
+        end = s.data.find(b"\n", s.at)
         if end < 0:
-            if len(s.data) > most:
-                lost, s.data = True, b""
+            if s.left() > most:
+                lost, s.at = True, len(s.data)
             if s.more():
                 continue
             end = len(s.data)
-        line = s.data[:end].strip(BLANK)
-        if lost or end > most:
+        line = s.data[s.at : end].strip(BLANK)
+        if lost or len(line) > most:
             yield _too_long(most)
             lost = False
         elif line:
             yield line, None
-        s.drop(end + 1)
-        if s.ended and not s.data:
+        s.at = min(end + 1, len(s.data))
+        if s.ended and not s.left():
             return
 
 
 def elements(s: Stream, most: int) -> Iterator[Value]:
-    """The elements of the array that the buffer begins with; where it breaks, the rest as lines."""
-    s.drop(1)
-    while s.skip_blanks():
-        if s.data[:1] == b"]":
-            return
-        bracket = s.data[:1] in (b"{", b"[")
-        value, good = _bracketed(s, most) if bracket else _scalar(s, most)
-        if not good:
-            if value[0] is None:
-                yield value
-            else:
-                s.data = value[0] + (b"" if bracket else s.data)
-            yield from lines(s, most)
-            return
-        yield value
-        if not s.skip_blanks() or s.data[:1] == b"]":
-            return
-        if s.data[:1] != b",":
+    """The elements of the array that begins at the buffer's place; where it breaks, the rest as lines."""
+    s.at += 1
+    while (c := s.next()) and c != b"]":
+        value, good = _bracketed(s, most) if c in b"{[" else _scalar(s, most)
+        if good or value[0] is None and value[1]:
+            yield value
+        if good and (c := s.next()) == b",":
+            s.at += 1
+            continue
+        if not good or c and c != b"]":
             yield from lines(s, most)
-            return
-        s.drop(1)
+        return
 
 
 def values(read: Callable[[int], bytes], most: int = VALUE_BYTES) -> Iterator[Value]:
     """(value, error) of a file's bytes."""
     s = Stream(read)
-    while len(s.data) < 3 and s.more():
+    while s.left() < 3 and s.more():
         pass
     if s.data.startswith(b"\xef\xbb\xbf"):
-        s.drop(3)
-    if not s.skip_blanks():
+        s.at = 3
+    first = s.next()
+    if not first:
         return
-    if s.data[:1] == b"[":
+    if first == b"[":
         yield from elements(s, most)
         return
-    while b"\n" not in s.data and len(s.data) <= most and s.more():
+    while s.data.find(b"\n", s.at) < 0 and s.left() <= most and s.more():
         pass
     try:
-        json.loads(s.data.split(b"\n", 1)[0])
+        json.loads(s.data[s.at :].split(b"\n", 1)[0])
         by_line = True
     except ValueError:
-        by_line = s.data[:1] != b"{"
-    if by_line:
-        yield from lines(s, most)
-        return
-    value, good = _bracketed(s, most)
-    if good or value[0] is None:
-        yield value
-    else:
-        s.data = value[0]
-        yield from lines(s, most)
+        by_line = first != b"{"
+    if not by_line:
+        value, good = _bracketed(s, most)
+        if good or value[1]:
+            yield value
+            return
+    yield from lines(s, most)
 
 
 def json_values(paths: DataFrame, rows_most: int | None = None, value_bytes: int = VALUE_BYTES) -> DataFrame:
