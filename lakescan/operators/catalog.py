@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.files import footers
+from ..sources.versions import Versions
 from ..sources.readers import ReadOptions, folder_files, read_files, read_folder, with_path_partitions
 from .compat import group_files, read_members
 
@@ -19,26 +20,16 @@ VALID = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 class Catalog:
-    """Entries live in a Parquet folder, written anew under the next version; the newest complete version counts."""
+    """Entries, registered one by one, are a versioned list: a writer puts the next version if nobody was first, and else starts anew."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
-            return []
-        names = [s.getPath() for s in store.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in names if re.fullmatch(r"v\d+", p.getName()) and store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        self.versions = Versions(spark, self.folder)
 
     def entries(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(ENTRY).parquet(f"{self.folder}/v{found[-1]}") if found else self.spark.createDataFrame([], ENTRY)
-
-    def _save(self, df: DataFrame) -> None:
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/v{(self._versions() or [0])[-1] + 1}")
+        names = [c.split()[0] for c in ENTRY.split(", ")]
+        rows = [tuple(e[n] for n in names) for e in self.versions.current()[1].get("entries", [])]
+        return self.spark.createDataFrame(rows, ENTRY)
 
     def taken(self, name: str) -> bool:
         """Registered, or some other table or view of the session."""
@@ -55,7 +46,7 @@ class Catalog:
 
     def _selected(self, paths: list[str], o: ReadOptions) -> DataFrame:
         """Parquet files picked by hand, as one table of their merged schema; files that do not fit are left out."""
-        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string")).select("file", "pos", "name", "type")
+        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string")).where("error IS NULL").select("file", "pos", "name", "type")
         place = self.spark.createDataFrame(list(enumerate(paths)), "file_idx long, file string")
         columns = own.join(place, "file").withColumn("format", F.lit("parquet"))
         verdicts, merged = group_files(columns)
@@ -68,7 +59,7 @@ class Catalog:
     def _by_strategy(self, e) -> str | None:
         """The columns that a folder of Parquet files is read with under ``latest`` or ``strict``."""
         paths = list(e.paths) or folder_files(self.spark, e.root, e.format)
-        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string"))
+        own = footers(self.spark.createDataFrame([(p,) for p in paths], "file string")).where("error IS NULL")
         ddl = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))), lambda c: F.concat(F.lit("`"), c["name"], F.lit("` "), c["type"])), ", ")
         times = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
         schemas = own.groupBy("file").agg(ddl.alias("schema")).withColumn("name", F.substring_index("file", ":", -1)).join(times.withColumn("name", F.substring_index("file", ":", -1)).drop("file"), "name")
@@ -99,7 +90,15 @@ class Catalog:
             raise ValueError(f"the name is taken: {name}")
         row = self.spark.createDataFrame([(name, bucket, root, fmt, list(paths), list(partition_columns), json.dumps(asdict(options or ReadOptions())), strategy, "")], ENTRY)
         df = self._frame(row.first())
-        self._save(self.entries().unionByName(row.withColumn("schema_ddl", F.lit(df.schema.simpleString()))))
+        entry = row.first().asDict() | {"schema_ddl": df.schema.simpleString()}
+
+        def added(content: dict) -> dict:
+            own = content.get("entries", [])
+            if any(e["name"].lower() == name.lower() for e in own):
+                raise ValueError(f"the name is taken: {name}")
+            return {"entries": [*own, entry]}
+
+        self.versions.change(added)
         df.createOrReplaceTempView(name)
         return df
 
@@ -111,7 +110,7 @@ class Catalog:
         return [e.name for e in found]
 
     def drop(self, name: str) -> None:
-        self._save(self.entries().where(F.lower("name") != name.lower()))
+        self.versions.change(lambda content: {"entries": [e for e in content.get("entries", []) if e["name"].lower() != name.lower()]})
         self.spark.catalog.dropTempView(name)
 
     def others(self) -> DataFrame:

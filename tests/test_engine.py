@@ -8,6 +8,8 @@ import shutil
 import subprocess
 import sys
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import ParseException
 from pyspark.sql import functions as F
@@ -185,7 +187,7 @@ def test_reading_statements(spark, sql):
     assert sqlapi.query(spark, sql)[0].collect()
 
 
-@pytest.mark.parametrize("sql", ["CACHE TABLE v", "TRUNCATE TABLE v", "CREATE VIEW w AS SELECT 1", "MERGE INTO v USING w ON v.id = w.id WHEN MATCHED THEN DELETE", "WITH q AS (SELECT 1) INSERT INTO v SELECT * FROM q", "FROM v INSERT INTO u SELECT *", "", "SET a = 1", "REFRESH TABLE v", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect` ('java.lang.Math', 'random')", "SELECT 'a' || reflect/* x */('b', 'c')"])
+@pytest.mark.parametrize("sql", ["CACHE TABLE v", "TRUNCATE TABLE v", "CREATE VIEW w AS SELECT 1", "MERGE INTO v USING w ON v.id = w.id WHEN MATCHED THEN DELETE", "WITH q AS (SELECT 1) INSERT INTO v SELECT * FROM q", "FROM v INSERT INTO u SELECT *", "", "SET a = 1", "REFRESH TABLE v", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect` ('java.lang.Math', 'random')", "SELECT 'a' || reflect/* x */('b', 'c')", "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.name')", "SELECT IDENTIFIER('java_' || 'method')('java.lang.Math','random')", "SELECT r'\\', java_method('java.lang.Math','random'), ' '", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.Math','random'))", "WITH q AS (SELECT reflect('java.lang.Math','random') AS x) SELECT * FROM q", "EXPLAIN SELECT reflect('java.lang.Math','random')", "VALUES (reflect('java.lang.Math','random'))", "SELECT transform(array(1), x -> reflect('java.lang.Math','random'))"])
 def test_q14_writing_statements_are_refused(spark, sql):
     with pytest.raises(ValueError):
         sqlapi.check_read_only(spark, sql)
@@ -194,7 +196,16 @@ def test_q14_writing_statements_are_refused(spark, sql):
 def test_q14_a_second_statement_is_refused_by_the_parser(spark):
     with pytest.raises(ParseException):
         sqlapi.check_read_only(spark, "SELECT 1; SELECT 2")
-    sqlapi.check_read_only(spark, "SELECT 'reflect(' AS x, id AS reflect FROM v -- java_method(")
+    spark.range(3).createOrReplaceTempView("v")
+    for fine in ("SELECT 'reflect(' AS x, id AS reflect FROM v -- java_method(", "SELECT to_json(named_struct('a', 1)), url_decode('a'), parse_json('1'), from_json('{}', 'a int'), is_valid_utf8('a'), luhn_check('1'), upper('a'), uuid(), aes_encrypt('a', '0000111122223333')", "SELECT x FROM (SELECT max(id) AS x FROM v GROUP BY id % 2) JOIN v ON x = id"):
+        sqlapi.check_read_only(spark, fine)
+
+
+def test_functions_of_the_session_need_leave(spark):
+    spark.udf.register("twice", lambda x: 2 * x, "int")
+    with pytest.raises(ValueError):
+        sqlapi.check_read_only(spark, "SELECT twice(1)")
+    sqlapi.check_read_only(spark, "SELECT twice(1)", functions=True)
 
 
 def test_limits(spark):
@@ -285,3 +296,21 @@ def test_inference_reaches_every_format(spark, tmp_path):
     got = {(r.file.rsplit("/", 1)[-1] if ".orc" not in r.file else "orc", r.name, r.type) for r in crawl.infer_schemas(spark, spark.createDataFrame(rows, "file string, format string")).collect()}
     assert got == {("a b.tsv", "n", "integer"), ("a b.tsv", "v|w", "string"), ("l.json", "k", "float"), ("o.json", "k", "boolean"), ("big.json", "k", "string"), ("orc", "id", "bigint"), ("orc", "s", "string"), ("00000000000000000000.json", "d", "long")}
     assert sorted((r.num_rows, r.codec) for r in files.orc_footers(spark.createDataFrame([(x,) for x in orcs], "file string")).where("pos = 0").collect()) == [(1, "zlib"), (3, "zstd")]
+
+
+def test_registrations_at_once(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/d")
+    c = C.Catalog(spark, f"file://{tmp_path}/catalog")
+    with ThreadPoolExecutor(10) as pool:
+        done = list(pool.map(lambda i: c.register(f"at_once_{i}", f"file://{tmp_path}/d", "parquet").count(), range(20)))
+        again = list(pool.map(lambda i: _refused(lambda: c.register("same_name", f"file://{tmp_path}/d", "parquet")), range(5)))
+    assert done == [2] * 20 and sorted(again) == [False] + [True] * 4
+    assert {r.name for r in c.entries().collect()} == {"same_name", *(f"at_once_{i}" for i in range(20))}
+
+
+def _refused(f):
+    try:
+        f()
+    except ValueError:
+        return True
+    return False
