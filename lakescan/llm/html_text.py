@@ -77,12 +77,48 @@ class Open(NamedTuple):
     foreign: int | None
 
 
+FORM = re.compile(r"<(/?)form\b", re.I)
+
+
+def wide_form(page: str) -> int | None:
+    """The number of the form that stands around more than half of a page, if there is one."""
+    begun, n = None, -1
+    for m in FORM.finditer(page):
+        if not m[1]:
+            n += 1
+            begun = m.start() if begun is None else begun
+        elif begun is not None:
+            if 2 * (m.start() - begun) > len(page):
+                return n
+            begun = None
+    return n if begun is not None and 2 * (len(page) - begun) > len(page) else None
+
+
 def blocks(page: str | None, above: dict[int, tuple[int | None, bool]] | None = None) -> Iterator[tuple[int, str, int]]:
-    """(container, text, characters in links) of each block of content, in page order; one pass, linear in the page.
+    """(container, text, characters in links) of each block of content, in page order.
+
+    A form is no content, unless most of a page's text stands in it, as where servers wrap whole pages in one.
+    """
+    around = wide_form(page or "")
+    if around is None:
+        yield from _walk(page, above)
+        return
+    inside, outside = {}, {}
+    with_form, without = list(_walk(page, inside, around)), list(_walk(page, outside))
+    size = lambda found: sum(len(text) for _, text, _ in found)
+    wide = size(with_form) > 2 * size(without)
+    if above is not None:
+        above.update(inside if wide else outside)
+    yield from with_form if wide else without
+
+
+def _walk(page: str | None, above: dict[int, tuple[int | None, bool]] | None = None, form: int = -1) -> Iterator[tuple[int, str, int]]:
+    """The blocks by one pass, linear in the page; the form of number ``form`` is content like others.
 
     A container is named by the hash of its path; ``above`` gets the container around it, and whether it is an article.
     Containers come into ``above`` after those around them.
     """
+    forms = 0
     stack: list[Open] = []
     count: Counter = Counter()  # of open elements by tag
     text: list[str] = []
@@ -116,9 +152,7 @@ def blocks(page: str | None, above: dict[int, tuple[int | None, bool]] | None =
             if stack and stack[-1].link:
                 linked += len(piece.strip())
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(page, at):  # from where the last one ended: what raw elements hold is no markup
         put(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -185,7 +219,9 @@ def blocks(page: str | None, above: dict[int, tuple[int | None, bool]] | None =
                         step = tag + "." + ".".join(sorted(DIGITS.sub("#", value.lower()).split()))
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value.lower()):
                     hidden = True
-        good = good and tag not in NEVER and not hidden and (tag not in NAMED or not NOT_CONTENT.intersection(names))
+        never = tag in NEVER and not (tag == "form" and forms == form)
+        forms += tag == "form"
+        good = good and not never and not hidden and (tag not in NAMED or not NOT_CONTENT.intersection(names))
         path = xxhash.xxh3_64_intdigest(step.encode(), outer.path if outer else 1)
         box = outer.box if outer else None
         if tag in CONTAINER:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from html.parser import HTMLParser
 
 from lakescan.llm import html_text
 
@@ -108,3 +109,64 @@ def test_known_articles_come_back_whole(spark):
         rows, want = made_pages(seed)
         got = {r.page_id: r.text for r in html_text.query(frame(spark, rows)).collect()}
         assert got == want
+
+
+def test_raw_elements_hold_no_markup():
+    assert article('<body><script>var s="<!--";</script><article><p>Hello there</p></article></body>') == "Hello there"
+    assert article("<title>a <!-- b</title><p>one</p><!-- <script> --><p>two</p><style>/* <!-- */</style>three") == "one\ntwo\nthree"
+    assert article("<p>a<textarea><!-- </textarea>b<iframe><p <!-- </iframe>c<![CDATA[ <!-- ]]>d</p>e") == "a b c <!-- d\ne"
+    assert article('<script>if (a<b) "</p>"; "<![CDATA["</script ><p>x<script>never closed <p>y') == "x"
+
+
+def test_a_form_around_a_page_is_no_form():
+    page = "<body><form action=/><div class=main><p>{}</div></form><form><p>ask</form></body>"
+    assert article(page.format("word " * 50)) == ("word " * 50).strip()
+    assert article("<body><p>" + "word " * 50 + "<form><p>ask me</form>") == ("word " * 50).strip()
+    assert article("<body><p>" + "word " * 9 + "<form class='" + "x" * 200 + "'><p>ask</form>") == ("word " * 9).strip()
+    found = {}
+    assert [box in found for box, _, _ in html_text.blocks(page.format("word " * 50), found)] == [True]
+
+
+class Independent(HTMLParser):
+    """Blocks by the standard library's parser, for pages whose elements are closed."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.never, self.raw = [], [], 0, 0
+
+    def flush(self):
+        if line := " ".join("".join(self.text).split()):
+            self.out.append(line)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCK:
+            self.flush()
+        self.never += tag in html_text.NEVER
+        self.raw += tag in html_text.RAW
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.flush()
+        self.never -= tag in html_text.NEVER
+        self.raw -= tag in html_text.RAW
+
+    def handle_data(self, data):
+        if not self.never and not self.raw:
+            self.text.append(data)
+
+
+def test_equals_an_independent_parser_on_pages_with_scripts_and_comments():
+    r = random.Random(3)
+    piece = lambda: r.choice(["plain", "a &lt; b", "&amp;", "é", "5 &gt; 4", "<b>bold</b>", "<!-- no -->", "<!-- <p> -->", "<script>x = '<!--'</script>", "<style>p > a {}</style>", "<script>if (a < b) {}</script>", "<!---->", "<i>it's</i>"])
+    for _ in range(400):
+        page = "<html><head><title>a b</title></head><body>"  # the other parser takes comments in titles for such
+        for _ in range(r.randrange(1, 8)):
+            tag = r.choice(["p", "h2", "div", "section", "nav", "aside", "blockquote", "article"])
+            page += f"<{tag}>" + " ".join(piece() for _ in range(r.randrange(9))) + f"</{tag}>" + r.choice(["", " tail ", "<!-- - -->"])
+        page += "</body></html>"
+        own = Independent()
+        own.feed(page)
+        own.close()
+        own.flush()
+        assert article(page) == "\n".join(own.out), page
