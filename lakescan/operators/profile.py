@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import checkpoint
+
 #: How many top values and bins, up to how many columns, and the patterns of identifiers and mail addresses.
 TOP_VALUES = 8
 BINS = 12
@@ -49,17 +51,28 @@ def _texts(df: DataFrame, names: list[str], as_text) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.column", "x.value")
 
 
-def exact_quantiles(df: DataFrame, names: list[str], at: list[float], pieces: int = 64) -> DataFrame:
-    """(column, q): exact quantiles with linear interpolation, q having one value for each of ``at``.
+def sorted_run(df: DataFrame, names: list[str], pieces: int | None = None) -> DataFrame:
+    """(column, value, number, n): each distinct value of the named columns, as text and, of numeric columns, as a number, and how often it occurs.
+
+    Values are counted once, range-partitioned by column and number, and written in their partitions: distinct counts, entropy,
+    top values and exact quantiles are all read from there. Ranges are cut by Spark's sample of the values, so partitions
+    follow the number of values; there are as many as shuffles have, or ``pieces``.
+    """
+    ks = kinds(df)
+    counts = _texts(df, names, lambda c: _text(df, c)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    number = F.when(F.col("column").isin([c for c in names if ks[c] == "numeric"]), F.col("value").try_cast("double"))
+    return checkpoint(counts.select("column", "value", number.alias("number"), "n").repartitionByRange(*[pieces] * bool(pieces), "column", "number").sortWithinPartitions("column", "number"))
+
+
+def exact_quantiles(df: DataFrame, names: list[str], at: list[float], pieces: int | None = None, run: DataFrame | None = None) -> DataFrame:
+    """(column, q) from the columns' sorted run, or from one that is given: exact quantiles with linear interpolation, q having one value for each of ``at``.
 
-    Values are counted, cut into ``pieces`` by approximate quantiles of themselves, and ranked only within the pieces that
-    the wanted ranks fall in, so that no column's values meet in one task.
+    Running ranks come from the partitions' sums, so only the partitions that wanted ranks fall in are ranked value by value.
     """
-    counts = _texts(df, names, lambda c: _name(c).cast("double")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    cuts = counts.groupBy("column").agg(F.percentile_approx("value", [i / pieces for i in range(1, pieces)]).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), "column").withColumn("piece", F.aggregate("cuts", F.lit(0), lambda k, cut: k + (cut < F.col("value")).cast("int"))).drop("cuts")  # a row a column
+    run = sorted_run(df, names, pieces) if run is None else run
+    counts = run.where("number IS NOT NULL").select("column", F.col("number").alias("value"), "n", F.spark_partition_id().alias("piece"))
     by = Window.partitionBy("column")
-    sums = counts.groupBy("column", "piece").agg(F.sum("n").alias("n"))  # some pieces a column
+    sums = counts.groupBy("column", "piece").agg(F.sum("n").alias("n"))  # a row a column and partition at most
     sums = sums.withColumns({"before": F.sum("n").over(by.orderBy("piece")) - F.col("n"), "total": F.sum("n").over(by)})
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.expr(f"{'floor' if side == 0 else 'ceil'}({q}D * (total - 1))").cast("long").alias("rank"), (F.lit(q) * (F.col("total") - 1)).alias("place")) for i, q in enumerate(at) for side in (0, 1)])
     wanted = sums.select("column", "piece", "before", "n", F.explode(ranks).alias("w")).where("w.rank >= before AND w.rank < before + n").select(F.col("column").alias("_c"), F.col("piece").alias("_p"), "before", "w.*")
@@ -95,12 +108,11 @@ def scalars(df: DataFrame, exact: bool = False) -> DataFrame:
     out = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     if exact:
         # distinct aggregates side by side would copy every row once a column; pairs of column and value are narrow
-        pairs = _texts(df, list(ks), lambda c: _text(df, c)).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1).alias("one"))
-        n = pairs.groupBy("column").agg(F.count("*").alias("_distinct"))
+        run = sorted_run(df, list(ks))
+        n = run.groupBy("column").agg(F.count("*").alias("_distinct"))
         out = out.join(F.broadcast(n), "column", "left").withColumn("distinct", F.coalesce("_distinct", F.lit(0))).drop("_distinct")  # a row a column
         if "numeric" in ks.values():
-            medians = exact_quantiles(df, [c for c, k in ks.items() if k == "numeric"], [0.5])
-            out = out.join(F.broadcast(medians), "column", "left").withColumn("median", F.get("q", F.lit(0))).drop("q")  # a row a column
+            out = out.join(F.broadcast(exact_quantiles(df, [], [0.5], run=run)), "column", "left").withColumn("median", F.get("q", F.lit(0))).drop("q")  # a row a column
     share = lambda a, b: F.when(b > 0, F.least(a / b, F.lit(1.0))).otherwise(0.0)
     return out.withColumns({"null_pct": share(F.col("count") - F.col("non_null"), F.col("count")), "distinct_pct": share(F.col("distinct"), F.col("non_null"))})
 
@@ -165,12 +177,12 @@ def extended(df: DataFrame) -> DataFrame:
         v = _name(c).cast("double") if k == "numeric" else None
         rows.append(F.struct(F.lit(c).alias("column"), (F.var_pop(v) if k == "numeric" else num).alias("variance")))
     stats = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    counts = _texts(df, list(ks), lambda c: _name(c).cast("string")).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = sorted_run(df, list(ks))
     # entropy = log2(N) - sum(n log2 n) / N, so that counts need not be joined with their total
     entropy = counts.groupBy("column").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
     whole = df.groupBy(*[_name(c) for c in df.columns if ks.get(c)]).agg(F.count("*").alias("_rows")).select("_rows").agg((1 - F.count("*") / F.sum("_rows")).alias("duplicate_ratio"))
     numeric = [c for c, k in ks.items() if k == "numeric"]
-    quantiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else df.sparkSession.createDataFrame([], "column string, q array<double>")
+    quantiles = exact_quantiles(df, [], [0.25, 0.5, 0.75], run=counts) if numeric else df.sparkSession.createDataFrame([], "column string, q array<double>")
     out = stats.join(F.broadcast(entropy), "column", "left").join(F.broadcast(quantiles), "column", "left").join(F.broadcast(whole), F.lit(True))  # a row a column; one row
     return out.select("column", "variance", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "entropy", "duplicate_ratio")
 

@@ -193,3 +193,30 @@ def catalog_tables(spark, sf_dir):
         part = spark.table(name).agg(F.count("*").alias("rows"), F.sum("n_nationkey").cast("long").alias("keys")).select(F.lit(plain).alias("name"), F.lit(c.suggest(name).replace(f"_{own}", "")).alias("suggested"), "rows", "keys")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---- profiles by sketches (H2, H8) ----
+
+
+@registered("""WITH c AS (SELECT unnest([{'column': 'o_orderkey', 'v': o_orderkey || ''}, {'column': 'o_orderpriority', 'v': o_orderpriority}, {'column': 'o_totalprice', 'v': NULL}]) AS x FROM orders)
+SELECT x['column'] AS name, count(*) AS count, CASE WHEN x['column'] = 'o_totalprice' THEN count(*) ELSE count(x['v']) END AS non_null, CASE WHEN x['column'] = 'o_orderpriority' THEN min(length(x['v'])) END::BIGINT AS min_length,
+CASE x['column'] WHEN 'o_totalprice' THEN (SELECT round(avg(o_totalprice), 2) FROM orders) WHEN 'o_orderkey' THEN (SELECT round(avg(o_orderkey), 2) FROM orders) END AS mean, true AS distinct_near, true AS median_near FROM c GROUP BY 1""", "")
+def profile_sketches_orders(spark, sf_dir):
+    """Monthly partitions, a tenth of which change between two refreshes; estimates are held against exact values."""
+    from .operators.sketches import SketchTable
+
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    t = SketchTable(spark, _scratch(spark, "sketches"))
+    for last in ("0", "1"):
+        odd = F.when(F.col("month").endswith(last), F.lit("old")).otherwise(F.lit("now")) if last == "0" else F.lit("now")
+        prints = o.select(F.col("month").alias("partition"), odd.alias("fingerprint")).distinct()
+        t.refresh(prints, lambda own: o.where(F.col("month").isin(own)), F.col("month"))
+    d = t.profile([0.5]).where("column <> 'month'")
+    exact = o.agg(F.count_distinct("o_orderkey").alias("a"), F.count_distinct("o_orderpriority").alias("b"), F.count_distinct("o_totalprice").alias("c"), F.count_if(F.lit(True)).alias("n"))
+    want = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(x).alias("_n")) for c, x in (("o_orderkey", "a"), ("o_orderpriority", "b"), ("o_totalprice", "c"))])).alias("x")).select("x.*")
+    low = o.crossJoin(d.agg(*[F.max(F.when(F.col("column") == c, F.get("quantiles", F.lit(0)))).alias(f"_{c}") for c in ("o_orderkey", "o_totalprice")]))  # one row
+    ranks = low.agg(*[F.avg((F.col(c) <= F.col(f"_{c}")).cast("double")).alias(c) for c in ("o_orderkey", "o_totalprice")])
+    rank = ranks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_k"), F.col(c).alias("_rank")) for c in ("o_orderkey", "o_totalprice")])).alias("x")).select("x.*")
+    d = d.join(F.broadcast(want), F.col("column") == F.col("_c")).join(F.broadcast(rank), F.col("column") == F.col("_k"), "left")  # a row a column
+    near = lambda a, b, most: F.abs(a - b) <= most
+    return d.select(F.col("column").alias("name"), "count", "non_null", "min_length", F.round("mean", 2).alias("mean"), near(F.col("distinct"), F.col("_n"), 0.06 * F.col("_n")).alias("distinct_near"), F.coalesce(near(F.col("_rank"), F.lit(0.5), 0.015), F.lit(True)).alias("median_near"))
