@@ -50,8 +50,16 @@ def test_a_pair_needs_a_name_and_a_value(spark):
 
 
 def test_positional_names_and_q10_root_ends_at_a_slash(spark):
-    assert classified(spark, "2023/US/f", "positional", "", "part", "_")[2] == [("part_0", "2023"), ("part_1", "US")]
-    assert classified(spark, "feeds/x/f", "positional", "feed")[2] == [("pt0", "feeds"), ("pt1", "x")]
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("klmno789") for _ in range(r.randint(1, 5)))
+    for prefix, joint in (("pt", ""), ("level", "-"), ("c", "__")):
+        folders = [word() for _ in range(r.randint(1, 4))]
+        key = "/".join([*folders, word()])
+        assert classified(spark, key, "positional", "", prefix, joint)[2] == [(f"{prefix}{joint}{i}", x) for i, x in enumerate(folders)]
+        # a root counts as a whole folder only, not as the beginning of a longer name
+        assert classified(spark, key, "positional", folders[0] + "x")[2] == [(f"pt{i}", x) for i, x in enumerate(folders)]
+        longer = f"{folders[0]}x/" + key
+        assert classified(spark, longer, "positional", folders[0])[2] == [(f"pt{i}", x) for i, x in enumerate([folders[0] + "x", *folders])]
 
 
 @pytest.mark.parametrize("depth", [-1, 0, 1, 2, 9])
@@ -66,9 +74,25 @@ def test_virtual_path_and_back(spark, depth):
 
 
 def test_ignored_markers_formats(spark):
-    assert values(spark, [".hidden", "data/_SUCCESS", "x/_temporary/0/part", "dir/", "data.csv", "a/b/file.parquet"], K.ignored) == [True, True, True, True, False, False]
-    got = values(spark, ["sales/_delta_log/00.json", "lake/tbl/metadata/v3.metadata.json", "metadata/v1.metadata.json", "metadata/x.avro", "_delta_log/1.json", "a/b.csv"], K.table_marker)
-    assert [None if m is None else (m.root, m.format) for m in got] == [("sales", "delta"), ("lake/tbl", "iceberg"), ("", "iceberg"), None, ("", "delta"), None]
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("pqrst") for _ in range(r.randint(1, 6)))
+    above = lambda: "".join(f"{word()}/" for _ in range(r.randrange(4)))
+    keys, hidden = [], []
+    for _ in range(40):
+        name = word() + r.choice(["", ".csv", ".parquet", ".tar.gz"])
+        for base, is_hidden in ((name, False), ("." + name, True), (name + "/", True), (r.choice(K.MARKERS), True), ("_temporary" + name, True), (f"{word()}/_temporary/{name}", True), (f"{word()}_temporary/{name}", False), ("_" + name, False)):
+            keys.append(above() + base)
+            hidden.append(is_hidden)
+    assert values(spark, keys, K.ignored) == hidden
+    keys, want = [], []
+    for _ in range(30):
+        root = above().strip("/")
+        at = lambda rest: f"{root}/{rest}" if root else rest
+        meta = r.choice([word() + ".metadata.json", "snap-" + word(), word() + ".avro", "version-hint.text"])
+        cases = [(at(f"_delta_log/{word()}.json"), (root, "delta")), (at(f"_delta_log/{word()}/{word()}"), (root, "delta")), (at(f"metadata/{meta}"), (root, "iceberg") if root or meta.endswith(".metadata.json") else None), (at(f"metadata/{word()}.txt"), None), (at(f"{word()}_delta_log/x"), None), (at(word() + ".avro"), None)]
+        keys += [k for k, _ in cases]
+        want += [w for _, w in cases]
+    assert [None if m is None else (m.root, m.format) for m in values(spark, keys, K.table_marker)] == want
     keys = ["a.CSV.GZ", "b.pq", "c.tab.bz2", "d.ndjson", "e", "f.json.br", "g.d/x"]
     assert values(spark, keys, K.format_of) == ["csv", "parquet", "tsv", "jsonl", "unknown", "json", "unknown"]
     assert values(spark, keys, K.compression_of) == ["gzip", "none", "bzip2", "none", "none", "brotli", "none"]
