@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.files import footers
 from ..sources.versions import Versions
-from ..sources.readers import ReadOptions, folder_files, read_files, read_folder, with_path_partitions
+from ..sources.readers import ReadOptions, folder_files, read_files, read_folder, read_pruned, with_path_partitions
 from .compat import group_files, read_members
 
 ENTRY = "name string, bucket string, root string, format string, paths array<string>, partition_columns array<string>, options string, strategy string, schema_ddl string"
@@ -109,6 +109,15 @@ class Catalog:
             self._frame(e).createOrReplaceTempView(e.name)
         return [e.name for e in found]
 
+    def scan(self, name: str, where: str) -> DataFrame:
+        """The rows of a registered positional folder where a predicate on its partition columns holds; other files are not read."""
+        e = self.entries().where(F.lower("name") == name.lower()).first()
+        if e is None:
+            raise ValueError(f"no such entry: {name}")
+        own = list(e.partition_columns)
+        df = read_pruned(self.spark, e.root, e.format, own, where, ReadOptions(**json.loads(e.options))) if own and not e.paths else None
+        return self._frame(e).where(where) if df is None else df
+
     def drop(self, name: str) -> None:
         self.versions.change(lambda content: {"entries": [e for e in content.get("entries", []) if e["name"].lower() != name.lower()]})
         self.spark.catalog.dropTempView(name)

@@ -137,6 +137,17 @@ def schema_errors(spark, sf_dir):
     return d.groupBy(F.regexp_extract("file", "/(good|bad|gone)/[^/]*$", 1).alias("kind")).agg(F.count_distinct("name").cast("int").alias("columns"), F.max(F.col("error").isNotNull()).alias("failed"))
 
 
+@registered("SELECT o_orderkey, o_custkey, o_orderstatus AS status, strftime(o_orderdate, '%Y') AS year FROM orders WHERE o_orderstatus <> 'P' AND year(o_orderdate) >= 1996", "")
+def folder_pruned(spark, sf_dir):
+    """A predicate on positional folders, answered before the scan."""
+    root, o = _scratch(spark, "pruned"), read(spark, sf_dir, "orders")
+    for r in o.select("o_orderstatus", F.year("o_orderdate").alias("y")).distinct().collect():  # a folder each
+        own = o.where((F.col("o_orderstatus") == r.o_orderstatus) & (F.year("o_orderdate") == r.y))
+        own.select("o_orderkey", "o_custkey").coalesce(1).write.parquet(f"{root}/{r.o_orderstatus}/{r.y}")
+    d = R.read_pruned(spark, root, "parquet", ["status", "year"], "status <> 'P' AND CAST(year AS int) >= 1996", R.ReadOptions(filename=False))
+    return d.select("o_orderkey", "o_custkey", "status", "year")
+
+
 # ---- table formats, previews, the catalog (E16, E17, G11, G12, G14-G18) ----
 
 

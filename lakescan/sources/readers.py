@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -254,7 +254,7 @@ def read_folder(spark: SparkSession, root: str, fmt: str, extension: str | None
 
 
 def with_path_partitions(df: DataFrame, root: str, names: list[str], keep_filename: bool = False) -> DataFrame:
-    """Positional partition columns cut from ``filename`` below ``root``. They are computed, so filter the inventory first to prune files."""
+    """Positional partition columns cut from ``filename`` below ``root``. They are computed; ``read_pruned`` reads only the files that a predicate on them leaves."""
     tail = root.rsplit("://", 1)[-1].strip("/") + "/"
     path = F.url_decode(F.replace("filename", F.lit("+"), F.lit("%2B")))  # file names come escaped
     rest = F.substring(path, F.instr(path, tail) + len(tail), F.length(path))
@@ -262,6 +262,31 @@ def with_path_partitions(df: DataFrame, root: str, names: list[str], keep_filena
     return out if keep_filename else out.drop("filename")
 
 
+def pruned_files(spark: SparkSession, root: str, fmt: str, names: list[str], where: str | Column, extension: str | None = None) -> list[str]:
+    """The files below ``root`` whose positional folders, as columns ``names``, satisfy a predicate; answered from the listing, by tasks."""
+    from .listing import objects
+
+    key = F.col("key")
+    base = F.substring_index(key, "/", -1)
+    d = objects(spark, root).where(~base.startswith(".") & ~base.startswith("_"))
+    d = d.where(base.endswith(extension) if extension else format_of(base) == fmt)
+    folders = F.split(key, "/")
+    # a file's own name is no partition; a missing folder is null here and "" in ``with_path_partitions``
+    d = d.withColumns({n: F.when(F.size(folders) > i + 1, F.get(folders, F.lit(i))).otherwise("") for i, n in enumerate(names)})
+    stem = root.rstrip("/")
+    return [f"{stem}/{r.key}" for r in d.where(where).select("key").orderBy("key").collect()]  # the files that are to be read
+
+
+def read_pruned(spark: SparkSession, root: str, fmt: str, names: list[str], where: str | Column, options: ReadOptions | None = None, extension: str | None = None) -> DataFrame | None:
+    """A positional folder's rows where a predicate on its partition columns holds, reading no other files; None if there are no such files."""
+    asked = options or ReadOptions()
+    paths = pruned_files(spark, root, fmt, names, where, extension)
+    if not paths:
+        return None
+    d = with_path_partitions(read_files(spark, paths, fmt, replace(asked, filename=True)), root, names, True)
+    return d if asked.filename else d.drop("filename")
+
+
 def preview(df: DataFrame, limit: int = 100) -> tuple[list[str], list[str], list[list[str]], bool]:
     """Columns, types, the first rows as text (null is "", times to the second), and whether there are more."""
     def cell(f):

@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lakescan.operators import catalog
 from lakescan.operators import datasets as D
-from lakescan.sources import inventory, listing
+from lakescan.sources import inventory, listing, readers
 from lakescan.streaming import crawl
 
 KEYS = ["x.csv", "a/b/t/_delta_log/0.json", "a/b/t/_delta_log/1.json", "a/.hidden", "a/_SUCCESS", "year=2024/month=1/p 1.parquet", "year=2024/month=2/p%2.parquet", "year=2023/month=12/ü+.parquet", "deep/1/2/3/4/5/6/7.json", "x.csv.d/y.csv"]
@@ -90,3 +91,21 @@ def test_a_stream_of_objects_feeds_the_crawl(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(seen) == [("s/d=1/a.csv", "new"), ("s/d=2/b.csv", "new"), ("s/d=3/c.csv", "new")]
+
+
+def test_predicates_on_folders_choose_the_files(spark, tmp_path):
+    for year, land, n in (("2023", "US", 1), ("2023", "F R", 2), ("2024", "US", 3), ("2024", "ü+%", 4)):
+        spark.createDataFrame([(n,)], "n int").coalesce(1).write.csv(f"{tmp_path}/feed/{year}/{land}")
+    put(tmp_path, "feed/2024/top.csv")
+    where = "year = '2024' AND land <> 'US'"
+    files = readers.pruned_files(spark, f"file://{tmp_path}/feed", "csv", ["year", "land"], where)
+    assert len(files) == 2 and all("/2024/" in f for f in files)
+    only = "year = '2024' AND land LIKE 'ü%'"
+    assert len(readers.pruned_files(spark, f"file://{tmp_path}/feed", "csv", ["year", "land"], only)) == 1
+    c = catalog.Catalog(spark, f"file://{tmp_path}/list")
+    c.register("feed_pruned", f"file://{tmp_path}/feed", "csv", partition_columns=["year", "land"], options=readers.ReadOptions(header="none"))
+    for predicate, want in (("year = '2023'", {1, 2}), ("land = 'F R'", {2}), (only, {4})):
+        d = c.scan("feed_pruned", predicate)
+        assert {int(r.col_1) for r in d.collect()} == want
+        assert len(d.inputFiles()) == len(want)
+    assert c.scan("feed_pruned", "year = '1999'").count() == 0
