@@ -126,3 +126,24 @@ def sample_rows(cells: DataFrame, names: DataFrame, keys: list[str], most: int =
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("line_no"))
     d = cells.withColumn("_n", rank).where(F.col("_n") <= most).join(names.select(*keys, "pos", "name"), [*keys, "pos"])
     return d.groupBy(*keys, "line_no").agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))), lambda x: F.struct(x["name"], x["value"])))).alias("row"))
+
+
+def text_cells(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") -> DataFrame:
+    """(file, line_no, pos, name, value) of the rows of delimited files under their header's names."""
+    d = lines.where(F.col("line_no") <= rows_most + 1)
+    delimiters = d.select("file").distinct().withColumn("delimiter", F.lit(delimiter)) if delimiter else sniff_delimiters(d)
+    cells = split_cells(d, delimiters)
+    headers = detect_headers(cells)
+    first = F.min("line_no").over(Window.partitionBy("file"))
+    body = cells.withColumn("_first", first).join(headers, "file").where("NOT (has_header AND line_no = _first)")
+    return body.join(header_names(cells, headers), ["file", "pos"]).select("file", "line_no", F.col("pos").cast("int").alias("pos"), "name", "value")
+
+
+def json_cells(lines: DataFrame, rows_most: int = 1000) -> DataFrame:
+    """(file, line_no, pos, name, value) of the objects of JSON lines; keys in order, JSON nulls null."""
+    d = lines.where(F.col("line_no") <= rows_most).withColumn("_v", F.try_parse_json("line")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    d = d.lateralJoin(d.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key IS NOT NULL")
+    nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
+    d = d.select("file", "line_no", F.col("key").alias("name"), F.when(nested, F.to_json("value")).otherwise(F.col("value").cast("string")).alias("value"))
+    names = d.select("file", "name").distinct().withColumn("pos", (F.row_number().over(Window.partitionBy("file").orderBy("name")) - 1).cast("int"))
+    return d.join(names, ["file", "name"]).select("file", "line_no", "pos", "name", "value")

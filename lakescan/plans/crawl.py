@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import datasets as D
-from ..operators.infer import infer_json, infer_text
-from ..sources.files import avro_headers, footers, heads, orc_footers
+from ..operators.infer import infer_json, infer_text, json_cells, sample_rows, sample_stats, text_cells
+from ..sources.files import avro_headers, first_rows, footers, heads, orc_footers
 from ..sources.json_values import json_values
+from ..sources.scratch import checkpoint
 from ..sources.table_formats import delta_tables, iceberg_tables
 
 
@@ -53,6 +54,26 @@ def infer_schemas(spark: SparkSession, representatives: DataFrame) -> DataFrame:
     return d.select(F.col("_file").alias("file"), "pos", "name", "type", "nullable", F.when(F.col("name").isNull(), F.coalesce("error", "_error")).alias("error"))
 
 
+class Samples(NamedTuple):
+    stats: DataFrame
+    rows: DataFrame
+
+
+def samples(representatives: DataFrame, rows_most: int = SAMPLE_ROWS, shown: int = 200) -> Samples:
+    """E18, E19 for every format by one read of the representatives' (file, format) first rows: statistics of each column over ``rows_most`` rows, and ``shown`` rows as JSON.
+
+    The cells are written once; Avro's blocks are not read. Files that cannot be read have neither.
+    """
+    of = lambda *kinds: representatives.where(F.col("format").isin(*kinds)).select("file")
+    found = [
+        text_cells(heads(of("csv"), quoted=True), rows_most), text_cells(heads(of("tsv"), quoted=True), rows_most, "\t"), json_cells(heads(of("jsonl")), rows_most),
+        json_cells(json_values(of("json"), rows_most).where("error IS NULL"), rows_most), first_rows(of("parquet"), "parquet", rows_most), first_rows(of("orc"), "orc", rows_most),
+    ]
+    cells = checkpoint(reduce(DataFrame.unionByName, found))
+    names = cells.select("file", "pos", "name").distinct()
+    return Samples(sample_stats(cells, ["file", "pos", "name"]), sample_rows(cells.drop("name"), names, ["file"], shown))
+
+
 def _table_schemas(spark: SparkSession, paths: DataFrame, kind: str) -> DataFrame | None:
     """The schemas of Delta or Iceberg tables under the names that ``paths`` gives them."""
     marker, read, names = ("/_delta_log/", delta_tables, "_delta_log/*.json") if kind == "delta" else ("/metadata/", iceberg_tables, "metadata/*.metadata.json")

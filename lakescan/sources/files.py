@@ -5,6 +5,7 @@ Paths are a table, so executors share the work; each task opens files through ``
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
@@ -130,3 +131,50 @@ def avro_headers(paths: DataFrame) -> DataFrame:
         return found, None, codec
 
     return _columns_of(paths, read)
+
+
+CELL = "file string, line_no long, pos int, name string, value string"
+
+
+def first_rows(paths: DataFrame, fmt: str, rows: int = 1000) -> DataFrame:
+    """(file, line_no, pos, name, value) of the first rows of Parquet or ORC files, cells as text; nested cells as JSON.
+
+    Of Parquet files the first row group is read in batches, of ORC files the first stripe. Files that cannot be read have no rows.
+    """
+
+    def table(store, name) -> pa.Table:
+        with store.open_input_file(name) as f:
+            if fmt == "parquet":
+                import pyarrow.parquet as pq
+
+                found = pq.ParquetFile(f, pre_buffer=False)
+                batch = next(found.iter_batches(rows, row_groups=[0]), None) if found.metadata.num_row_groups else None
+                return pa.Table.from_batches([batch] if batch is not None else [], found.schema_arrow)
+            from pyarrow import orc
+
+            found = orc.ORCFile(f)
+            return pa.Table.from_batches([found.read_stripe(0)] if found.nstripes else [], found.schema).slice(0, rows)
+
+    def texts(column: pa.ChunkedArray) -> list:
+        kind = column.type
+        if pa.types.is_nested(kind):
+            return [None if x is None else json.dumps(x, default=str) for x in column.to_pylist()]
+        if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) or pa.types.is_fixed_size_binary(kind):
+            return [None if x is None else x.hex().upper() for x in column.to_pylist()]
+        try:
+            return column.cast(pa.string()).to_pylist()
+        except pa.ArrowException:
+            return [None if x is None else str(x) for x in column.to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                try:
+                    found = table(*_open(path))
+                except Exception:  # as the footers' jobs tell
+                    continue
+                for i, name in enumerate(found.column_names):
+                    n = found.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(1, n + 1), pa.int64()), pa.array([i] * n, pa.int32()), pa.array([name] * n, pa.string()), pa.array(texts(found.column(i)), pa.string())], names=["file", "line_no", "pos", "name", "value"])
+
+    return tasks(paths.select("file"), "file").mapInArrow(run, CELL)

@@ -149,3 +149,23 @@ def test_one_bad_file_does_not_fail_the_others(spark, tmp_path):
     assert set(failed) == {*bad, "gone.parquet"} - {"o.json"}
     assert all(r.name is None for r in got if r.error)
     assert failed["x.bin"] == "no reader for unknown" and failed["empty.csv"] == "no columns found" and "FileNotFoundError" in failed["gone.parquet"]
+
+
+def test_samples_of_every_format_by_one_crawl(spark, tmp_path):
+    d = spark.range(5).selectExpr("id", "if(id = 3, null, concat('s', id % 2)) AS s", "array(id) AS a").coalesce(1)
+    d.write.parquet(f"{tmp_path}/p")
+    d.write.orc(f"{tmp_path}/o")
+    (tmp_path / "t.csv").write_text('id,s\n' + "".join(f'{i},"s{i % 2}\n"\n' if i != 3 else "3,\n" for i in range(5)))
+    (tmp_path / "l.jsonl").write_text("".join(json.dumps({"id": i, "s": None if i == 3 else f"s{i % 2}", "a": [i]}) + "\n" for i in range(5)))
+    (tmp_path / "j.json").write_text(json.dumps([{"id": i, "s": None if i == 3 else f"s{i % 2}", "a": [i]} for i in range(5)]))
+    (tmp_path / "bad.parquet").write_text("no")
+    names = [*(str(p) for k in "po" for p in (tmp_path / k).glob("part-*")), *(f"{tmp_path}/{n}" for n in ("t.csv", "l.jsonl", "j.json", "bad.parquet"))]
+    got = crawl.samples(spark.createDataFrame([(n, n.rsplit(".", 1)[1]) for n in names], "file string, format string"))
+    stats = {(r.file.rsplit(".", 1)[1], r.name): r for r in got.stats.collect()}
+    for kind in ("parquet", "orc", "csv", "jsonl", "json"):
+        r, n = stats[kind, "s"], stats[kind, "id"]
+        assert (r["count"], r.null_count, r.distinct_count, n.null_count, n.distinct_count, n.min, n.max) == (5, 1, 2, 0, 5, "0", "4")
+        assert [x.strip() for x in r.samples] == ["s0", "s1"]
+    rows = [(r.file.rsplit(".", 1)[1], r.line_no, json.loads(r.row)) for r in got.rows.collect()]
+    assert sorted(k for k, *_ in rows) == sorted(["parquet", "orc", "csv", "jsonl", "json"] * 5)
+    assert {k: row["a"].replace(" ", "") for k, n, row in rows if row["id"] == "2" and k != "csv"} == {k: "[2]" for k in ("parquet", "orc", "jsonl", "json")}
