@@ -104,14 +104,15 @@ class _Lines:
     def __init__(self, spark: SparkSession, paths: list[str], header: bool, options: dict, base: str | None) -> None:
         self.paths, self.header = paths, header
         self.reader = lambda: _reader(spark, base).options(header=header, **options)
-        self.base = base
+        self.hive = _folder_names(paths, base)
 
     def _own(self, df: DataFrame) -> DataFrame:
         return df if self.header else df.withColumnsRenamed({f"_c{i}": f"col_{i + 1}" for i in range(len(df.columns))})
 
     def schema(self) -> T.StructType:
         self.inferred = self.reader().option("inferSchema", True).csv(self.paths)
-        return self._own(self.inferred).schema
+        found = self._own(self.inferred).schema
+        return T.StructType([*found[: len(found) - len(self.hive)], *(T.StructField(f.name, T.StringType()) for f in found[len(found) - len(self.hive) :])])
 
     def read(self, schema: T.StructType, filename: bool) -> DataFrame:
         given = T.StructType([T.StructField(f.name, g.dataType) for f, g in zip(self.inferred.schema, schema, strict=True)])
@@ -160,6 +161,13 @@ def header_names(cells: list[str]) -> list[str]:
     return [f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
+def _folders_as_text(df: DataFrame, paths: list[str], base: str | None) -> T.StructType | None:
+    """The frame's schema with its Hive partitions as text, so that ``01`` stays ``01``; None if it has that already."""
+    names = set(_folder_names(paths, base))
+    fixed = T.StructType([T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in df.schema])
+    return fixed if [f.dataType for f in fixed] != [f.dataType for f in df.schema] else None
+
+
 def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("filename", F.col("_metadata.file_path"))
 
@@ -176,7 +184,10 @@ def _read_json(spark: SparkSession, paths: list[str], o: ReadOptions, base: str
     parts = []
     mode = "DROPMALFORMED" if o.ignore_errors else "PERMISSIVE"
     if own := [p for p in paths if p in by_line]:
-        df = _reader(spark, base).option("mode", mode).json(own)
+        reader = lambda: _reader(spark, base).option("mode", mode)
+        df = reader().json(own)
+        text = _folders_as_text(df, own, base)
+        df = reader().schema(text).json(own) if text else df
         parts.append(_named(df) if o.filename else df)
     if own := [p for p in paths if p not in by_line]:
         parts.append(_json_stream(spark, own, o, base))
@@ -222,8 +233,10 @@ def read_files(spark: SparkSession, paths: list[str], fmt: str, options: ReadOpt
         return _read_text(spark, paths, fmt, o, base)
     if fmt in ("json", "jsonl"):
         return _read_json(spark, paths, o, base)
-    r = _reader(spark, base)
-    df = r.option("mergeSchema", o.union_by_name).parquet(*paths) if fmt == "parquet" else r.format(fmt).load(paths)
+    reader = lambda: _reader(spark, base).option("mergeSchema", o.union_by_name) if fmt == "parquet" else _reader(spark, base)
+    df = reader().format(fmt).load(paths)
+    text = _folders_as_text(df, paths, base)
+    df = reader().schema(text).format(fmt).load(paths) if text else df
     return _named(df) if o.filename else df
 
 
@@ -244,13 +257,7 @@ def read_folder(spark: SparkSession, root: str, fmt: str, extension: str | None
         raise ValueError(f"no {fmt} files under {root}")
     tail = root.rsplit("://", 1)[-1].rstrip("/") + "/"
     hive = all("=" in part for p in paths for part in p[p.index(tail) + len(tail) :].split("/")[:-1]) and any("/" in p[p.index(tail) + len(tail) :] for p in paths)
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, False)
-    try:
-        return read_files(spark, paths, fmt, o, root if hive else None)
-    finally:
-        spark.conf.set(key, before)
+    return read_files(spark, paths, fmt, o, root if hive else None)
 
 
 def with_path_partitions(df: DataFrame, root: str, names: list[str], keep_filename: bool = False) -> DataFrame:

@@ -160,7 +160,7 @@ class RangedTable:
         d = rows.withColumn("batch", F.lit(batch).cast("long")).withColumn("range", self.range_of(F.col("place")))
         columns = [c for c in d.columns if c != "range"]
         d.select(*columns, "range").hint("rebalance", "range").write.partitionBy("range").parquet(f"{self.root}/{folder}")
-        counts = {r[0]: r[1] for r in self.spark.read.parquet(f"{self.root}/{folder}").groupBy("range").count().collect()} if listed(self.spark, f"{self.root}/{folder}") != ["_SUCCESS"] else {}
+        counts = {int(r[0]): r[1] for r in self.spark.read.parquet(f"{self.root}/{folder}").groupBy("range").count().collect()} if listed(self.spark, f"{self.root}/{folder}") != ["_SUCCESS"] else {}
         ranges = [r | {"parts": [*r["parts"], f"{folder}/range={i}"], "rows": r["rows"] + counts[i]} if i in counts else r for i, r in enumerate(self.ranges)]
         return self._with(ranges).compacted(batch)
 
@@ -182,7 +182,7 @@ class RangedTable:
         if listed(self.spark, f"{self.root}/{folder}") != ["_SUCCESS"]:
             found = self.spark.read.parquet(f"{self.root}/{folder}").groupBy("range", F.col("_metadata.file_name").alias("file")).agg(F.min("place").alias("low"), F.count("*").alias("rows"))
             for r in found.collect():  # a row a range
-                pieces.setdefault(r.range, []).append((r.low, f"{folder}/range={r.range}/{r.file}", r.rows))
+                pieces.setdefault(int(r.range), []).append((r.low, f"{folder}/range={r.range}/{r.file}", r.rows))
         ranges = []
         for i, r in enumerate(self.ranges):
             if i not in full:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="session", autouse=True)  # types are parsed by an active session
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     s = (
