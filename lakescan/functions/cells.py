@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 NULLS = ["", "null", "NULL", "Null", "na", "NA", "n/a", "N/A", "nil", "none", "None", "\\N"]
 #: Texts that stand for booleans, in any case.
 BOOLEANS = ["true", "false", "t", "f", "yes", "no", "y", "n"]
+#: What Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A bit a kind; null and unknown have none.
 BITS = {"boolean": 1, "integer": 2, "float": 4, "decimal": 8, "uuid": 16, "date": 32, "timestamp": 64, "time": 128, "json": 256, "string": 512, "array": 1024, "struct": 2048}
 #: Shape of each time layout, its kind, and the pattern that checks the calendar.
@@ -25,14 +27,19 @@ LAYOUTS = [
 ]
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def is_null_text(text: Column) -> Column:
-    """Null, or one of the twelve null texts between blanks."""
-    return text.isNull() | F.trim(text).isin(NULLS)
+    """Null, or one of the twelve null texts between white space."""
+    return text.isNull() | stripped(text).isin(NULLS)
 
 
 def cell_type(text: Column) -> Column:
     """Null, boolean, integer, float, decimal, uuid, date, timestamp, time, json or string, tested in that order."""
-    t = F.trim(text)
+    t = stripped(text)
     number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     words = F.lower(t).rlike(r"^[+-]?(inf|infinity|nan)$")
     places = F.when(F.instr(t, ".") > 0, F.length(t) - F.instr(t, ".")).otherwise(0)

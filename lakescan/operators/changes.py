@@ -59,17 +59,22 @@ def replace_partitions(stored: DataFrame, found: DataFrame, datasets: DataFrame,
     return stored.join(datasets.select(*key).distinct(), key, "left_anti").unionByName(found.select(*stored.columns))
 
 
-def change_events(datasets: DataFrame, stored_datasets: DataFrame, versions: DataFrame, partitions: DataFrame, stored_partitions: DataFrame, metrics: DataFrame, at: Column) -> DataFrame:
-    """(type, subject, payload, at): discovered datasets, changed schemas, truly new partitions, and the run's completion."""
+def change_events(datasets: DataFrame, stored_datasets: DataFrame, versions: DataFrame, columns: DataFrame, partitions: DataFrame, stored_partitions: DataFrame, metrics: DataFrame, at: Column, mode: str = "auto") -> DataFrame:
+    """(type, subject, payload, at): the run's start for each bucket, discovered datasets, changed schemas, truly new partitions, and the run's completion.
+
+    ``versions`` are those of ``next_versions``, ``columns`` the (dataset, name) rows of the schemas they are made from.
+    """
     key = ["bucket", "root"]
     made = lambda d, kind, subject, *fields: d.select(F.lit(kind).alias("type"), subject.alias("subject"), F.to_json(F.struct(*fields)).alias("payload"), at.alias("at"))
     place = F.concat_ws("/", "bucket", "root")
-    discovered = made(datasets.join(stored_datasets.select(*key), key, "left_anti"), "DatasetDiscovered", place, "bucket", "root", "format")
-    schema = made(versions, "SchemaChanged", F.col("dataset"), "version", "previous")
+    discovered = made(datasets.join(stored_datasets.select(*key), key, "left_anti"), "DatasetDiscovered", place, "bucket", "root", "name", "format", "file_count")
+    started = made(datasets.groupBy("bucket").agg(F.lit(mode).alias("mode")), "CrawlStarted", F.col("bucket"), "bucket", "mode")
+    wide = versions.join(columns.groupBy("dataset").agg(F.count("*").alias("columns")), "dataset", "left").fillna({"columns": 0})
+    schema = made(wide, "SchemaChanged", F.col("dataset"), "version", (F.col("version") - 1).alias("old_version"), "previous", "columns")
     fresh = made(partitions.join(stored_partitions.select(*key, "partition_path"), [*key, "partition_path"], "left_anti"), "NewPartition", place, "partition_path", "file_count")
     updated = made(datasets.join(stored_datasets.select(*key), key, "left_semi"), "CatalogUpdated", place, "bucket", "root")
     done = made(metrics, "CrawlCompleted", F.lit("crawl"), *metrics.columns)
-    return discovered.unionByName(schema).unionByName(fresh).unionByName(updated).unionByName(done)
+    return started.unionByName(discovered).unionByName(schema).unionByName(fresh).unionByName(updated).unionByName(done)
 
 
 def delete_datasets(gone: DataFrame, tables: dict[str, DataFrame], key: list[str] = ("bucket", "root")) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import cell_type, column_types, is_null_text, merged_type, type_bit
+from ..functions.cells import cell_type, column_types, is_null_text, merged_type, stripped, type_bit
 
 DELIMITERS = ["|", "\t", ";"]
 NUMERIC = ["integer", "float", "decimal"]
@@ -17,7 +17,7 @@ NUMERIC = ["integer", "float", "decimal"]
 def sniff_delimiters(lines: DataFrame) -> DataFrame:
     """E5: (file, delimiter): of the first 40 non-blank lines, 80 % with the same number of fields, two at least; else a comma."""
     n = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    d = lines.where(F.trim("line") != "").withColumn("_n", n).where("_n <= 40")
+    d = lines.where(stripped(F.col("line")) != "").withColumn("_n", n).where("_n <= 40")
     fields = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(x).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) + 1).alias("fields")) for i, x in enumerate(DELIMITERS)])
     c = d.select("file", F.explode(fields).alias("f")).groupBy("file", "f.place", "f.delimiter", "f.fields").agg(F.count("*").alias("n"))
     total = c.groupBy("file", "place", "delimiter").agg(F.sum("n").alias("total"), F.max(F.struct("n", "fields")).alias("m"))
@@ -47,7 +47,7 @@ def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(file, pos, name): trimmed header cells; blank or missing ones are ``col_i``, repeats get ``_2``, ``_3``."""
     first = F.min("line_no").over(Window.partitionBy("file"))
     d = cells.withColumn("_first", first)
-    top = d.where("line_no = _first").select("file", "pos", F.trim("value").alias("_name"))
+    top = d.where("line_no = _first").select("file", "pos", stripped(F.col("value")).alias("_name"))
     d = d.select("file", "pos").distinct().join(top, ["file", "pos"], "left").join(headers, "file")
     d = d.withColumn("_name", F.when(F.col("has_header") & (F.coalesce("_name", F.lit("")) != ""), F.col("_name")).otherwise(F.concat(F.lit("col_"), F.col("pos") + 1)))
     n = F.row_number().over(Window.partitionBy("file", "_name").orderBy("pos"))
@@ -104,7 +104,7 @@ def json_lines(documents: DataFrame) -> DataFrame:
     arrays = arrays.lateralJoin(d.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), F.to_json("value").alias("line"))
     others = d.where(F.coalesce(~kind.startswith("ARRAY"), F.lit(True)))
     # the parser stops at the first value's end, so what has an object in its first line is read by lines
-    first = F.get(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    first = F.get(F.filter(F.split("content", "\n"), lambda x: stripped(x) != ""), F.lit(0))
     by_line = F.coalesce(F.schema_of_variant(F.try_parse_json(first)).startswith("OBJECT"), F.lit(False))
     whole = F.when(kind.startswith("OBJECT") & ~by_line, F.array("content")).otherwise(F.split("content", "\n"))
     others = others.select("file", F.posexplode(whole).alias("pos", "line")).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")

@@ -11,6 +11,7 @@ from ..operators.profile import summarize
 STARTS = ("select", "with", "describe", "desc", "summarize", "explain", "show", "values", "table", "from")
 READS = re.compile(r"(Explain|Show|Describe)\w*")
 SUMMARIZE = re.compile(r"\s*summarize\s+([\w.`]+)\s*;?\s*", re.I)
+SUMMARIZED = re.compile(r"summarize\s*(?=[\s(])", re.I)
 COMMAND = re.compile(r"Command$|Statement$|^(Create|Drop|Insert|Delete|Update|Merge|Alter|Truncate|Replace|Set|Add|Load|Cache|Uncache|Refresh|Analyze|Repair|Append|Overwrite|Call|Comment|Execute|Declare)")
 
 
@@ -77,6 +78,8 @@ def check_read_only(spark: SparkSession, sql: str, functions: bool = False) -> N
         raise ValueError("only reading statements are allowed")
     if SUMMARIZE.fullmatch(bare(sql)):
         return
+    if of := SUMMARIZED.match(bare(sql)):
+        return check_read_only(spark, bare(sql)[of.end() :], functions)
     state = spark._jsparkSession.sessionState()
     plan = state.sqlParser().parsePlan(sql)
     for node in _nodes(plan):
@@ -105,8 +108,13 @@ def _check_expressions(plan, functions: bool) -> None:
 
 
 def query(spark: SparkSession, sql: str, limit: int | None = 100) -> tuple[DataFrame, int | None]:
-    """A frame of at most ``limit`` + 1 rows; one more than ``limit`` says that there are more. ``SUMMARIZE t`` is a profile."""
+    """A frame of at most ``limit`` + 1 rows; one more than ``limit`` says that there are more. ``SUMMARIZE`` of a table or a query is its profile."""
     check_read_only(spark, sql)
-    m = SUMMARIZE.fullmatch(bare(sql))
-    df = summarize(spark.table(m[1])) if m else spark.sql(sql)
+    text = bare(sql)
+    if m := SUMMARIZE.fullmatch(text):
+        df = summarize(spark.table(m[1]))
+    elif m := SUMMARIZED.match(text):
+        df = summarize(spark.sql(text[m.end() :]))
+    else:
+        df = spark.sql(sql)
     return (df.limit(limit + 1) if limit is not None else df), limit

@@ -180,14 +180,23 @@ def metadata_hash(spark, sf_dir):
     return CH.hashed(inventory(spark, sf_dir)).select("key", "hash")
 
 
+def _rates(spark, sf_dir):
+    """The default region's rates, and for every nation a region with rates of its own that has no rate for one class."""
+    own = COST.rates_table(spark)
+    n = read(spark, sf_dir, "nation").selectExpr("concat('region-', n_nationkey) AS _region", "1 + n_nationkey / 100D AS _factor")
+    other = own.join(n, F.lit(True)).where("class <> 'GLACIER'")  # 7 rates for each of the 25 nations
+    return own.unionByName(other.selectExpr("_region AS region", "class", "rate * _factor AS rate"))
+
+
 RATES = "rates(c, r) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in COST.DEFAULT_RATES.items()) + ")"
 
 
-@registered(f"""WITH {RATES}, k AS (SELECT key, size, CASE WHEN storage_class = '' THEN 'STANDARD' ELSE upper(storage_class) END AS c FROM inv)
-SELECT key, round((CASE WHEN c = 'STANDARD_IA' THEN greatest(size, 131072) ELSE size END * r + CASE WHEN c IN ('GLACIER', 'DEEP_ARCHIVE') THEN 32768 * r + 8192 * 0.023::DOUBLE ELSE 0 END) / 1073741824, 9) AS cost FROM k JOIN rates USING (c)""")
+@registered(f"""WITH {RATES}, k AS (SELECT key, size, CASE WHEN storage_class = '' THEN 'STANDARD' ELSE upper(storage_class) END AS c, size % 40 AS n FROM inv),
+p AS (SELECT key, size, c, coalesce('region-' || n_nationkey, 'us-east-1') AS price_region, 1 + coalesce(n_nationkey, 0) / 100::DOUBLE AS f, CASE WHEN n_nationkey IS NOT NULL AND c = 'GLACIER' THEN 'STANDARD' ELSE c END AS billed FROM k LEFT JOIN nation ON n = n_nationkey)
+SELECT key, price_region, round((CASE WHEN p.c = 'STANDARD_IA' THEN greatest(size, 131072) ELSE size END * r * f + CASE WHEN p.c IN ('GLACIER', 'DEEP_ARCHIVE') THEN 32768 * r * f + 8192 * 0.023::DOUBLE * f ELSE 0 END) / 1073741824, 9) AS cost FROM p JOIN rates ON billed = rates.c""")
 def object_cost(spark, sf_dir):
-    d = inventory(spark, sf_dir).withColumn("region", F.lit("nowhere-1"))
-    return COST.with_cost(d, COST.rates_table(spark)).select("key", F.round("cost", 9).alias("cost"))
+    d = inventory(spark, sf_dir).withColumn("region", F.concat(F.lit("region-"), F.col("size") % 40))
+    return COST.with_cost(d, _rates(spark, sf_dir)).select("key", "price_region", F.round("cost", 9).alias("cost"))
 
 
 @registered(r"""SELECT p_partkey, CASE WHEN n = '' THEN 'table' WHEN n[1:1] BETWEEN '0' AND '9' THEN 't_' || n ELSE n END AS table_name, regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9_]*$') AS valid
@@ -301,16 +310,21 @@ def schema_version(spark, sf_dir):
     return CH.next_versions(found, old)
 
 
-@registered("""WITH o AS (SELECT bucket, root, array_to_string(list_transform(list_sort(parts), lambda x: x || '/'), '') AS pp FROM cls), now AS (SELECT DISTINCT bucket, root FROM o), p AS (SELECT DISTINCT bucket, root, pp FROM o WHERE pp <> '')
-SELECT CASE WHEN bucket = 'b2' THEN 'DatasetDiscovered' ELSE 'CatalogUpdated' END AS type, bucket || '/' || root AS subject, count(*) AS n FROM now GROUP BY 1, 2
-UNION ALL SELECT 'NewPartition', bucket || '/' || root, count(*) FROM p WHERE pp LIKE '%1%' GROUP BY 1, 2 UNION ALL SELECT 'CrawlCompleted', 'crawl', 1""", "inv cls")
+@registered(f"""WITH {COLS}, o AS (SELECT bucket, root, array_to_string(list_transform(list_sort(parts), lambda x: x || '/'), '') AS pp FROM cls), now AS (SELECT DISTINCT bucket, root FROM o), p AS (SELECT DISTINCT bucket, root, pp FROM o WHERE pp <> '')
+SELECT CASE WHEN bucket = 'b2' THEN 'DatasetDiscovered' ELSE 'CatalogUpdated' END AS type, bucket || '/' || root AS subject, count(*) AS n, '' AS schema FROM now GROUP BY 1, 2
+UNION ALL SELECT DISTINCT 'CrawlStarted', bucket, 1, '' FROM now
+UNION ALL SELECT 'SchemaChanged', dataset, 1, CASE WHEN dataset LIKE '%3' THEN '5,4,' ELSE '1,0,' END || count(*) FROM cols WHERE NOT dataset LIKE '%2' GROUP BY dataset
+UNION ALL SELECT 'NewPartition', bucket || '/' || root, count(*), '' FROM p WHERE pp LIKE '%1%' GROUP BY 1, 2 UNION ALL SELECT 'CrawlCompleted', 'crawl', 1, ''""", "inv cls")
 def change_events(spark, sf_dir):
     o = classified(spark, sf_dir)
     datasets, partitions = D.roll_up(o), D.partition_summary(o)
-    none = spark.createDataFrame([], "dataset string, version int, previous string")
+    columns = _columns(spark, sf_dir)
+    found = CH.fingerprints(columns, ["dataset"])
+    stored = found.where("dataset LIKE '%2'").withColumn("version", F.lit(4)).unionByName(found.where("dataset LIKE '%3'").selectExpr("dataset", "'other' AS fingerprint", "4 AS version"))
     metrics = datasets.agg(F.count("*").alias("datasets"))
-    e = CH.change_events(datasets, datasets.where("bucket <> 'b2'"), none, partitions, partitions.where("NOT partition_path LIKE '%1%'"), metrics, F.lit("2021"))
-    return e.groupBy("type", "subject").agg(F.count("*").alias("n"))
+    e = CH.change_events(datasets, datasets.where("bucket <> 'b2'"), CH.next_versions(found, stored), columns, partitions, partitions.where("NOT partition_path LIKE '%1%'"), metrics, F.lit("2021"))
+    p = F.from_json("payload", "version int, old_version int, columns long")
+    return e.groupBy("type", "subject").agg(F.count("*").alias("n"), F.max(F.concat_ws(",", p["version"], p["old_version"], p["columns"])).alias("schema"))
 
 
 @registered("""SELECT bucket, root, array_to_string(list_transform(list_sort(parts), lambda x: x || '/'), '') AS partition_path, count(*) AS file_count, sum(size)::BIGINT AS total_size FROM cls WHERE len(parts) > 0 AND NOT (bucket = 'b1' AND strategy = 'positional') GROUP BY 1, 2, 3""", "inv cls")

@@ -181,13 +181,13 @@ def test_catalog(spark, tmp_path):
     assert [r.root for r in C.search_datasets(d, "ORD").collect()] == ["x/orders"]
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1", "  with x as (select 1) select * from x", "DESCRIBE v", "SUMMARIZE v", "(SELECT 1)", "-- c\nSELECT ';'", "SHOW TABLES", "EXPLAIN SELECT 1", "VALUES (1)", "FROM v SELECT *", "SELECT 1;"])
+@pytest.mark.parametrize("sql", ["SELECT 1", "  with x as (select 1) select * from x", "DESCRIBE v", "SUMMARIZE v", "summarize SELECT id FROM v", "SUMMARIZE (WITH q AS (SELECT 1 AS x) SELECT * FROM q)", "(SELECT 1)", "-- c\nSELECT ';'", "SHOW TABLES", "EXPLAIN SELECT 1", "VALUES (1)", "FROM v SELECT *", "SELECT 1;"])
 def test_reading_statements(spark, sql):
     spark.range(3).createOrReplaceTempView("v")
     assert sqlapi.query(spark, sql)[0].collect()
 
 
-@pytest.mark.parametrize("sql", ["CACHE TABLE v", "TRUNCATE TABLE v", "CREATE VIEW w AS SELECT 1", "MERGE INTO v USING w ON v.id = w.id WHEN MATCHED THEN DELETE", "WITH q AS (SELECT 1) INSERT INTO v SELECT * FROM q", "FROM v INSERT INTO u SELECT *", "", "SET a = 1", "REFRESH TABLE v", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect` ('java.lang.Math', 'random')", "SELECT 'a' || reflect/* x */('b', 'c')", "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.name')", "SELECT IDENTIFIER('java_' || 'method')('java.lang.Math','random')", "SELECT r'\\', java_method('java.lang.Math','random'), ' '", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.Math','random'))", "WITH q AS (SELECT reflect('java.lang.Math','random') AS x) SELECT * FROM q", "EXPLAIN SELECT reflect('java.lang.Math','random')", "VALUES (reflect('java.lang.Math','random'))", "SELECT transform(array(1), x -> reflect('java.lang.Math','random'))"])
+@pytest.mark.parametrize("sql", ["CACHE TABLE v", "TRUNCATE TABLE v", "CREATE VIEW w AS SELECT 1", "MERGE INTO v USING w ON v.id = w.id WHEN MATCHED THEN DELETE", "WITH q AS (SELECT 1) INSERT INTO v SELECT * FROM q", "FROM v INSERT INTO u SELECT *", "", "SET a = 1", "REFRESH TABLE v", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT `reflect` ('java.lang.Math', 'random')", "SELECT 'a' || reflect/* x */('b', 'c')", "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.name')", "SELECT IDENTIFIER('java_' || 'method')('java.lang.Math','random')", "SELECT r'\\', java_method('java.lang.Math','random'), ' '", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.Math','random'))", "WITH q AS (SELECT reflect('java.lang.Math','random') AS x) SELECT * FROM q", "EXPLAIN SELECT reflect('java.lang.Math','random')", "VALUES (reflect('java.lang.Math','random'))", "SUMMARIZE SELECT reflect('java.lang.Math','random')", "SUMMARIZE INSERT INTO v SELECT 1", "SELECT transform(array(1), x -> reflect('java.lang.Math','random'))"])
 def test_q14_writing_statements_are_refused(spark, sql):
     with pytest.raises(ValueError):
         sqlapi.check_read_only(spark, sql)
@@ -208,6 +208,29 @@ def test_functions_of_the_session_need_leave(spark):
     sqlapi.check_read_only(spark, "SELECT twice(1)", functions=True)
 
 
+def test_the_profile_of_a_query_is_that_of_its_rows(spark):
+    spark.range(10).createOrReplaceTempView("v")
+    rows = sqlapi.query(spark, "-- odd ones\nSUMMARIZE SELECT id, CASE WHEN id > 4 THEN id END AS big FROM v WHERE id % 2 = 1;")[0].collect()
+    assert sorted((r.column, r["count"], r.non_null) for r in rows) == [("big", 5, 3), ("id", 5, 5)]
+
+
+def test_events_of_a_run_tell_its_start_and_the_schemas_columns(spark):
+    inventory = objects(spark, {"a/x=1/p.csv": 1, "a/x=2/q.csv": 2, "c/x=1/r.csv": 3})
+    o = D.classified(inventory)
+    datasets, parts = D.roll_up(o), D.partition_summary(o)
+    cols = spark.createDataFrame([("b/a", "k", "int", True), ("b/a", "l", "int", False)], "dataset string, name string, type string, nullable boolean")
+    versions = CH.next_versions(CH.fingerprints(cols, ["dataset"]), spark.createDataFrame([("b/a", 2, "f")], "dataset string, version int, fingerprint string"))
+    e = CH.change_events(datasets, datasets.where("root = 'a'"), versions, cols, parts, parts.where("root = 'a'"), datasets.agg(F.count("*").alias("datasets")), F.lit("t"), "hive")
+    found = {(r.type, r.subject): json.loads(r.payload) for r in e.collect()}
+    bucket = inventory.first().bucket
+    assert found["CrawlStarted", bucket] == {"bucket": bucket, "mode": "hive"}
+    assert found["SchemaChanged", "b/a"] == {"version": 3, "old_version": 2, "previous": "f", "columns": 2}
+    assert found["DatasetDiscovered", f"{bucket}/c"]["file_count"] == 1 and found["CrawlCompleted", "crawl"] == {"datasets": 2}
+    assert {k for k in found if k[0] == "NewPartition"} == {("NewPartition", f"{bucket}/c")}
+    nothing = CH.change_events(datasets.limit(0), datasets, versions.limit(0), cols.limit(0), parts.limit(0), parts, datasets.agg(F.count("*").alias("datasets")), F.lit("t"))
+    assert [r.type for r in nothing.collect()] == ["CrawlCompleted"]
+
+
 def test_limits(spark):
     spark.range(10).createOrReplaceTempView("v")
     df, limit = sqlapi.query(spark, "SELECT * FROM v", 4)

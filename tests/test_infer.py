@@ -114,3 +114,12 @@ def test_table_formats(spark, tmp_path):
     (meta / "v2.metadata.json").write_text(json.dumps({"current-schema-id": 1, "schemas": [{"schema-id": 0, "fields": fields[:1]}, {"schema-id": 1, "fields": fields}], "partition-specs": [{"fields": [{"name": "b"}]}, {"fields": [{"name": "b"}]}], "snapshots": [{"snapshot-id": 1, "timestamp-ms": 5, "summary": {"total-records": "7"}}, {"snapshot-id": 2, "timestamp-ms": 9, "summary": {"total-records": "12"}}]}))
     got = [(r.name, r.type, r.nullable, r.is_partition, r.num_rows) for r in iceberg_tables(spark, f"{tmp_path}/*/metadata/*.metadata.json").orderBy("pos").collect()]
     assert got == [("a", "long", False, False, 12), ("b", "string", True, True, 12)]
+
+
+def test_cells_between_any_white_space(spark):
+    marks = ["\t", "\r", " ", "\u00a0", "\u2003", "\u3000", "\x0b"]
+    kinds = {"12": "integer", "1.5": "float", "NULL": "null", "": "null", "true": "boolean", "2024-02-03": "date", "a b": "string"}
+    rows = [(f"{m}{c}{m * 2}", kind) for m in marks for c, kind in kinds.items()]
+    d = spark.createDataFrame(rows, "cell string, want string").withColumn("got", cells.cell_type(F.col("cell")))
+    assert d.where("got <> want").collect() == []
+    assert d.where(cells.is_null_text(F.col("cell")) != (F.col("want") == "null")).collect() == []

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import re
 
@@ -127,3 +128,24 @@ def test_costs(spark):
     d = spark.createDataFrame(rows, "region string, storage_class string, size long, want double")
     for r in cost.with_cost(d, cost.rates_table(spark)).collect():
         assert abs(r.cost - r.want) < 1e-12
+
+
+def test_rates_from_published_price_files(spark, tmp_path):
+    def offer(region, prefix, more=()):
+        products = [("1", "TimedStorage-ByteHrs", "Standard", "AWS Region", [("0", "GB-Mo", "0.03"), ("51200", "GB-Mo", "0.02")]), ("2", "TimedStorage-GlacierByteHrs", "Amazon Glacier", "AWS Region", [("0", "GB-Mo", "0.005")]),
+                    ("3", "TimedStorage-ByteHrs", "IntelligentTieringAAObjectOverhead", "AWS Region", [("0", "GB-Mo", "9")]), ("4", "Tables-TimedStorage-ByteHrs", "Standard", "AWS Region", [("0", "GB-Mo", "9")]),
+                    ("5", "TimedStorage-SIA-ByteHrs", "Standard - Infrequent Access", "AWS Outposts", [("0", "GB-Mo", "9")]), ("6", "TimedStorage-ZIA-ByteHrs", "One Zone - Infrequent Access", "AWS Region", [("0", "Objects", "9")]), *more]
+        attributes = lambda p: {"regionCode": region, "usagetype": prefix + p[1], "volumeType": p[2], "locationType": p[3]}
+        prices = lambda p: {f"{p[0]}.t.{i}": {"beginRange": b, "unit": u, "pricePerUnit": {"USD": v}} for i, (b, u, v) in enumerate(p[4])}
+        return {"publicationDate": "2020", "products": {p[0]: {"sku": p[0], "attributes": attributes(p)} for p in products}, "terms": {"OnDemand": {p[0]: {f"{p[0]}.t": {"priceDimensions": prices(p)}} for p in products}, "Reserved": {}}}
+
+    for region, prefix in [("moon-1", ""), ("moon-2", "MN2-")]:
+        (tmp_path / f"{region}.json").write_text(json.dumps(offer(region, prefix)))
+    found = {(r.region, r["class"], r.rate) for r in cost.price_list(spark, f"{tmp_path}/moon-1.json").collect()}
+    assert found == {("moon-1", "STANDARD", 0.03), ("moon-1", "GLACIER", 0.005)}
+    assert {(r["class"], r.rate) for r in cost.price_list(spark, [f"{tmp_path}/moon-2.json"]).collect()} == {("STANDARD", 0.03), ("GLACIER", 0.005)}
+    d = spark.createDataFrame([("moon-1", "GLACIER_IR", 1 << 30)], "region string, storage_class string, size long")
+    assert cost.with_cost(d, cost.price_list(spark, f"{tmp_path}/moon-1.json")).first().cost == 0.03
+    (tmp_path / "bad.json").write_text(json.dumps(offer("moon-3", "", [("7", "TimedStorage-ByteHrs", "Standard", "AWS Region", [("0", "GB-Mo", "0.04")])])))
+    with pytest.raises(Exception, match="rates differ: moon-3 STANDARD"):
+        cost.price_list(spark, f"{tmp_path}/bad.json").collect()
