@@ -3,13 +3,16 @@
 Vectors of length one lie within distance r = sqrt(2 - 2c) of each other exactly when their cosine is at least c. Equal
 vectors are one class. Pivots, a bounded sample of the vectors, partition the classes: each belongs to the cell of its
 nearest pivot. The triangle inequality sets what must be seen across a boundary: a vector x of cell a visits cell b > a
-if it lies within r of the plane halfway between the two pivots, and its distance to pivot b is at most the radius of
-cell b plus r. Each pair of near vectors so meets in exactly one cell, and cells are joined independently: inside one,
+if it lies within r of the plane halfway between the two pivots, and if its distances to pivot b and to each of the first
+``GUIDES`` pivots are those of some resident of cell b, give or take r: of every cell the least and greatest distance to
+these pivots is known. Each pair of near vectors so meets in exactly one cell, and cells are joined independently: inside one,
 vectors are sorted by their distance to the pivot, and only slices whose distances differ by at most r are multiplied.
 Products are screened in single precision with a margin for its error; pairs that pass are decided in double precision.
 
-Cells have ``CELL_BYTES`` of vectors on average, so their number grows with the table as long as the pivots, which are
-broadcast, stay within ``PIVOT_BYTES``. Residents and visitors of a cell are cut into blocks of ``BLOCK_BYTES``; a task
+Cells have ``CELL_BYTES`` of vectors on average and are ``LEAST_CELLS`` at least, so their number grows with the table as
+long as the pivots, which are broadcast, stay within ``PIVOT_BYTES``. Distances to pivots are worked out for as many
+vectors at a time as make a matrix of ``MATRIX_BYTES``, whatever the number of pivots. Where vectors lie at random in many
+dimensions no metric bound rules cells out, and copies of a vector grow with the cells. Residents and visitors of a cell are cut into blocks of ``BLOCK_BYTES``; a task
 has two blocks of residents or one of each kind, so no cell has to fit one task. A task returns each class's number of
 links and a spanning forest, never pairs; alternating stars join the forests.
 
@@ -34,6 +37,9 @@ from .graph import connected_components
 CELL_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 PIVOT_BYTES = 32 << 20
+MATRIX_BYTES = 8 << 20
+GUIDES = 16
+LEAST_CELLS = 4
 SLACK = 1e-9
 
 
@@ -54,40 +60,79 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
+def _slices(x: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all pivots) of as many rows as ``MATRIX_BYTES`` hold."""
+    rows = max(MATRIX_BYTES // (8 * len(pivots)), 1)
+    for k in range(0, len(x), rows):
+        yield k, _distances(x[k : k + rows], pivots)
+
+
 def _homes(pivots):
+    """(dim, cell, low, high): of each batch's cells the least and greatest distances to the guides and to the own pivot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, part, x in _by_dim(batch):
-                d = _distances(x, pivots.value[dim])
-                home = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(home.astype(np.int32)), pa.array(d.min(axis=1))], names=["dim", "cell", "far"])
+            for dim, _, x in _by_dim(batch):
+                home, at = [], []
+                for _, d in _slices(x, pivots.value[dim]):
+                    home.append(d.argmin(axis=1))
+                    at.append(np.hstack([d[:, :GUIDES], d.min(axis=1)[:, None]]))
+                home, at = np.concatenate(home), np.vstack(at)
+                order = np.argsort(home, kind="stable")
+                cells, first = np.unique(home[order], return_index=True)
+                ends = [f.reduceat(at[order], first, axis=0) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), dim, np.int32)), pa.array(cells.astype(np.int32)), *(pa.array(list(e), pa.list_(pa.float64())) for e in ends)], names=["dim", "cell", "low", "high"])
 
     return run
 
 
-def _dealt(pivots, radii, r: float, with_vectors: bool):
+def _spans(classes: DataFrame, pivots, at: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the least and greatest distances of every cell's residents to the guides and the cell's pivot; a row a pivot, ``GUIDES`` + 1 columns."""
+    own = classes.select("dim", "embedding").mapInArrow(_homes(pivots), "dim int, cell int, low array<double>, high array<double>")
+    own = own.select("dim", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("guide", "x")).groupBy("dim", "cell", "guide").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    spans = {dim: (np.full((len(p), GUIDES + 1), np.inf), np.full((len(p), GUIDES + 1), -np.inf)) for dim, p in at.items()}
+    for row in own.collect():  # GUIDES + 1 rows a pivot at most, and pivots are bounded
+        guide = row.guide if row.guide < min(GUIDES, len(at[row.dim])) else GUIDES
+        spans[row.dim][0][row.cell, guide], spans[row.dim][1][row.cell, guide] = row.low, row.high
+    return spans
+
+
+def visited(d: np.ndarray, pivots: np.ndarray, spans: tuple[np.ndarray, np.ndarray], r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, visits): each row's nearest pivot, and whether it is in each cell, given its distances to all pivots."""
+    low, high = spans
+    home = d.argmin(axis=1)
+    own = d[np.arange(len(d)), home]
+    between = _distances(pivots[home], pivots)  # of the same size as d
+    with np.errstate(divide="ignore", invalid="ignore"):
+        to_plane = (d * d - (own * own)[:, None]) / (2 * between)
+    visits = (to_plane <= r + SLACK) | (between == 0)
+    visits &= np.arange(len(pivots))[None, :] > home[:, None]
+    visits &= (d <= high[:, GUIDES] + r + SLACK) & (d >= low[:, GUIDES] - r - SLACK)
+    for g in range(min(GUIDES, len(pivots))):
+        visits &= (d[:, g, None] <= high[:, g] + r + SLACK) & (d[:, g, None] >= low[:, g] - r - SLACK)
+    visits[np.arange(len(d)), home] = True
+    return home, visits
+
+
+def _dealt(pivots, spans, r: float, with_vectors: bool):
     """Each class in its own cell and, as a visitor, in later cells that may hold a near vector."""
     more = ["far", "vec_id", "copies", "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, part, x in _by_dim(batch):
-                p, radius = pivots.value[dim], radii.value[dim]
-                d = _distances(x, p)
-                home = d.argmin(axis=1)
-                own = d[np.arange(len(d)), home]
-                between = _distances(p, p)[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    to_plane = (d * d - (own * own)[:, None]) / (2 * between)
-                visits = (to_plane <= r + SLACK) & (d <= radius[None, :] + r + SLACK) & (np.arange(len(p))[None, :] > home[:, None])
-                visits |= (between == 0) & (np.arange(len(p))[None, :] > home[:, None])
-                visits[np.arange(len(d)), home] = True
-                row, cell = np.nonzero(visits)
-                where = [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])]
-                if with_vectors:
-                    out = part.take(pa.array(row))
-                    where += [pa.array(d[row, cell]), *(out.column(c) for c in more[1:])]
-                yield pa.RecordBatch.from_arrays(where, names=["dim", "cell", "native", *more[: len(where) - 3]])
+                p = pivots.value[dim]
+                for k, d in _slices(x, p):
+                    home, visits = visited(d, p, spans.value[dim], r)
+                    row, cell = np.nonzero(visits)
+                    step = max(MATRIX_BYTES // (8 * dim), 1) if with_vectors else max(len(row), 1)
+                    for s in range(0, len(row), step):  # a vector may go to very many cells
+                        i, c = row[s : s + step], cell[s : s + step]
+                        where = [pa.array(np.full(len(i), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(c == home[i])]
+                        if with_vectors:
+                            out = part.take(pa.array(i + k))
+                            where += [pa.array(d[i, c]), *(out.column(name) for name in more[1:])]
+                        yield pa.RecordBatch.from_arrays(where, names=["dim", "cell", "native", *more[: len(where) - 3]])
 
     return run
 
@@ -184,23 +229,20 @@ def near_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     good = vectors.where(finite & F.col("vec_id").isNotNull())
     classes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
     rows = {row.dim: row["count"] for row in classes.groupBy("dim").count().collect()}  # a row a dimension
-    most = {dim: min(max(n * 8 * dim // CELL_BYTES, 1), max(PIVOT_BYTES // (8 * dim), 1)) for dim, n in rows.items()}
+    most = {dim: min(max(n * 8 * dim // CELL_BYTES, LEAST_CELLS), max(PIVOT_BYTES // (8 * dim), 1)) for dim, n in rows.items()}
     pivots: dict[int, list] = {}
     for row in _pivots(classes, most, rows):
         pivots.setdefault(row.dim, []).append(row.embedding)
     at = {dim: unit_rows(pa.array(own, pa.list_(pa.float64())), dim) for dim, own in pivots.items()}
     shared = spark.sparkContext.broadcast(at)
-    radii = {dim: np.full(len(p), -np.inf) for dim, p in at.items()}
-    for row in classes.select("dim", "embedding").mapInArrow(_homes(shared), "dim int, cell int, far double").groupBy("dim", "cell").agg(F.max("far").alias("far")).collect():  # a row a pivot
-        radii[row.dim][row.cell] = row.far
     r = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    radius = spark.sparkContext.broadcast(radii)
+    spans = spark.sparkContext.broadcast(_spans(classes, shared, at))
     # Every class's home is known, but a cell's visitors have to be counted before they are cut into blocks.
     block_rows = F.greatest(F.lit(BLOCK_BYTES // 8) / F.col("dim"), F.lit(1.0))
     count = lambda native: F.ceil(F.count_if(F.col("native") == native) / F.first(block_rows)).cast("int")
-    sizes = classes.mapInArrow(_dealt(shared, radius, r, False), "dim int, cell int, native boolean").groupBy("dim", "cell").agg(count(True).alias("residents"), count(False).alias("visitors"))
+    sizes = classes.mapInArrow(_dealt(shared, spans, r, False), "dim int, cell int, native boolean").groupBy("dim", "cell").agg(count(True).alias("residents"), count(False).alias("visitors"))
     sizes = F.broadcast(sizes.withColumnsRenamed({"dim": "_dim", "cell": "_cell"}))  # a row a pivot at most
-    dealt = classes.mapInArrow(_dealt(shared, radius, r, True), f"dim int, cell int, native boolean, far double, vec_id long, copies long, embedding {kind}")
+    dealt = classes.mapInArrow(_dealt(shared, spans, r, True), f"dim int, cell int, native boolean, far double, vec_id long, copies long, embedding {kind}")
     d = dealt.join(sizes, (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))).where("residents > 0")
     d = d.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.when(F.col("native"), F.col("residents")).otherwise(F.col("visitors"))).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
