@@ -9,7 +9,8 @@ sets' Jaccard similarity is at least 80 %.
    count in that table, rarest first, so common passages do not bring documents together; its errors change the cost but
    not the result. For the smaller of two sets even the first 11 % will do. Classes that share such a shingle and whose
    sizes allow a link are chained, and components of the chains are cells: no link leaves a cell. What is emitted grows
-   with the shingles, not with pairs.
+   with the shingles, not with pairs. Shingles lie in sorted ranges, so one that very many classes share is cut, and the
+   chain is closed over the seams.
 3. *Search.* Inside a cell every class is a query against an inverted index of the others: short lists are merged and
    counted, and the candidates with enough hits are probed in the few long lists by binary search; those that reach the
    overlap that their two sizes ask for are links. Cells above a size are cut into blocks, and each pair of blocks is a
@@ -24,16 +25,18 @@ components, but each counts as a link; rows without doc_id get no component; an
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .graph import Forest, connected_components
+from .graph import connected_components
 
 N = 5
 PERCENT = 80
@@ -158,25 +161,65 @@ def _prefixes(shared):
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (node, earlier node) of each shingle; the partition's rows are sorted by shingle, size and node.
+    """Edges (kind 0: a, b), heads (kind 1) and the tail (kind 2) of a range of rows sorted by shingle, size and node.
 
     A row links to the last row before it that has the shingle in its index prefix, if the sizes allow a link. Any two
-    rows that may link are connected by such steps, because the sizes between theirs allow them too.
+    rows that may link are connected by such steps, because the sizes between theirs allow them too. Where a shingle is
+    cut by the range's beginning, its rows without such a row here are heads; the last indexed row is the tail.
     """
-    key = node = size = None  # of the last row in an index prefix
+    part = TaskContext.get().partitionId()
+    names = ["kind", "part", "shingle", "size", "a", "b"]
+
+    def out(kind: int, keys: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        same = [np.full(len(a), x, np.int32) for x in (kind, part)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, keys, sizes, a, b)], names=names)
+
+    first, last = None, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys, sizes, nodes = (batch.column(k).to_numpy() for k in ("shingle", "size", "node"))
-        if key is not None:
-            keys, sizes, nodes = np.append(key, keys), np.append(size, sizes), np.append(node, nodes)
+        first = keys[0] if first is None else first
+        new = np.ones(len(keys), bool)
+        if last is not None:
+            keys, sizes, nodes = (np.append(x, y) for x, y in zip(last, (keys, sizes, nodes), strict=True))
+            new = np.append(False, new)
         indexed = np.flatnonzero(sizes & 1)
-        if not len(indexed):
-            continue
         before = np.searchsorted(indexed, np.arange(len(keys)), "left") - 1
-        y = indexed[np.maximum(before, 0)]
-        edge = (before >= 0) & (keys[y] == keys) & (100 * (sizes[y] >> 1) >= PERCENT * (sizes >> 1)) & (nodes[y] != nodes)
+        y = indexed[np.maximum(before, 0)] if len(indexed) else np.zeros(len(keys), np.int64)
+        follows = (before >= 0) & (keys[y] == keys)
+        edge = follows & (100 * (sizes[y] >> 1) >= PERCENT * (sizes >> 1)) & (nodes[y] != nodes)
         pairs = np.unique(np.stack([nodes[edge], nodes[y[edge]]], 1), axis=0)
-        key, size, node = keys[indexed[-1]], sizes[indexed[-1]], nodes[indexed[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = np.zeros(len(pairs), np.int64)
+        yield out(0, none, none, pairs[:, 0], pairs[:, 1])
+        head = new & (keys == first) & ~follows
+        yield out(1, keys[head], sizes[head], nodes[head], nodes[head])
+        if len(indexed):
+            last = tuple(x[indexed[-1:]] for x in (keys, sizes, nodes))
+    if last is not None:
+        yield out(2, *last, last[2])
+
+
+def _edges(prefixes: DataFrame) -> DataFrame:
+    """(a, b) of the chains over ``prefixes`` (shingle, size, node), which lie in ranges, so that a hot shingle is cut.
+
+    What the driver sees is a tail and a shingle a range. A range's heads follow the last tail before it of their shingle.
+    """
+    order = ["shingle", "size", "node"]
+    chained = checkpoint(checkpoint(prefixes).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chained, "kind int, part int, shingle long, size long, a long, b long"))
+    tails = sorted((r.shingle, r.part, r.size, r.a) for r in chained.where("kind = 2").collect())
+    seams = []
+    for r in chained.where("kind = 1").select("part", "shingle").distinct().collect():
+        k = bisect_left(tails, (r.shingle, r.part)) - 1
+        if k >= 0 and tails[k][0] == r.shingle:
+            seams.append((r.part, tails[k][2], tails[k][3]))
+    edges = chained.where("kind = 0").select("a", "b")
+    if not seams:
+        return edges
+    seam = F.broadcast(prefixes.sparkSession.createDataFrame(seams, "part int, size_before long, before long"))  # a row a range
+    heads = chained.where("kind = 1").join(seam, "part")
+    linked = heads.where((F.lit(100) * F.shiftright("size_before", 1) >= PERCENT * F.shiftright("size", 1)) & (F.col("before") != F.col("a")))
+    return edges.unionByName(linked.select("a", F.col("before").alias("b")))
 
 
 def _merged(owner: np.ndarray, begin: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -242,17 +285,25 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
-        links, forest = np.zeros(len(rows), np.int64), Forest()
+        links, up = np.zeros(len(rows), np.int64), np.arange(len(rows))
+
+        def roots(at: np.ndarray) -> np.ndarray:
+            at = up[at]
+            while (up[at] != at).any():
+                at = up[at]
+            return at
+
         for q, found in divide_skip(sets, left, right):
             found = found[found != q]
             links[q] += copies[found].sum()
             if i != j:
                 links[found] += copies[q]
-            for y in found.tolist():
-                forest.join(int(node[q]), int(node[y]))
-        root = np.array([forest.find(int(x)) for x in node], np.int64)
+            both = np.append(found, q)
+            trees = np.unique(roots(both))
+            up[trees] = trees[0]
+            up[both] = trees[0]
         keep = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep]), pa.array(links[keep])], names=["node", "root", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[roots(np.flatnonzero(keep))]), pa.array(links[keep])], names=["node", "root", "links"])
 
     for batch in batches:
         cells, is_, js = (batch.column(k).to_pylist() for k in ("cell", "i", "j"))
@@ -290,8 +341,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(counts)
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     prefixes = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(shared), "shingle long, size long, node long")
-    edges = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(_chained, "a long, b long")
-    cells = checkpoint(connected_components(edges))
+    cells = checkpoint(connected_components(_edges(prefixes)))
     # A node is half a signature; classes that share it merely come into one cell together.
     member = classes.join(cells, F.col("a") == F.col("node")).select("node", F.col("component").alias("cell"), "rep", "copies", "n")
     sizes = member.groupBy("cell").agg(F.sum("n").alias("total")).select(F.col("cell").alias("_cell"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))

@@ -107,6 +107,37 @@ def test_divide_skip_probes_long_lists():
         assert sorted(found.tolist()) == want
 
 
+def test_chains_close_over_the_seams_of_ranges(spark):
+    """A hot shingle lies in several ranges, some of them without an indexed row; the edges are those of one sorted run."""
+    r = random.Random(7)
+    rows = [(r.choice([5, 5, 5, -3, 9]), 2 * r.randrange(40, 90) + int(r.random() < 0.1), r.randrange(1000)) for _ in range(3000)]
+    rows += [(11, 2 * 60, n) for n in range(900)] + [(11, 2 * 55 + 1, 5000), (12, 2 * 9 + 1, 1), (12, 2 * 9 + 1, 1)]
+    want, last = set(), None
+    for row in sorted(rows):
+        if last and last[0] == row[0] and 100 * (last[1] >> 1) >= 80 * (row[1] >> 1) and last[2] != row[2]:
+            want.add((row[2], last[2]))
+        last = row if row[1] & 1 else last
+    d = spark.createDataFrame(rows, "shingle long, size long, node long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {(x.a, x.b) for x in similarity._edges(d).collect()} == want
+        assert similarity._edges(d.where("false")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_jaccard_of_many_near_copies(spark):
+    """One class of near copies that are all different texts: every link is counted, in blocks and over ranges."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(base[:150] + [f"x{n}"] + base[150:]), None) for n in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = similarity.query(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(x.component_id, x.n_links) for x in got} == {(0, 599)} and len(got) == 600
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e f", None), (1, "x" * 300_000, None), (2, "A b\x0bC d e f", None), (2, "a b c d e f", None), (3, None, None)]
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in similarity.query(frame(spark, rows)).collect())
