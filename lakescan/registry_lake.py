@@ -25,7 +25,7 @@ def _crawled(spark: SparkSession, sf_dir: str) -> tuple[STREAM.State, list[DataF
     run = lambda: STREAM.stream_crawl(spark, f"{root}/landing", f"{root}/state", f"{root}/progress", on_batch=lambda b, n: changes.append(b.changes)).awaitTermination()
     for listed, scope in ((previous(spark, sf_dir), none), (inventory(spark, sf_dir), F.lit(""))):
         own = listed.select("bucket", "key", F.col("size").cast("long").alias("size"), "etag", "storage_class", "version_id", F.col("modified").cast("timestamp_ntz").alias("modified"))
-        own.withColumns({"removed": none.cast("boolean"), "scope": scope.cast("string")}).coalesce(1).write.mode("append").parquet(f"{root}/landing")  # one file, so one batch
+        own.withColumns({"removed": none.cast("boolean"), "scope": scope.cast("string")}).write.mode("append").parquet(f"{root}/landing")  # a run takes all that has landed as one batch
         run()
     return STREAM.load(spark, f"{root}/state"), changes
 

@@ -19,7 +19,6 @@ import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,15 +116,14 @@ class RangedTable:
         self.ranges = ranges or [{"low": "", "parts": [], "rows": 0}]
 
     def range_of(self, at: Column) -> Column:
-        """The number of the range that a place lies in; the ranges' first places are a bounded list."""
+        """The number of the range that a place lies in, by halving; the ranges' first places are a bounded list."""
         lows = [r["low"] for r in self.ranges]
-        if len(lows) == 1:
-            return F.lit(0)
 
-        def found(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: bisect.bisect_right(lows, x) - 1).astype("int32")
+        def found(first: int, end: int) -> Column:
+            half = (first + end) // 2
+            return F.when(at < F.lit(lows[half]), found(first, half)).otherwise(found(half, end)) if end - first > 1 else F.lit(first)
 
-        return F.pandas_udf(found, "int")(at)
+        return found(0, len(lows))
 
     def touched(self, places: DataFrame) -> set[int]:
         """The ranges of some places (place); a number a range comes to the driver."""
@@ -140,8 +138,13 @@ class RangedTable:
     def rows(self, ranges: Iterable[int] | None = None) -> DataFrame:
         """The merged rows of some ranges, or of all."""
         own = self.ranges if ranges is None else [self.ranges[i] for i in sorted(ranges)]
-        paths = [f"{self.root}/{p}" for r in own for p in r["parts"]]
-        return self.merged(self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)).where("NOT removed")
+        found = []
+        for alone in (True, False):  # a part has a place once, so where a range has one part nothing is merged
+            paths = [f"{self.root}/{p}" for r in own if (len(r["parts"]) == 1) == alone for p in r["parts"]]
+            if paths:
+                d = self.spark.read.schema(self.schema).parquet(*paths)
+                found.append((d if alone else self.merged(d)).where("NOT removed"))
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], self.schema)
 
     def merged(self, d: DataFrame) -> DataFrame:
         if self.merge == "sum":
@@ -150,7 +153,7 @@ class RangedTable:
             nothing = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in self.values])
             return d.withColumn("removed", nothing).select("place", *rest, *self.values, "removed", "batch")
         own = [c for c in d.columns if c != "place"]
-        return d.groupBy("place").agg(F.max_by(F.struct(*own), "batch").alias("r")).select("place", "r.*")
+        return d.repartition("place").groupBy("place").agg(F.max_by(F.struct(*own), "batch").alias("r")).select("place", "r.*")
 
     def add(self, rows: DataFrame, batch: int) -> RangedTable:
         """The table with the rows of a batch (the schema's columns, removed optional) in the ranges that they touch."""

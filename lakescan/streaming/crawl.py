@@ -18,7 +18,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -83,33 +83,37 @@ def _latest(batch: DataFrame) -> DataFrame:
         if name not in batch.columns:
             batch = batch.withColumn(name, F.lit(None).cast(kind))
     d = CH.hashed(batch.where("bucket IS NOT NULL AND key IS NOT NULL")).withColumn("removed", F.coalesce("removed", F.lit(False)))
-    rest = [c for c in d.columns if c not in (*OBJECT, "scope")]
-    return d.groupBy(*OBJECT).agg(F.max_by(F.struct(*rest), F.struct("modified", "removed", "hash")).alias("r")).select(*OBJECT, "r.*")
+    rest = [c for c in d.columns if c != "scope"]
+    d = d.withColumn("place", place(*OBJECT)).repartition("place")  # few objects come twice, so rows are sorted once, where they meet
+    return d.groupBy("place").agg(F.max_by(F.struct(*rest), F.struct("modified", "removed", "hash")).alias("r")).select("place", "r.*")
 
 
-def _scoped(known: DataFrame, scopes: DataFrame) -> Column | DataFrame:
-    """The known objects below a listed folder; folders are found by equality with each folder above a key."""
-    parts = F.split("key", "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
-    above = known.select(*OBJECT, F.explode(up).alias("scope")).join(scopes, ["bucket", "scope"], "left_semi")
-    return above.select(*OBJECT).distinct()
+def _scoped(known: DataFrame, scopes: list) -> DataFrame:
+    """Known objects with ``_scoped``: whether they lie below a listed folder. A key is cut at the depths that the folders have, and each cut is looked up among them, so objects stay where they are."""
+    spark, found = known.sparkSession, F.lit(False)
+    for depth in sorted({s.scope.count("/") for s in scopes}):
+        own = spark.createDataFrame([(s.bucket, s.scope, True) for s in scopes if s.scope.count("/") == depth], f"bucket string, _above{depth} string, _in{depth} boolean")
+        above = F.concat(F.substring_index("key", "/", depth), F.lit("/")) if depth else F.lit("")
+        known = known.withColumn(f"_above{depth}", F.when(F.col("key").startswith(above), above)).join(F.broadcast(own), ["bucket", f"_above{depth}"], "left").drop(f"_above{depth}")  # a row a listing
+        found = found | F.coalesce(f"_in{depth}", F.lit(False))
+    return known.withColumn("_scoped", found)
 
 
 def object_changes(objects: RangedTable, batch: DataFrame) -> DataFrame:
     """(bucket, key, change, now, then) of a batch against the ranges that it touches; unchanged objects among them."""
-    spark, rows = objects.spark, _latest(batch)
-    scopes = batch.where("scope IS NOT NULL AND bucket IS NOT NULL").select("bucket", "scope").distinct() if "scope" in batch.columns else spark.createDataFrame([], "bucket string, scope string")
-    scopes = scopes.withColumn("scope", F.when(F.col("scope").endswith("/") | (F.col("scope") == ""), F.col("scope")).otherwise(F.concat("scope", F.lit("/"))))
-    ranges = objects.touched(rows.select(place("bucket", "key").alias("place")))
-    for s in scopes.collect():  # a row a listing
+    rows, scopes = _latest(batch), []
+    if "scope" in batch.columns:
+        listed = F.when(F.col("scope").endswith("/") | (F.col("scope") == ""), F.col("scope")).otherwise(F.concat("scope", F.lit("/")))
+        scopes = batch.where("scope IS NOT NULL AND bucket IS NOT NULL").select("bucket", listed.alias("scope")).distinct().collect()  # a row a listing
+    ranges = objects.touched(batch.where("bucket IS NOT NULL AND key IS NOT NULL").select(place(*OBJECT).alias("place")))
+    for s in scopes:
         ranges |= objects.under(f"{s.bucket}\x00{s.scope}")
     known = objects.rows(ranges)
     own = [c.split()[0] for c in f"{SCHEMA}, hash string".split(", ")]
     rest = [c for c in own if c not in OBJECT]
-    then = known.select(*OBJECT, F.struct(*rest).alias("then"))
-    now = rows.select(*OBJECT, F.struct(*rest).alias("now"), F.col("removed").alias("_notice"))
-    gone = _scoped(known, scopes).withColumn("_scoped", F.lit(True))
-    d = now.join(then.join(gone, OBJECT, "left"), OBJECT, "full")
+    then = _scoped(known.select("place", *OBJECT, F.struct(*rest).alias("then")), scopes).select("place", *[F.col(c).alias(f"_{c}") for c in OBJECT], "then", "_scoped")
+    now = rows.select("place", *OBJECT, F.struct(*rest).alias("now"), F.col("removed").alias("_notice"))
+    d = now.join(then, "place", "full").withColumns({c: F.coalesce(c, f"_{c}") for c in OBJECT})
     there, fresh = F.col("then").isNotNull(), F.col("now").isNotNull() & ~F.coalesce("_notice", F.lit(False))
     change = F.when(fresh & ~there, "new").when(fresh & (F.col("now.hash") != F.col("then.hash")), "changed").when(fresh, "unchanged").when(there & (F.col("now").isNotNull() | F.col("_scoped")), "removed")
     return d.withColumn("change", change).where("change IS NOT NULL").select(*OBJECT, "change", F.when(fresh, F.col("now")).alias("now"), "then")
