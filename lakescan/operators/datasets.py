@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 
+#: Objects of one root that may meet in a task.
+ROOT_OBJECTS = 100_000
+
 
 def classified(inventory: DataFrame, mode: str = "auto", crawl_root: str = "") -> DataFrame:
     """The data objects of an inventory with format, compression, root, strategy, partitions and partition_path; one narrow projection.
@@ -38,15 +41,20 @@ def table_roots(inventory: DataFrame) -> DataFrame:
 def fold_tables(objects: DataFrame, tables: DataFrame) -> DataFrame:
     """Objects whose root lies at or under a table root move to that table (the longest such root).
 
-    Roots are cut into their ancestors, so the join is by equality; it runs over distinct roots, not objects.
+    Roots are cut into their ancestors, so the join is by equality; it runs over distinct roots, not objects. Objects get
+    their table by two joins: roots of more than ``ROOT_OBJECTS`` objects are broadcast (of n objects n / ROOT_OBJECTS roots at
+    most), so that no task gets a whole one; of the other roots those in a table are shuffled.
     """
-    roots = objects.select("bucket", "root").distinct()
+    roots = objects.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
     parts = F.split("root", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    near = roots.withColumn("table_root", F.explode(F.array_distinct(up))).join(tables, ["bucket", "table_root"])
-    best = near.groupBy("bucket", "root").agg(F.max_by(F.struct("table_root", "table_format"), F.length("table_root")).alias("_t"))
-    d = objects.join(best, ["bucket", "root"], "left")
-    return d.withColumns({"root": F.coalesce("_t.table_root", "root"), "strategy": F.coalesce("_t.table_format", "strategy"), "table_format": F.col("_t.table_format")}).drop("_t")
+    near = roots.withColumn("table_root", F.explode(F.array_distinct(up))).join(tables.withColumn("_l", F.length("table_root")), ["bucket", "table_root"], "left")
+    best = near.groupBy("bucket", "root").agg(F.max_by(F.struct("table_root", "table_format"), "_l").alias("_t"), F.max("_n").alias("_n"))
+    many = best.where(F.col("_n") > ROOT_OBJECTS).select("bucket", "root", F.col("_t").alias("_many"), F.lit(True).alias("_found"))
+    few = best.where((F.col("_n") <= ROOT_OBJECTS) & F.col("_t").isNotNull()).select("bucket", "root", (F.col("_n") > ROOT_OBJECTS).cast("int").alias("_spread"), "_t")  # 0, but as a literal it would be no key of the join
+    d = objects.join(F.broadcast(many), ["bucket", "root"], "left")
+    d = d.withColumn("_spread", F.when(F.col("_found"), F.pmod(F.hash("key"), F.lit(1 << 20)) + 1).otherwise(0)).join(few, ["bucket", "root", "_spread"], "left").withColumn("_t", F.coalesce("_many", "_t"))
+    return d.withColumns({"root": F.coalesce("_t.table_root", "root"), "strategy": F.coalesce("_t.table_format", "strategy"), "table_format": F.col("_t.table_format")}).drop("_t", "_many", "_found", "_spread")
 
 
 def dominant_formats(objects: DataFrame) -> DataFrame:
@@ -70,15 +78,16 @@ def roll_up(objects: DataFrame) -> DataFrame:
     """Datasets with file_count, total_size, strategy, format, name, partition_keys and partition_depth.
 
     One scan and one shuffle of partial sums to a row for each root, format and list of partition names; the rest works on
-    those few rows.
+    those few rows. The set of table formats, which ``first`` asks for, keeps those sums in a hash map: with texts' minima
+    alone Spark would sort all objects of a task (as it does from 128 groups a task on).
     """
     table_format = F.col("table_format") if "table_format" in objects.columns else F.lit(None).cast("string")
-    names = F.transform("partitions", lambda p: p["name"])
-    s = objects.groupBy("bucket", "root", "strategy", "format", table_format.alias("_tf"), names.alias("names")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("key").alias("key"))
+    names, formats = F.transform("partitions", lambda p: p["name"]), F.collect_set(table_format)
+    s = objects.groupBy("bucket", "root", "format", names.alias("names")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.when(F.size(formats) >= 0, F.min(F.struct("key", "strategy"))).alias("first"), F.array_max(formats).alias("_tf"))
     order = F.array_position(F.array(*[F.lit(f) for f in K.FORMAT_ORDER]), F.col("format"))
-    votes = s.groupBy("bucket", "root", "format").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("_tf").alias("_tf"), F.min(F.struct("key", "strategy")).alias("first"))
+    votes = s.groupBy("bucket", "root", "format").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("_tf").alias("_tf"), F.min("first").alias("first"))
     g = votes.groupBy("bucket", "root").agg(F.sum("n").alias("file_count"), F.sum("size").alias("total_size"), F.max("_tf").alias("_tf"), F.max_by("format", F.struct("n", -order)).alias("_format"), F.min("first").alias("first"))
-    place = s.select("bucket", "root", "key", F.posexplode("names").alias("pos", "name")).groupBy("bucket", "root", "name").agg(F.min(F.struct("pos", "key")).alias("at"))
+    place = s.select("bucket", "root", "first.key", F.posexplode("names").alias("pos", "name")).groupBy("bucket", "root", "name").agg(F.min(F.struct("pos", "key")).alias("at"))
     keys = place.groupBy("bucket", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("partition_keys"))
     d = g.join(keys, ["bucket", "root"], "left")
     found = F.coalesce("partition_keys", F.array().cast("array<string>"))

@@ -8,65 +8,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import cell_type, column_types, is_null_text, merged_type, stripped, type_bit
+from ..functions.cells import BITS, cell_type, is_null_text, merged_type, stripped, type_bit
 
 DELIMITERS = ["|", "\t", ";"]
 NUMERIC = ["integer", "float", "decimal"]
 
 
+def _tops(lines: DataFrame) -> DataFrame:
+    """(file, first, top, delimiter) of each file's not empty lines: the first one's number and text, and the delimiter (E5), from the first 40 lines that are not blank."""
+    text = stripped(F.col("line")) != ""
+    d = lines.where("line <> ''").withColumn("_n", F.count_if(text).over(Window.partitionBy("file").orderBy("line_no"))).where("_n <= 40")
+    fields = [F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) + 1 for x in DELIMITERS]
+    g = d.groupBy("file").agg(F.min(F.struct("line_no", "line")).alias("_first"), F.collect_list(F.when(text, F.array(*fields))).alias("_fields"))  # 40 lines at most
+
+    def good(i: int) -> Column:
+        counts = F.transform("_fields", lambda x: x[i])
+        most = F.array_max(F.transform(F.array_distinct(counts), lambda x: F.struct(F.size(F.filter(counts, lambda y: y == x)).alias("n"), x.alias("fields"))))
+        return (F.size("_fields") >= 2) & (most["fields"] >= 2) & (10 * most["n"] >= 8 * F.size("_fields"))
+
+    found = F.coalesce(*[F.when(good(i), F.lit(x)) for i, x in enumerate(DELIMITERS)], F.lit(","))
+    return g.select("file", F.col("_first.line_no").alias("first"), F.col("_first.line").alias("top"), found.alias("delimiter"))
+
+
 def sniff_delimiters(lines: DataFrame) -> DataFrame:
     """E5: (file, delimiter): of the first 40 non-blank lines, 80 % with the same number of fields, two at least; else a comma."""
-    n = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    d = lines.where(stripped(F.col("line")) != "").withColumn("_n", n).where("_n <= 40")
-    fields = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(x).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) + 1).alias("fields")) for i, x in enumerate(DELIMITERS)])
-    c = d.select("file", F.explode(fields).alias("f")).groupBy("file", "f.place", "f.delimiter", "f.fields").agg(F.count("*").alias("n"))
-    total = c.groupBy("file", "place", "delimiter").agg(F.sum("n").alias("total"), F.max(F.struct("n", "fields")).alias("m"))
-    good = total.where((F.col("total") >= 2) & (F.col("m.fields") >= 2) & (10 * F.col("m.n") >= 8 * F.col("total"))).groupBy("file").agg(F.min_by("delimiter", "place").alias("delimiter"))
-    return lines.select("file").distinct().join(good, "file", "left").select("file", F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+    return lines.select("file").distinct().join(_tops(lines).select("file", "delimiter"), "file", "left").select("file", F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+
+
+def _cells(line: Column, delimiter: Column) -> Column:
+    """The cells of a line; quoted fields may hold the delimiter, doubled quotes stand for one."""
+    quoted = F.regexp_extract_all(line, F.concat(F.lit(r'(?:^|\Q'), delimiter, F.lit(r'\E)("(?:[^"]|"")*"|[^\Q'), delimiter, F.lit(r'\E]*)')), F.lit(1))
+    plain = F.split(line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")))
+    clean = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.when(line.contains('"'), F.transform(quoted, clean)).otherwise(plain)
 
 
 def split_cells(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     """(file, line_no, pos, value): the cells of each line; quoted fields may hold the delimiter, doubled quotes stand for one."""
-    d = lines.where("line <> ''").join(delimiters, "file")
-    quoted = F.regexp_extract_all("line", F.concat(F.lit(r'(?:^|\Q'), "delimiter", F.lit(r'\E)("(?:[^"]|"")*"|[^\Q'), "delimiter", F.lit(r'\E]*)')), F.lit(1))
-    plain = F.split("line", F.concat(F.lit(r"\Q"), "delimiter", F.lit(r"\E")))
-    cells = F.when(F.col("line").contains('"'), quoted).otherwise(plain)
-    clean = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    return d.select("file", "line_no", F.posexplode(F.transform(cells, clean)).alias("pos", "value"))
+    return lines.where("line <> ''").join(delimiters, "file").select("file", "line_no", F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("pos", "value"))
+
+
+def _firsts(cells: DataFrame) -> DataFrame:
+    """(file, first, has_header): the first row's number and E6, from the least and greatest row of each file and of its numbers."""
+    number = F.when(cell_type(F.col("value")).isin(NUMERIC), F.col("line_no"))
+    g = cells.groupBy("file").agg(F.min("line_no").alias("first"), F.max("line_no").alias("_last"), F.min(number).alias("_low"), F.max(number).alias("_high"))
+    first = F.col("first")
+    return g.select("file", "first", (F.coalesce(F.col("_low") > first, F.lit(True)) & (F.coalesce(F.col("_high") > first, F.lit(False)) | (F.col("_last") == first))).alias("has_header"))
 
 
 def detect_headers(cells: DataFrame) -> DataFrame:
     """(file, has_header): no number in the first row, and one in a later row or no later row."""
-    first = F.min("line_no").over(Window.partitionBy("file"))
-    d = cells.withColumn("_first", F.col("line_no") == first).withColumn("_number", cell_type(F.col("value")).isin(NUMERIC))
-    g = d.groupBy("file").agg(F.max(F.col("_first") & F.col("_number")).alias("a"), F.max(~F.col("_first") & F.col("_number")).alias("b"), F.max(~F.col("_first")).alias("more"))
-    return g.select("file", (~F.col("a") & (F.col("b") | ~F.col("more"))).alias("has_header"))
+    return _firsts(cells).select("file", "has_header")
 
 
-def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """(file, pos, name): trimmed header cells; blank or missing ones are ``col_i``, repeats get ``_2``, ``_3``."""
-    first = F.min("line_no").over(Window.partitionBy("file"))
-    d = cells.withColumn("_first", first)
-    top = d.where("line_no = _first").select("file", "pos", stripped(F.col("value")).alias("_name"))
-    d = d.select("file", "pos").distinct().join(top, ["file", "pos"], "left").join(headers, "file")
-    d = d.withColumn("_name", F.when(F.col("has_header") & (F.coalesce("_name", F.lit("")) != ""), F.col("_name")).otherwise(F.concat(F.lit("col_"), F.col("pos") + 1)))
+def _named(columns: DataFrame) -> DataFrame:
+    """``columns`` (file, pos, has_header, _name) with E7's name."""
+    d = columns.withColumn("_name", F.when(F.col("has_header") & (F.coalesce("_name", F.lit("")) != ""), F.col("_name")).otherwise(F.concat(F.lit("col_"), F.col("pos") + 1)))
     n = F.row_number().over(Window.partitionBy("file", "_name").orderBy("pos"))
-    return d.withColumn("_n", n).select("file", "pos", F.when(F.col("_n") > 1, F.concat_ws("_", "_name", "_n")).otherwise(F.col("_name")).alias("name"))
+    return d.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 1, F.concat_ws("_", "_name", "_n")).otherwise(F.col("_name"))).drop("_n", "_name")
+
+
+def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(file, pos, name): trimmed header cells; blank or missing ones are ``col_i``, repeats get ``_2``, ``_3``. Cells are hashed, not sorted: a task holds a row a file and column."""
+    first = cells.groupBy("file").agg(F.min("line_no").alias("_first"))
+    top = cells.join(first.hint("shuffle_hash"), "file").where("line_no <= _first").select("file", "pos", stripped(F.col("value")).alias("_name"))
+    d = cells.select("file", "pos").distinct().join(top, ["file", "pos"], "left").join(headers, "file")
+    return _named(d).select("file", "pos", "name")
 
 
 def infer_text(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") -> DataFrame:
-    """(file, pos, name, type, nullable, delimiter, has_header) for every delimited file of ``lines``. Ragged rows miss cells, which makes those columns nullable. A format's own ``delimiter`` is not sniffed."""
-    d = lines.where(F.col("line_no") <= rows_most + 1)
-    delimiters = d.select("file").distinct().withColumn("delimiter", F.lit(delimiter)) if delimiter else sniff_delimiters(d)
-    cells = split_cells(d, delimiters)
-    headers = detect_headers(cells)
-    first = F.min("line_no").over(Window.partitionBy("file"))
-    body = cells.withColumn("_first", first).join(headers, "file").where("NOT (has_header AND line_no = _first)")
-    rows = body.groupBy("file").agg(F.count_distinct("line_no").alias("_rows"))
-    types = column_types(body, ["file", "pos"]).join(body.groupBy("file", "pos").agg(F.count("*").alias("_cells")), ["file", "pos"]).join(rows, "file")
-    types = types.select("file", "pos", "type", (F.col("nullable") | (F.col("_cells") < F.col("_rows"))).alias("nullable"))
-    out = header_names(cells, headers).join(types, ["file", "pos"], "left").join(delimiters, "file").join(headers, "file")
-    return out.select("file", "pos", "name", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("nullable", F.lit(True)).alias("nullable"), "delimiter", "has_header")
+    """(file, pos, name, type, nullable, delimiter, has_header) for every delimited file of ``lines``. Ragged rows miss cells, which makes those columns nullable. A format's own ``delimiter`` is not sniffed.
+
+    Lines are shuffled once, by file; each cell's kind is found once and goes into one hashed row a column, with the first
+    row's kinds apart, as only the whole file tells whether that row is a header.
+    """
+    d = lines.where(F.col("line_no") <= rows_most + 1).where("line <> ''").select("file", "line_no", "line").repartition("file")
+    tops = _tops(d)
+    if delimiter:
+        tops = tops.withColumn("delimiter", F.lit(delimiter))
+    cells = d.join(tops, "file").select("file", "delimiter", "top", (F.col("line_no") == F.col("first")).alias("_top"), F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("pos", "value"))
+    cells = cells.withColumn("_kind", cell_type(F.col("value"))).withColumns({"_bit": type_bit(F.col("_kind")), "_null": F.col("_kind") == "null"})
+    amounts = []
+    for part, own in (("top", F.col("_top")), ("rest", ~F.col("_top"))):
+        amounts += [F.bit_or(F.when(own, F.col("_bit"))).alias(f"_{part}_bits"), F.count_if(own & F.col("_null")).alias(f"_{part}_nulls"), F.count_if(own).alias(f"_{part}_cells")]
+    c = cells.groupBy("file", "delimiter", "top", "pos").agg(*amounts)
+    w, numbers = Window.partitionBy("file"), sum(BITS[k] for k in NUMERIC)
+    number = lambda part: F.max(F.coalesce(F.col(f"_{part}_bits"), F.lit(0)).bitwiseAND(numbers) != 0).over(w)
+    c = c.withColumn("has_header", ~number("top") & (number("rest") | ~F.max(F.col("_rest_cells") > 0).over(w)))
+    body = lambda name: F.coalesce(F.col(f"_rest_{name}"), F.lit(0)) + F.when(F.col("has_header"), 0).otherwise(F.col(f"_top_{name}"))
+    bits = F.coalesce("_rest_bits", F.lit(0)).bitwiseOR(F.when(F.col("has_header"), 0).otherwise(F.coalesce("_top_bits", F.lit(0))))
+    c = c.withColumns({"_bits": bits, "_nulls": body("nulls"), "_own": body("cells"), "_name": stripped(F.get(_cells(F.col("top"), F.col("delimiter")), F.col("pos")))})
+    c = c.withColumn("_rows", F.max("_own").over(w))  # each row has a first cell
+    kind = merged_type(F.col("_bits"))
+    nullable = (F.col("_nulls") > 0) | (F.col("_bits") == 0) | (F.col("_own") < F.col("_rows"))
+    return _named(c).select("file", "pos", "name", F.when(kind == "null", "string").otherwise(kind).alias("type"), nullable.alias("nullable"), "delimiter", "has_header")
 
 
 def estimated_rows(sampled_bytes: Column, sampled_rows: Column, file_size: Column, compressed: Column) -> Column:
@@ -133,9 +168,8 @@ def text_cells(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") ->
     d = lines.where(F.col("line_no") <= rows_most + 1)
     delimiters = d.select("file").distinct().withColumn("delimiter", F.lit(delimiter)) if delimiter else sniff_delimiters(d)
     cells = split_cells(d, delimiters)
-    headers = detect_headers(cells)
-    first = F.min("line_no").over(Window.partitionBy("file"))
-    body = cells.withColumn("_first", first).join(headers, "file").where("NOT (has_header AND line_no = _first)")
+    headers = _firsts(cells)
+    body = cells.join(headers, "file").where("NOT (has_header AND line_no = first)")
     return body.join(header_names(cells, headers), ["file", "pos"]).select("file", "line_no", F.col("pos").cast("int").alias("pos"), "name", "value")
 
 

@@ -223,7 +223,9 @@ def _best(objects: RangedTable, stored: RangedTable, signed: DataFrame, tables:
     come = signed.where("sign > 0").groupBy("bucket", "root", "format").agg(rank).select(at.alias("place"), "bucket", "root", "format", F.col("r.size").alias("size"), F.col("r.key").alias("key"))
     gone = signed.where("sign < 0").select(at.alias("place"), "bucket", "root", "key").distinct()
     known = stored.rows(stored.touched(signed.select(at.alias("place")))).select("place", "bucket", "root", "format", "size", "key")
-    lost = known.join(gone.select("place", "key"), ["place", "key"], "left_semi")
+    # one that is gone is missed only if nothing that came is as good: nothing that stayed is better
+    better = come.select("place", F.struct("size", "key").alias("_come"))
+    lost = known.join(gone.select("place", "key"), ["place", "key"], "left_semi").join(better, "place", "left").where(F.col("_come").isNull() | (F.col("_come") < F.struct("size", "key"))).drop("_come")
     kept = known.join(lost.select("place"), "place", "left_anti").join(signed.select(at.alias("place")).distinct(), "place", "left_semi")
     out = come.select("place", "bucket", "root", "format", "size", "key").unionByName(kept)
     where = lost.select("bucket", "root").distinct().collect()  # a row a dataset that lost its representative

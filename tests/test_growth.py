@@ -32,3 +32,11 @@ def test_a_listing_lands_by_many_tasks_in_one_batch_and_keys_are_not_exploded(sp
     assert len(glob.glob(f"{tmp_path}/stream/landing/part-*")) > 2
     scoped = S.object_changes(S.load(spark, f"file://{tmp_path}/stream/state").tables["objects"], landed(spark, [("s/a.csv", 1, None, "s"), ("t/u/b.csv", 1, None, "t/u")]))
     assert "Generate" not in plan(scoped)
+
+
+def test_a_representative_that_comes_again_is_not_searched_for(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/state"
+    S.apply_batch(spark, root, landed(spark, [("s/d=1/a.csv", 5), ("s/d=1/b.csv", 3)]), 0)
+    monkeypatch.setattr(D, "representatives", lambda objects: 1 / 0)  # the search reads a dataset's objects
+    S.apply_batch(spark, root, landed(spark, [("s/d=1/a.csv", 5)]).withColumn("etag", F.lit("other")), 1)
+    assert [(r.key, r.size) for r in S.load(spark, root).rows("representatives").collect()] == [("s/d=1/a.csv", 5)]
