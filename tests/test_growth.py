@@ -40,3 +40,20 @@ def test_a_representative_that_comes_again_is_not_searched_for(spark, tmp_path,
     monkeypatch.setattr(D, "representatives", lambda objects: 1 / 0)  # the search reads a dataset's objects
     S.apply_batch(spark, root, landed(spark, [("s/d=1/a.csv", 5)]).withColumn("etag", F.lit("other")), 1)
     assert [(r.key, r.size) for r in S.load(spark, root).rows("representatives").collect()] == [("s/d=1/a.csv", 5)]
+
+
+def test_a_root_of_many_objects_meets_in_no_task(spark, monkeypatch):
+    keys = [(f"{t}/d={i % 3}/{i}.parquet",) for t in ("lake/t", "plain") for i in range(400)] + [("lake/small/d=1/x.parquet",), ("lake/t/_delta_log/0.json",), ("lake/small/_delta_log/0.json",)]
+    inventory = spark.createDataFrame(keys, "key string").selectExpr("'b' AS bucket", "key", "1L AS size")
+    monkeypatch.setattr(D, "ROOT_OBJECTS", 50)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = D.fold_tables(D.classified(inventory), D.table_roots(inventory)).select("root", "table_format", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted({(r.root, r.table_format) for r in rows}, key=str) == [("lake/small", "delta"), ("lake/t", "delta"), ("plain", None)] and len(rows) == 801
+    assert max(sum(r.task == t for r in rows) for t in range(4)) < 350
