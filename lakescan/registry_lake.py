@@ -15,6 +15,9 @@ from .sources import json_values, listing, table_formats
 from .sources import readers as R
 from .streaming import crawl as STREAM
 
+#: Rows of one written file where a query cuts a table into files that follow each other.
+FILE_ROWS = 200_000
+
 # ---- the crawl as a stream (D1-D8) ----
 
 
@@ -151,14 +154,15 @@ def folder_pruned(spark, sf_dir):
 @registered("""WITH o AS (SELECT o_orderkey || '' AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS p FROM orders ORDER BY o_orderkey LIMIT 1000), f AS (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS format),
 c AS (SELECT 'k' AS name, k AS v FROM o UNION ALL SELECT 'p', p FROM o) SELECT format, name, count(*) AS count, count(*) - count(v) AS null_count, count(DISTINCT v) AS distinct_count, min(v) AS min, max(v) AS max FROM f, c GROUP BY 1, 2""", "")
 def crawl_samples(spark, sf_dir):
-    """Statistics of the first thousand rows of a file of every format, by one crawl."""
-    root = _scratch(spark, "samples")
-    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("p")).coalesce(1).sortWithinPartitions("k")
+    """Statistics of the first thousand rows of a dataset of every format, by one crawl of the datasets' first files."""
+    root, o = _scratch(spark, "samples"), read(spark, sf_dir, "orders")
+    # about FILE_ROWS rows a file, each after those of the file before
+    d = o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("p")).repartitionByRange(-(-o.count() // FILE_ROWS) or 1, "k").sortWithinPartitions("k")
     files = []
     for fmt in ("csv", "json", "orc", "parquet"):
         w = d.write.option("header", True) if fmt == "csv" else d.write.option("ignoreNullFields", False)
         w.format(fmt).save(f"{root}/{fmt}")
-        files += [(p, fmt if fmt != "json" else "jsonl") for p in R.folder_files(spark, f"{root}/{fmt}", "", f".{fmt}")]
+        files.append((min(R.folder_files(spark, f"{root}/{fmt}", "", f".{fmt}")), fmt if fmt != "json" else "jsonl"))
     found = crawl.samples(spark.createDataFrame(files, "file string, format string")).stats
     return found.select(F.regexp_extract("file", "/(csv|json|orc|parquet)/[^/]*$", 1).alias("format"), "name", "count", "null_count", "distinct_count", "min", "max")
 

@@ -57,3 +57,11 @@ def test_a_root_of_many_objects_meets_in_no_task(spark, monkeypatch):
             spark.conf.set(k, v)
     assert sorted({(r.root, r.table_format) for r in rows}, key=str) == [("lake/small", "delta"), ("lake/t", "delta"), ("plain", None)] and len(rows) == 801
     assert max(sum(r.task == t for r in rows) for t in range(4)) < 350
+
+
+def test_samples_are_of_files_that_tasks_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "_scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(L, "FILE_ROWS", 5000)
+    rows = L.crawl_samples(spark, SF).collect()
+    assert len(rows) == 8 and {(r["count"], r.distinct_count) for r in rows if r.name == "k"} == {(1000, 1000)}
+    assert all(len(glob.glob(f"{tmp_path}/samples/{f}/part-*")) == 3 for f in ("csv", "json", "orc", "parquet"))
