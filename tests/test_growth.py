@@ -65,3 +65,20 @@ def test_samples_are_of_files_that_tasks_share(spark, tmp_path, monkeypatch):
     rows = L.crawl_samples(spark, SF).collect()
     assert len(rows) == 8 and {(r["count"], r.distinct_count) for r in rows if r.name == "k"} == {(1000, 1000)}
     assert all(len(glob.glob(f"{tmp_path}/samples/{f}/part-*")) == 3 for f in ("csv", "json", "orc", "parquet"))
+
+
+def test_headers_do_not_sort_cells_by_windows(spark):
+    lines = spark.createDataFrame([("a", 3, "id,n"), ("a", 7, "1,2"), ("b", 1, "x,y"), ("b", 2, "z,w,v"), ("c", 5, "k")], "file string, line_no long, line string")
+    cells = infer.split_cells(lines, lines.select("file").distinct().withColumn("delimiter", F.lit(",")))
+    headers = infer.detect_headers(cells)
+    assert {r.file: r.has_header for r in headers.collect()} == {"a": True, "b": False, "c": True}
+    names = infer.header_names(cells, headers)
+    assert sorted(map(tuple, names.collect())) == [("a", 0, "id"), ("a", 1, "n"), ("b", 0, "col_1"), ("b", 1, "col_2"), ("b", 2, "col_3"), ("c", 0, "k")]
+    assert plan(headers).count("Window [") == 0 and plan(names).count("Window [") == 1
+
+
+def test_text_schema_shuffles_lines_alone(spark):
+    lines = spark.createDataFrame([("a", 1, "id|n"), ("a", 2, "1|x"), ("a", 3, "2|")], "file string, line_no long, line string")
+    d = infer.infer_text(lines)
+    assert sorted((r.pos, r.name, r.type, r.nullable) for r in d.collect()) == [(0, "id", "integer", False), (1, "n", "string", True)]
+    assert plan(d).count("Exchange hashpartitioning") <= 2
