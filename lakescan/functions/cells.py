@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +39,30 @@ def is_null_text(text: Column) -> Column:
     return text.isNull() | stripped(text).isin(NULLS)
 
 
-def cell_type(text: Column) -> Column:
-    """Null, boolean, integer, float, decimal, uuid, date, timestamp, time, json or string, tested in that order."""
+def _typed(text: Column, of: Callable[[str], Column]) -> Column:
+    """E2's kind as ``of`` writes it. A text without the start of a time meets none of the layouts, and one regular expression tells numbers from other texts."""
     t = stripped(text)
-    number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    words = F.lower(t).rlike(r"^[+-]?(inf|infinity|nan)$")
+    exponent = t.contains("e") | t.contains("E")
     places = F.when(F.instr(t, ".") > 0, F.length(t) - F.instr(t, ".")).otherwise(0)
-    in_time = F.length(t).between(6, 40)
-    out = F.when(is_null_text(text), "null").when(F.lower(t).isin(BOOLEANS), "boolean").when(t.rlike(r"^[+-]?\d+$") & t.try_cast("long").isNotNull(), "integer")
-    out = out.when(number & ~t.rlike("[eE]") & (places > 6), "decimal").when(number | words, "float")
-    out = out.when(t.rlike(r"^.{8}-.{4}-.{4}-.{4}-.{12}$") & F.lower(t).rlike("^[0-9a-f-]{36}$"), "uuid")
+    number = F.when(~t.contains(".") & ~exponent & t.try_cast("long").isNotNull(), of("integer")).when(~exponent & (places > 6), of("decimal")).otherwise(of("float"))
+    out = F.when(is_null_text(text), of("null")).when(F.lower(t).isin(BOOLEANS), of("boolean")).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number)
+    out = out.when(F.lower(t).isin([s + w for s in ("", "+", "-") for w in ("inf", "infinity", "nan")]), of("float"))
+    out = out.when((F.length(t) == 36) & t.rlike(r"^.{8}-.{4}-.{4}-.{4}-.{12}$") & F.lower(t).rlike("^[0-9a-f-]{36}$"), of("uuid"))
+    times = F.when(t.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d([.,]\d+)?$"), of("time"))
     for shape, kind, layout, length in LAYOUTS:
-        out = out.when(in_time & t.rlike(shape) & F.try_to_timestamp(F.substring(t, 1, length), F.lit(layout)).isNotNull(), kind)
-    out = out.when(in_time & t.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d([.,]\d+)?$"), "time")
+        times = times.when(t.rlike(shape) & F.try_to_timestamp(F.substring(t, 1, length), F.lit(layout)).isNotNull(), of(kind))
     braces = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
-    return out.when(braces, "json").otherwise("string")
+    return F.coalesce(out, F.when(F.length(t).between(6, 40) & t.rlike(r"^\d\d(\d\d)?[-/:]"), times), F.when(braces, of("json")).otherwise(of("string")))
+
+
+def cell_type(text: Column) -> Column:
+    """Null, boolean, integer, float, decimal, uuid, date, timestamp, time, json or string, tested in that order."""
+    return _typed(text, F.lit)
+
+
+def cell_bit(text: Column) -> Column:
+    """The bit of E2's kind, 0 for null."""
+    return _typed(text, lambda kind: F.lit(BITS.get(kind, 0)))
 
 
 def type_bit(kind: Column) -> Column:

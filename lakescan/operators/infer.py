@@ -8,37 +8,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import BITS, cell_type, is_null_text, merged_type, stripped, type_bit
+from ..functions.cells import BITS, cell_bit, cell_type, is_null_text, merged_type, stripped, type_bit
 
 DELIMITERS = ["|", "\t", ";"]
 NUMERIC = ["integer", "float", "decimal"]
 
 
-def _tops(lines: DataFrame) -> DataFrame:
-    """(file, first, top, delimiter) of each file's not empty lines: the first one's number and text, and the delimiter (E5), from the first 40 lines that are not blank."""
+def _sniffed(lines: DataFrame, delimiter: str = "") -> DataFrame:
+    """``lines`` with their place in the file (_row), whether they are its first (_top), the first one's text (top) and the delimiter (E5), a given one or that of the first 40 lines that are not blank.
+
+    All windows share one sort of a file's lines, and a file's delimiter is found at its first line.
+    """
+    file = Window.partitionBy("file")
+    so_far = file.orderBy("line_no", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = lines.withColumns({"_row": F.row_number().over(file.orderBy("line_no", "line")), "_top": F.col("line_no") == F.first("line_no").over(so_far), "top": F.first("line").over(so_far)})
+    if delimiter:
+        return d.withColumn("delimiter", F.lit(delimiter))
     text = stripped(F.col("line")) != ""
-    d = lines.where("line <> ''").withColumn("_n", F.count_if(text).over(Window.partitionBy("file").orderBy("line_no"))).where("_n <= 40")
-    fields = [F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) + 1 for x in DELIMITERS]
-    g = d.groupBy("file").agg(F.min(F.struct("line_no", "line")).alias("_first"), F.collect_list(F.when(text, F.array(*fields))).alias("_fields"))  # 40 lines at most
+    d = d.withColumn("_sniffed", text & (F.count_if(text).over(so_far) <= 40))
+    for i, x in enumerate(DELIMITERS):
+        d = d.withColumn(f"_{i}", F.when(F.col("_sniffed"), F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) + 1))
+    d = d.withColumns({f"_fields{i}": F.collect_list(f"_{i}").over(file) for i in range(len(DELIMITERS))})  # 40 numbers at most
 
     def good(i: int) -> Column:
-        counts = F.transform("_fields", lambda x: x[i])
+        counts = F.col(f"_fields{i}")
         most = F.array_max(F.transform(F.array_distinct(counts), lambda x: F.struct(F.size(F.filter(counts, lambda y: y == x)).alias("n"), x.alias("fields"))))
-        return (F.size("_fields") >= 2) & (most["fields"] >= 2) & (10 * most["n"] >= 8 * F.size("_fields"))
+        return (F.size(counts) >= 2) & (most["fields"] >= 2) & (10 * most["n"] >= 8 * F.size(counts))
 
     found = F.coalesce(*[F.when(good(i), F.lit(x)) for i, x in enumerate(DELIMITERS)], F.lit(","))
-    return g.select("file", F.col("_first.line_no").alias("first"), F.col("_first.line").alias("top"), found.alias("delimiter"))
+    d = d.withColumn("_found", F.when(F.col("_row") == 1, found)).select(*lines.columns, "_row", "_top", "top", "_found")
+    return d.withColumn("delimiter", F.first("_found").over(so_far)).drop("_found")
 
 
 def sniff_delimiters(lines: DataFrame) -> DataFrame:
     """E5: (file, delimiter): of the first 40 non-blank lines, 80 % with the same number of fields, two at least; else a comma."""
-    return lines.select("file").distinct().join(_tops(lines).select("file", "delimiter"), "file", "left").select("file", F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+    return _sniffed(lines.select("file", "line_no", "line")).where("_row = 1").select("file", "delimiter")
 
 
 def _cells(line: Column, delimiter: Column) -> Column:
     """The cells of a line; quoted fields may hold the delimiter, doubled quotes stand for one."""
     quoted = F.regexp_extract_all(line, F.concat(F.lit(r'(?:^|\Q'), delimiter, F.lit(r'\E)("(?:[^"]|"")*"|[^\Q'), delimiter, F.lit(r'\E]*)')), F.lit(1))
-    plain = F.split(line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")))
+    escaped = F.when(delimiter.isin([*DELIMITERS, ","]), F.concat(F.lit("\\"), delimiter)).otherwise(F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")))  # one escaped sign is split without a pattern
+    plain = F.split(line, escaped)
     clean = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
     return F.when(line.contains('"'), F.transform(quoted, clean)).otherwise(plain)
 
@@ -79,15 +90,12 @@ def header_names(cells: DataFrame, headers: DataFrame) -> DataFrame:
 def infer_text(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") -> DataFrame:
     """(file, pos, name, type, nullable, delimiter, has_header) for every delimited file of ``lines``. Ragged rows miss cells, which makes those columns nullable. A format's own ``delimiter`` is not sniffed.
 
-    Lines are shuffled once, by file; each cell's kind is found once and goes into one hashed row a column, with the first
-    row's kinds apart, as only the whole file tells whether that row is a header.
+    Lines are shuffled and sorted once, by file; each cell's kind is found once and goes into one hashed row a column, with the
+    first row's kinds apart, as only the whole file tells whether that row is a header.
     """
-    d = lines.where(F.col("line_no") <= rows_most + 1).where("line <> ''").select("file", "line_no", "line").repartition("file")
-    tops = _tops(d)
-    if delimiter:
-        tops = tops.withColumn("delimiter", F.lit(delimiter))
-    cells = d.join(tops, "file").select("file", "delimiter", "top", (F.col("line_no") == F.col("first")).alias("_top"), F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("pos", "value"))
-    cells = cells.withColumn("_kind", cell_type(F.col("value"))).withColumns({"_bit": type_bit(F.col("_kind")), "_null": F.col("_kind") == "null"})
+    d = lines.where(F.col("line_no") <= rows_most + 1).where("line <> '' AND file IS NOT NULL").select("file", "line_no", "line")
+    cells = _sniffed(d, delimiter).select("file", "delimiter", "top", "_top", F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("pos", "value"))
+    cells = cells.withColumn("_bit", cell_bit(F.col("value"))).withColumn("_null", F.col("_bit") == 0)
     amounts = []
     for part, own in (("top", F.col("_top")), ("rest", ~F.col("_top"))):
         amounts += [F.bit_or(F.when(own, F.col("_bit"))).alias(f"_{part}_bits"), F.count_if(own & F.col("_null")).alias(f"_{part}_nulls"), F.count_if(own).alias(f"_{part}_cells")]
@@ -97,7 +105,7 @@ def infer_text(lines: DataFrame, rows_most: int = 1000, delimiter: str = "") ->
     c = c.withColumn("has_header", ~number("top") & (number("rest") | ~F.max(F.col("_rest_cells") > 0).over(w)))
     body = lambda name: F.coalesce(F.col(f"_rest_{name}"), F.lit(0)) + F.when(F.col("has_header"), 0).otherwise(F.col(f"_top_{name}"))
     bits = F.coalesce("_rest_bits", F.lit(0)).bitwiseOR(F.when(F.col("has_header"), 0).otherwise(F.coalesce("_top_bits", F.lit(0))))
-    c = c.withColumns({"_bits": bits, "_nulls": body("nulls"), "_own": body("cells"), "_name": stripped(F.get(_cells(F.col("top"), F.col("delimiter")), F.col("pos")))})
+    c = c.withColumns({"_bits": bits, "_nulls": body("nulls"), "_own": body("cells"), "_name": F.when(F.col("has_header"), stripped(F.get(_cells(F.col("top"), F.col("delimiter")), F.col("pos"))))})
     c = c.withColumn("_rows", F.max("_own").over(w))  # each row has a first cell
     kind = merged_type(F.col("_bits"))
     nullable = (F.col("_nulls") > 0) | (F.col("_bits") == 0) | (F.col("_own") < F.col("_rows"))

@@ -7,6 +7,7 @@ import glob
 from pyspark.sql import functions as F
 
 from lakescan import registry_lake as L
+from lakescan.functions import cells
 from lakescan.operators import datasets as D
 from lakescan.operators import infer
 from lakescan.streaming import crawl as S
@@ -82,3 +83,24 @@ def test_text_schema_shuffles_lines_alone(spark):
     d = infer.infer_text(lines)
     assert sorted((r.pos, r.name, r.type, r.nullable) for r in d.collect()) == [(0, "id", "integer", False), (1, "n", "string", True)]
     assert plan(d).count("Exchange hashpartitioning") <= 2
+
+
+def test_delimiters_come_with_the_sort_of_lines_and_join_nothing(spark):
+    blank = [("b", i, " ") for i in range(1, 61)] + [("b", i, "x;z") for i in range(61, 64)]  # blank lines are none of the 40
+    late = [("l", i, "p|q" if i <= 40 else "p q") for i in range(1, 400)]  # later lines do not count
+    lines = spark.createDataFrame([*blank, *late, ("e", 1, "")], "file string, line_no long, line string").repartition(3)
+    sniffed, d = infer.sniff_delimiters(lines), infer.infer_text(lines)
+    assert {r.file: r.delimiter for r in sniffed.collect()} == {"b": ";", "l": "|", "e": ","}
+    assert sorted((r.file, r.pos, r.type, r.nullable) for r in d.collect()) == [("b", 0, "string", True), ("b", 1, "string", True), ("l", 0, "string", False), ("l", 1, "string", True)]
+    for p in (plan(sniffed), plan(d)):
+        assert p.count("Join") == 0 and p.count("Exchange hashpartitioning") == 1 and p.count("FileScan") + p.count("Scan ExistingRDD") == 1
+
+
+def test_a_kind_and_its_bit_agree_on_texts_between_the_tests(spark):
+    texts = {
+        "1.": "float", ".5": "float", "-": "string", "1e5": "float", "1.12345678e2": "float", "+1.1234567": "decimal", "INF": "float", "+Infinity": "float", "-nan": "float", "infinit": "string", "99999999999999999999": "float", "-9223372036854775808": "integer",
+        "12:30:61": "string", "23:59:59,5": "time", "10-12-2020": "date", "2020-12-10 10:00:00,25": "timestamp", "20-12-10": "string", "2020/12/10": "date", "12/10/2020 01:02:03": "timestamp", "13/10/2020": "string", "550e8400-e29b-41d4-a716-44665544000g": "string", "550E8400-E29B-41D4-A716-446655440000": "uuid",
+        "1-URGENT": "string", "{a}": "json", "[": "string", "\u2003 5 \u00a0": "integer", " \u3000": "null", "N/A": "null", "Yes": "boolean", "1 2": "string", "2024-01-02T03:04:05+01:00": "timestamp", "2024-01-02T03:04:05+0100": "string", "٣": "string",
+    }
+    d = spark.createDataFrame(list(texts.items()), "v string, want string").select("v", "want", cells.cell_type(F.col("v")).alias("kind"), cells.cell_bit(F.col("v")).alias("bit"))
+    assert [(r.v, r.kind, r.bit) for r in d.collect() if r.kind != r.want or r.bit != cells.BITS.get(r.want, 0)] == []
