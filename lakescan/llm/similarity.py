@@ -3,13 +3,16 @@
 A document's set is its distinct five-word shingles of lower-cased words, as 64-bit hashes. Two documents link when their
 sets' Jaccard similarity is at least 80 %.
 
-1. *Sets.* One pass over the whole texts gives each document its set's size and a 128-bit signature, and counts every
-   shingle of every document in a table of fixed size. Documents of equal signature are one class.
-2. *Cells.* Sharing 80 % takes sharing one of the first 20 % of the shingles in any order common to all. The order is by
-   count in that table, rarest first, so common passages do not bring documents together; its errors change the cost but
-   not the result. For the smaller of two sets even the first 11 % will do. Classes that share such a shingle and whose
-   sizes allow a link are chained, and components of the chains are cells: no link leaves a cell. What is emitted grows
-   with the shingles, not with pairs. Shingles lie in sorted ranges, so one that very many classes share is cut, and the
+1. *Sets.* One pass over the whole texts gives each document its set's size and a 128-bit signature, and the keys of its
+   shingles: the upper 40 bits of those hashes that lie in the lower 3/8. Documents of equal signature are one class. Keys
+   are dealt by ranges of hashes, in chunks of documents as sorted steps and places (about five bytes a key), and there each
+   is counted exactly over all documents. The counts go back to the chunks.
+2. *Cells.* Sharing 80 % takes sharing one of the first 20 % of the shingles in any order common to all. The order is: keys
+   by count, rarest first, then the other shingles by hash, for sets that have too few keys. So common passages do not bring
+   documents together, however large the corpus; keys that two shingles share change the cost but not the result. A shingle
+   that one document has alone links nothing and is left out. For the smaller of two sets even the first 11 % will do.
+   Classes that share such a shingle and whose sizes allow a link are chained, and components of the chains are cells: no
+   link leaves a cell. Shingles lie in sorted ranges, so one that very many classes share is cut, and the
    chain is closed over the seams.
 3. *Search.* Inside a cell every class is a query against an inverted index of the others: short lists are merged and
    counted, and the candidates with enough hits are probed in the few long lists by binary search; those that reach the
@@ -24,7 +27,6 @@ components, but each counts as a link; rows without doc_id get no component; an
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,8 +42,12 @@ from .graph import connected_components
 
 N = 5
 PERCENT = 80
-COUNTERS = 1 << 22
-SLICES = 64
+KEYED = np.uint64(96 << 56)  # shingles whose hash is below, 3/8 of them, stand first in the order and have keys, which are counted
+KEY_SHIFT = np.uint64(24)
+BUCKETS = 1024
+BUCKET_KEYS = np.uint64((96 << 32) // BUCKETS)
+CHUNK_KEYS = 2_000_000
+CHUNK = "chunk long, bucket int, keys binary, docs binary, extra binary"
 BLOCK_SHINGLES = 1_000_000
 LONG = 64  # lists of more documents are probed rather than merged
 _MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -84,80 +90,133 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
     return iter(column.cast(pa.binary()).to_pylist())
 
 
-def _measured(with_counts: bool):
-    """Rows (doc_id, n, a, b) of all documents, and at the end the counters in compressed slices (n = -1 - slice)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS if with_counts else 1, np.uint32)
-        names = ["doc_id", "n", "a", "b", "counts"]
-        any_rows = False
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in _texts(batch.column("text")):
-                s = shingles(text)
-                n.append(len(s))
-                digest = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
-                a.append((digest >> 64) - (1 << 63))
-                b.append((digest & (1 << 64) - 1) - (1 << 63))
-                if with_counts and len(s):
-                    np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            any_rows = any_rows or bool(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
-        if with_counts and any_rows:
-            parts = np.split(counts, SLICES)
-            packed = [zlib.compress(x.tobytes(), 1) for x in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array([-1 - k for k in range(SLICES)], pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array(packed)], names=names)
-
-    return run
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of each slice; the rows of a partition come in order of the slice."""
-    now, total = None, None
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n, a, b) of all documents, and rows (bucket, chunk, keys, docs, extra) of chunks of documents.
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([zlib.compress(total.astype(np.uint32).tobytes(), 1)])], names=["n", "counts"])
+    A chunk has each class once a task. Row -1 lists its nodes (high halves of signatures), the sizes of their sets and the
+    numbers of their keys; row k from 0 on has the keys of bucket k, as steps, and the places of their documents; row -2 has
+    the shingles, places and flags of prefixes that are longer than a document's keys.
+    """
+    seen, number = set(), 0
+    chunk: list[tuple] = []  # (node, n, keys, rest)
+    names = ["doc_id", "n", "a", "b", "chunk", "bucket", "keys", "docs", "extra"]
 
+    def out() -> pa.RecordBatch:
+        nodes, sizes = np.array([x[0] for x in chunk], np.int64), np.array([x[1] for x in chunk], np.int64)
+        n_keys = np.array([len(x[2]) for x in chunk], np.int64)
+        rows = [(-1, nodes.tobytes(), sizes.tobytes(), n_keys.tobytes())]
+        rest = np.array([len(x[3]) for x in chunk], np.int64)
+        if rest.any():
+            at = np.repeat(np.arange(len(chunk), dtype=np.uint16), rest)
+            rank = np.arange(len(at)) + (n_keys - (rest.cumsum() - rest))[at]
+            rows.append((-2, np.concatenate([x[3] for x in chunk]).tobytes(), at.tobytes(), (rank < index_length(sizes[at])).tobytes()))
+        keys = np.concatenate([x[2] for x in chunk])
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], np.repeat(np.arange(len(chunk), dtype=np.uint16), n_keys)[order]
+        ends = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) * BUCKET_KEYS)
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            own = slice(ends[k], ends[k + 1])
+            rows.append((k, _steps(keys[own] - np.uint64(k) * BUCKET_KEYS), docs[own].tobytes(), None))
+        none = pa.nulls(len(rows), pa.int64())
+        at = np.full(len(rows), TaskContext.get().partitionId() << 32 | number, np.int64)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
+
+    n_keys = 0
     for batch in batches:
-        for n, packed in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
-            if n != now:
-                if now is not None:
-                    yield out()
-                now, total = n, x
-            else:
-                total = np.minimum(total + x, np.uint64(2**32 - 1))
-    if now is not None:
+        ids, n, a, b = batch.column("doc_id"), [], [], []
+        for text, known in zip(_texts(batch.column("text")), ids.is_valid().to_pylist(), strict=True):
+            s = shingles(text)
+            n.append(len(s))
+            digest = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
+            a.append((digest >> 64) - (1 << 63))
+            b.append((digest & (1 << 64) - 1) - (1 << 63))
+            if not known or not len(s) or a[-1] in seen:
+                continue
+            seen.add(a[-1])
+            low = np.searchsorted(s, KEYED)
+            keys = s[:low] >> KEY_SHIFT
+            keys = keys[np.append(True, keys[1:] != keys[:-1])] if low else keys
+            chunk.append((a[-1], len(s), keys, s[low : low + max(0, prefix_length(len(s)) - len(keys))]))
+            n_keys += len(keys)
+            if n_keys >= CHUNK_KEYS or len(chunk) > np.iinfo(np.uint16).max:
+                yield out()
+                chunk, n_keys, number = [], 0, number + 1
+        none, nothing = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, a, b)), none, none.cast(pa.int32()), nothing, nothing, nothing], names=names)
+    if chunk:
         yield out()
 
 
-def _prefixes(shared):
-    """(shingle, node) for the rarest shingles of each class, once a task; node is the high half of the signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
-        for batch in batches:
-            keys, sizes, nodes, n = [], [], [], []
-            for text in _texts(batch.column("text")):
-                s = shingles(text)
-                if not len(s):
-                    continue
-                node = (xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63)
-                if node in seen:
-                    continue
-                seen.add(node)
-                p = prefix_length(len(s))
-                c = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                keys.append(s[np.argsort(c, kind="stable")[:p]])  # rarest first, ties by hash
-                flags = np.full(p, 2 * len(s), np.int64)
-                flags[: index_length(len(s))] += 1
-                sizes.append(flags)
-                nodes.append(node)
-                n.append(p)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.repeat(np.array(nodes, np.int64), n))], names=["shingle", "size", "node"])
-
-    return run
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers of 32 bits as their differences, byte planes apart, so that zeros compress."""
+    return np.diff(x.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().cumsum(dtype=np.uint32)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by their first column, those of one value at a time."""
+    group, rows = None, []
+    for batch in batches:
+        for key, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if key != group:
+                if rows:
+                    yield group, rows
+                group, rows = key, []
+            rows.append(row)
+    if rows:
+        yield group, rows
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, chunk, keys, docs) -> the keys that stand there more than once, for each chunk, and how often."""
+    for bucket, rows in _groups(batches):
+        keys = [_from_steps(r[1]) for r in rows]
+        _, inverse, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        times = np.minimum(times, np.iinfo(np.uint16).max).astype(np.uint16)[inverse]
+        end, found = 0, []
+        for (chunk, _, docs), own in zip(rows, keys, strict=True):
+            end, n = end + len(own), times[end : end + len(own)]
+            keep = n > 1
+            if keep.any():
+                found.append((chunk, _steps(own[keep]), np.frombuffer(docs, np.uint16)[keep].tobytes(), n[keep].tobytes()))
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([bucket] * len(found), pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=["chunk", "bucket", "keys", "docs", "extra"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bucket, keys, docs, extra) sorted by chunk -> (shingle, size, node), without keys that one document has alone."""
+    for _, rows in _groups(batches):
+        nodes, sizes, n_keys = (np.frombuffer(x, np.int64) for x in next(r[1:] for r in rows if r[0] == -1))
+        for _, shingle, docs, indexed in (r for r in rows if r[0] == -2):
+            at = np.frombuffer(docs, np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(shingle, np.int64)), pa.array(2 * sizes[at] + np.frombuffer(indexed, bool)), pa.array(nodes[at])], names=["shingle", "size", "node"])
+        common = [r for r in rows if r[0] >= 0]
+        if not common:
+            continue
+        keys = np.concatenate([_from_steps(k) + np.uint64(bucket) * BUCKET_KEYS for bucket, k, _, _ in common])
+        docs, times = (np.concatenate([np.frombuffer(r[k], np.uint16) for r in common]) for k in (2, 3))
+        order = np.lexsort((keys, times, docs))
+        keys, docs = keys[order], docs[order]
+        n = np.bincount(docs, minlength=len(nodes))
+        # The keys that a document has alone stand first.
+        rank = np.arange(len(docs)) + (n_keys - n - (n.cumsum() - n))[docs]
+        keep = rank < prefix_length(sizes[docs])
+        keys, docs, rank = keys[keep], docs[keep], rank[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(2 * sizes[docs] + (rank < index_length(sizes[docs]))), pa.array(nodes[docs])], names=["shingle", "size", "node"])
+
+
+def _prefixes(measured: DataFrame) -> DataFrame:
+    """(shingle, size, node) for the rarest shingles of each class; size is twice the set's, and one more in the index prefix.
+
+    Shingles that no other document has are left out, as they link nothing.
+    """
+    chunks = measured.where("chunk IS NOT NULL").select("chunk", "bucket", "keys", "docs", "extra")
+    common = chunks.where("bucket >= 0").select("bucket", "chunk", "keys", "docs").repartition("bucket").sortWithinPartitions("bucket")
+    rows = common.mapInArrow(_common, CHUNK).unionByName(chunks.where("bucket < 0"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_rarest, "shingle long, size long, node long")
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,19 +388,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = checkpoint(docs.mapInArrow(_measured(True), "doc_id long, n long, a long, b long, counts binary"))
-    rows = measured.where("counts IS NULL").drop("counts")
-    summed = measured.where("counts IS NOT NULL").select("n", "counts").repartition(SLICES // 4, "n").sortWithinPartitions("n").mapInArrow(_added, "n long, counts binary").collect()  # of fixed size
-    counts = np.zeros(COUNTERS, np.uint32)
-    width = COUNTERS // SLICES
-    for r in summed:
-        counts[(-1 - r.n) * width : -r.n * width] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    shared = spark.sparkContext.broadcast(counts)
+    measured = checkpoint(docs.mapInArrow(_measured, f"doc_id long, n long, a long, b long, {CHUNK}"))
+    rows = measured.where("n IS NOT NULL").select("doc_id", "n", "a", "b")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    prefixes = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(shared), "shingle long, size long, node long")
-    cells = checkpoint(connected_components(_edges(prefixes)))
+    cells = checkpoint(connected_components(_edges(_prefixes(measured))))
     # A node is half a signature; classes that share it merely come into one cell together.
     member = classes.join(cells, F.col("a") == F.col("node")).select("node", F.col("component").alias("cell"), "rep", "copies", "n")
     sizes = member.groupBy("cell").agg(F.sum("n").alias("total")).select(F.col("cell").alias("_cell"), F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakescan.llm import line_dedup, mixing, packing, quality_rules, similarity
@@ -126,6 +128,58 @@ def test_chains_close_over_the_seams_of_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_shingles_of_one_document_are_not_chained(spark, monkeypatch):
+    """What is written to find cells holds shingles of several documents alone, and texts that merely share a passage meet in none."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda n, k: " ".join(f"d{n}x{i}" for i in range(k))
+    rows = [(n, f"{own(n, 240 + n)} {passage} {own(-1 - n, 60)}", None) for n in range(60)]
+    rows += [(100, own(100, 300), None), (101, own(100, 299) + " z", None)]
+    seen, edges = [], similarity._edges
+    monkeypatch.setattr(similarity, "_edges", lambda prefixes: seen.append(prefixes.toPandas()) or edges(prefixes))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in similarity.query(frame(spark, rows)).collect()}
+    assert got == {n: (n, 0) for n in range(60)} | {100: (100, 1), 101: (100, 1)}
+    assert set((seen[0]["size"] // 2).tolist()) == {296} and len(seen[0]) <= 2 * similarity.prefix_length(296)
+
+
+def test_jaccard_over_chunks_of_one_task(spark):
+    """More documents in one task than a chunk's places; near copies lie in different chunks."""
+    half = 35_000
+    text = f"concat_ws(' ', transform(sequence(0, 24), k -> concat('w', (id % {half}) * 25 + k)), concat('x', id))"
+    docs = spark.range(2 * half).selectExpr("id AS doc_id", f"{text} AS text").coalesce(1)
+    assert docs.rdd.getNumPartitions() == 1
+    got = similarity.query(docs)
+    assert got.count() == 2 * half and got.where(f"component_id <> doc_id % {half} OR n_links <> 1 OR n_shingles <> 22").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keys_are_counted_over_chunks(seed):
+    """Prefixes of random sets, made from counted keys: each common shingle by its count, each own one left out."""
+    r = np.random.default_rng(seed)
+    n_docs, chunks = 40, 3
+    sets = [np.unique(r.zipf(1.3, 60).astype(np.uint64) % np.uint64(300)) * np.uint64(7_000_003) for _ in range(n_docs)]
+    counts = Counter(x for s in sets for x in s.tolist())
+    names, rows, lists = ["bucket", "chunk", "keys", "docs"], [], []
+    for c in range(chunks):
+        own = sets[c::chunks]
+        lists.append((c, -1, np.arange(c, n_docs, chunks).tobytes(), np.array([len(s) for s in own]).tobytes(), np.array([len(s) for s in own]).tobytes()))
+        keys, docs = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.uint16), [len(s) for s in own])
+        order = np.argsort(keys, kind="stable")
+        for b in range(similarity.BUCKETS):
+            at = order[(keys[order] // similarity.BUCKET_KEYS) == b]
+            if len(at):
+                rows.append((b, c, similarity._steps(keys[at] - np.uint64(b) * similarity.BUCKET_KEYS), docs[at].tobytes()))
+    table = lambda x, names: pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*x, strict=True)], names=names)
+    found = [x for b in similarity._common(iter([table(sorted(rows)[k : k + 5], names) for k in range(0, len(rows), 5)])) for x in zip(*(v.to_pylist() for v in b.columns), strict=True)]
+    got = {}
+    for b in similarity._rarest(iter([table(sorted(found + lists, key=lambda x: x[0]), ["chunk", "bucket", "keys", "docs", "extra"])])):
+        for shingle, size, node in zip(*(v.to_pylist() for v in b.columns), strict=True):
+            got.setdefault(node, []).append((shingle, size & 1))
+            assert size >> 1 == len(sets[node])
+    for node, s in enumerate(sets):
+        ranked = sorted(s.tolist(), key=lambda x: (counts[x], x))[: similarity.prefix_length(len(s))]
+        assert got.get(node, []) == [(x, int(k < similarity.index_length(len(s)))) for k, x in enumerate(ranked) if counts[x] > 1]
+
+
 def test_jaccard_of_many_near_copies(spark):
     """One class of near copies that are all different texts: every link is counted, in blocks and over ranges."""
     base = [f"w{i}" for i in range(300)]
