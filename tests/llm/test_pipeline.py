@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakescan.llm import queries
+from lakescan.llm import queries, similarity
 
 from . import brute
 from .test_text_operators import corpus
@@ -32,5 +32,17 @@ def test_stages_keep_the_columns_and_clash_with_no_extra_ones(spark):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"] and d.count() == 0
 
 
+def test_near_duplicates_write_only_what_documents_share(spark, monkeypatch):
+    """To find cells, the stage writes no shingle that one document has alone; texts that merely share a passage all stay."""
+    own = lambda n, k: " ".join(f"d{n}x{i}" for i in range(k))
+    rows = [(n, f"{own(n, 250)} {own(-1, 60)}", "en", "s", 0) for n in range(50)] + [(90, own(90, 300), "en", "s", 0), (91, own(90, 299) + " z", "en", "s", 0)]
+    written, edges = [], similarity._edges
+    monkeypatch.setattr(similarity, "_edges", lambda prefixes: written.append(prefixes.count()) or edges(prefixes))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, d, "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [*range(50), 90]
+    assert 0 < written[0] <= 2 * similarity.prefix_length(296)
+
+
 def test_every_operator_is_registered_once():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
